@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing, rules
+from . import chat, classifier, mixing, rules, secrets, simhash
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op2_quality": classifier.op2_quality,
     "op3_rules": rules.op3_rules,
+    "op5_chat": chat.op5_chat,
+    "op8_simhash": simhash.op8_simhash,
+    "op10_secrets": secrets.op10_secrets,
 }
 
 ORACLES = {
     "op1_mix": mixing.OP1_SQL,
     "op3_rules": rules.OP3_SQL,
+    "op5_chat": chat.OP5_SQL,
 }
