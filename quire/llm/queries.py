@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, classifier, mixing, rules, secrets, simhash
+from . import ann, chat, classifier, mixing, pieces, rules, secrets, simhash, tokens
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op2_quality": classifier.op2_quality,
     "op3_rules": rules.op3_rules,
+    "op4_ann": ann.op4_ann,
     "op5_chat": chat.op5_chat,
+    "op6_pieces": pieces.op6_pieces,
     "op8_simhash": simhash.op8_simhash,
+    "op9_tokens": tokens.op9_tokens,
     "op10_secrets": secrets.op10_secrets,
 }
 
