@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, classifier, mixing, pieces, rules, secrets, simhash, tokens
+from . import ann, chat, classifier, mixing, pieces, rules, secrets, simhash, suffix, tokens
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_ann": ann.op4_ann,
     "op5_chat": chat.op5_chat,
     "op6_pieces": pieces.op6_pieces,
+    "op7_suffix": suffix.op7_suffix,
     "op8_simhash": simhash.op8_simhash,
     "op9_tokens": tokens.op9_tokens,
     "op10_secrets": secrets.op10_secrets,
