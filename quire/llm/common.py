@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,12 +48,15 @@ def stash(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that no live plan refers to, rather than at its next collection of garbage."""
-    import gc
+def release(spark: SparkSession, rounds: int = 3) -> None:
+    """Let Spark delete shuffle files that no live plan refers to, rather than at its next collection of garbage.
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    References from Python are dropped before those of the JVM, and files go in the background, so it takes some rounds.
+    """
+    for _ in range(rounds):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def words_of(text):
