@@ -35,7 +35,7 @@ from .common import release, stash
 
 LENGTH, SEED, HOT = 50, 20, 200_000
 #: Bytes of text a task works on at once, and (about) bytes of text whose seeds share a bucket.
-PIECE, BUCKET = 400_000, 12_000_000
+PIECE, BUCKET = 400_000, 3_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LOW = np.uint64(0xFFFFFFFF)
