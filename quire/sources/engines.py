@@ -100,8 +100,10 @@ def read_pgm(data: bytes) -> np.ndarray:
     parts, at = [], 0
     while len(parts) < 4:
         end = at
-        while data[end : end + 1] not in (b" ", b"\n", b"\t", b"\r"):
+        while end < len(data) and data[end : end + 1] not in (b" ", b"\n", b"\t", b"\r"):
             end += 1
+        if end == len(data):
+            raise ValueError("the header of the image is cut off")
         if end > at:
             parts.append(data[at:end])
         at = end + 1
