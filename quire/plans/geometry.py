@@ -9,7 +9,7 @@ from ..model import bridge as B
 from ..model.bridge import sql
 from ..operators import jobs, layout
 
-W, H = F.lit(600.0), F.lit(800.0)
+W, H = 600.0, 800.0
 
 
 def boxes(spark, d):
@@ -19,7 +19,7 @@ def boxes(spark, d):
 def overlap(spark, d):
     a, b = G.of("a_"), G.of("b_")
     r = lambda c: F.round(c, 6)
-    return boxes(spark, d).select("vec_id", r(G.iou(a, b)).alias("iou"), r(G.intersection(a, b)).alias("both"), r(G.area(a)).alias("area"), G.contains(a, b, 50.0).alias("contains"), G.within_page(a, W, H).alias("in_page"))
+    return boxes(spark, d).select("vec_id", r(G.iou(a, b)).alias("iou"), r(G.intersection(a, b)).alias("both"), r(G.area(a)).alias("area"), G.contains(a, b, 50.0).alias("contains"), G.within_page(a, F.lit(W), F.lit(H)).alias("in_page"))
 
 
 def transforms(spark, d):
