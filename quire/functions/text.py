@@ -131,10 +131,14 @@ def operators(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("[<>≤≥±=]+"), F.lit(0))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once for the row even where use has it within a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def is_subsequence(old: Column, new: Column) -> Column:
     """Whether the items of old occur in new in their order."""
-    at = F.aggregate(new, F.lit(0), lambda i, w: F.when(F.coalesce(F.get(old, i) == w, F.lit(False)), i + 1).otherwise(i))
-    return at == F.size(old)
+    return bound(old, lambda o: F.aggregate(new, F.lit(0), lambda i, w: F.when(F.coalesce(F.get(o, i) == w, F.lit(False)), i + 1).otherwise(i)) == F.size(o))
 
 
 def keeps_values(old: Column, new: Column) -> Column:
