@@ -122,6 +122,13 @@ def _joined(parts, text, place):
     return np.frombuffer(b"".join(parts), np.uint8), bounds, np.array(text), np.array(place)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches, so that what a task holds at once stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _texts(column) -> list[bytes]:
     return [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in column]
 
@@ -160,7 +167,7 @@ def _join(parts: list[bytes], kind) -> np.ndarray:
 
 def _seed_rows(n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             ids, keys, docs = batch.column(0).to_numpy(), [], []
             for data, bounds, text, _ in _pieces(_texts(batch.column(1))):
                 seeds = Seeds(data, bounds)
@@ -206,7 +213,7 @@ def _context_rows(n_buckets: int):
     """doc_id, text, wanted (seeds, as a list of blobs), copies (prints of texts to leave out) -> rows of contexts by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             ids, texts = batch.column(0).to_numpy(), _texts(batch.column(1))
             prints = np.array([text_print(t) for t in texts], np.int32)
             for i, copies in enumerate(batch.column(3).to_pylist()):
@@ -341,7 +348,7 @@ def _hot_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text, parts (print and blob), copies (prints of texts that go whole) -> what is left of each text."""
-    for batch in batches:
+    for batch in _slices(batches):
         out: list[list] = [[], [], [], []]
         for text, parts, copies in zip(_texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             n, kept, removed, spans = len(text), text, 0, 0
