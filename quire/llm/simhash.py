@@ -10,8 +10,10 @@ by further blocks, see bktree.
 ``near_dedup`` is the stage that removes near copies of word shingles: five words, Jaccard similarity 0.8. Such texts
 differ in up to 22 of 64 bits, too many for blocks of bits. Its shards are therefore keyed by pairs of
 min-hashes (eight pairs; two texts of similarity 0.8 miss each other in all with probability 0.0003), a shard's
-BK-tree is searched with a wide radius, and what it finds is verified with a sketch of 256 bins that is near exact
-for short texts and has a standard error of at most 0.025 for long ones.
+BK-tree is searched with a wide radius, and what it finds is thinned by a sketch of 256 bins (a standard error of at
+most 0.025; ``LOOSE`` is six of them below 0.8). Texts that such loose links join are fetched by their key, and each
+link that counts is verified on the whole sets of their shingles. Loose links only gather the texts to compare: all
+pairs of a loose group that aren't joined yet are candidates, so a loose link that fails hides no other.
 
 Defined results: a null or blank text has no words and fingerprint 0, linked like any other (near_dedup: such texts are
 copies of each other); a null doc_id takes part, but names a component only if no other id does; repeated rows give
@@ -21,6 +23,7 @@ a row each (near_dedup: one stays); an empty table gives an empty table; further
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,8 @@ from .graph import components
 SHINGLE, RADIUS, SEED = 3, 2, 42
 NEAR_SHINGLE, SIMILARITY, NEAR_RADIUS = 5, 0.8, 24
 BANDS, ROWS, BINS = 8, 2, 256
+#: So far below the similarity may an estimate from bins be.
+LOOSE = 0.15
 #: Odd multipliers of the min-hashes, from a fixed generator.
 _MULTIPLY = np.random.default_rng(7).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -189,8 +194,60 @@ def describe_texts(docs: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
     return read.mapInArrow(describe, f"doc_id {id_type}, key long, print long, bands array<long>, bins binary")
 
 
-def near_groups(described: DataFrame, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
-    """key, keeper, keeper_id: each distinct text, and the text of its group that stays, with its doc_id."""
+def exactly_alike(sets: list[np.ndarray], similarity: float):
+    """A test of pairs (arrays of indices) for at least this Jaccard similarity of whole sets of distinct hashes."""
+    sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    own = [ids[e - n : e] for e, n in zip(ends, sizes)]
+    marks = np.zeros(len(vocabulary), bool)
+    ratio = Fraction(str(similarity))
+
+    def accept(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.minimum(sizes[x], sizes[y]) * ratio.denominator >= np.maximum(sizes[x], sizes[y]) * ratio.numerator
+        last = -1
+        for at in (able := np.flatnonzero(out))[np.argsort(x[able], kind="stable")]:
+            a, b = int(x[at]), int(y[at])
+            if a != last:
+                if last >= 0:
+                    marks[own[last]] = False
+                marks[own[a]] = True
+                last = a
+            both = int(np.count_nonzero(marks[own[b]]))
+            out[at] = both * ratio.denominator >= (sizes[a] + sizes[b] - both) * ratio.numerator
+        if last >= 0:
+            marks[own[last]] = False
+        return out
+
+    return accept
+
+
+def verified(members: DataFrame, size: int, similarity: float, radius: int) -> DataFrame:
+    """group, key, print, text of texts in loose groups -> a, b: a spanning forest of the exact links in each group."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, 1 << 10):
+            group, key, own, text = table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).to_numpy().view(np.uint64), table.column(3)
+            a, b = [], []
+            for s, e in _cuts(group):
+                # Rows that repeat a text stand beside each other.
+                at = s + np.flatnonzero(np.r_[True, np.diff(key[s:e]) != 0])
+                sets = [np.unique(shingle_hashes(text[int(i)].as_py(), size)[1]) for i in at]
+                root = spanning(own[at], radius, limit=1 << 62, accept=exactly_alike(sets, similarity))
+                joined = np.flatnonzero(root != np.arange(len(at)))
+                a.append(key[at[joined]])
+                b.append(key[at[root[joined]]])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
+
+    return members.select("group", "key", "print", "text").repartition("group").sortWithinPartitions("group", "key").mapInArrow(link, "a long, b long")
+
+
+def near_groups(described: DataFrame, rows: DataFrame, size: int = NEAR_SHINGLE, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
+    """key, keeper, keeper_id: each distinct text, and the text of its group that stays, with its doc_id.
+
+    rows has own_key, own_id and own_text of all documents; it is read again for the texts in loose groups.
+    """
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, 1 << 12):
@@ -199,7 +256,7 @@ def near_groups(described: DataFrame, similarity: float = SIMILARITY, radius: in
             a, b = [], []
             for s, e in _cuts(band):
                 some = bins[s:e]
-                root = spanning(own[s:e], radius, limit=1 << 62, accept=lambda x, y, some=some: alike(some[x], some[y], similarity))
+                root = spanning(own[s:e], radius, limit=1 << 62, accept=lambda x, y, some=some: alike(some[x], some[y], similarity - LOOSE))
                 joined = np.flatnonzero(root != np.arange(e - s))
                 a.append(key[s:e][joined])
                 b.append(key[s:e][root[joined]])
@@ -212,7 +269,9 @@ def near_groups(described: DataFrame, similarity: float = SIMILARITY, radius: in
     shared = met.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     met = met.join(shared, "band").join(texts.select("key", "print", "bins"), "key")
     found = met.select("band", "key", "print", "bins").repartition("band").sortWithinPartitions("band", "key").mapInArrow(link, "a long, b long")
-    roots = components(found)
+    loose = stash(components(found).join(least, F.col("node") == F.col("key")).join(texts.select("key", "print"), "key").select("key", "print", F.col("root").alias("group"), "least"), "loose")
+    members = rows.join(loose, (F.col("own_key") == F.col("key")) & F.col("own_id").eqNullSafe(F.col("least"))).select("group", "key", "print", F.col("own_text").alias("text"))
+    roots = components(verified(members, size, similarity, radius))
     rooted = least.join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     rooted = stash(rooted, "rooted")
     keeper = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key")).alias("k"))
@@ -227,7 +286,9 @@ def near_dedup(docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = SI
         return _signed([text_key(t.as_py()) for t in texts])
 
     described = stash(describe_texts(docs, size), "described")
-    kept = near_groups(described, similarity).filter("key = keeper").select(F.col("key").alias("kept_key"), F.col("keeper_id").alias("kept_id"))
+    texts = docs["text"].cast("string")
+    read = docs.select(key_of(texts).alias("own_key"), docs["doc_id"].alias("own_id"), texts.alias("own_text"))
+    kept = near_groups(described, read, size, similarity).filter("key = keeper").select(F.col("key").alias("kept_key"), F.col("keeper_id").alias("kept_id"))
     kept = stash(kept, "kept")
     release(docs.sparkSession)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("own_id"), key_of(docs["text"].cast("string")).alias("own_key"))

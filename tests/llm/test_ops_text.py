@@ -281,3 +281,14 @@ def test_empty_tables(spark):
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     for out in (mixing.mix_report(docs), mixing.mix(docs), rules.quality_rules(docs), classifier.quality_scores(docs, labels), simhash.component_report(docs), simhash.near_dedup(docs), secrets.find_secrets(docs), secrets.redact(docs), chat.read_back(chat.format_conversations(turns))):
         assert out.count() == 0
+
+
+def test_near_dedup_decides_on_whole_sets(spark):
+    rng, rows, want = np.random.default_rng(11), [], set()
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 7))
+    # Distinct words, cut to make shingles in common over those of both exactly 0.80, 0.797 or 0.81.
+    for i, (shared, more) in enumerate([(800, 200), (797, 203), (810, 190)] * 20):
+        words = [word() for _ in range(shared + more + 4)]
+        rows += [(2 * i, " ".join(words), "en", "s", 0), (2 * i + 1, " ".join(words[: shared + 4]), "en", "s", 0)]
+        want |= {2 * i} if shared >= 800 else {2 * i, 2 * i + 1}
+    assert {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()} == want
