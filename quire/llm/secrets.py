@@ -1,15 +1,19 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for what no pattern names.
 
-A candidate is a run of 20 or more characters of the usual text encodings. Its encoding is inferred as the smallest
-alphabet that holds it, and three tests ask whether it could be drawn evenly from that alphabet: chi-squared for
+A candidate is a maximal run of 20 or more characters of one of the usual text encodings, so NAME=VALUE, path_a/key and
+the like give their parts; runs of several encodings at one place are one candidate. "=" is of no encoding, but ends
+one as padding. Its encoding is inferred as the smallest alphabet that holds it, and three tests ask whether it could be
+drawn evenly from that alphabet: chi-squared for
 uniformity, runs above and below the middle of the alphabet, and serial correlation of neighbours. A candidate that
 fails them (Bonferroni over the three, ``BATTERY``) is no secret: words, counters, separators.
 
 For the others the evidence against written text is weighed. Text stays within one class of characters (small, capital,
-digit, mark) from a character to the next with probability ``STAY``; the ratio of a candidate's probability as such text
+digit, mark) from a character to the next with probability ``STAY``, and its letters have the frequencies of written
+language; the ratio of a candidate's probability as such text
 to its probability as an even draw is a valid p-value (its mean under text is at most 1). Over all candidates of the
 corpus these p-values are held to a false discovery rate of ``RATE`` by the step-up rule, with weights by length, since
-long secrets are likelier real. The rule needs only a histogram of p-values, which is summed over all documents.
+long secrets are likelier real. p-values of the battery are of the opposite hypothesis (small ones speak for text), so they
+can't enter this rule. Digits have no written frequencies, so decimal runs need some 54 digits to be told from counters. The rule needs only a histogram of p-values, which is summed over all documents.
 
 Defined results: a null text is empty; empty texts have no spans; candidates within a span of a pattern add nothing;
 repeated rows are each scanned and counted; an empty table gives an empty table; further columns are ignored (redact:
@@ -34,13 +38,17 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Kind -> (pattern, group that is measured, its least length).
 PATTERNS = {"assign": (re.compile(ASSIGN, re.ASCII | re.IGNORECASE), 2, 6), "access": (re.compile("AKIA[A-Z0-9]+"), 0, 20), "hex": (re.compile("[0-9a-f]{24,}"), 0, 24)}
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+_PADDING = re.compile(r"={1,2}(?![A-Za-z0-9+/_=-])")
 #: What a text must match to be looked at, for a scanner that takes linear time.
 SIEVES = {"assign": "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9+/_.=-]", "access": "AKIA[A-Z0-9]", "hex": "[0-9a-f]{24}", "random": CANDIDATE.pattern.replace("{20,}", "{20}")}
 _DIGITS, _LOW, _UP = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings from the smallest alphabet to the largest.
 ALPHABETS = {"decimal": _DIGITS, "hex": _DIGITS + "abcdef", "hex capitals": _DIGITS + "ABCDEF", "small": _LOW, "capitals": _UP, "base32": _UP + "234567", "base36": _DIGITS + _LOW, "base62": _UP + _LOW + _DIGITS, "base64": _UP + _LOW + _DIGITS + "+/", "base64url": _UP + _LOW + _DIGITS + "-_"}
 _SETS = [(k, frozenset(v), {c: i for i, c in enumerate(v)}) for k, v in ALPHABETS.items()]
+#: Maximal runs of each encoding; every one lies in a run of CANDIDATE.
+_RUNS = [re.compile(f"[{re.escape(v)}]{{{LEAST},}}") for v in ALPHABETS.values()]
 BATTERY, STAY, RATE = 0.001, 0.9, 0.001
 #: Histogram of -10 log10 p: its last bin holds all above.
 LAST_BIN, LONGEST = 1000, 64
@@ -83,13 +91,20 @@ def _class(c: str) -> int:
     return 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3
 
 
-_CLASS_SIZES = (26, 26, 10, 4)
+#: Rough shares of the letters a to z in written English, German, French and Spanish taken together.
+_LETTERS = (850, 150, 320, 450, 1480, 135, 180, 320, 720, 35, 65, 440, 260, 810, 590, 220, 50, 660, 740, 730, 420, 120, 110, 25, 80, 40)
+_LOG_LETTERS = [math.log(x / sum(_LETTERS)) for x in _LETTERS]
+
+
+def _log_within(c: str, kind: int) -> float:
+    """Log of the share of c in its class in written text."""
+    return _LOG_LETTERS[ord(c.lower()) - 97] if kind < 2 else -math.log(10 if kind == 2 else 4)
 
 
 def evidence(token: str, letters: int) -> float:
     """log10 of the p-value that written text looks so evenly drawn; 0 at most."""
     classes = [_class(c) for c in token]
-    text = math.log(1 / 4) - sum(math.log(_CLASS_SIZES[c]) for c in classes)
+    text = math.log(1 / 4) + sum(map(_log_within, token, classes))
     stays = sum(x == y for x, y in zip(classes, classes[1:]))
     text += stays * math.log(STAY) + (len(token) - 1 - stays) * math.log((1 - STAY) / 3)
     return min(0.0, (text + len(token) * math.log(letters)) / math.log(10))
@@ -100,10 +115,8 @@ def examine(token: str) -> tuple[str, float, bool]:
     body = token.rstrip("=")
     chars = set(body)
     for name, alphabet, place in _SETS:
-        if chars <= alphabet:
-            log_p = evidence(body, len(place)) if body else 0.0
-            if log_p > -3:
-                return name, log_p, False
+        if body and chars <= alphabet:
+            log_p = evidence(body, len(place))
             return name, log_p, 3 * min(battery([place[c] for c in body], len(place))) >= BATTERY
     return "other", 0.0, False
 
@@ -115,9 +128,12 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, fl
         base += [(m.start(), kind, m.end()) for m in pattern.finditer(text) if len(m[group]) >= least]
     base.sort()
     found = []
-    for m in CANDIDATE.finditer(text):
-        if not any(s <= m.start() and m.end() <= e for s, _, e in base):
-            found.append((m.start(), m.end(), *examine(m[0])[1:]))
+    for run in CANDIDATE.finditer(text):
+        for at, end in sorted({m.span() for each in _RUNS for m in each.finditer(text, *run.span())}):
+            if any(s <= at and end <= e for s, _, e in base):
+                continue
+            padding = _PADDING.match(text, end)
+            found.append((at, padding.end() if padding else end, *examine(text[at:end])[1:]))
     return base, found
 
 

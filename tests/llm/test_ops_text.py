@@ -292,3 +292,18 @@ def test_near_dedup_decides_on_whole_sets(spark):
         rows += [(2 * i, " ".join(words), "en", "s", 0), (2 * i + 1, " ".join(words[: shared + 4]), "en", "s", 0)]
         want |= {2 * i} if shared >= 800 else {2 * i, 2 * i + 1}
     assert {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
+def test_secrets_beside_names_and_paths_and_of_one_class(spark):
+    rng = np.random.default_rng(14)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    key, small, capitals = "Zk39dkLq0PvX7rTn2YbW8sGh4Jc6", secrets.ALPHABETS["small"], secrets.ALPHABETS["capitals"]
+    assert [x[:2] for x in secrets.scan(f"AUTH={key} x")[1]] == [(5, 33)]
+    assert (7, 35) in [x[:2] for x in secrets.scan(f"path_a/{key}")[1]]
+    assert [x[:2] for x in secrets.scan(f"{key}/{key}==")[1]] == [(0, 28), (0, 59), (29, 59)]
+    texts = [f"AUTH={key} x", f"path_a/{key}", f"KEY_X={key}/{key[::-1]}", *["see " + draw(small, 36) for _ in range(20)], *["see " + draw(capitals, 36) for _ in range(20)]]
+    texts += [f"see {draw(['tion', 'ing', 'the', 'ed', 'er'], 8)} and 12345678901234567890123" for _ in range(100)]
+    out = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert not any(key in out[i] or key[::-1] in out[i] for i in range(3))
+    assert sum("[SECRET]" in out[i] for i in range(3, 43)) >= 36
+    assert not any("[SECRET]" in out[i] for i in range(43, 143))
