@@ -7,8 +7,9 @@ not by broadcast, because a broadcast of trees would grow with the corpus. Equal
 the smallest doc_id, and a shard gives a spanning forest of its links, not all pairs. Large shards split themselves
 by further blocks, see bktree.
 
-``near_dedup`` is the stage that removes near copies of word shingles: five words, Jaccard similarity 0.8. Such texts
-differ in up to 22 of 64 bits, too many for blocks of bits. Its shards are therefore keyed by pairs of
+``near_dedup`` is the stage that removes near copies of word shingles: five words, Jaccard similarity 0.8. Its
+fingerprints are of sets, each shingle once, as is the similarity; two such sets are further apart than ``near_radius``
+with probability 1e-6, and that radius is too wide for blocks of bits. Its shards are therefore keyed by pairs of
 min-hashes (eight pairs; two texts of similarity 0.8 miss each other in all with probability 0.0003), a shard's
 BK-tree is searched with a wide radius, and what it finds is thinned by a sketch of 256 bins (a standard error of at
 most 0.025; ``LOOSE`` is six of them below 0.8). Texts that such loose links join are fetched by their key, and each
@@ -22,8 +23,10 @@ a row each (near_dedup: one stays); an empty table gives an empty table; further
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,7 @@ from .common import release, stash
 from .graph import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
-NEAR_SHINGLE, SIMILARITY, NEAR_RADIUS = 5, 0.8, 24
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, BINS = 8, 2, 256
 #: So far below the similarity may an estimate from bins be.
 LOOSE = 0.15
@@ -68,6 +71,32 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0]) if len(hashes) else 0
 
 
+def bits_apart(common: int, a: int, b: int) -> float:
+    """Probability that a bit of the fingerprint differs in two sets with so many hashes in common, and of their own."""
+    ones = lambda n: np.array([math.comb(n, k) / 2**n for k in range(n + 1)])
+    k = np.arange(common + 1)[:, None]
+    first, second = (((2 * (k + np.arange(n + 1)) > common + n) * ones(n)).sum(1) for n in (a, b))
+    return float((ones(common) * (first * (1 - second) + second * (1 - first))).sum())
+
+
+@cache
+def near_radius(similarity: float, miss: float = 1e-6) -> int:
+    """The bits within which two sets of at least this similarity lie but for a probability of ``miss``.
+
+    Small sets, with their ties, are the worst case and are counted out; for large ones the angle of the sets is the bound.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    for common in range(1, 33):
+        more = int(common * (1 / similarity - 1) + 1e-9)
+        p = max([p, *(bits_apart(common, a, b) for a in range(more + 1) for b in range(a, more - a + 1))])
+    beyond = 1.0
+    for radius in range(64):
+        beyond -= math.comb(64, radius) * p**radius * (1 - p) ** (64 - radius)
+        if beyond <= miss:
+            return radius
+    return 64
+
+
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, print: the fingerprint as a signed long."""
 
@@ -185,7 +214,7 @@ def describe_texts(docs: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
             for t in batch.column(1):
                 joined, hashes = shingle_hashes(t.as_py(), size)
                 bands, bins = sketch(hashes)
-                for x, v in zip(out, (xxhash.xxh64_intdigest(joined, SEED), fingerprint(hashes), bands, bins.tobytes())):
+                for x, v in zip(out, (xxhash.xxh64_intdigest(joined, SEED), fingerprint(np.unique(hashes)), bands, bins.tobytes())):
                     x.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), _signed(out[0]), _signed(out[1]), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())], ["doc_id", "key", "print", "bands", "bins"])
 
@@ -243,11 +272,12 @@ def verified(members: DataFrame, size: int, similarity: float, radius: int) -> D
     return members.select("group", "key", "print", "text").repartition("group").sortWithinPartitions("group", "key").mapInArrow(link, "a long, b long")
 
 
-def near_groups(described: DataFrame, rows: DataFrame, size: int = NEAR_SHINGLE, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
+def near_groups(described: DataFrame, rows: DataFrame, size: int = NEAR_SHINGLE, similarity: float = SIMILARITY, radius: int | None = None) -> DataFrame:
     """key, keeper, keeper_id: each distinct text, and the text of its group that stays, with its doc_id.
 
     rows has own_key, own_id and own_text of all documents; it is read again for the texts in loose groups.
     """
+    radius = near_radius(similarity) if radius is None else radius
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, 1 << 12):

@@ -294,6 +294,23 @@ def test_near_dedup_decides_on_whole_sets(spark):
     assert {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()} == want
 
 
+def test_near_dedup_meets_copies_that_repeat_a_passage(spark):
+    rng, rows = np.random.default_rng(12), []
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 7))
+    for i in range(30):
+        words, again = [word() for _ in range(204)], word()
+        rows += [(2 * i, " ".join(words), "en", "s", 0), (2 * i + 1, " ".join(words + [again] * 50), "en", "s", 0)]
+    assert {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()} == set(range(0, 60, 2))
+
+
+def test_near_radius_covers_the_worst_small_sets():
+    rng = np.random.default_rng(13)
+    assert simhash.bits_apart(4, 1, 0) == 0.1875 and simhash.near_radius(0.8) == 29
+    hashes = rng.integers(0, 1 << 63, (3000, 5), dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, (3000, 5), dtype=np.uint64)
+    apart = [(simhash.fingerprint(x) ^ simhash.fingerprint(x[:4])).bit_count() for x in hashes]
+    assert abs(np.mean(apart) - 12) < 0.3 and max(apart) <= 29
+
+
 def test_secrets_beside_names_and_paths_and_of_one_class(spark):
     rng = np.random.default_rng(14)
     draw = lambda letters, n: "".join(rng.choice(list(letters), n))
