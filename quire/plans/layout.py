@@ -96,7 +96,7 @@ def pushed(spark, d):
 
 
 def units(spark, d):
-    cells = B.cells(B.table(spark, d, "lineitem")).filter("table_id < 500").select(F.col("table_id").alias("doc_id"), F.lit(0).alias("page_index"), F.lit("t0").alias("block_id"), "row", "col", "text")
+    cells = B.cells(B.table(spark, d, "lineitem")).select(F.col("table_id").alias("doc_id"), F.lit(0).alias("page_index"), F.lit("t0").alias("block_id"), "row", "col", "text")
     return match.units(blocks(spark, d), cells).select("doc_id", "unit_id", "page", F.length("text").alias("chars"))
 
 
