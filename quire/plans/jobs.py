@@ -91,10 +91,12 @@ def visual(spark, d):
 
 
 def verified_issues(spark, d):
-    t = PL.blocks(spark, d).filter("text IS NOT NULL AND i BETWEEN 0 AND 9").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("text")), " ").alias("text"))
-    evidence = t.select("doc_id", F.lit(1).alias("page"), "text")
-    f = t.select("doc_id", F.lit(1).alias("page"), F.when(F.col("doc_id") % 4 == 0, "text_missing").otherwise("spelling").alias("kind"), F.lit("x").alias("detail"), F.when(F.col("doc_id") % 3 == 0, F.lit("zzz")).when(F.col("doc_id") % 3 == 1, F.substring("text", 5, 12)).otherwise(F.lit(" ")).alias("quote"))
-    return J.issues(f, evidence).select("doc_id", "kind", "verified")
+    """A finding on each page, quoted from or foreign to the text of all its lines in reading order."""
+    lines = PL.blocks(spark, d).filter("text IS NOT NULL AND i >= 0").groupBy("doc_id", (F.col("page_index") + 1).alias("page")).agg(F.sort_array(F.collect_list(F.struct("i", "text"))).alias("lines"))
+    t = lines.select("doc_id", "page", F.array_join(F.transform("lines", lambda x: x["text"]), " ").alias("text"))
+    evidence = t.select("doc_id", "page", "text")
+    f = t.select("doc_id", "page", F.when(F.col("doc_id") % 4 == 0, "text_missing").otherwise("spelling").alias("kind"), F.lit("x").alias("detail"), F.when(F.col("doc_id") % 3 == 0, F.lit("zzz")).when(F.col("doc_id") % 3 == 1, F.substring("text", 5, 12)).otherwise(F.lit(" ")).alias("quote"))
+    return J.issues(f, evidence).select("doc_id", "page", "kind", "verified")
 
 
 def markdown(spark, d):
