@@ -51,7 +51,7 @@ def contents(spark, d):
     """Headings of each fourth document announce contents."""
     o = PL.ordered(spark, d)
     t = F.when((F.col("type") == "heading") & (F.col("doc_id") % 4 == 0), F.concat(F.lit("СОДЕРЖАНИЕ "), F.substring("text", 1, 5))).otherwise(F.col("text"))
-    return C.contents(docs(spark, d), o.withColumn("text", t).filter("i < 3"))
+    return C.contents(docs(spark, d), o.withColumn("text", t))
 
 
 def table_checks(spark, d):
@@ -62,7 +62,7 @@ def table_checks(spark, d):
 
 
 def reviews(spark, d):
-    conv = B.table(spark, d, "conversations").filter("turn < 3").select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("review-"), F.col("turn").cast("string")).alias("name"), F.when(F.col("conv_id") % 2 == 0, "partial").alias("status"), (F.length("text") % 3 == 0).alias("review_required"), F.when(F.length("text") % 5 == 0, F.array(F.lit("pdf_text_missing"), F.lit("style"))).otherwise(F.array().cast("array<string>")).alias("kinds"))
+    conv = B.table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("review-"), F.col("turn").cast("string")).alias("name"), F.when(F.col("conv_id") % 2 == 0, "partial").alias("status"), (F.length("text") % 3 == 0).alias("review_required"), F.when(F.length("text") % 5 == 0, F.array(F.lit("pdf_text_missing"), F.lit("style"))).otherwise(F.array().cast("array<string>")).alias("kinds"))
     return C.reviews(conv.select("doc_id").distinct(), conv)
 
 

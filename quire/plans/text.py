@@ -98,7 +98,7 @@ def reread_words(spark, d):
 
 def divide_lines(spark, d):
     """Words of long blocks on three lines of equal target width, six points a character."""
-    t = lines(spark, d).withColumn("words", F.split("text", " ")).filter(F.size("words").between(3, 200))
+    t = lines(spark, d).withColumn("words", F.split("text", " ")).filter(F.size("words") >= 3)
     parts = divided(F.col("words"), F.transform("words", lambda w: F.length(w) * 6.0), F.array(*[F.greatest(F.lit(1.0), F.length("text") * 2.0)] * 3))
     return t.select(*KEY, F.posexplode(parts).alias("n", "line"))
 
