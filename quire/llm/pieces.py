@@ -65,6 +65,8 @@ class Vocabulary:
     splits: bool
     held: np.ndarray
     tables: list
+    #: The k-th characters of all pieces, by id.
+    spelled: np.ndarray
 
     @classmethod
     def load(cls, path: str = MODEL, sharpness: float = SHARPNESS, by_rank: bool = True) -> Vocabulary:
@@ -95,15 +97,25 @@ class Vocabulary:
         longest = max((len(c) for c in codes.values()), default=1)
         found = np.array(usable, np.int32)
         hashes = np.array([_hash(codes[i]) for i in usable], np.uint64)
-        return cls(pieces, weights, byte_ids, longest, not inside, held, _tables(hashes, found))
+        spelled = np.full((longest, len(rows)), 0xFFFFFFFF, np.uint32)
+        for i, c in codes.items():
+            spelled[: len(c), i] = c
+        return cls(pieces, weights, byte_ids, longest, not inside, held, _tables(hashes, found), spelled)
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Piece ids by hash, -1 where there is none."""
+    def find(self, hashes: np.ndarray, codes: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+        """Ids of the pieces that are the k characters from each start on, -1 where there is none.
+
+        The hash of these characters says where to look, the characters themselves decide.
+        """
         out = np.full(len(hashes), -1, np.int32)
         for factor, keys, ids in self.tables:
             at = (hashes * factor) >> _SLOT
-            hit = keys[at] == hashes
-            out[hit] = ids[at[hit]]
+            hit = np.flatnonzero(keys[at] == hashes)
+            found, begin = ids[at[hit]], starts[hit]
+            right = found >= 0
+            for i in range(k):
+                right &= self.spelled[i][found] == codes[begin + i]
+            out[hit[right]] = found[right]
         return out
 
 
@@ -161,7 +173,7 @@ def _forward(vocabulary: Vocabulary, codes: np.ndarray, off: np.ndarray, lens: n
     at = np.arange(n)
     for k in range(1, width + 1):
         at = at[left[at] >= k]
-        found = vocabulary.find((sums[at + k] - sums[at]) * down[at])
+        found = vocabulary.find((sums[at + k] - sums[at]) * down[at], codes, at, k)
         hit = found >= 0
         starts, found = at[hit], found[hit]
         ids[row[starts], k - 1] = found
@@ -185,6 +197,20 @@ def _forward(vocabulary: Vocabulary, codes: np.ndarray, off: np.ndarray, lens: n
     return np.ascontiguousarray(shares.T), ids, level, rank
 
 
+def _equal_units(codes: np.ndarray, at: np.ndarray, lens: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, unit): an index of each different unit, and which of these every unit equals.
+
+    Names only say which units to compare; a unit that differs from the first of its name is one of its own.
+    """
+    _, first, unit = np.unique(name, return_index=True, return_inverse=True)
+    like = first[unit]
+    other = np.minimum(np.repeat(at[like] - at, lens) + np.arange(len(codes)), len(codes) - 1)
+    differs = np.logical_or.reduceat(codes != codes[other], at) | (lens != lens[like])
+    own = np.flatnonzero(differs)
+    unit[own] = len(first) + np.arange(len(own))
+    return np.r_[first, own], unit
+
+
 def _segment(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
     parts = [_codes(t) for t in texts]
     sizes = np.array([len(p) for p in parts])
@@ -201,7 +227,7 @@ def _segment(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray) -> list
     up, down = _powers(_P, n), _powers(_P_INVERSE, n)
     sums = _prefix_sums(codes, up)
     name = _mix((sums[at + lens] - sums[at]) * down[at]) ^ lens.astype(np.uint64)
-    _, first, unit = np.unique(name, return_index=True, return_inverse=True)
+    first, unit = _equal_units(codes, at, lens, name)
     u_lens = lens[first]
     u_off = np.r_[0, np.cumsum(u_lens)[:-1]]
     u_codes = codes[np.repeat(at[first] - u_off, u_lens) + np.arange(u_lens.sum())]

@@ -66,6 +66,30 @@ def test_pieces_do_not_depend_on_the_batch(vocabulary):
     assert any(len(a) != len(b) or (a != b).any() for a, b in zip(whole, other))
 
 
+def test_pieces_of_units_with_equal_hashes(vocabulary):
+    # The words of Thue and Morse over two letters have one polynomial hash modulo 2**64, whatever the multiplier.
+    bits = [bin(i).count("1") & 1 for i in range(4096)]
+    word, other = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    both = pieces.encode(vocabulary, [word, other, word], [1, 2, 1])
+    assert pieces.decode(vocabulary, both) == [word, other, word]
+    assert (both[0] == both[2]).all() and (both[1] == pieces.encode(vocabulary, [other], [2])[0]).all()
+    # Whatever two units are named, their characters decide.
+    codes = np.array([1, 2, 1, 2, 1, 3, 1, 2, 3, 1], np.uint32)
+    first, unit = pieces._equal_units(codes, np.array([0, 2, 4, 6, 9]), np.array([2, 2, 2, 3, 1]), np.zeros(5, np.uint64))
+    assert unit[0] == unit[1] and len(set(unit[[0, 2, 3, 4]].tolist())) == 4 and sorted(first.tolist()) == [0, 2, 3, 4]
+
+
+def test_pieces_of_random_batches(vocabulary):
+    rng = np.random.default_rng(9)
+    letters = list("abc \t\n▁é𝒳日<>") + [" the", "ing "]
+    for _ in range(1000):
+        texts = ["".join(rng.choice(letters, rng.integers(0, 40))) for _ in range(rng.integers(1, 6))]
+        ids = pieces.encode(vocabulary, texts, list(range(len(texts))))
+        assert pieces.decode(vocabulary, ids) == texts
+        last = len(texts) - 1
+        assert (pieces.encode(vocabulary, texts[last:], [last])[0] == ids[last]).all()
+
+
 def test_pieces_are_drawn_with_their_probability(vocabulary):
     word, n = "there", 20000
     ids = {p: i for i, p in enumerate(vocabulary.pieces) if p and vocabulary.weights[i]}
