@@ -2,18 +2,18 @@
 
 A candidate is a maximal run of 20 or more characters of one of the usual text encodings, so NAME=VALUE, path_a/key and
 the like give their parts; runs of several encodings at one place are one candidate. "=" is of no encoding, but ends
-one as padding. Its encoding is inferred as the smallest alphabet that holds it, and three tests ask whether it could be
-drawn evenly from that alphabet: chi-squared for
-uniformity, runs above and below the middle of the alphabet, and serial correlation of neighbours. A candidate that
-fails them (Bonferroni over the three, ``BATTERY``) is no secret: words, counters, separators.
-
-For the others the evidence against written text is weighed. Text stays within one class of characters (small, capital,
-digit, mark) from a character to the next with probability ``STAY``, and its letters have the frequencies of written
-language; the ratio of a candidate's probability as such text
-to its probability as an even draw is a valid p-value (its mean under text is at most 1). Over all candidates of the
-corpus these p-values are held to a false discovery rate of ``RATE`` by the step-up rule, with weights by length, since
-long secrets are likelier real. p-values of the battery are of the opposite hypothesis (small ones speak for text), so they
-can't enter this rule. Digits have no written frequencies, so decimal runs need some 54 digits to be told from counters. The rule needs only a histogram of p-values, which is summed over all documents.
+one as padding. Its encoding is inferred as the smallest alphabet that holds it.
+
+The battery asks whether the candidate is an even draw from that alphabet: chi-squared for uniformity (too uneven or too
+even), runs above and below the middle of the alphabet, and serial correlation of neighbours, combined by Simes' rule.
+The null hypothesis of the scan is the opposite, that the candidate is written: characters stay within one class (small, capital,
+digit, mark) from one to the next with probability ``STAY``, letters have the frequencies of written language, and digits
+tend to repeat or count on. The ratio of a candidate's probability as an even draw, from an encoding that is any of them with equal
+probability, to its probability as written has a mean of at most 1 over what is written. It is multiplied by the battery's combined p-value, a factor of at most 1, so the mean stays
+at most 1 and the inverse of the product is a valid p-value: each test takes from a candidate exactly as many decades as it speaks
+against an even draw, without a fixed cut. Over all candidates of the corpus these p-values are held to a false discovery rate of
+``RATE`` by the step-up rule, with weights by length (mean 1), since long secrets are likelier real. The rule needs only a
+histogram of p-values, which is summed over all documents.
 
 Defined results: a null text is empty; empty texts have no spans; candidates within a span of a pattern add nothing;
 repeated rows are each scanned and counted; an empty table gives an empty table; further columns are ignored (redact:
@@ -23,7 +23,9 @@ kept). Positions are code points.
 from __future__ import annotations
 
 import math
+import operator
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,8 +51,8 @@ ALPHABETS = {"decimal": _DIGITS, "hex": _DIGITS + "abcdef", "hex capitals": _DIG
 _SETS = [(k, frozenset(v), {c: i for i, c in enumerate(v)}) for k, v in ALPHABETS.items()]
 #: Maximal runs of each encoding; every one lies in a run of CANDIDATE.
 _RUNS = [re.compile(f"[{re.escape(v)}]{{{LEAST},}}") for v in ALPHABETS.values()]
-BATTERY, STAY, RATE = 0.001, 0.9, 0.001
-#: Histogram of -10 log10 p: its last bin holds all above.
+STAY, RATE = 0.9, 0.001
+#: Histogram of -10 log10 p: its last bin, p of 1e-100, holds all above. Weights grow with length up to LONGEST.
 LAST_BIN, LONGEST = 1000, 64
 
 
@@ -61,84 +63,93 @@ def _tail(z: float) -> float:
 def battery(places: list[int], letters: int) -> tuple[float, float, float]:
     """p-values of uniformity, runs and serial correlation for places in an alphabet of so many letters."""
     n = len(places)
-    counts: dict[int, int] = {}
-    for x in places:
-        counts[x] = counts.get(x, 0) + 1
     expected, df = n / letters, letters - 1
-    chi = sum(c * c for c in counts.values()) / expected - n
+    chi = sum(c * c for c in Counter(places).values()) / expected - n
     # The cube root of chi-squared over its degrees of freedom is near normal.
-    uniform = _tail(((max(chi, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    uniform = 2 * _tail(abs((max(chi, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
     high = [2 * x >= letters for x in places]
-    a, b = sum(high), n - sum(high)
-    runs = 1 + sum(x != y for x, y in zip(high, high[1:]))
+    a = sum(high)
+    b = n - a
+    runs = 1 + sum(map(operator.ne, high, high[1:]))
     if a and b:
         mean = 1 + 2 * a * b / n
         var = (mean - 1) * (mean - 2) / (n - 1)
         runs_p = 2 * _tail(abs(runs - mean) / math.sqrt(var)) if var > 0 else 1.0
     else:
         runs_p = 2.0 ** (1 - n)
-    middle = sum(places) / n
-    spread = sum((x - middle) ** 2 for x in places)
-    if spread:
-        r = sum((x - middle) * (y - middle) for x, y in zip(places, places[1:])) / spread
-        serial = 2 * _tail(abs(r + 1 / n) * math.sqrt(n))
+    total = sum(places)
+    spread = sum(map(operator.mul, places, places)) - total * total / n
+    if spread > 0:
+        # The sum over neighbours of the products of their distances from the mean.
+        near = sum(map(operator.mul, places, places[1:])) - total / n * (2 * total - places[0] - places[-1]) + (n - 1) * (total / n) ** 2
+        serial = 2 * _tail(abs(near / spread + 1 / n) * math.sqrt(n))
     else:
         serial = 0.0
     return uniform, min(runs_p, 1.0), min(serial, 1.0)
 
 
-def _class(c: str) -> int:
-    return 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3
+def combined(p_values: tuple[float, ...]) -> float:
+    """Simes' p-value for the hypothesis that all the tests' hypotheses hold."""
+    ordered = sorted(p_values)
+    return min(1.0, *(p * len(ordered) / (i + 1) for i, p in enumerate(ordered)))
 
 
 #: Rough shares of the letters a to z in written English, German, French and Spanish taken together.
 _LETTERS = (850, 150, 320, 450, 1480, 135, 180, 320, 720, 35, 65, 440, 260, 810, 590, 220, 50, 660, 740, 730, 420, 120, 110, 25, 80, 40)
-_LOG_LETTERS = [math.log(x / sum(_LETTERS)) for x in _LETTERS]
-
-
-def _log_within(c: str, kind: int) -> float:
-    """Log of the share of c in its class in written text."""
-    return _LOG_LETTERS[ord(c.lower()) - 97] if kind < 2 else -math.log(10 if kind == 2 else 4)
+#: Shares of steps from a digit to the next (modulo 10) in written numbers: repeated, counting on, counting back, any other.
+_STEPS = (0.25, 0.25, 0.1)
+_CLASSES = str.maketrans({**dict.fromkeys(_LOW, "a"), **dict.fromkeys(_UP, "A"), **dict.fromkeys(_DIGITS, "0"), **dict.fromkeys("+/-_", "+")})
+#: Log of a character's share in its class; a digit's after a character that is none.
+_WITHIN = {c: math.log(_LETTERS[i % 26] / sum(_LETTERS)) for i, c in enumerate(_LOW + _UP)} | dict.fromkeys(_DIGITS, math.log(1 / 10)) | dict.fromkeys("+/-_", math.log(1 / 4))
+_AFTER = {f"{i}{(i + d) % 10}": math.log({0: _STEPS[0], 1: _STEPS[1], 9: _STEPS[2]}.get(d, (1 - sum(_STEPS)) / 7) * 10) for i in range(10) for d in range(10)}
 
 
 def evidence(token: str, letters: int) -> float:
-    """log10 of the p-value that written text looks so evenly drawn; 0 at most."""
-    classes = [_class(c) for c in token]
-    text = math.log(1 / 4) + sum(map(_log_within, token, classes))
-    stays = sum(x == y for x, y in zip(classes, classes[1:]))
+    """log10 of the probability of token as written over that as an even draw from so many letters, of any encoding."""
+    classes = token.translate(_CLASSES)
+    text = math.log(1 / 4) + sum(map(_WITHIN.__getitem__, token))
+    stays = sum(map(operator.eq, classes, classes[1:]))
     text += stays * math.log(STAY) + (len(token) - 1 - stays) * math.log((1 - STAY) / 3)
-    return min(0.0, (text + len(token) * math.log(letters)) / math.log(10))
+    if "00" in classes:
+        text += sum(_AFTER.get(x + y, 0.0) for x, y in zip(token, token[1:]))
+    return (text + len(token) * math.log(letters)) / math.log(10) + math.log10(len(ALPHABETS))
 
 
-def examine(token: str) -> tuple[str, float, bool]:
-    """Encoding, log10 p against text, and whether the battery lets it pass as evenly drawn."""
+def examine(token: str) -> tuple[str, float]:
+    """Encoding, and log10 of the p-value against written text; 0 at most."""
     body = token.rstrip("=")
     chars = set(body)
     for name, alphabet, place in _SETS:
         if body and chars <= alphabet:
             log_p = evidence(body, len(place))
-            return name, log_p, 3 * min(battery([place[c] for c in body], len(place))) >= BATTERY
-    return "other", 0.0, False
+            if log_p < 0:
+                log_p -= math.log10(max(combined(battery([place[c] for c in body], len(place))), 1e-300))
+            return name, min(log_p, 0.0)
+    return "other", 0.0
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, float, bool]]]:
-    """Spans of the patterns as (start, kind, end), and candidates outside them as (start, end, log10 p, passes)."""
+def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, float]]]:
+    """Spans of the patterns as (start, kind, end), and candidates outside them as (start, end, log10 p)."""
     base = []
     for kind, (pattern, group, least) in enumerate(PATTERNS.values()):
         base += [(m.start(), kind, m.end()) for m in pattern.finditer(text) if len(m[group]) >= least]
     base.sort()
-    found = []
+    found, at_base, covered = [], 0, 0
     for run in CANDIDATE.finditer(text):
         for at, end in sorted({m.span() for each in _RUNS for m in each.finditer(text, *run.span())}):
-            if any(s <= at and end <= e for s, _, e in base):
+            # Both lists are in order of their starts: covered is the farthest end of the spans that start here or before.
+            while at_base < len(base) and base[at_base][0] <= at:
+                covered = max(covered, base[at_base][2])
+                at_base += 1
+            if end <= covered:
                 continue
             padding = _PADDING.match(text, end)
-            found.append((at, padding.end() if padding else end, *examine(text[at:end])[1:]))
+            found.append((at, padding.end() if padding else end, examine(text[at:end])[1]))
     return base, found
 
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
-_FOUND = "array<struct<start:int,end:int,log_p:double,passes:boolean>>"
+_FOUND = "array<struct<start:int,end:int,log_p:double>>"
 
 
 def _scan_all(texts: pa.Array) -> tuple[list, list]:
@@ -147,7 +158,7 @@ def _scan_all(texts: pa.Array) -> tuple[list, list]:
         hit = pc.fill_null(pc.match_substring_regex(texts, sieve), False)
         look = hit if look is None else pc.or_(look, hit)
     both = [scan(t.as_py()) if x.as_py() else ([], []) for t, x in zip(texts, look)]
-    return [[dict(zip(("start", "kind", "end"), y)) for y in x] for x, _ in both], [[dict(zip(("start", "end", "log_p", "passes"), y)) for y in x] for _, x in both]
+    return [[dict(zip(("start", "kind", "end"), y)) for y in x] for x, _ in both], [[dict(zip(("start", "end", "log_p"), y)) for y in x] for _, x in both]
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -158,21 +169,27 @@ def scanned(docs: DataFrame) -> DataFrame:
         for b in batches:
             base, found = _scan_all(b.column(1))
             span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-            cand = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("log_p", pa.float64()), ("passes", pa.bool_())]))
+            cand = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("log_p", pa.float64())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, span), pa.array(found, cand)], ["doc_id", "base", "found"])
 
     return read.mapInArrow(run, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, base {_SPAN}, found {_FOUND}")
 
 
+def _bin(start, end, log_p, mean: float):
+    """Column: -10 log10 of the p-value over its weight, as a whole number from 0 to LAST_BIN."""
+    weight = F.least(end - start, F.lit(LONGEST)) / F.lit(mean)
+    return F.least(F.greatest(F.floor(-10 * (log_p - F.log10(weight))), F.lit(0)), F.lit(LAST_BIN))
+
+
 def threshold(found: DataFrame, rate: float = RATE) -> tuple[float, float]:
     """(mean weight, least bin) of the step-up rule over all candidates in column found."""
-    each = found.select(F.explode("found").alias("x")).select(F.least(F.col("x.end") - F.col("x.start"), F.lit(LONGEST)).alias("length"), F.col("x.log_p").alias("log_p"), F.col("x.passes").alias("passes"))
-    total = each.agg(F.count("*").alias("n"), F.sum("length").alias("length")).first()
+    each = found.select(F.explode("found").alias("x")).select("x.*")
+    total = each.agg(F.count("*").alias("n"), F.sum(F.least(F.col("end") - F.col("start"), F.lit(LONGEST))).alias("length")).first()
     if not total["n"]:
         return 1.0, math.inf
     mean = total["length"] / total["n"]
     # At most LAST_BIN + 1 rows come to the driver, whatever the corpus.
-    bins = each.filter("passes").select(F.least(F.greatest(F.floor(-10 * (F.col("log_p") - F.log10(F.col("length") / mean))), F.lit(0)), F.lit(LAST_BIN)).alias("bin")).groupBy("bin").count().collect()
+    bins = each.groupBy(_bin(F.col("start"), F.col("end"), F.col("log_p"), mean).alias("bin")).count().collect()
     held, best = 0, math.inf
     for b, n in sorted(((r["bin"], r["count"]) for r in bins), reverse=True):
         held += n
@@ -181,15 +198,15 @@ def threshold(found: DataFrame, rate: float = RATE) -> tuple[float, float]:
     return mean, best
 
 
-def discovered(start, end, log_p, passes, mean: float, least: float) -> bool:
-    return passes and math.floor(-10 * (log_p - math.log10(min(end - start, LONGEST) / mean))) >= least
+def discovered(start: int, end: int, log_p: float, mean: float, least: float) -> bool:
+    return min(max(math.floor(-10 * (log_p - math.log10(min(end - start, LONGEST) / mean))), 0), LAST_BIN) >= least
 
 
 def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, base, spans of every document; spans are base and the discoveries, by start, kind and end."""
     rows = stash(scanned(docs), "scanned")
     mean, least = threshold(rows, rate)
-    better = lambda x: x["passes"] & (F.floor(-10 * (x["log_p"] - F.log10(F.least(x["end"] - x["start"], F.lit(LONGEST)) / F.lit(mean)))) >= F.lit(least))
+    better = lambda x: _bin(x["start"], x["end"], x["log_p"], mean) >= F.lit(least)
     more = F.transform(F.filter("found", better), lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), x["end"].alias("end")))
     return rows.select("doc_id", "base", F.sort_array(F.concat("base", more)).alias("spans"))
 
@@ -203,7 +220,7 @@ def redact(docs: DataFrame, rate: float = RATE, mark: str = "[SECRET]") -> DataF
         out = []
         for t, base, found in zip(texts, *_scan_all(texts)):
             text = t.as_py()
-            spans = sorted([(x["start"], x["end"]) for x in base] + [(x["start"], x["end"]) for x in found if discovered(x["start"], x["end"], x["log_p"], x["passes"], mean, least)])
+            spans = sorted([(x["start"], x["end"]) for x in base] + [(x["start"], x["end"]) for x in found if discovered(x["start"], x["end"], x["log_p"], mean, least)])
             parts, at = [], 0
             for s, e in spans:
                 if s >= at:
