@@ -168,3 +168,28 @@ def test_recall_on_vectors_of_different_lengths(spark, monkeypatch):
         s[q] = -np.inf
         hit += len(got[q] & set(np.argsort(-s)[:20].tolist()))
     assert len(got) == 200 and hit / 4000 >= 0.9
+
+
+def test_neighbours_of_vectors_that_overflow(spark):
+    rows = [(0, [1e200, 1.0]), (20, [1.0, 2.0]), (40, [3.0, 1e200]), (3, [1e-310, 0.0]), (4, [-1e308, 1e308]), (60, [1e308, 1e308]), (5, [0.5, 0.25])]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for q, v in rows:
+            if q % 20 == 0:
+                scores = [(float((np.array(v) * np.array(x)).sum()), i) for i, x in rows if i != q]
+                want = sorted(scores, key=lambda x: (math.isnan(x[0]), -x[0] if x[0] == x[0] else 0, x[1]))
+                assert [i for i, _ in got[q]] == [i for _, i in want] and np.array_equal([s for _, s in got[q]], [s for s, _ in want], equal_nan=True)
+
+
+def test_near_neighbours_end_a_search_early():
+    rng = np.random.default_rng(7)
+    data = np.repeat(rng.normal(size=(100, 16)), 40, 0) + 0.02 * rng.normal(size=(4000, 16))
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    shard = ann.Shard(np.arange(4000), data, float(np.log2(np.linalg.norm(data, axis=1).max())))
+    found = list(shard.search(data[::40], np.arange(0, 4000, 40)))
+    # Of 40 entries a vector, if all windows opened wide.
+    assert np.mean([e for _, _, e in found]) < 8 * 4000
+    hits = [len(set(ids.tolist()) & set((np.argsort(-(data @ data[q]))[:21]).tolist())) for q, (ids, _, _) in zip(range(0, 4000, 40), found)]
+    assert np.mean(hits) >= 0.9 * 20
