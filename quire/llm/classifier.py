@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from .common import stash
+from .common import scope, stash
 
 WORDS, LEVELS, RANK, SAMPLE = 1 << 16, 16, 8, 8000
 EPOCHS, BATCH, RATE, DECAY = 6, 128, 0.1, 1e-4
@@ -146,7 +146,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """Fit on at most ``sample`` labelled documents that are not held out."""
     usable = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(~held_out(labels["doc_id"]))
     voted = usable.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
-    chosen = stash(voted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "sample").withColumnRenamed("doc_id", "labelled_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,9 +153,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in both], pa.list_(pa.int32())), pa.array([x for _, x in both], pa.list_(pa.float32()))], ["k", "label", "at", "value"])
 
     texts = docs.select(F.col("doc_id").alias("text_id"), F.col("text").cast("string").alias("text"), _n_chars(docs).alias("n_chars"))
-    read = texts.join(chosen, F.col("text_id") == F.col("labelled_id")).select(F.xxhash64("labelled_id", "text").alias("k"), "label", "text", "n_chars")
-    # Repeated ids could bring more rows than labels; the smallest hashes stay.
-    found = read.mapInArrow(run, "k long, label int, at array<int>, value array<float>").orderBy("k", "label").limit(sample).toArrow()
+    with scope(docs.sparkSession):
+        chosen = stash(voted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "sample").withColumnRenamed("doc_id", "labelled_id")
+        read = texts.join(chosen, F.col("text_id") == F.col("labelled_id")).select(F.xxhash64("labelled_id", "text").alias("k"), "label", "text", "n_chars")
+        # Repeated ids could bring more rows than labels; the smallest hashes stay.
+        found = read.mapInArrow(run, "k long, label int, at array<int>, value array<float>").orderBy("k", "label").limit(sample).toArrow()
     rows = [(np.asarray(a.values, np.int32), np.asarray(v.values, np.float32)) for a, v in zip(found["at"], found["value"])]
     return train(rows, found["label"].to_numpy().astype(np.float64))
 

@@ -5,29 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import keep, scope, stash
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """a, b (any order) -> node, root: the smallest node that each node of an edge can reach.
 
-    Large-star and small-star steps in turn until nothing changes. Each joins the edges with the least neighbour
-    of a node, which is summed before the shuffle, so a node with very many edges isn't gathered in one task.
-    Every step is a table in the shared folder: no step depends on executors of an earlier one.
+    Large-star and small-star steps in turn until nothing changes, which takes about the logarithm of the longest path. Each
+    joins the edges with the least neighbour of a node, which is summed before the shuffle, so a node with very many
+    edges isn't gathered in one task. Every step is a table in the shared folder, of which the last stays: no step
+    depends on executors of an earlier one.
     """
-    now = stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    last = None
-    for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        now = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = now.groupBy("a").agg(F.min("b").alias("m"))
-        stars = now.join(least, "a")
-        now = stash(stars.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(stars.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "edges")
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if state == last:
-            break
-        last = state
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    spark = edges.sparkSession
+    with scope(spark):
+        now = stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+        last, state = None, ()
+        while state != last:
+            last = state
+            both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+            large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+            least = large.groupBy("a").agg(F.min("b").alias("m"))
+            stars = large.join(least, "a")
+            now = stash(stars.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(stars.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "edges")
+            state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        keep(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

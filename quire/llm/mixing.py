@@ -7,8 +7,8 @@ which redistribution ends is the largest of (total - caps before) / (weights fro
 
 A source whose target is r times its size takes every document floor(r) times, and the fractional rest goes to
 the documents that come first in a seeded order of their hashes. How far down that order a source goes is found
-without sorting a source: sizes are summed by hash bucket first, and only the one bucket in which the wanted sum
-falls is ordered. The order depends on seed, id and text alone, so reruns and any partitioning agree.
+without sorting a source: sizes are summed by hash bucket first, the one bucket in which the wanted sum
+falls again by the next bits, and only a 2**24th of a source is ordered. Sources themselves are few: they are ordered in one task. The order depends on seed, id and text alone, so reruns and any partitioning agree.
 
 Defined results: null or blank text has size 0; a null source is a source of its own, last in order; a source of
 size 0 has target 0; exactly repeated rows share one hash and are drawn together; an empty table gives an empty
@@ -20,12 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stash
+from .common import WORD, keep, scope, stash
 
 WEIGHTS = (5, 2, 1)
 SHARE, MAX_EPOCHS, SEED = 1.5, 2.0, "mix-1"
-#: Hashes have 60 bits; the first 12 choose the bucket.
-HASH_BITS, BUCKET_BITS = 60, 12
+#: Hashes have 60 bits; the first 12 choose the bucket, the next 12 a bucket in it.
+HASH_BITS, BUCKET_BITS, ROUNDS = 60, 12, 2
 
 
 def size_of(text: Column) -> Column:
@@ -58,27 +58,29 @@ def plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: fl
 
     A document is taken ``whole`` times, and once more if its hash is at most ``upto``.
     """
-    targets = stash(fill(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs), "targets")
-    epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    targets = targets.withColumn("whole", F.floor(epochs).cast("long"))
-    targets = targets.withColumn("goal", F.col("target") - F.col("whole") * F.col("source_size"))
-    shift = HASH_BITS - BUCKET_BITS
-    bucketed = sized.withColumn("bucket", F.shiftright("hash", shift))
-    sums = bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    so_far = Window.partitionBy("source").orderBy("bucket")
-    sums = sums.withColumn("upper", F.sum("bucket_size").over(so_far)).withColumn("lower", F.col("upper") - F.col("bucket_size"))
-    goals = targets.select(F.col("source").alias("goal_source"), "goal").filter("goal > 0")
-    edge = sums.join(goals, F.col("source").eqNullSafe(F.col("goal_source"))).filter("lower < goal and upper >= goal").select("goal_source", F.col("bucket").alias("goal_bucket"), "lower", "goal")
-    edge = stash(edge, "edges")
-    inside = bucketed.join(edge, F.col("source").eqNullSafe(F.col("goal_source")) & (F.col("bucket") == F.col("goal_bucket")))
-    inside = inside.groupBy("goal_source", "hash", "lower", "goal").agg(F.sum("size").alias("size"))
-    reach = Window.partitionBy("goal_source").orderBy("hash")
-    tried = inside.select("goal_source", "hash", (F.col("lower") + F.sum("size").over(reach)).alias("sum"), "goal")
-    none = edge.select("goal_source", (F.shiftleft(F.col("goal_bucket"), shift) - 1).alias("hash"), F.col("lower").alias("sum"), "goal")
-    found = tried.unionByName(none).groupBy("goal_source").agg(F.min(F.struct(F.abs(F.col("sum") - F.col("goal")).alias("off"), "hash")).alias("best"))
-    cut = found.select("goal_source", F.col("best.hash").alias("upto"))
-    out = targets.join(cut, F.col("source").eqNullSafe(F.col("goal_source")), "left")
-    return stash(out.select("source", "source_size", "target", "whole", F.coalesce("upto", F.lit(-1)).alias("upto")), "mix")
+    with scope(sized.sparkSession):
+        targets = stash(fill(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs), "targets")
+        epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+        targets = targets.withColumn("whole", F.floor(epochs).cast("long"))
+        targets = targets.withColumn("goal", F.col("target") - F.col("whole") * F.col("source_size"))
+        edge = targets.select(F.col("source").alias("goal_source"), F.lit(0).cast("long").alias("goal_bucket"), F.lit(0).cast("long").alias("start"), "goal").filter("goal > 0")
+        shift = HASH_BITS
+        for _ in range(ROUNDS):
+            inside = sized.join(edge, F.col("source").eqNullSafe(F.col("goal_source")) & (F.shiftright("hash", shift) == F.col("goal_bucket")))
+            shift -= BUCKET_BITS
+            sums = inside.groupBy("goal_source", F.shiftright("hash", shift).alias("bucket"), "start", "goal").agg(F.sum("size").alias("bucket_size"))
+            so_far = Window.partitionBy("goal_source").orderBy("bucket")
+            sums = sums.withColumn("upper", F.col("start") + F.sum("bucket_size").over(so_far)).withColumn("lower", F.col("upper") - F.col("bucket_size"))
+            edge = stash(sums.filter("lower < goal and upper >= goal").select("goal_source", F.col("bucket").alias("goal_bucket"), F.col("lower").alias("start"), "goal"), "edges")
+        inside = sized.join(edge, F.col("source").eqNullSafe(F.col("goal_source")) & (F.shiftright("hash", shift) == F.col("goal_bucket")))
+        inside = inside.groupBy("goal_source", "hash", "start", "goal").agg(F.sum("size").alias("size"))
+        reach = Window.partitionBy("goal_source").orderBy("hash")
+        tried = inside.select("goal_source", "hash", (F.col("start") + F.sum("size").over(reach)).alias("sum"), "goal")
+        none = edge.select("goal_source", (F.shiftleft(F.col("goal_bucket"), shift) - 1).alias("hash"), F.col("start").alias("sum"), "goal")
+        found = tried.unionByName(none).groupBy("goal_source").agg(F.min(F.struct(F.abs(F.col("sum") - F.col("goal")).alias("off"), "hash")).alias("best"))
+        cut = found.select("goal_source", F.col("best.hash").alias("upto"))
+        out = targets.join(cut, F.col("source").eqNullSafe(F.col("goal_source")), "left")
+        return keep(stash(out.select("source", "source_size", "target", "whole", F.coalesce("upto", F.lit(-1)).alias("upto")), "mix"))
 
 
 def times() -> Column:
@@ -99,7 +101,8 @@ def mix_report(docs: DataFrame, seed: str = SEED, **settings) -> DataFrame:
 
 def mix(docs: DataFrame, seed: str = SEED, **settings) -> DataFrame:
     """The mixed documents themselves: each row as often as the mix takes it, with its own columns."""
-    sources = plan(stash(sized_documents(docs, seed).select("source", "size", "hash"), "sized"), **settings).withColumnRenamed("source", "mix_source")
+    with scope(docs.sparkSession):
+        sources = keep(plan(stash(sized_documents(docs, seed).select("source", "size", "hash"), "sized"), **settings)).withColumnRenamed("source", "mix_source")
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["source"].alias("source"), order_hash(docs["doc_id"], docs["text"], seed).alias("hash"))
     joined = packed.join(sources, F.col("source").eqNullSafe(F.col("mix_source")))
     taken = joined.filter(times() > 0).select("row", F.explode(F.sequence(F.lit(1).cast("long"), times())).alias("copy"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stash, words_of
+from .common import keep, scope, stash, words_of
 
 #: Rate -> (scale, last bin, slack, whether low values count too). A bin holds floor(scale * rate).
 RATES = {
@@ -114,7 +114,8 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     measured = stash(measure(docs), "measured")
-    limits = stash(thresholds(stash(sketch(measured), "sketch")), "limits")
+    with scope(docs.sparkSession):
+        limits = keep(stash(thresholds(stash(sketch(measured), "sketch")), "limits"))
     return judge(measured, limits)
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from .common import stash
+from .common import scope, stash
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -213,7 +213,8 @@ def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
 
 def redact(docs: DataFrame, rate: float = RATE, mark: str = "[SECRET]") -> DataFrame:
     """The rows of docs with every span of a secret in text replaced by mark; n_chars follows where it is there."""
-    mean, least = threshold(stash(scanned(docs).select("found"), "scanned"), rate)
+    with scope(docs.sparkSession):
+        mean, least = threshold(stash(scanned(docs).select("found"), "scanned"), rate)
 
     @arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
 from .bktree import spanning
-from .common import release, stash
+from .common import keep, scope, stash
 from .graph import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -165,9 +165,10 @@ def component_report(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     prints = stash(fingerprints(docs), "prints")
     nodes = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
-    found = components(links(nodes.select("print")))
-    rooted = nodes.join(found, F.col("print") == F.col("node"), "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    rooted = stash(rooted, "rooted")
+    with scope(docs.sparkSession):
+        found = components(links(nodes.select("print")))
+        rooted = nodes.join(found, F.col("print") == F.col("node"), "left").select("print", "least", F.coalesce("root", "print").alias("root"))
+        rooted = keep(stash(rooted, "rooted"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = rooted.join(named, "root").select("print", "component_id")
     return prints.join(labels, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
@@ -315,16 +316,17 @@ def near_dedup(docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = SI
     def key_of(texts: pa.Array) -> pa.Array:
         return _signed([text_key(t.as_py()) for t in texts])
 
-    described = stash(describe_texts(docs, size), "described")
-    texts = docs["text"].cast("string")
-    read = docs.select(key_of(texts).alias("own_key"), docs["doc_id"].alias("own_id"), texts.alias("own_text"))
-    kept = near_groups(described, read, size, similarity).filter("key = keeper").select(F.col("key").alias("kept_key"), F.col("keeper_id").alias("kept_id"))
-    kept = stash(kept, "kept")
-    release(docs.sparkSession)
+    with scope(docs.sparkSession):
+        described = stash(describe_texts(docs, size), "described")
+        texts = docs["text"].cast("string")
+        read = docs.select(key_of(texts).alias("own_key"), docs["doc_id"].alias("own_id"), texts.alias("own_text"))
+        kept = near_groups(described, read, size, similarity).filter("key = keeper").select(F.col("key").alias("kept_key"), F.col("keeper_id").alias("kept_id"))
+        kept = keep(stash(kept, "kept"))
+        repeated = described.groupBy("doc_id", "key").count().filter("count > 1").limit(1).count()
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("own_id"), key_of(docs["text"].cast("string")).alias("own_key"))
     held = rows.join(kept, (F.col("own_key") == F.col("kept_key")) & F.col("own_id").eqNullSafe(F.col("kept_id")))
     # Only if a table repeats rows do copies with the id of the one that stays remain.
-    if described.groupBy("doc_id", "key").count().filter("count > 1").limit(1).count():
+    if repeated:
         held = held.dropDuplicates(["own_id", "own_key"])
     return held.select("row.*")
 

@@ -1,18 +1,22 @@
 """Removal of repeated passages by merging Burrows-Wheeler transforms.
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller doc_id. Which strings of
-that length are equal is read from the order of the suffixes at that depth. The suffixes are never sorted: every
-piece of text is a shard whose transform, read in text order, is the byte before each suffix, and the interleave of all
-shards is refined in rounds. A round partitions the interleave stably by those bytes, which turns the order by h bytes
-into the order by h + 1; neighbours that a round separates share exactly the bytes of the rounds before. After
-``LENGTH`` rounds the runs not separated are the repeated intervals, and the smallest doc_id of a run decides for the rest.
+that length are equal is read from the merged order of the suffixes of many texts. The suffixes of each shard, some ``SHARD``
+bytes of text, are sorted once; the byte before each is the shard's transform. The suffixes of all shards together are
+never sorted: their interleave starts with one shard after the other, and each round deals it out stably by the bytes that the
+transforms give, which turns the order by h bytes into that by h + 1. Neighbours between which a round first makes a
+border have exactly h bytes in common, which is recorded. After ``LENGTH`` rounds the neighbours without a border share at least
+so many bytes, so the runs of these are the repeated intervals, and the smallest doc_id of a run decides for the rest.
 
 A transform of the whole corpus fits no task, so only what can share a string meets, and all that can does. Every string of
 ``LENGTH`` bytes has a seed, the least by hash of its ``SEED`` byte substrings (the leftmost of equal ones). Equal strings have equal
 seeds, so a seed found in one document alone ends there, and the neighbourhoods of the others are dealt to tasks by seed:
-one shard for each distinct neighbourhood, which holds just the strings of that seed. Of their suffixes a round
-needs only those that can still start a string, as many as there are strings. A seed in more than ``HOT``
-documents is not gathered: its strings become rows, of which the smallest doc_id is taken before the shuffle.
+each distinct neighbourhood once, with just the strings of that seed. Where a seed has one neighbourhood, that is one interval
+without any rounds.
+
+Seeds that occur very often are found first, by counts that are summed before the shuffle. The ``MOST_HOT`` commonest of those with
+more than ``HOT`` occurrences are broadcast (a bounded 8 MB) and never gathered: their strings become rows, of which the smallest
+doc_id is taken before the shuffle, and the strings that very many rows have get it by a second bounded broadcast.
 
 Exact copies of a document with a smaller doc_id go as a whole and are left out above, as that document has all their strings.
 
@@ -31,11 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, stash
+from .common import keep, scope, stash
 
-LENGTH, SEED, HOT = 50, 20, 200_000
-#: Bytes of text a task works on at once, and (about) bytes of text whose seeds share a bucket.
-PIECE, BUCKET = 400_000, 3_000_000
+LENGTH, SEED, HOT = 50, 20, 50_000
+#: Seeds that occur so often in one slice of rows are counted; how many hot seeds, and how many common strings, are broadcast at most.
+OFTEN, MOST_HOT, MOST_COMMON = 8, 1 << 20, 1 << 16
+#: Bytes of text a task works on at once, (about) bytes of text whose seeds share a bucket, bytes of a shard, bytes merged together.
+PIECE, BUCKET, SHARD, MERGE = 400_000, 3_000_000, 1 << 17, 1 << 20
+#: Ends a neighbourhood; no byte of UTF-8.
+STOP = 0xFF
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LOW = np.uint64(0xFFFFFFFF)
@@ -165,45 +173,57 @@ def _join(parts: list[bytes], kind) -> np.ndarray:
     return np.frombuffer(b"".join(parts), kind)
 
 
-def _seed_rows(n_buckets: int):
+def _often_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Seeds that occur often in a slice of rows, and how often."""
+    for batch in _slices(batches):
+        keys = [Seeds(data, bounds).key for data, bounds, _, _ in _pieces(_texts(batch.column(1)))]
+        key, n = np.unique(np.concatenate(keys or [np.empty(0, np.uint64)]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(key[n >= OFTEN].view(np.int64)), pa.array(n[n >= OFTEN].astype(np.int64))], ["seed", "n"])
+
+
+def _is_in(key: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which keys are among some, sorted ones."""
+    if not len(some):
+        return np.zeros(len(key), bool)
+    return some[np.minimum(np.searchsorted(some, key), len(some) - 1)] == key
+
+
+def _seed_rows(n_buckets: int, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             ids, keys, docs = batch.column(0).to_numpy(), [], []
             for data, bounds, text, _ in _pieces(_texts(batch.column(1))):
                 seeds = Seeds(data, bounds)
-                keys.append(seeds.key)
-                docs.append(ids[text[seeds.piece]])
+                rest = ~_is_in(seeds.key, hot.value)
+                keys.append(seeds.key[rest])
+                docs.append(ids[text[seeds.piece[rest]]])
             if not keys:
                 continue
             key, doc = np.concatenate(keys), np.concatenate(docs)
-            rows = [(b, _blob(key[at], np.uint64), _blob(doc[at], np.int64)) for b, at in _by_bucket((key % np.uint64(n_buckets)).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "keys", "docs"])
+            rows = [(b, _blob(key[at], np.uint64), _blob(doc[at], np.int64)) for b, at in _by_bucket((key % np.uint64(n_buckets)).astype(np.int64))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["bucket", "keys", "docs"])
 
     return run
 
 
-def _shared_rows(hot_from: int):
-    """Of each bucket, by document, the seeds that other documents have too; ``hot``: those that very many have."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, docs in _gathered(batches):
-            key, doc = _join(keys, np.uint64), _join(docs, np.int64)
-            order = np.argsort(key, kind="stable")
-            key, doc = key[order], doc[order]
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            size = np.diff(np.r_[first, len(key)])
-            shared = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
-            keep = np.repeat(shared, size)
-            key, doc, hot = key[keep], doc[keep], np.repeat(size[shared] > hot_from, size[shared])
-            order = np.argsort(doc, kind="stable")
-            key, doc, hot = key[order], doc[order], hot[order]
-            cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.empty(0, np.int64)
-            ends = np.r_[cuts[1:], len(doc)]
-            for at in range(0, len(cuts), 10000):
-                some = list(zip(cuts[at : at + 10000].tolist(), ends[at : at + 10000].tolist()))
-                yield pa.RecordBatch.from_arrays([pa.array(doc[[s for s, _ in some]]), pa.array([_blob(key[s:e][~hot[s:e]], np.uint64) for s, e in some], pa.binary()), pa.array([_blob(key[s:e][hot[s:e]], np.uint64) for s, e in some], pa.binary())], ["shared_id", "seeds", "hot"])
-
-    return run
+def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each bucket, by document, the seeds that other documents have too."""
+    for keys, docs in _gathered(batches):
+        key, doc = _join(keys, np.uint64), _join(docs, np.int64)
+        order = np.argsort(key, kind="stable")
+        key, doc = key[order], doc[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        shared = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
+        keep_ = np.repeat(shared, np.diff(np.r_[first, len(key)]))
+        key, doc = key[keep_], doc[keep_]
+        order = np.argsort(doc, kind="stable")
+        key, doc = key[order], doc[order]
+        cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.empty(0, np.int64)
+        ends = np.r_[cuts[1:], len(doc)]
+        for at in range(0, len(cuts), 10000):
+            some = list(zip(cuts[at : at + 10000].tolist(), ends[at : at + 10000].tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[[s for s, _ in some]]), pa.array([_blob(key[s:e], np.uint64) for s, e in some], pa.binary())], ["shared_id", "seeds"])
 
 
 _CONTEXT = (("key", np.uint64), ("name", np.uint64), ("doc", np.int64), ("print", np.int32), ("start", np.int64), ("count", np.uint8), ("bytes", np.uint8))
@@ -238,12 +258,12 @@ def _context_rows(n_buckets: int):
             size = columns[5].astype(np.int64) + LENGTH - 1
             begin = np.cumsum(size) - size
             rows = []
-            for b, at in _by_bucket((columns[0] % np.uint64(n_buckets)).astype(np.int32)):
+            for b, at in _by_bucket((columns[0] % np.uint64(n_buckets)).astype(np.int64)):
                 n = size[at]
                 inner = np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 rows.append((b, *(_blob(x[at], kind) for x, (_, kind) in zip(columns[:6], _CONTEXT)), columns[6][inner].tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if i else pa.int32()) for i, x in enumerate(zip(*rows))], ["bucket", *(c for c, _ in _CONTEXT)])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if i else pa.int64()) for i, x in enumerate(zip(*rows))], ["bucket", *(c for c, _ in _CONTEXT)])
 
     return run
 
@@ -253,30 +273,85 @@ def text_print(text: bytes) -> int:
     return zlib.crc32(text) - (1 << 31)
 
 
-def least_documents(data: np.ndarray, begin: np.ndarray, count: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each string of each shard, in order, the smallest doc of the shards that hold an equal one.
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """Starts of the suffixes of a text that goes round, in their order by at least ``LENGTH`` bytes."""
+    n, known = len(text), 8
+    wide = np.concatenate([text, np.resize(text, known)]).astype(np.uint64)
+    key = wide[:n].copy()
+    for i in range(1, known):
+        key = (key << np.uint64(8)) | wide[i : i + n]
+    while True:
+        order = np.argsort(key)
+        if known >= LENGTH:
+            return order
+        ordered = key[order]
+        rank = np.empty(n, np.uint64)
+        rank[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])
+        # Ranks of two neighbouring parts together are a rank of twice the length.
+        key = rank * np.uint64(n) + np.roll(rank, -(known % n))
+        known *= 2
+
+
+class Shard:
+    """The suffix order of a text, its transform, and where in the order the suffix one byte longer stands."""
+
+    def __init__(self, text: np.ndarray):
+        self.order = suffix_order(text)
+        self.transform = text[self.order - 1]
+        self.longer = np.empty(len(text), np.int32)
+        self.longer[np.argsort(self.transform, kind="stable")] = np.arange(len(text), dtype=np.int32)
+
+
+def interleave(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
+    """(at, common): the suffixes of all shards, numbered shard by shard in order, merged; bytes in common with the one before.
 
-    Shard i has the strings that start at begin[i], ..., begin[i] + count[i] - 1 in data, and belongs to doc[i].
+    Common prefixes are counted up to ``LENGTH``; suffixes that share so many bytes stand together in any order.
     """
-    total = int(count.sum())
-    of = np.repeat(np.arange(len(count)), count)
-    suffix = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(total)
-    interleave, run = np.arange(total), np.zeros(total, np.int32)
+    begin = np.cumsum([0] + [len(x.order) for x in shards])
+    total = int(begin[-1])
+    transform = np.concatenate([x.transform for x in shards])
+    longer = np.concatenate([x.longer + np.int32(b) for x, b in zip(shards, begin)])
+    at, block, common = np.arange(total, dtype=np.int32), np.zeros(total, np.int32), np.full(total, LENGTH, np.uint8)
+    common[0] = 0
     for h in range(LENGTH):
-        # The suffixes that h bytes later start a string's remainder: each gets the byte before it, its symbol in the transform.
-        symbol = data[suffix[interleave] + (LENGTH - 1 - h)]
+        symbol = transform[at]
         stable = np.argsort(symbol, kind="stable")
-        interleave, run, symbol = interleave[stable], run[stable], symbol[stable]
-        apart = np.zeros(total, np.int32)
-        apart[1:] = (run[1:] != run[:-1]) | (symbol[1:] != symbol[:-1])
-        run = np.cumsum(apart, dtype=np.int32)
-    first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-    out = np.empty(total, np.int64)
-    out[interleave] = np.minimum.reduceat(doc[of[interleave]], first)[run]
-    return out
+        symbol, of = symbol[stable], block[stable]
+        border = (symbol[1:] != symbol[:-1]) | (of[1:] != of[:-1])
+        # Borders never go: a round adds those between suffixes that part after h bytes.
+        common[1:][border & (common[1:] == LENGTH)] = h
+        np.cumsum(border, out=block[1:], dtype=np.int32)
+        at = longer[at[stable]]
+    return at, common
 
 
-def _removed_rows(part: int = 40_000):
+def least_documents(data: np.ndarray, begin: np.ndarray, count: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each string of each neighbourhood, in order, the smallest doc of the neighbourhoods that hold an equal one.
+
+    Neighbourhood i is data[begin[i] : begin[i] + count[i] + LENGTH - 1], has the strings that start at its first count[i] bytes,
+    and belongs to doc[i].
+    """
+    size = count + LENGTH
+    ends = np.cumsum(size)
+    inside = np.arange(ends[-1], dtype=np.int32) - np.repeat((ends - size).astype(np.int32), size)
+    text = data[np.minimum(np.repeat(begin, size) + inside, len(data) - 1)]
+    text[ends - 1] = STOP
+    # Shards are whole neighbourhoods.
+    cuts = np.r_[0, ends[np.flatnonzero(np.diff(ends // SHARD))], ends[-1]]
+    cuts = np.unique(cuts)
+    shards = [Shard(text[s:e]) for s, e in zip(cuts[:-1], cuts[1:])]
+    at, common = interleave(shards)
+    place = np.concatenate([x.order + s for x, s in zip(shards, cuts)])[at]
+    first = np.flatnonzero(common < LENGTH)
+    starts = inside < np.repeat(count, size)
+    # The documents of a repeated interval; what starts no string is later than any.
+    of = np.where(starts, np.repeat(doc, size), np.iinfo(np.int64).max)[place]
+    least = np.empty(ends[-1], np.int64)
+    least[place] = np.repeat(np.minimum.reduceat(of, first), np.diff(np.r_[first, len(of)]))
+    return least[starts]
+
+
+def _removed_rows(merge: int = MERGE):
     """Contexts by bucket -> for each row of documents, the starts of strings that a smaller doc_id has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,11 +371,12 @@ def _removed_rows(part: int = 40_000):
             offs = np.cumsum(s_count) - s_count
             least = np.repeat(s_doc, s_count)
             many = np.flatnonzero(several)
+            # Some seeds with all their neighbourhoods at a time.
+            last = np.flatnonzero(np.r_[group[many][1:] != group[many][:-1], True]) + 1 if len(many) else np.empty(0, np.int64)
+            upto = np.r_[0, np.cumsum(s_count[many] + LENGTH)]
             cut = 0
             while cut < len(many):
-                stop = min(cut + part, len(many))
-                while stop < len(many) and group[many[stop]] == group[many[stop - 1]]:
-                    stop += 1
+                stop = int(last[min(np.searchsorted(upto[last], upto[cut] + merge), len(last) - 1)])
                 some = many[cut:stop]
                 n = s_count[some]
                 least[np.repeat(offs[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = least_documents(data, s_begin[some], n, s_doc[some])
@@ -332,18 +408,39 @@ def _removed_batches(doc, print_, start, bits) -> Iterator[pa.RecordBatch]:
 _GONE = "gone_id long, gone_print int, gone binary"
 
 
-def _hot_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts -> a row for each string."""
-    for columns in _gathered(batches):
-        _, _, doc, print_, start, count, data = (_join(x, kind) for x, (_, kind) in zip(columns, _CONTEXT))
-        n = count.astype(np.int64)
-        size = n + LENGTH - 1
-        of = np.repeat(np.arange(len(n)), n)
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        raw, begin = data.tobytes(), (np.cumsum(size) - size)[of] + within
-        for at in range(0, len(of), 50000):
-            o = of[at : at + 50000]
-            yield pa.RecordBatch.from_arrays([pa.array([raw[b : b + LENGTH] for b in begin[at : at + 50000].tolist()], pa.binary()), pa.array(doc[o]), pa.array(print_[o]), pa.array(start[o] + within[at : at + 50000])], ["string", "gone_id", "gone_print", "start"])
+def _hot_strings(hot):
+    """doc_id, text -> a row for each string of a hot seed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            ids, texts = batch.column(0).to_numpy(), _texts(batch.column(1))
+            prints = np.array([text_print(t) for t in texts], np.int32)
+            for data, bounds, text, place in _pieces(texts):
+                seeds = Seeds(data, bounds)
+                at = np.flatnonzero(_is_in(seeds.key, hot.value))
+                n = seeds.count[at]
+                of = np.repeat(at, n)
+                begin = seeds.start[of] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                raw, piece = data.tobytes(), seeds.piece[of]
+                start = begin - bounds[piece] + place[piece]
+                for a in range(0, len(of), 50000):
+                    some = slice(a, a + 50000)
+                    row = text[piece[some]]
+                    yield pa.RecordBatch.from_arrays([pa.array([raw[b : b + LENGTH] for b in begin[some].tolist()], pa.binary()), pa.array(ids[row]), pa.array(prints[row]), pa.array(start[some])], ["string", "gone_id", "gone_print", "start"])
+
+    return run
+
+
+def _late(strings: DataFrame) -> DataFrame:
+    """The rows of strings that a smaller doc_id has too."""
+    spark = strings.sparkSession
+    smallest = stash(strings.groupBy("string").agg(F.min("gone_id").alias("smallest"), F.max("gone_id").alias("largest"), F.count("*").alias("rows")).filter("smallest < largest").drop("largest"), "smallest")
+    # The strings with most rows, a bounded number, go to where the rows are; of any other, few rows meet in a task.
+    common = smallest.orderBy(F.desc("rows"), "string").limit(MOST_COMMON).select("string", "smallest")
+    common = stash(common, "common")
+    known = strings.join(F.broadcast(common), "string", "left")
+    rest = strings.join(F.broadcast(common), "string", "left_anti").join(smallest.select("string", "smallest"), "string") if smallest.count() > MOST_COMMON else spark.createDataFrame([], known.schema)
+    return known.unionByName(rest).filter("gone_id > smallest").select("gone_id", "gone_print", "start")
 
 
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,43 +475,47 @@ def removed_mask(n: int, gone: np.ndarray) -> np.ndarray:
     return np.cumsum(cover[:n]) > 0
 
 
+def hot_seeds(named: DataFrame, hot: int = HOT) -> np.ndarray:
+    """The commonest seeds with more than ``hot`` occurrences in slices where they are frequent, at most ``MOST_HOT``, sorted."""
+    counted = named.mapInArrow(_often_rows, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).filter(F.col("n") > hot)
+    found = counted.orderBy(F.desc("n"), "seed").limit(MOST_HOT).select("seed").toArrow()["seed"].to_numpy()
+    return np.sort(found.view(np.uint64))
+
+
 def remove_repeats(docs: DataFrame, hot: int = HOT, buckets: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of every document."""
     spark = docs.sparkSession
     read = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     named = read.filter("doc_id IS NOT NULL")
-    # A text's first document; later ones go whole. Only ids and digests are shuffled.
-    digests = named.select("doc_id", F.unhex(F.md5("text")).alias("digest"), (F.crc32("text") - (1 << 31)).cast("int").alias("print"), F.octet_length("text").alias("size"))
-    digests = stash(digests, "digests")
-    if buckets is None:
-        buckets = min(max(32, (digests.agg(F.sum("size").alias("n")).first()["n"] or 0) // BUCKET), 1 << 20)
-    least = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    copies = digests.join(least, "digest").filter("doc_id > least").groupBy(F.col("doc_id").alias("copy_id")).agg(F.collect_set("print").alias("copies"))
-    copies = stash(copies, "copies")
-    seeds = named.mapInArrow(_seed_rows(buckets), "bucket int, keys binary, docs binary")
-    dealt = seeds.repartition("bucket").sortWithinPartitions("bucket")
-    shared = stash(dealt.mapInArrow(_shared_rows(hot), "shared_id long, seeds binary, hot binary"), "shared")
-    release(spark)
-
-    def contexts(column: str) -> DataFrame:
-        wanted = shared.filter(F.length(column) > 0).groupBy("shared_id").agg(F.collect_list(column).alias("wanted"))
+    with scope(spark):
+        # A text's first document; later ones go whole. Only ids and digests are shuffled.
+        digests = named.select("doc_id", F.unhex(F.md5("text")).alias("digest"), (F.crc32("text") - (1 << 31)).cast("int").alias("print"), F.octet_length("text").alias("size"))
+        digests = stash(digests, "digests")
+        if buckets is None:
+            buckets = max(32, (digests.agg(F.sum("size").alias("n")).first()["n"] or 0) // BUCKET)
+        least = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
+        copies = digests.join(least, "digest").filter("doc_id > least").groupBy(F.col("doc_id").alias("copy_id")).agg(F.collect_set("print").alias("copies"))
+        copies = keep(stash(copies, "copies"))
+    with scope(spark):
+        common = hot_seeds(named, hot)
+        shared_hot = spark.sparkContext.broadcast(common)
+        seeds = named.mapInArrow(_seed_rows(buckets, shared_hot), "bucket long, keys binary, docs binary")
+        shared = stash(seeds.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_rows, "shared_id long, seeds binary"), "shared")
+        wanted = shared.groupBy("shared_id").agg(F.collect_list("seeds").alias("wanted"))
         # One join takes the texts, by doc_id: what belongs to a document is put together before.
         wanted = wanted.join(copies, F.col("shared_id") == F.col("copy_id"), "left").select("shared_id", "wanted", "copies")
         joined = named.join(wanted, F.col("doc_id") == F.col("shared_id")).select("doc_id", "text", "wanted", "copies")
-        rows = joined.mapInArrow(_context_rows(buckets), "bucket int, " + ", ".join(f"`{c}` binary" for c, _ in _CONTEXT))
-        return rows.repartition("bucket").sortWithinPartitions("bucket")
-
-    gone = contexts("seeds").mapInArrow(_removed_rows(), _GONE)
-    if shared.filter(F.length("hot") > 0).limit(1).count():
-        strings = stash(contexts("hot").mapInArrow(_hot_strings, "string binary, gone_id long, gone_print int, start long"), "strings")
-        smallest = strings.groupBy("string").agg(F.min("gone_id").alias("smallest"))
-        late = strings.join(smallest, "string").filter("gone_id > smallest").select("gone_id", "gone_print", "start")
-        pairs = "gone_id", "gone_print", F.concat(_little_endian("start"), F.unhex(F.lit("0100000000000000"))).alias("gone")
-        gone = gone.unionByName(late.select(*pairs))
-    gone = stash(gone, "gone")
-    release(spark)
-    by_id = gone.groupBy("gone_id").agg(F.collect_list(F.struct(F.col("gone_print").alias("print"), "gone")).alias("parts"))
-    by_id = by_id.join(copies, F.col("gone_id") == F.col("copy_id"), "full").select(F.coalesce("gone_id", "copy_id").alias("gone_id"), "parts", "copies")
+        rows = joined.mapInArrow(_context_rows(buckets), "bucket long, " + ", ".join(f"`{c}` binary" for c, _ in _CONTEXT))
+        gone = stash(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_removed_rows(), _GONE), "gone")
+        if len(common):
+            own = copies.select("copy_id", F.explode("copies").alias("copy_print"))
+            first = named.join(own, (F.col("doc_id") == F.col("copy_id")) & ((F.crc32("text") - (1 << 31)).cast("int") == F.col("copy_print")), "left_anti")
+            strings = stash(first.mapInArrow(_hot_strings(shared_hot), "string binary, gone_id long, gone_print int, start long"), "strings")
+            pairs = "gone_id", "gone_print", F.concat(_little_endian("start"), F.unhex(F.lit("0100000000000000"))).alias("gone")
+            gone = gone.unionByName(_late(strings).select(*pairs))
+        by_id = gone.groupBy("gone_id").agg(F.collect_list(F.struct(F.col("gone_print").alias("print"), "gone")).alias("parts"))
+        by_id = by_id.join(copies, F.col("gone_id") == F.col("copy_id"), "full").select(F.coalesce("gone_id", "copy_id").alias("gone_id"), "parts", "copies")
+        by_id = keep(stash(by_id, "by_id"))
     out = read.join(by_id, F.col("doc_id") == F.col("gone_id"), "left").select("doc_id", "text", "parts", "copies")
     return out.mapInArrow(_cut_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 

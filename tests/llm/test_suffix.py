@@ -92,5 +92,41 @@ def test_interleave_finds_least_documents():
     assert suffix.least_documents(np.concatenate(shards), begin, count, doc).tolist() == [first[s] for s, _ in strings]
 
 
+def _naive(text):
+    """Starts of the suffixes of a text that goes round, by 50 bytes, and these bytes."""
+    data = bytes(text)
+    wide = data * (50 // len(data) + 2)
+    return sorted(range(len(data)), key=lambda i: wide[i : i + 50]), [wide[i : i + 50] for i in range(len(data))]
+
+
+@pytest.mark.parametrize("letters", [1, 2, 20])
+def test_shards_and_interleave_equal_a_naive_suffix_array(letters):
+    rng = np.random.default_rng(letters)
+    texts = [np.r_[rng.integers(97, 97 + letters, n), 255].astype(np.uint8) for n in (300, 1, 75, 120, 51)]
+    texts[3][20:100] = texts[0][40:120]
+    shards = [suffix.Shard(t) for t in texts]
+    every = []
+    for t, shard in zip(texts, shards):
+        order, heads = _naive(t)
+        assert [heads[i] for i in shard.order] == [heads[i] for i in order] and sorted(shard.order.tolist()) == list(range(len(t)))
+        assert shard.transform.tolist() == [t[i - 1] for i in shard.order]
+        assert [heads[shard.order[x]][1:50] for x in shard.longer] == [heads[i][:49] for i in shard.order]
+        every += [heads[i] for i in shard.order]
+    at, common = suffix.interleave(shards)
+    merged = [every[i] for i in at]
+    assert sorted(at.tolist()) == list(range(len(every))) and merged == sorted(every)
+    shared = lambda a, b: next((k for k in range(50) if a[k] != b[k]), 50)
+    assert common.tolist() == [0] + [shared(a, b) for a, b in zip(merged, merged[1:])]
+
+
+def test_long_runs_and_common_strings(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "SHARD", 300)
+    monkeypatch.setattr(suffix, "MERGE", 500)
+    monkeypatch.setattr(suffix, "MOST_COMMON", 5)
+    rows = [(i, ("=" * (60 + i) + "common passage that very many of the documents have in them, word by word") * (1 + i % 3) + str(i) * 60) for i in range(40)]
+    for hot in (5, 10**6):
+        assert run(spark, rows, hot=hot) == brute(rows)
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
