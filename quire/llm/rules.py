@@ -1,11 +1,17 @@
 """Quality rules with adaptive thresholds, in DataFrame operations alone.
 
-Each text gives counts (symbols, repeated lines, words in repeated windows, length of words). Their rates are put
-into bins of fixed width, and the counts of documents by bin are the quantile sketch of a group: a quantile is off
-by one bin at most, sketches of parts of the data merge by adding counts, and the result is the same however the
-rows were dealt out. There is one sketch for each language and source. Groups with few documents use the merged
-sketch of their language, and languages with few documents that of all documents. Thresholds are read from the
-sketch (the middle half of a group and ``FENCE`` times its width beyond it, plus a slack) and joined back.
+Each text gives counts (symbols, repeated lines, words in repeated windows, length of words). Their rates are whole multiples
+of 2**-20 and go into bins that grow with the value, ``PARTS`` to each doubling, so there is no preset range. The counts of
+documents by bin are the quantile sketch of a group: a quantile is off by a 32nd of its value at most, sketches of parts of
+the data merge by adding counts, and the result is the same however the rows were dealt out.
+
+There is one sketch for each language and source. Those of its language and of all documents are blended in, each with the
+weight of ``BLEND`` documents, so small groups lean on them, large ones hardly do, and nothing jumps at any size. A rate
+may pass the ninetieth percentile of its group by ``FENCE`` times the distance from the median to it (and word lengths may fall short
+of the tenth likewise). A distance counts for at least one event in a document of the group's median length, since rates come in such
+steps: where most texts have no symbol at all, a few symbols are no fault, and how few follows from the group's own lengths. An event is
+a symbol, a repeated line, or for words in repeated windows those of two lines of median length. The limits are joined back to the
+documents.
 
 Defined results: null and blank texts have no words and fail the base rule; null languages and sources are groups
 of their own; repeated rows count as often as they occur; an empty table gives an empty table.
@@ -18,39 +24,53 @@ from pyspark.sql import functions as F
 
 from .common import keep, scope, stash, words_of
 
-#: Rate -> (scale, last bin, slack, whether low values count too). A bin holds floor(scale * rate).
+#: Rate -> (count, of, what one event adds to the count in terms of the medians of lengths, whether low values are judged too).
 RATES = {
-    "symbols": (100, 2000, 20, False),
-    "word_length": (20, 2000, 30, True),
-    "lines": (100, 100, 40, False),
-    "repeats": (100, 100, 40, False),
+    "symbols": ("n_symbols", "n_words", "1L", False),
+    "word_length": ("word_chars", "n_words", "1L", True),
+    "lines": ("n_dup_lines", "n_lines", "1L", False),
+    "repeats": ("n_repeat_words", "n_words", "2L * line_words_5", False),
 }
-FENCE, LEAST_DOCUMENTS = 4, 50
+#: Lengths whose medians say what one event amounts to.
+LENGTHS = {"n_words": "n_words", "n_lines": "n_lines", "line_words": "n_words {div} greatest(n_lines, 1)"}
+FENCE, BLEND, PARTS, SCALE = 4, 25, 32, 1 << 20
+#: Weights are whole numbers of this part of a document, so sums don't depend on their order.
+UNIT = 1 << 10
 SYMBOLS = r"[#*$%&|<>]"
+#: SQL for a hash of the window of array w that begins at i.
+WINDOW_HASH = "xxhash64(get({w}, i), get({w}, i + 1), get({w}, i + 2))"
 
 
-def _repeat_words(w: str) -> str:
+def _repeat_words(w: str, window_hash: str = WINDOW_HASH) -> str:
     """SQL for the words of array ``w`` that lie in a 3-word window found twice or more.
 
     A window becomes one long: the upper bits of its hash, then its position, so one sort of longs brings equal
-    windows together. Neighbours with equal hash bits are compared word by word.
+    windows together. Each is compared with the one before, word by word. If all neighbours with equal bits are equal, so are
+    all windows with these bits; if any are not, the text's windows are sorted by their words instead.
     """
-    same = lambda a, b: f"(shiftrightunsigned({a} ^ {b}, z.p) = 0 AND get({w}, int({a} & z.m)) = get({w}, int({b} & z.m)) AND get({w}, int({a} & z.m) + 1) = get({w}, int({b} & z.m) + 1) AND get({w}, int({a} & z.m) + 2) = get({w}, int({b} & z.m) + 2))"
-    packed = f"sort_array(transform(sequence(0, size({w}) - 3), i -> shiftleft(shiftrightunsigned(xxhash64(get({w}, i), get({w}, i + 1), get({w}, i + 2)), y.p), y.p) | bigint(i)))"
-    twice = f"transform(filter(z.s, (x, j) -> if(j > 0 AND {same('x', 'get(z.s, j - 1)')}, true, coalesce({same('x', 'get(z.s, j + 1)')}, false))), x -> x & z.m)"
+    at = lambda x, k: f"get({w}, int({x} & z.m) + {k})"
+    packed = f"sort_array(transform(sequence(0, size({w}) - 3), i -> shiftleft(shiftrightunsigned({window_hash.format(w=w)}, y.p), y.p) | bigint(i)))"
+    # 0: another window than the one before, 1: the same, 2: only the bits agree.
+    agrees = " AND ".join(f"{at('x', k)} = {at('get(z.s, j - 1)', k)}" for k in range(3))
+    codes = f"transform(z.s, (x, j) -> if(j = 0 OR shiftrightunsigned(x ^ get(z.s, j - 1), z.p) <> 0, 0, if({agrees}, 1, 2)))"
+    twice = "transform(filter(c.s, (x, j) -> get(c.c, j) = 1 OR coalesce(get(c.c, j + 1), 0) = 1), x -> x & c.m)"
+    sorted_words = f"sort_array(transform(sequence(0, size({w}) - 3), i -> named_struct('a', get({w}, i), 'b', get({w}, i + 1), 'c', get({w}, i + 2), 'i', bigint(i))))"
+    alike = lambda a, b: f"({a}.a = {b}.a AND {a}.b = {b}.b AND {a}.c = {b}.c)"
+    by_words = f"flatten(transform(array({sorted_words}), g -> transform(filter(g, (x, j) -> coalesce({alike('x', 'get(g, j + 1)')}, false) OR if(j > 0, {alike('x', 'get(g, j - 1)')}, false)), x -> x.i)))"
     spread = "aggregate(transform(v, (x, j) -> least(3L, coalesce(get(v, j + 1) - x, 3L))), 0L, (a, b) -> a + b)"
     bits = f"transform(array(int(ceil(log2(size({w}) + 1)))), p -> named_struct('p', p))"
     steps = f"transform({bits}, y -> named_struct('p', y.p, 'm', shiftleft(1L, y.p) - 1, 's', {packed}))"
-    steps = f"transform({steps}, z -> sort_array({twice}))"
+    steps = f"transform({steps}, z -> named_struct('s', z.s, 'm', z.m, 'c', {codes}))"
+    steps = f"transform({steps}, c -> sort_array(if(array_contains(c.c, 2), {by_words}, {twice})))"
     return f"if(size({w}) < 4, 0L, transform({steps}, v -> {spread})[0])"
 
 
-def measure(docs: DataFrame) -> DataFrame:
+def measure(docs: DataFrame, window_hash: str = WINDOW_HASH) -> DataFrame:
     """doc_id, lang, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words."""
     text = F.coalesce(docs["text"], F.lit(""))
     read = docs.select("doc_id", "lang", "source", text.alias("text"))
     # A generator computes the array of words once, whatever refers to it.
-    one = F.expr(f"inline(transform(array(words), w -> named_struct('n_words', bigint(size(w)), 'word_chars', bigint(length(array_join(w, ''))), 'n_repeat_words', {_repeat_words('w')})))")
+    one = F.expr(f"inline(transform(array(words), w -> named_struct('n_words', bigint(size(w)), 'word_chars', bigint(length(array_join(w, ''))), 'n_repeat_words', {_repeat_words('w', window_hash)})))")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     n_symbols = F.regexp_count("text", F.lit(SYMBOLS)).cast("long")
     read = read.select("doc_id", "lang", "source", words_of(F.col("text")).alias("words"), n_symbols.alias("n_symbols"), F.transform(F.array(lines), lambda x: F.struct(F.size(x).cast("long").alias("n"), F.size(F.array_distinct(x)).cast("long").alias("d")))[0].alias("lines"))
@@ -62,44 +82,69 @@ def base_failed(least_words: int = 50, most_repeats: int = 50) -> Column:
     return (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
 
 
-def bins() -> dict[str, Column]:
-    """The bin of each rate; a text without words has none."""
-    of = {"symbols": ("n_symbols", "n_words"), "word_length": ("word_chars", "n_words"), "lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words")}
-    return {k: F.when(F.col(d) > 0, F.least(F.expr(f"({n} * {RATES[k][0]}L) div {d}"), F.lit(RATES[k][1]).cast("long"))) for k, (n, d) in of.items()}
+def values() -> dict[str, Column]:
+    """Each rate as a whole number of 2**-20, and the lengths; null where a text has nothing to count in."""
+    rates = {k: F.when(F.col(of) > 0, F.expr(f"({n} * {SCALE}L) div {of}")) for k, (n, of, _, _) in RATES.items()}
+    return rates | {k: F.expr(v.format(div="div")) for k, v in LENGTHS.items()}
+
+
+def bin_of(value: Column) -> Column:
+    """Values under PARTS have bins of their own; each doubling above has PARTS bins."""
+    shift = F.greatest(F.length(F.bin(value)) - (PARTS.bit_length()), F.lit(0))
+    return F.call_function("shiftright", value, shift) + shift * PARTS
+
+
+def value_of(bin_: Column) -> Column:
+    """The least value of a bin."""
+    shift = F.greatest(F.floor(bin_ / PARTS) - 1, F.lit(0)).cast("int")
+    return F.call_function("shiftleft", bin_ - shift * PARTS, shift)
 
 
 def sketch(measured: DataFrame) -> DataFrame:
     """lang, source, rate, bin, n over the documents that pass the base rule. Adding n merges sketches."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("rate"), b.alias("bin")) for k, b in bins().items()])
-    rows = measured.filter(~base_failed()).select("lang", "source", F.inline(pairs))
-    return rows.filter("bin IS NOT NULL").groupBy("lang", "source", "rate", "bin").agg(F.count("*").alias("n"))
+    pairs = F.array(*[F.struct(F.lit(k).alias("rate"), v.alias("value")) for k, v in values().items()])
+    rows = measured.filter(~base_failed()).select("lang", "source", F.inline(pairs)).filter("value IS NOT NULL")
+    return rows.groupBy("lang", "source", "rate", bin_of(F.col("value")).alias("bin")).agg(F.count("*").alias("n"))
 
 
 def merge(sketches: DataFrame, *by: str) -> DataFrame:
     return sketches.groupBy(*by, "rate", "bin").agg(F.sum("n").alias("n"))
 
 
-def fences(sketches: DataFrame, *by: str) -> DataFrame:
-    """For each group of ``by`` and rate: how many documents it has, and the lowest and highest bin to keep."""
-    upto = Window.partitionBy(*by, "rate").orderBy("bin")
-    summed = sketches.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy(*by, "rate")))
-    at = lambda quarter: F.min(F.when(4 * F.col("upto") >= quarter * F.col("all"), F.col("bin")))
-    found = summed.groupBy(*by, "rate").agg(F.max("all").alias("n"), at(1).alias("q1"), at(3).alias("q3"))
-    slack = F.create_map(*[F.lit(x) for k, v in RATES.items() for x in (k, v[2])])[F.col("rate")]
-    both = F.create_map(*[F.lit(x) for k, v in RATES.items() for x in (k, v[3])])[F.col("rate")]
-    reach = FENCE * (F.col("q3") - F.col("q1")) + slack
-    return found.select(*by, "rate", "n", F.when(both, F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
-
-
-def thresholds(sketches: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """lang, source -> low_<rate>, high_<rate> of the finest group that has at least ``least`` documents."""
-    fine = fences(sketches, "lang", "source")
-    langs = fences(merge(sketches, "lang"), "lang").select(F.col("lang").alias("l_lang"), F.col("rate").alias("l_rate"), F.col("n").alias("l_n"), F.col("low").alias("l_low"), F.col("high").alias("l_high"))
-    whole = fences(merge(sketches)).select(F.col("rate").alias("a_rate"), F.col("low").alias("a_low"), F.col("high").alias("a_high"))
-    joined = fine.join(langs, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("rate") == F.col("l_rate"))).join(whole, F.col("rate") == F.col("a_rate"))
-    pick = lambda c: F.when(F.col("n") >= least, F.col(c)).when(F.col("l_n") >= least, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
-    chosen = joined.select("lang", "source", "rate", pick("low").alias("low"), pick("high").alias("high"))
-    return chosen.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rate") == k, F.col(side))).alias(f"{side}_{k}") for k in RATES for side in ("low", "high")])
+def _packed(sketches: DataFrame, *by: str, documents: int | None = None) -> DataFrame:
+    """One row a group and rate: its bins and their weights, or those of a group of so many documents."""
+    rows = sketches.groupBy(*by, "rate").agg(F.collect_list(F.struct("bin", "n")).alias("pairs"), F.sum("n").alias("total"))
+    weight = (lambda x: x["n"] * UNIT) if documents is None else (lambda x: F.expr(f"{documents * UNIT}L") * x["n"])
+    scaled = F.transform("pairs", lambda x: F.struct(x["bin"].alias("bin"), weight(x).alias("w")))
+    if documents is not None:
+        scaled = F.expr(f"transform(pairs, x -> named_struct('bin', x.bin, 'w', ({documents * UNIT}L * x.n) div total))")
+    return rows.select(*by, "rate", scaled.alias("bins"))
+
+
+def quantiles(sketches: DataFrame) -> DataFrame:
+    """lang, source, rate, q1, q5, q9: the tenths of each group with its language's and all documents' blended in."""
+    langs = _packed(merge(sketches, "lang"), "lang", documents=BLEND).select(F.col("lang").alias("l_lang"), F.col("rate").alias("l_rate"), F.col("bins").alias("l_bins"))
+    whole = _packed(merge(sketches), documents=BLEND).select(F.col("rate").alias("a_rate"), F.col("bins").alias("a_bins"))
+    joined = _packed(sketches, "lang", "source").join(langs, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("rate") == F.col("l_rate"))).join(whole, F.col("rate") == F.col("a_rate"))
+    blended = joined.select("lang", "source", "rate", F.array_sort(F.concat("bins", "l_bins", "a_bins")).alias("bins"))
+    blended = blended.withColumn("total", F.aggregate("bins", F.lit(0).cast("long"), lambda a, x: a + x["w"]))
+    # The first bin up to which there is a tenth, half, or nine tenths of the weight.
+    reached = lambda s, x, t: F.when(s[f"q{t}"].isNull() & (10 * (s["upto"] + x["w"]) >= t * F.col("total")), x["bin"]).otherwise(s[f"q{t}"]).alias(f"q{t}")
+    start = F.struct(F.lit(0).cast("long").alias("upto"), *[F.lit(None).cast("long").alias(f"q{t}") for t in (1, 5, 9)])
+    found = F.aggregate("bins", start, lambda s, x: F.struct((s["upto"] + x["w"]).alias("upto"), *[reached(s, x, t) for t in (1, 5, 9)]))
+    return blended.select("lang", "source", "rate", found.alias("q")).select("lang", "source", "rate", *[value_of(F.col(f"q.q{t}")).alias(f"q{t}") for t in (1, 5, 9)])
+
+
+def thresholds(sketches: DataFrame) -> DataFrame:
+    """lang, source -> low_<rate>, high_<rate>: the limits of values."""
+    q = lambda rate, t: F.max(F.when(F.col("rate") == rate, F.col(f"q{t}"))).alias(f"{rate}_{t}")
+    wide = quantiles(sketches).groupBy("lang", "source").agg(*[q(k, t) for k in (*RATES, *LENGTHS) for t in (1, 5, 9)])
+    out = []
+    for k, (_, of, event, both) in RATES.items():
+        grain = F.expr(f"{SCALE}L * {event} div greatest({of}_5, 1L)")
+        out.append((F.col(f"{k}_9") + FENCE * F.greatest(F.col(f"{k}_9") - F.col(f"{k}_5"), grain)).alias(f"high_{k}"))
+        out.append((F.col(f"{k}_1") - FENCE * F.greatest(F.col(f"{k}_5") - F.col(f"{k}_1"), grain) if both else F.lit(0).cast("long")).alias(f"low_{k}"))
+    return wide.select("lang", "source", *out)
 
 
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
@@ -107,8 +152,9 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     limits = limits.withColumnRenamed("lang", "g_lang").withColumnRenamed("source", "g_source")
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     fits = F.lit(True)
-    for k, b in bins().items():
-        fits = fits & F.coalesce(b <= F.col(f"high_{k}"), F.lit(True)) & F.coalesce(b >= F.col(f"low_{k}"), F.lit(True))
+    found = values()
+    for k in RATES:
+        fits = fits & F.coalesce(found[k].between(F.col(f"low_{k}"), F.col(f"high_{k}")), F.lit(True))
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & fits)
 
 
@@ -124,15 +170,9 @@ def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def _sql_fences(name: str, source: str, by: str) -> str:
-    part = f"{by}, rate" if by else "rate"
-    return f"""{name} AS (
-  SELECT {part}, max(total) AS n, min(CASE WHEN 4 * upto >= total THEN bin END) AS q1, min(CASE WHEN 4 * upto >= 3 * total THEN bin END) AS q3
-  FROM (SELECT *, sum(n) OVER (PARTITION BY {part} ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {part}) AS total
-        FROM (SELECT {part}, bin, sum(n) AS n FROM {source} GROUP BY {part}, bin)) GROUP BY {part}
-)"""
-
-
+_SQL_VALUES = {k: f"CASE WHEN {of} > 0 THEN {n} * {SCALE} // {of} END" for k, (n, of, _, _) in RATES.items()} | {k: v.format(div="//") for k, v in LENGTHS.items()}
+_SQL_SHIFT = "greatest(length(bin({v})) - 6, 0)"
+_SQL_VALUE = "((bin - {s} * 32) << {s})".format(s="greatest(bin // 32 - 1, 0)")
 OP3_SQL = (
     r"""
 WITH t AS (
@@ -154,24 +194,33 @@ WITH t AS (
 ), f AS (
   SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
 """
-    + ",\n".join(
-        f"         CASE WHEN {d} > 0 THEN least({n} * {RATES[k][0]} // {d}, {RATES[k][1]}) END AS b_{k}"
-        for k, (n, d) in {"symbols": ("n_symbols", "n_words"), "word_length": ("word_chars", "n_words"), "lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words")}.items()
-    )
-    + "\n  FROM m\n), sk AS (\n"
-    + "\n  UNION ALL ".join(f"SELECT coalesce(lang, chr(1)) AS lang, coalesce(source, chr(1)) AS source, '{k}' AS rate, b_{k} AS bin, count(*) AS n FROM f WHERE NOT base_failed AND b_{k} IS NOT NULL GROUP BY ALL" for k in RATES)
-    + "\n), "
-    + ", ".join(_sql_fences(*x) for x in (("fine", "sk", "lang, source"), ("by_lang", "sk", "lang"), ("whole", "sk", "")))
-    + ", lim AS (\n  SELECT *, CASE WHEN double_sided THEN q1 - reach END AS low, q3 + reach AS high FROM (SELECT *, "
-    + f"{FENCE} * (q3 - q1) + CASE rate "
-    + " ".join(f"WHEN '{k}' THEN {v[2]}" for k, v in RATES.items())
-    + " END AS reach, rate = 'word_length' AS double_sided FROM (\n"
-    + f"""    SELECT fine.lang, fine.source, fine.rate,
-           CASE WHEN fine.n >= {LEAST_DOCUMENTS} THEN fine.q1 WHEN by_lang.n >= {LEAST_DOCUMENTS} THEN by_lang.q1 ELSE whole.q1 END AS q1,
-           CASE WHEN fine.n >= {LEAST_DOCUMENTS} THEN fine.q3 WHEN by_lang.n >= {LEAST_DOCUMENTS} THEN by_lang.q3 ELSE whole.q3 END AS q3
-    FROM fine JOIN by_lang ON by_lang.lang = fine.lang AND by_lang.rate = fine.rate JOIN whole ON whole.rate = fine.rate))
+    + ",\n".join(f"         {v} AS v_{k}" for k, v in _SQL_VALUES.items())
+    + "\n  FROM m\n), vals AS (\n"
+    + "\n  UNION ALL ".join(f"SELECT coalesce(lang, chr(1)) AS lang, coalesce(source, chr(1)) AS source, '{k}' AS rate, v_{k} AS v FROM f WHERE NOT base_failed AND v_{k} IS NOT NULL" for k in _SQL_VALUES)
+    + f"\n), sk AS (\n  SELECT lang, source, rate, (v >> {_SQL_SHIFT.format(v='v')}) + 32 * {_SQL_SHIFT.format(v='v')} AS bin, count(*) AS n FROM vals GROUP BY ALL\n), groups AS (\n  SELECT DISTINCT lang, source, rate FROM sk\n"
+    + f"""), parts AS (
+  SELECT lang, source, rate, bin, {UNIT} * n AS w FROM sk
+  UNION ALL
+  SELECT g.lang, g.source, g.rate, bin, w FROM groups g JOIN
+    (SELECT lang, rate, bin, {BLEND * UNIT} * n // sum(n) OVER (PARTITION BY lang, rate)::BIGINT AS w FROM (SELECT lang, rate, bin, sum(n)::BIGINT AS n FROM sk GROUP BY ALL)) l ON l.lang = g.lang AND l.rate = g.rate
+  UNION ALL
+  SELECT g.lang, g.source, g.rate, bin, w FROM groups g JOIN
+    (SELECT rate, bin, {BLEND * UNIT} * n // sum(n) OVER (PARTITION BY rate)::BIGINT AS w FROM (SELECT rate, bin, sum(n)::BIGINT AS n FROM sk GROUP BY ALL)) a ON a.rate = g.rate
+), upto AS (
+  SELECT lang, source, rate, bin, sum(w) OVER (PARTITION BY lang, source, rate ORDER BY bin) AS upto, sum(w) OVER (PARTITION BY lang, source, rate) AS total
+  FROM (SELECT lang, source, rate, bin, sum(w) AS w FROM parts GROUP BY ALL)
+), q AS (
+  SELECT lang, source, rate, min(CASE WHEN 10 * upto >= total THEN {_SQL_VALUE} END) AS q1, min(CASE WHEN 10 * upto >= 5 * total THEN {_SQL_VALUE} END) AS q5,
+         min(CASE WHEN 10 * upto >= 9 * total THEN {_SQL_VALUE} END) AS q9
+  FROM upto GROUP BY lang, source, rate
+), lim AS (
+  SELECT q.*, q9 + {FENCE} * greatest(q9 - q5, grain) AS high, CASE WHEN q.rate = 'word_length' THEN q1 - {FENCE} * greatest(q5 - q1, grain) ELSE 0 END AS low
+  FROM (SELECT q.*, {SCALE} * CASE q.rate WHEN 'repeats' THEN 2 * r.q5 ELSE 1 END // greatest(l.q5, 1) AS grain
+        FROM q JOIN q l ON l.lang = q.lang AND l.source = q.source AND l.rate = CASE q.rate WHEN 'lines' THEN 'n_lines' ELSE 'n_words' END
+        JOIN q r ON r.lang = q.lang AND r.source = q.source AND r.rate = 'line_words') q
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed"""
-    + "".join(f"\n  AND NOT EXISTS (SELECT 1 FROM lim WHERE lim.lang = coalesce(f.lang, chr(1)) AND lim.source = coalesce(f.source, chr(1)) AND rate = '{k}' AND (b_{k} > high OR b_{k} < low))" for k in RATES)
+"""
+    + """SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed"""
+    + "".join(f"\n  AND NOT EXISTS (SELECT 1 FROM lim WHERE lim.lang = coalesce(f.lang, chr(1)) AND lim.source = coalesce(f.source, chr(1)) AND rate = '{k}' AND (v_{k} > high OR v_{k} < low))" for k in RATES)
     + " AS kept\nFROM f\n"
 )

@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from quire.llm import bktree, chat, classifier, mixing, rules, secrets, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -324,3 +326,50 @@ def test_secrets_beside_names_and_paths_and_of_one_class(spark):
     assert not any(key in out[i] or key[::-1] in out[i] for i in range(3))
     assert sum("[SECRET]" in out[i] for i in range(3, 43)) >= 36
     assert not any("[SECRET]" in out[i] for i in range(43, 143))
+
+
+def test_repeat_words_are_exact_when_hashes_collide(spark):
+    rng = np.random.default_rng(15)
+    texts = [" ".join(rng.choice(["a", "b", "c", "dd"], int(n))) for n in rng.integers(0, 40, 60)] + ["a b c " * 3, "x"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+
+    def want(text):
+        w = words(text)
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        return len({i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)})
+
+    for window_hash in (rules.WINDOW_HASH, "0L", "xxhash64(get({w}, i))", "shiftleft(bigint(i % 3), 60)"):
+        assert {r.doc_id: r.n_repeat_words for r in rules.measure(docs, window_hash).collect()} == {i: want(t) for i, t in enumerate(texts)}
+
+
+def test_bins_grow_with_the_value(spark):
+    values = [*range(300), 10**6, 2**40 + 12345, 2**62]
+    table = spark.createDataFrame([(v,) for v in values], "v long").withColumn("bin", rules.bin_of(F.col("v"))).withColumn("least", rules.value_of(F.col("bin")))
+    rows = sorted(table.collect())
+    assert [r.bin for r in rows] == sorted(r.bin for r in rows)
+    assert all(r.least <= r.v <= r.least * 33 / 32 + (r.v < 32) for r in rows) and [r.least for r in rows[:64]] == list(range(64))
+
+
+def test_rules_limits_have_no_jump_and_follow_the_group(spark):
+    # One symbol in a text of the usual length is no fault; what is usual in a source isn't either, however rare elsewhere.
+    rng = np.random.default_rng(16)
+    text = lambda: [str(x) for x in rng.choice(["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(400)], 80)]
+    rows = [(i, " ".join(text()), "en", "plain", 0) for i in range(300)]
+    rows += [(1000 + i, " ".join(w + "#" * (j % 4 == 0) for j, w in enumerate(text())), "en", "code", 0) for i in range(300)]
+    rows += [(2000, " ".join([*text(), "a&b"]), "en", "plain", 0), (2001, " ".join(w + "#" * (j % 4 == 0) for j, w in enumerate(text())), "en", "plain", 0)]
+    kept = {r.doc_id: r.kept for r in rules.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not kept.pop(2001) and all(kept.values())
+    limits = {}
+    for n in (10, 49, 50, 51, 200):
+        some = spark.createDataFrame(rows[:n] + rows[300:600], SCHEMA)
+        row = rules.thresholds(rules.sketch(rules.measure(some))).filter("source = 'plain'").first()
+        limits[n] = row.high_word_length
+    assert abs(limits[49] - limits[50]) < 0.1 * limits[50] and abs(limits[51] - limits[50]) < 0.1 * limits[50]
+
+
+def test_rules_of_very_long_texts_and_ties(spark):
+    long = " ".join(f"w{i % 4999}" for i in range(200000))
+    rows = [(1, long, None, None, 0), (1, long, None, None, 0), (2, "q" * 3_000_000, "en", "s", 0), (3, "\n" * 100000, "en", "s", 0)]
+    got = sorted(rules.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_words, r.n_repeat_words, r.word_chars) for r in got] == [(200000, 200000, len(long) - 199999)] * 2 + [(1, 0, 3_000_000), (0, 0, 0)]
+    assert all(r.base_failed and not r.kept for r in got)
