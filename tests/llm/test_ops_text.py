@@ -274,7 +274,26 @@ def test_chat(spark):
     assert len(examples) == sum(role == "assistant" for t in want.values() for role, _ in t)
     for e in examples:
         assert e.text[e.loss_start : e.loss_start + len(e.reply)] == e.reply and e.text[e.loss_start + len(e.reply) :] == chat.END
-        assert e.text.count(chat.START) == e.target + 1
+        assert e.text.count(chat.START) == e.target + 1 and e.text[e.loss_start : e.loss_end] == e.reply
+        turns = want[e.conv_id][: e.target]
+        assert e.context_chars == len(e.text[: e.loss_start]) - len(chat.START + "assistant" + chat.ROLE) and e.text[: e.context_chars].count(chat.END) == e.target
+        digest = 0
+        for number, (role, _) in enumerate(turns):
+            written = e.text.split(chat.END)[number].split(chat.ROLE)[1]
+            digest ^= int(hashlib.md5(f"{number}\n{role}\n{written}".encode()).hexdigest()[:15], 16)
+        assert e.context_digest == digest
+    lines = {}
+    for e in sorted(examples, key=lambda e: e.target):
+        lines.setdefault(e.conv_id, []).append(f"{e.target}:{e.context_chars}:{e.loss_start}:{e.loss_end}:{e.context_digest}\n")
+    for r in chat.read_back(formatted).collect():
+        assert r.examples_sha256 == hashlib.sha256("".join(lines.get(r.conv_id, [])).encode()).hexdigest() and r.n_examples == len(lines.get(r.conv_id, []))
+
+
+def test_chat_of_one_very_long_conversation(spark):
+    turns = spark.range(40000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 1, "assistant").otherwise("user").alias("role"), F.concat(F.lit("turn </s> "), F.col("id").cast("string")).alias("text"))
+    row = chat.read_back(chat.format_conversations(turns)).first()
+    loss = "".join(f"turn </s> {i}" for i in range(1, 40000, 2))
+    assert (row.n_turns, row.n_examples, row.loss_chars, row.loss_sha256) == (40000, 20000, len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
 def test_empty_tables(spark):
