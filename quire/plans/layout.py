@@ -204,7 +204,7 @@ ORACLES = {
     ),
     "x23_review_units": sql(
         """SELECT doc_id, 'p' || (page_index + 1) || ':' || block_id AS unit_id, page_index + 1 AS page, length(text)::INT AS chars FROM all_blocks WHERE coalesce(text, '') <> ''
-UNION ALL SELECT table_id, 'p1:t0:c' || row || ',' || col, 1, length(text)::INT FROM cells WHERE table_id < 500""",
+UNION ALL SELECT table_id, 'p1:t0:c' || row || ',' || col, 1, length(text)::INT FROM cells""",
         "blocks",
         "all_blocks",
         "cells",

@@ -202,7 +202,7 @@ FROM (SELECT doc_id, bool_or(regexp_matches(noisy, '[\x{400}-\x{4FF}]')) AS a, c
         "blocks",
         "all_blocks",
     ),
-    "v04_reviews": """WITH r AS (SELECT conv_id AS doc_id, 'review-' || turn AS name, CASE WHEN conv_id % 2 = 0 THEN 'partial' ELSE 'unknown' END AS status, length(text) % 3 = 0 AS asked, length(text) % 5 = 0 AS lost FROM conversations WHERE turn < 3)
-SELECT doc_id, 'document_review' AS "check", CASE WHEN bool_or(asked) THEN 'WARN' ELSE 'PASS' END AS status, coalesce(string_agg(name || ': ' || status, '; ' ORDER BY name) FILTER (asked), 'no pending review flags') AS detail FROM r GROUP BY doc_id
-UNION ALL SELECT doc_id, 'export_text_integrity', CASE WHEN bool_or(lost) THEN 'FAIL' ELSE 'PASS' END, coalesce(string_agg(name || ': pdf_text_missing', '; ' ORDER BY name) FILTER (lost), 'no export loss reported') FROM r GROUP BY doc_id""",
+    "v04_reviews": """WITH r AS (SELECT conv_id AS doc_id, 'review-' || turn AS name, CASE WHEN conv_id % 2 = 0 THEN 'partial' ELSE 'unknown' END AS status, length(text) % 3 = 0 AS asked, length(text) % 5 = 0 AS lost FROM conversations)
+SELECT doc_id, 'document_review' AS "check", CASE WHEN bool_or(asked) THEN 'WARN' ELSE 'PASS' END AS status, coalesce(array_to_string(list_slice(list(name || ': ' || status ORDER BY name) FILTER (asked), 1, 10), '; '), 'no pending review flags') AS detail FROM r GROUP BY doc_id
+UNION ALL SELECT doc_id, 'export_text_integrity', CASE WHEN bool_or(lost) THEN 'FAIL' ELSE 'PASS' END, coalesce(array_to_string(list_slice(list(name || ': pdf_text_missing' ORDER BY name) FILTER (lost), 1, 10), '; '), 'no export loss reported') FROM r GROUP BY doc_id""",
 }
