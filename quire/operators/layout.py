@@ -1,14 +1,11 @@
 """Layout of pages: reading order, captions, repeated and overlapping text, unassigned lines.
 
-All work within a page or document, so the joins have its key and the page is what is dealt to tasks. Stages in which
-one decision changes the next are run page by page with applyInPandas; the others are joins and windows.
+All work within a page or document, so the joins have its key and the page is what is dealt to tasks. Where one decision changes
+the next, that part alone is a fold over the rows that are still open; the rest are joins and windows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,42 +86,42 @@ def echoes(blocks: DataFrame, overlap: float = 0.55, least: float = 0.94) -> Dat
 def contained_duplicates(blocks: DataFrame, slack: float = 3.0) -> DataFrame:
     """doc_id, page_index, block_id of blocks whose text is that of the two or more blocks they contain.
 
-    The longest goes first, and what is gone no longer counts as a part, so a page is one step's work.
+    A join finds what each block contains. What is gone no longer counts as a part of a shorter block, so the few blocks
+    that contain others are folded from the longest on.
     """
+    keyed = blocks.filter("type <> 'figure' AND coalesce(text, '') <> ''").select(*PAGE, "block_id", "ord", X.ink_key(F.col("text")).alias("key"), G.of().alias("box"))
+    inner = keyed.select(*PAGE, F.col("block_id").alias("part_id"), F.struct(F.col("box.y0").alias("y0"), F.col("box.x0").alias("x0"), "ord", F.col("block_id").alias("id"), "key").alias("part"), F.col("box").alias("part_box"))
+    held = keyed.join(inner, PAGE).filter((F.col("block_id") != F.col("part_id")) & G.contains(F.col("box"), F.col("part_box"), slack))
+    whole = held.groupBy(*PAGE, "block_id", "ord", "key").agg(F.sort_array(F.collect_list("part")).alias("parts")).filter(F.size("parts") > 1)
+    pages = whole.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct((-F.length("key")).alias("size"), "ord", "block_id", "key", "parts"))).alias("items"))
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, gone = list(pdf.itertuples(index=False)), set()
-        for r in sorted(rows, key=lambda r: (-len(r.key), r.ord, r.block_id)):
-            parts = [o for o in rows if o is not r and o.block_id not in gone and r.x0 - slack <= o.x0 and o.x1 <= r.x1 + slack and r.y0 - slack <= o.y0 and o.y1 <= r.y1 + slack]
-            parts.sort(key=lambda o: (o.y0, o.x0, o.ord))
-            if len(parts) > 1 and r.key == "".join(o.key for o in parts):
-                gone.add(r.block_id)
-        found = [(r.doc_id, r.page_index, r.block_id) for r in rows if r.block_id in gone]
-        return pd.DataFrame(found, columns=[*PAGE, "block_id"])
+    def step(gone: Column, x: Column) -> Column:
+        left = F.filter(x["parts"], lambda y: ~F.array_contains(gone, y["id"]))
+        same = (F.size(left) > 1) & (F.array_join(F.transform(left, lambda y: y["key"]), "") == x["key"])
+        return F.when(same, F.array_append(gone, x["block_id"])).otherwise(gone)
 
-    keyed = blocks.filter("type <> 'figure' AND coalesce(text, '') <> ''").select(*PAGE, "block_id", "ord", X.ink_key(F.col("text")).alias("key"), "x0", "y0", "x1", "y1")
-    return keyed.groupBy(*PAGE).applyInPandas(page, "doc_id long, page_index int, block_id string")
+    return pages.select(*PAGE, F.explode(F.aggregate("items", F.array().cast("array<string>"), step)).alias("block_id"))
 
 
 def repeated_margins(blocks: DataFrame, page_height: float, page_width: float, least: float = 0.85, share: float = 0.1) -> DataFrame:
     """doc_id, page_index, block_id, new_type: text at the margins that recurs, nearly alike, on enough pages of its document.
 
-    A text joins the first group in its region that it resembles, so groups are formed in page order, in one fold a
-    document and region.
+    A text joins the first group in its region that it resembles. Groups are formed in page order, in a fold over the different
+    texts of a document and region; equal ones, the usual case, are one from the start.
     """
     width, height = F.lit(page_width), F.lit(page_height)
     marked = blocks.withColumn("region", G.margin_region(G.of(), width, height)).filter(F.col("type").isin("text", "other") & F.length("text").between(5, 300) & F.col("region").isNotNull())
-    keyed = marked.withColumn("key", X.margin_key(F.col("text"))).filter(F.length("key") >= 5)
-    item = F.struct("page_index", "ord", "block_id", "key")
-    lists = keyed.groupBy("doc_id", "region").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    empty = F.array().cast("array<string>")
-    groups = F.aggregate("items", empty, lambda g, x: F.when(F.exists(g, lambda y: X.similarity(y, x["key"]) >= least), g).otherwise(F.array_append(g, x["key"])))
-    exploded = lists.withColumn("groups", groups).select("doc_id", "region", "groups", F.explode("items").alias("x"))
-    first = F.get(F.filter("groups", lambda y: X.similarity(y, F.col("x.key")) >= least), F.lit(0))
-    assigned = exploded.select("doc_id", "region", first.alias("head"), "x.*")
-    support = assigned.groupBy("doc_id", "region", "head").agg(F.countDistinct("page_index").alias("support"))
+    keyed = marked.select("doc_id", "page_index", "block_id", "ord", "region", X.margin_key(F.col("text")).alias("key")).filter(F.length("key") >= 5)
+    region = ["doc_id", "region"]
+    different = keyed.groupBy(*region, "key").agg(F.min(F.struct("page_index", "ord", "block_id")).alias("first"))
+    lists = different.groupBy(*region).agg(F.sort_array(F.collect_list(F.struct("first", "key"))).alias("items"))
+    first = lambda heads, key: F.get(F.filter(heads, lambda y: X.similarity(y, key) >= least), F.lit(0))
+    heads = F.aggregate("items", F.array().cast("array<string>"), lambda g, x: F.when(first(g, x["key"]).isNotNull(), g).otherwise(F.array_append(g, x["key"])))
+    grouped = lists.withColumn("heads", heads).select(*region, "heads", F.explode("items.key").alias("key")).select(*region, "key", first(F.col("heads"), F.col("key")).alias("head"))
+    assigned = keyed.join(grouped, [*region, "key"])
+    support = assigned.groupBy(*region, "head").agg(F.countDistinct("page_index").alias("support"))
     pages = blocks.groupBy("doc_id").agg(F.countDistinct("page_index").alias("pages"))
-    chosen = assigned.join(support, ["doc_id", "region", "head"]).join(pages, "doc_id").filter(F.col("support") >= F.greatest(F.lit(3), F.ceil(F.col("pages") * share)))
+    chosen = assigned.join(support, [*region, "head"]).join(pages, "doc_id").filter(F.col("support") >= F.greatest(F.lit(3), F.ceil(F.col("pages") * share)))
     return chosen.select("doc_id", "page_index", "block_id", F.when(F.col("region") == "header", "header").otherwise("footer").alias("new_type"))
 
 
@@ -141,46 +138,55 @@ def run_groups(rows: DataFrame, by: list[str], value: str, gap: float, into: str
     return rows.withColumn("_opens", opens).withColumn(into, (F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int")).drop("_opens")
 
 
-def _inter(a, b) -> float:
-    return max(0.0, min(a.x1, b.x1) - max(a.x0, b.x0)) * max(0.0, min(a.y1, b.y1) - max(a.y0, b.y0))
-
-
 def recover_lines(blocks: DataFrame, lines: DataFrame, page_height: float, sure: float = 0.75, cover: float = 0.6) -> DataFrame:
     """doc_id, page_index, block_id, type, text, ord: the blocks, and the recognised lines that no block covers.
 
-    A line put in counts as a block for the lines after it, so a page is one step's work.
+    Joins and sums tell how much of a line its page's blocks cover, which of its words they lack, which block it follows and
+    which earlier lines it overlaps. A line put in counts as a block for those after it: only that is a fold, over the lines that
+    blocks leave open. A line put in follows what stands lowest above it in its column, before what was put there earlier,
+    so its place is the place of that one, followed by its own number counted downwards.
     """
-
-    def page(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        words = lambda t: Counter(_fold_words(t))
-        held = [r for r in left.sort_values(["ord", "block_id"]).itertuples(index=False)]
-        for line in right.sort_values("line_no").itertuples(index=False):
-            area = max(0.01, (line.x1 - line.x0) * (line.y1 - line.y0))
-            if not (line.text or "").strip() or line.confidence < sure or any(_inter(line, b) / area >= cover for b in held):
-                continue
-            near = [b for b in held if _inter(line, b)]
-            if len(near) > 1 and sum(_inter(line, b) for b in near) / area >= cover:
-                there = sum((words(b.text or "") for b in near), Counter())
-                if not words(line.text) - there:
-                    continue
-            kind = "header" if line.y1 < page_height * 0.07 else "footer" if line.y0 > page_height * 0.94 else "text"
-            new = type(held[0])(**{**dict.fromkeys(left.columns), "doc_id": key[0], "page_index": key[1], "block_id": f"ocr-recovery-{line.line_no}", "type": kind, "text": line.text, "x0": line.x0, "y0": line.y0, "x1": line.x1, "y1": line.y1}) if held else None
-            above = [i for i, b in enumerate(held) if b.y0 <= line.y0 and min(b.x1, line.x1) > max(b.x0, line.x0)]
-            at = max(above, key=lambda i: held[i].y0) + 1 if above else 0
-            if new is None:
-                new = pd.DataFrame([{**dict.fromkeys(left.columns), "block_id": f"ocr-recovery-{line.line_no}", "type": kind, "text": line.text, "x0": line.x0, "y0": line.y0, "x1": line.x1, "y1": line.y1}]).itertuples(index=False).__next__()
-            held.insert(at, new)
-        return pd.DataFrame([(key[0], key[1], b.block_id, b.type, b.text, i) for i, b in enumerate(held)], columns=[*PAGE, "block_id", "type", "text", "ord"])
-
-    a = blocks.select(*PAGE, "block_id", "type", "text", "ord", "x0", "y0", "x1", "y1")
-    b = lines.select(*PAGE, "line_no", "text", "confidence", "x0", "y0", "x1", "y1")
-    return a.groupBy(*PAGE).cogroup(b.groupBy(*PAGE)).applyInPandas(page, "doc_id long, page_index int, block_id string, type string, text string, ord int")
-
-
-def _fold_words(text: str) -> list[str]:
-    import re
-
-    return re.findall(r"\w+", (text or "").casefold())
+    seen = lines.filter((F.col("confidence") >= sure) & (X.strip(X.or_empty(F.col("text"))) != "")).select(*PAGE, "line_no", "text", G.of().alias("l"))
+    order = Window.partitionBy(*PAGE).orderBy("ord", "block_id")
+    placed = blocks.select(*PAGE, "block_id", "type", "text", F.array(F.row_number().over(order)).alias("place"), G.of().alias("b"))
+    l, b = F.col("l"), F.col("b")
+    size = F.greatest(F.lit(0.01), (l["x1"] - l["x0"]) * (l["y1"] - l["y0"]))
+    below = lambda upper, lower: (upper["y0"] <= lower["y0"]) & (F.least(upper["x1"], lower["x1"]) > F.greatest(upper["x0"], lower["x0"]))
+    met = seen.join(placed.select(*PAGE, "place", F.col("text").alias("block_text"), "b"), PAGE).withColumn("share", G.intersection(l, b) / size)
+    line = [*PAGE, "line_no"]
+    facts = met.groupBy(*line).agg(F.max("share").alias("most"), F.sum("share").alias("total"), F.count_if(F.col("share") > 0).alias("n"), F.max(F.when(below(b, l), F.struct(b["y0"].alias("y0"), (-F.get("place", F.lit(0))).alias("down")))).alias("above"))
+    open_ = seen.join(facts, line, "left").filter(F.coalesce("most", F.lit(0.0)) < cover).drop("most")
+    counted = lambda t, words, n: t.select(*line, F.explode(X.folded_words(F.col(words))).alias("word")).groupBy(*line, "word").agg(F.count("*").alias(n))
+    lacking = counted(open_, "text", "wanted").join(counted(met.filter("share > 0"), "block_text", "there"), [*line, "word"], "left").withColumn("n", F.col("wanted") - F.coalesce("there", F.lit(0))).filter("n > 0")
+    lacking = lacking.groupBy(*line).agg(F.collect_list(F.struct("word", "n")).alias("lacking"))
+    earlier = open_.select(*PAGE, F.col("line_no").alias("no"), F.col("text").alias("earlier_text"), F.col("l").alias("b"))
+    over = open_.join(earlier, PAGE).filter(F.col("no") < F.col("line_no")).withColumn("share", G.intersection(l, b) / size).filter(F.col("share") > 0)
+    over = over.groupBy(*line).agg(F.collect_list(F.struct("no", "share", X.folded_words(F.col("earlier_text")).alias("words"))).alias("over"))
+    items = open_.join(lacking, line, "left").join(over, line, "left")
+    nothing = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    item = F.struct("line_no", "l", F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("n", F.lit(0)).alias("n"), "above", nothing(F.col("lacking"), "array<struct<word:string,n:bigint>>").alias("lacking"), nothing(F.col("over"), "array<struct<no:int,share:double,words:array<string>>>").alias("over"))
+    pages = items.withColumn("line_no", F.col("line_no").cast("int")).groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("line_no", item.alias("x")))).alias("items"))
+    start = F.array().cast("array<struct<no:int,l:struct<x0:double,y0:double,x1:double,y1:double>,place:array<int>>>")
+
+    def step(put: Column, each: Column) -> Column:
+        x = each["x"]
+        near = F.filter(x["over"], lambda o: F.exists(put, lambda p: p["no"] == o["no"]))
+        alone = F.exists(near, lambda o: o["share"] >= cover)
+        total = F.aggregate(near, x["total"], lambda t, o: t + o["share"])
+        found = lambda word: F.aggregate(near, F.lit(0), lambda n, o: n + F.size(F.filter(o["words"], lambda w: w == word)))
+        together = (x["n"] + F.size(near) > 1) & (total >= cover) & ~F.exists(x["lacking"], lambda w: w["n"] > found(w["word"]))
+        candidates = F.transform(F.filter(put, lambda p: below(p["l"], x["l"])), lambda p: F.struct(p["l"]["y0"].alias("y0"), p["place"].alias("place")))
+        candidates = F.concat(F.when(x["above"].isNotNull(), F.array(F.struct(x["above"]["y0"].alias("y0"), F.array((-x["above"]["down"]).cast("int")).alias("place")))).otherwise(F.array().cast("array<struct<y0:double,place:array<int>>>")), candidates)
+        lowest = F.array_max(F.transform(candidates, lambda c: c["y0"]))
+        place = F.coalesce(F.array_min(F.transform(F.filter(candidates, lambda c: c["y0"] == lowest), lambda c: c["place"])), F.array(F.lit(0)))
+        new = F.struct(each["line_no"].alias("no"), x["l"].alias("l"), F.concat(place, F.array(-each["line_no"])).alias("place"))
+        return F.when(alone | together, put).otherwise(F.array_append(put, new))
+
+    put = pages.select(*PAGE, F.explode(F.aggregate("items", start, step)).alias("p")).select(*PAGE, F.col("p.no").alias("line_no"), F.col("p.place").alias("place"))
+    kind = F.when(l["y1"] < page_height * 0.07, "header").when(l["y0"] > page_height * 0.94, "footer").otherwise("text")
+    new = put.join(seen, line).select(*PAGE, F.concat(F.lit("line-"), F.col("line_no").cast("string")).alias("block_id"), kind.alias("type"), "text", "place")
+    both = placed.select(*PAGE, "block_id", "type", "text", "place").unionByName(new)
+    return both.select(*PAGE, "block_id", "type", "text", (F.row_number().over(Window.partitionBy(*PAGE).orderBy("place")) - 1).alias("ord"))
 
 
 def push_down(blocks: DataFrame) -> DataFrame:

@@ -79,9 +79,9 @@ def test_recovered_lines(spark):
     b = frame(spark, block("a", (50, 100, 300, 115), "first line", ord=0), block("b", (50, 200, 300, 215), "second", ord=1))
     lines = spark.createDataFrame([(1, 0, 1, "first line", 0.9, 50.0, 100.0, 300.0, 115.0), (1, 0, 2, "lost line", 0.9, 50.0, 150.0, 300.0, 165.0), (1, 0, 3, "lost line", 0.9, 50.0, 151.0, 300.0, 166.0), (1, 0, 4, "unsure", 0.5, 50.0, 300.0, 300.0, 315.0), (1, 0, 5, "at the foot", 0.8, 50.0, 820.0, 300.0, 830.0)], "doc_id long, page_index int, line_no int, text string, confidence double, x0 double, y0 double, x1 double, y1 double")
     got = L.recover_lines(b, lines, 842.0).orderBy("ord").collect()
-    assert [(r.block_id, r.type) for r in got] == [("a", "text"), ("ocr-recovery-2", "text"), ("b", "text"), ("ocr-recovery-5", "footer")]
+    assert [(r.block_id, r.type) for r in got] == [("a", "text"), ("line-2", "text"), ("b", "text"), ("line-5", "footer")]
     empty = L.recover_lines(b.limit(0), lines, 842.0).orderBy("ord").collect()
-    assert [r.block_id for r in empty] == ["ocr-recovery-1", "ocr-recovery-2", "ocr-recovery-5"]
+    assert [r.block_id for r in empty] == ["line-1", "line-2", "line-5"]
 
 
 def test_push_down(spark):
