@@ -15,10 +15,8 @@ MIXED = ("aeopcx", "аеорсх")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the driver. One with fewer splits than there are cores is dealt out first; large tables have more."""
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    """A table of the driver; how it is split is a matter of ``spark.sql.files.maxPartitionBytes``."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def noisy(line: Column, kind: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,23 +66,32 @@ def progress(done: Column, total: Column, status: Column) -> Column:
 
 
 def admitted(events: DataFrame, most: int, by: list[str] | None = None) -> DataFrame:
-    """Adds active (jobs open before this event) and admitted: submissions beyond ``most`` open jobs are refused.
+    """event_id, active (jobs open before this event) and admitted: submissions beyond ``most`` open jobs are refused.
 
-    Refused jobs are counted as open nowhere; whether they are refused depends on those before, so each group of ``by`` is one fold.
+    Refused jobs are counted as open nowhere; whether they are refused depends on those before, so the events of a group of
+    ``by`` pass in order through one task, which holds no more than the open jobs and the batch it is at.
     """
     by = by or ["queue"]
-    items = events.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "job_id", "event"))).alias("items"))
-    start = F.struct(F.array().cast("array<bigint>").alias("open"), F.array().cast("array<struct<event_id:bigint,active:int,admitted:boolean>>").alias("out"))
-
-    def fold(a: Column, x: Column) -> Column:
-        n, there = F.size(a["open"]), F.array_contains(a["open"], x["job_id"])
-        ok = (x["event"] == "submitted") & ~there & (n < most)
-        ends = x["event"].isin(*ENDED)
-        open_ = F.when(ok, F.array_append(a["open"], x["job_id"])).when(ends, F.array_remove(a["open"], x["job_id"])).otherwise(a["open"])
-        row = F.struct(x["event_id"].cast("long").alias("event_id"), n.alias("active"), F.when(x["event"] == "submitted", ok).alias("admitted"))
-        return F.struct(open_.alias("open"), F.array_append(a["out"], row).alias("out"))
-
-    return items.select(*by, F.explode(F.aggregate("items", start, fold)["out"]).alias("r")).select(*by, "r.*")
+    read = events.select(*by, "ts", "event_id", "job_id", "event")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, open_ = None, set()
+        for batch in batches:
+            keys = list(zip(*[batch.column(i).to_pylist() for i in range(len(by))]))
+            active, ok = [], []
+            for key, job, event in zip(keys, batch.column(len(by) + 2).to_pylist(), batch.column(len(by) + 3).to_pylist()):
+                if key != group:
+                    group, open_ = key, set()
+                active.append(len(open_))
+                ok.append(job not in open_ and len(open_) < most if event == "submitted" else None)
+                if ok[-1]:
+                    open_.add(job)
+                elif event in ENDED:
+                    open_.discard(job)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(by)], batch.column(len(by) + 1).cast(pa.int64()), pa.array(active, pa.int32()), pa.array(ok, pa.bool_())], [*by, "event_id", "active", "admitted"])
+
+    kinds = ", ".join(f"`{c}` {read.schema[c].dataType.simpleString()}" for c in by)
+    return read.repartition(*by).sortWithinPartitions(*by, "ts", "event_id", "job_id", "event").mapInArrow(run, f"{kinds}, event_id long, active int, admitted boolean")
 
 
 def gate(jobs: DataFrame) -> DataFrame:

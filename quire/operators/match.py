@@ -17,28 +17,37 @@ def word_counts(texts: DataFrame, key: list[str], text: str = "text") -> DataFra
 def text_match(expected: DataFrame, found: DataFrame, key: list[str], show: int = 50) -> DataFrame:
     """key, precision, recall, missing, extra for pairs of texts with the same key; up to ``show`` words each.
 
-    expected and found: key, text. Words are compared with their counts; missing and extra are in alphabetical order.
+    expected and found: key, text. Words are compared with their counts; missing and extra are in alphabetical order. Both sides are
+    counted in one grouping, so each word is shuffled once.
     """
-    a, b = word_counts(expected, key).withColumnRenamed("n", "wanted"), word_counts(found, key).withColumnRenamed("n", "got")
-    keys = expected.select(*key).unionByName(found.select(*key)).distinct()
-    both = a.join(b, [*key, "word"], "full").select(*key, "word", F.coalesce("wanted", F.lit(0)).alias("wanted"), F.coalesce("got", F.lit(0)).alias("got"))
-    more = lambda x, y: F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.col(x) > F.col(y), F.struct("word", (F.col(x) - F.col(y)).alias("n"))))), lambda w: F.array_repeat(w["word"], w["n"].cast("int"))))
-    grouped = both.groupBy(*key).agg(F.sum("wanted").alias("w"), F.sum("got").alias("g"), F.sum(F.least("wanted", "got")).alias("m"), more("wanted", "got").alias("missing"), more("got", "wanted").alias("extra"))
-    empty = F.array().cast("array<string>")
-    out = keys.join(grouped, key, "left")
-    part = lambda n: X.ratio(F.coalesce("m", F.lit(0)), F.coalesce(n, F.lit(0)))
-    return out.select(*key, part("g").alias("precision"), part("w").alias("recall"), F.slice(F.coalesce("missing", empty), 1, show).alias("missing"), F.slice(F.coalesce("extra", empty), 1, show).alias("extra"))
-
-
-def match_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
-    """left_id, right_id, matched, left_words, right_words for all pairs that share a word, words with their counts.
-
-    The join is on the word, and a word of many texts makes many pairs; take one side small, as benchmark items are.
+    side = lambda t, n: t.select(*key, F.explode_outer(X.words(F.col("text"))).alias("word"), F.lit(int(n == 0)).alias("w"), F.lit(int(n == 1)).alias("g"))
+    counted = side(expected, 0).unionByName(side(found, 1)).groupBy(*key, "word").agg(F.sum("w").alias("w"), F.sum("g").alias("g"))
+    # A text without words has the null word, which counts nowhere.
+    n = lambda c: F.when(F.col("word").isNotNull(), c).otherwise(0)
+    more = lambda x, y: F.slice(F.sort_array(F.collect_list(F.when(F.col("word").isNotNull() & (F.col(x) > F.col(y)), F.struct("word", (F.col(x) - F.col(y)).alias("n"))))), 1, show)
+    grouped = counted.groupBy(*key).agg(F.sum(n(F.col("w"))).alias("w"), F.sum(n(F.col("g"))).alias("g"), F.sum(n(F.least("w", "g"))).alias("m"), more("w", "g").alias("missing"), more("g", "w").alias("extra"))
+    # Each word is there at least once, so the first words are enough.
+    words = lambda c: F.slice(F.flatten(F.transform(c, lambda w: F.array_repeat(w["word"], F.least(w["n"], F.lit(show)).cast("int")))), 1, show)
+    return grouped.select(*key, X.ratio(F.col("m"), F.col("g")).alias("precision"), X.ratio(F.col("m"), F.col("w")).alias("recall"), words("missing").alias("missing"), words("extra").alias("extra"))
+
+
+def match_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, least: float = 0.5) -> DataFrame:
+    """left_id, right_id, matched, left_words, right_words of pairs in which right has at least ``least`` of left's words, with their counts.
+
+    Of W words, a text that lacks no more than W - ceil(least W) has one of any W - ceil(least W) + 1. The rarest of right's words
+    are taken, so pairs are made by words that few texts have, and only these pairs are counted.
     """
     a, b = word_counts(left, [left_id]).withColumnRenamed("n", "a"), word_counts(right, [right_id]).withColumnRenamed("n", "b")
     totals = lambda x, k, n: x.groupBy(k).agg(F.sum(n).alias(f"{k}_words"))
-    pairs = a.join(b, "word").groupBy(left_id, right_id).agg(F.sum(F.least("a", "b")).alias("matched"))
-    return pairs.join(totals(a, left_id, "a"), left_id).join(totals(b, right_id, "b"), right_id)
+    rare = b.groupBy("word").agg(F.count("*").alias("texts"))
+    ranked = a.join(rare, "word", "left").join(totals(a, left_id, "a"), left_id)
+    before = F.sum("a").over(Window.partitionBy(left_id).orderBy(F.coalesce("texts", F.lit(0)), "word").rowsBetween(Window.unboundedPreceding, -1))
+    needed = F.col(f"{left_id}_words") - F.ceil(F.col(f"{left_id}_words") * least) + 1
+    probes = ranked.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < needed).select(left_id, "word")
+    pairs = probes.join(b.select(right_id, "word"), "word").select(left_id, right_id).distinct()
+    counted = pairs.join(a, left_id).join(b, [right_id, "word"]).groupBy(left_id, right_id).agg(F.sum(F.least("a", "b")).alias("matched"))
+    out = counted.join(totals(a, left_id, "a"), left_id).filter(F.col("matched") >= F.ceil(F.col(f"{left_id}_words") * least))
+    return out.join(totals(b, right_id, "b"), right_id)
 
 
 def multiset_difference(wanted: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
@@ -78,30 +87,28 @@ def host_corrections(texts: DataFrame, domains: DataFrame, key: list[str]) -> Da
     """key, before, after: names of hosts with Cyrillic letters that resemble one known domain.
 
     A token near just one domain (two characters more or less, similarity 0.8) becomes it. If it is near none, a prefix
-    that ends before a capital letter may be a host that was joined to what follows; it must be the only such. The
-    list of domains is a setting of the review, held by the caller; it joins within the token's own row.
+    that ends before a capital letter may be a host that was joined to what follows; it must be the only such. Tokens and prefixes
+    meet only domains of like length, prefixes only those with the same last label.
     """
     boundary = r"(?<![\p{L}\p{N}_.-])[\p{L}\p{N}_-]{2,}(?:\.[\p{L}\p{N}_-]{2,})+(?![\p{L}\p{N}_-]|\.[\p{L}\p{N}_-])"
     tokens = texts.select(*key, F.explode(F.regexp_extract_all(F.col("text"), F.lit(boundary), F.lit(0))).alias("token")).filter(F.col("token").rlike(X.RUSSIAN)).distinct()
-    listed = domains.agg(F.sort_array(F.collect_set("domain")).alias("domains"))
-    held = tokens.join(F.broadcast(listed))
-    near = F.filter("domains", lambda d: (F.abs(F.length("token") - F.length(d)) <= 2) & (X.similarity(X.review_look(F.col("token")), X.fold(d)) >= 0.8))
+    known = domains.select("domain", F.length("domain").alias("size"), F.element_at(F.split("domain", r"\."), -1).alias("label"), X.fold(F.col("domain")).alias("look")).distinct()
+    # Each different token is judged once, whatever its texts.
+    kinds = tokens.select("token").distinct()
+    like = lambda n: F.explode(F.sequence(n - 2, n + 2)).alias("size")
+    whole = kinds.select("token", X.review_look(F.col("token")).alias("seen"), like(F.length("token"))).join(known, "size").filter(X.similarity(F.col("seen"), F.col("look")) >= 0.8)
+    near = whole.groupBy("token").agg(F.count("*").alias("n_near"), F.min("domain").alias("near"))
     n = F.length("token")
-
-    def prefixes(d: Column) -> Column:
-        sizes = F.sequence(F.greatest(F.lit(1), F.length(d) - 2), F.greatest(F.greatest(F.lit(1), F.length(d) - 2), F.least(n, F.length(d) + 3) - 1))
-
-        def good(s: Column) -> Column:
-            p, following = F.substring("token", F.lit(1), s), F.substring("token", s + 1, F.lit(1))
-            end = F.concat(F.lit("."), F.element_at(F.split(d, r"\."), -1))
-            return (s < F.least(n, F.length(d) + 3)) & (p != d) & following.rlike(r"^\p{Lu}$") & (F.element_at(F.split(p, r"\."), -1) != "") & X.review_look(p).endswith(end) & (X.similarity(X.review_look(p), X.fold(d)) >= 0.8)
-
-        return F.transform(F.filter(sizes, good), lambda s: F.struct(F.substring("token", F.lit(1), s).alias("before"), d.alias("after")))
-
-    joined = F.flatten(F.transform("domains", prefixes))
-    found = held.select(*key, "token", near.alias("near"), joined.alias("joined"))
-    one = F.when(F.size("near") == 1, F.struct(F.col("token").alias("before"), F.get("near", F.lit(0)).alias("after"))).when((F.size("near") == 0) & (F.size("joined") == 1), F.get("joined", F.lit(0)))
-    return found.select(*key, one.alias("c")).filter("c IS NOT NULL").select(*key, "c.before", "c.after")
+    capital = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda s: F.substring("token", s + 1, F.lit(1)).rlike(r"^\p{Lu}$"))
+    cut = kinds.select("token", F.explode(capital).alias("s")).select("token", F.expr("substring(token, 1, s)").alias("before"), "s")
+    cut = cut.withColumn("last", F.element_at(F.split("before", r"\."), -1)).filter("last <> ''").withColumn("seen", X.review_look(F.col("before")))
+    # A prefix ends with a point and a last label, as it looks; it is up to two characters shorter or longer than the domain.
+    prefixes = cut.select("token", "before", "seen", F.element_at(F.split("seen", r"\."), -1).alias("label"), like(F.col("s"))).filter(F.col("seen").contains("."))
+    found = prefixes.join(known, ["size", "label"]).filter((F.col("before") != F.col("domain")) & (X.similarity(F.col("seen"), F.col("look")) >= 0.8))
+    joined = found.groupBy("token").agg(F.count("*").alias("n_joined"), F.min(F.struct("before", "domain")).alias("joined"))
+    judged = kinds.join(near, "token", "left").join(joined, "token", "left")
+    one = F.when(F.col("n_near") == 1, F.struct(F.col("token").alias("before"), F.col("near").alias("after"))).when(F.col("n_near").isNull() & (F.col("n_joined") == 1), F.struct(F.col("joined.before").alias("before"), F.col("joined.domain").alias("after")))
+    return tokens.join(judged.select("token", one.alias("c")).filter("c IS NOT NULL"), "token").select(*key, "c.before", "c.after")
 
 
 def verified(corrections: DataFrame, texts: DataFrame, domains: list[str], sure: float = 0.97) -> DataFrame:

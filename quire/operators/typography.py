@@ -65,12 +65,13 @@ def fit(lines: DataFrame, profile: DataFrame, slack: float = 2.0) -> DataFrame:
     lines: role, text, x0, x1. Roles without a standard take that of text; a line that fits at none takes the smallest and is marked.
     """
     own = profile.select(F.col("role").alias("p_role"), "sizes")
-    body = own.filter("p_role = 'text'").select(F.col("sizes").alias("body_sizes"))
-    joined = lines.join(F.broadcast(own), F.col("role") == F.col("p_role"), "left").join(F.broadcast(body), F.lit(True), "left")
+    body = own.filter("p_role = 'text'").select(F.col("p_role").alias("b_role"), F.col("sizes").alias("body_sizes"))
+    joined = lines.join(own, F.col("role") == F.col("p_role"), "left").withColumn("_else", F.when(F.col("p_role").isNull(), "text"))
+    joined = joined.join(body, F.col("_else") == F.col("b_role"), "left")
     sizes = F.coalesce("sizes", "body_sizes")
     fitting = F.filter(sizes, lambda s: advance(F.col("text"), s) <= F.col("x1") - F.col("x0") + slack)
     out = joined.withColumn("size_pt", F.coalesce(F.array_max(fitting), F.array_min(sizes))).withColumn("overflow", F.size(fitting) == 0)
-    return out.drop("p_role", "sizes", "body_sizes")
+    return out.drop("p_role", "sizes", "body_sizes", "b_role", "_else")
 
 
 def uniform_size(lines: DataFrame, key: list[str], most: float = 11.0) -> DataFrame:

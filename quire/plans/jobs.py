@@ -31,8 +31,8 @@ def streamed(spark, d):
 
 def expired(spark, d):
     s = J.states(events(spark, d))
-    now = B.table(spark, d, "events").agg(F.max("ts").alias("now"))
-    return J.expired(s.join(F.broadcast(now)), F.col("now").cast("timestamp"), 3600).select("job_id", "status")
+    now = B.table(spark, d, "events").agg(F.max("ts").cast("timestamp"))
+    return J.expired(s, now.scalar(), 3600).select("job_id", "status")
 
 
 def restored(spark, d):

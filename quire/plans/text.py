@@ -59,8 +59,10 @@ def chunks(spark, d):
 
 
 def paths(spark, d):
-    t = lines(spark, d).filter("noisy IS NOT NULL").withColumn("b", F.translate("noisy", "aeo", "аео"))
-    return t.filter("type <> 'figure'").select(*KEY, (X.choose_path(F.concat(F.lit("я\\"), F.substring("noisy", 1, 30)), F.concat(F.lit("я\\"), F.substring("b", 1, 30))) == F.concat(F.lit("я\\"), F.substring("noisy", 1, 30))).alias("kept"))
+    """Two readings of each line as a path, the second with Cyrillic vowels."""
+    t = lines(spark, d).filter("noisy IS NOT NULL AND type <> 'figure'")
+    first, second = F.concat(F.lit("я\\"), "noisy"), F.concat(F.lit("я\\"), F.translate("noisy", "aeo", "аео"))
+    return t.select(*KEY, (X.choose_path(first, second) == first).alias("kept"))
 
 
 def short_values(spark, d):
@@ -93,7 +95,7 @@ def guards(spark, d):
 
 def reread_words(spark, d):
     t = lines(spark, d).filter("type <> 'figure'").select(*KEY, "text", F.regexp_replace("noisy", "^\\S+ ", "").alias("other"))
-    return t.select(*KEY, keeps_words(F.col("text"), F.col("other")).alias("kept"), F.length(merged(F.col("text"), F.col("other"))).alias("merged_chars"))
+    return t.select(*KEY, keeps_words(F.col("text"), F.col("other")).alias("kept"), merged(F.col("text"), F.col("other")).alias("merged"))
 
 
 def divide_lines(spark, d):
@@ -112,9 +114,9 @@ def replacements(spark, d):
 
 def hosts(spark, d):
     """Hosts written with Cyrillic letters, put into lines."""
-    names = spark.createDataFrame([("polyus.com",), ("example.org",), ("data.server.net",)], "domain string")
-    host = F.element_at(F.array(F.lit("роlуus.com"), F.lit("ехample.оrg"), F.lit("роlуus.соmПапка"), F.lit("other.ру")), (F.col("i") % 4 + 1).cast("int"))
-    t = lines(spark, d).select(*KEY, F.concat_ws(" ", F.substring("noisy", 1, 20), host).alias("text"))
+    names = spark.createDataFrame([("store.example.com",), ("example.org",), ("data.example.net",)], "domain string")
+    host = F.element_at(F.array(F.lit("stоrе.example.com"), F.lit("ехample.оrg"), F.lit("stоrе.ехamplе.соmСписок"), F.lit("other.ру")), (F.col("i") % 4 + 1).cast("int"))
+    t = lines(spark, d).select(*KEY, F.concat_ws(" ", "noisy", host).alias("text"))
     return match.host_corrections(t, names, KEY)
 
 

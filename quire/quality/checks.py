@@ -66,7 +66,7 @@ def ocr_text(docs: DataFrame, blocks: DataFrame, cells: DataFrame | None = None)
     joined = docs.join(text_chars(blocks, cells), "doc_id", "left").join(fallback, "doc_id", "left")
     engine = F.col("engine") if "engine" in docs.columns else F.lit("")
     status = F.when(F.col("chars") > 0, "PASS").when(F.col("fallback"), "WARN").when(engine == "fake", "WARN").otherwise("FAIL")
-    detail = F.when(F.col("chars") > 0, F.concat(F.lit("recognized_text_chars="), F.col("chars").cast("string"))).when(F.col("fallback"), "unreadable regions preserved as images").when(engine == "fake", "a test engine recognizes nothing").otherwise("no text in blocks or cells")
+    detail = F.when(F.col("chars") > 0, F.concat(F.lit("characters: "), F.col("chars").cast("string"))).when(F.col("fallback"), "only images of unreadable regions").when(engine == "fake", "made by the test engine").otherwise("no characters")
     return joined.select("doc_id", F.lit("ocr_text").alias("check"), status.alias("status"), detail.alias("detail"))
 
 
@@ -75,7 +75,7 @@ def page_count(docs: DataFrame, pages: DataFrame) -> DataFrame:
     joined = docs.select("doc_id").join(counts, "doc_id", "left")
     status = F.when(F.col("n").isNull() | (F.col("failed") > 0), "FAIL").when(F.col("degraded") > 0, "WARN").otherwise("PASS")
     number = lambda c: F.coalesce(c, F.lit(0)).cast("string")
-    detail = F.concat(number("n"), F.lit(" pages; failed="), number("failed"), F.lit("; degraded="), number("degraded"))
+    detail = F.concat(number("n"), F.lit(" pages, failed "), number("failed"), F.lit(", degraded "), number("degraded"))
     return joined.select("doc_id", F.lit("page_count").alias("check"), status.alias("status"), detail.alias("detail"))
 
 
@@ -84,7 +84,7 @@ def boxes(docs: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFrame:
     joined = blocks.join(pages.select("doc_id", "page_index", "width_pt", "height_pt"), layout.PAGE)
     outside = joined.filter(~G.within_page(G.of(), F.col("width_pt"), F.col("height_pt")))
     message = F.concat(_page(), F.lit(", block "), F.col("block_id"))
-    return judged(docs, listed(outside, message, ["page_index", "ord", "block_id"]), "bbox", "FAIL", F.lit("all block boxes are within page bounds"))
+    return judged(docs, listed(outside, message, ["page_index", "ord", "block_id"]), "bbox", "FAIL", F.lit("boxes lie on their pages"))
 
 
 def tables(docs: DataFrame, table_blocks: DataFrame, cells: DataFrame, pages: DataFrame) -> DataFrame:
@@ -94,9 +94,9 @@ def tables(docs: DataFrame, table_blocks: DataFrame, cells: DataFrame, pages: Da
     name = F.concat(F.col("block_id"), F.lit(": cell ("), F.col("row").cast("string"), F.lit(","), F.col("col").cast("string"), F.lit(") "))
     span = (F.col("row") + F.col("rowspan") > F.col("n_rows")) | (F.col("col") + F.col("colspan") > F.col("n_cols"))
     out = ~G.within_page(G.of(), F.col("width_pt"), F.col("height_pt"))
-    problems = F.array_compact(F.array(F.when(span, F.concat(name, F.lit("span exceeds table dimensions"))), F.when(out, F.concat(name, F.lit("box exceeds page bounds")))))
+    problems = F.array_compact(F.array(F.when(span, F.concat(name, F.lit("reaches beyond the grid"))), F.when(out, F.concat(name, F.lit("lies off the page")))))
     found = joined.select("doc_id", "page_index", "block_id", "row", "col", F.explode(problems).alias("message"))
-    return judged(docs, listed(found, F.col("message"), ["page_index", "block_id", "row", "col"]), "tables", "FAIL", F.lit("cells within bounds"))
+    return judged(docs, listed(found, F.col("message"), ["page_index", "block_id", "row", "col"]), "tables", "FAIL", F.lit("cells lie in grid and page"))
 
 
 def safe_path(path: Column) -> Column:
@@ -109,27 +109,27 @@ def figure_files(docs: DataFrame, figures: DataFrame, files: DataFrame) -> DataF
     """figures: doc_id, block_id, file; files: doc_id, file that exist."""
     joined = figures.join(files.select("doc_id", "file", F.lit(True).alias("there")), ["doc_id", "file"], "left")
     safe = F.coalesce(safe_path(F.col("file")), F.lit(False))
-    message = F.when(~safe, F.concat(F.col("block_id"), F.lit(": missing or unsafe image path"))).otherwise(F.concat(F.col("block_id"), F.lit(": missing image "), F.col("file")))
-    return judged(docs, listed(joined.filter(~safe | F.col("there").isNull()), message, ["block_id"]), "figure_files", "FAIL", F.lit("figure files present"))
+    message = F.when(~safe, F.concat(F.col("block_id"), F.lit(": no safe path"))).otherwise(F.concat(F.col("block_id"), F.lit(": no file "), F.col("file")))
+    return judged(docs, listed(joined.filter(~safe | F.col("there").isNull()), message, ["block_id"]), "figure_files", "FAIL", F.lit("every figure has its file"))
 
 
 def caption_links(docs: DataFrame, links: DataFrame, blocks: DataFrame) -> DataFrame:
     dangling = layout.dangling_captions(links, blocks)
     message = F.concat(F.col("figure_id"), F.lit(": "), F.col("caption_id"))
-    return judged(docs, listed(dangling, message, ["page_index", "figure_id"]), "caption_links", "FAIL", F.lit("caption references resolve"))
+    return judged(docs, listed(dangling, message, ["page_index", "figure_id"]), "caption_links", "FAIL", F.lit("captions found"))
 
 
 def figure_leakage(docs: DataFrame, blocks: DataFrame) -> DataFrame:
-    count = lambda found: found.groupBy("doc_id").agg(F.concat(F.lit("leaks="), F.count("*").cast("string")).alias("detail"))
-    a = judged(docs, count(layout.figure_leaks(blocks)), "figure_leakage", "FAIL", F.lit("leaks=0"))
-    return a.unionByName(judged(docs, count(layout.figure_leaks(blocks, pictograms=True)), "figure_pictogram_overlap", "WARN", F.lit("no ambiguous pictogram glyphs")))
+    count = lambda found: found.groupBy("doc_id").agg(F.concat(F.lit("texts inside: "), F.count("*").cast("string")).alias("detail"))
+    a = judged(docs, count(layout.figure_leaks(blocks)), "figure_leakage", "FAIL", F.lit("texts inside: 0"))
+    return a.unionByName(judged(docs, count(layout.figure_leaks(blocks, pictograms=True)), "figure_pictogram_overlap", "WARN", F.lit("no glyph in doubt")))
 
 
 def figure_flow(docs: DataFrame, figures: DataFrame, outputs: DataFrame) -> DataFrame:
     """outputs: doc_id, name, content of the flowing formats; every figure's file must be named in each."""
     pairs = figures.select("doc_id", "file").join(outputs, "doc_id").filter(~F.col("content").contains(F.col("file")))
-    message = F.concat(F.col("name"), F.lit(": "), F.col("file"), F.lit(" absent"))
-    return judged(docs, listed(pairs, message, ["name", "file"]), "figure_flow", "FAIL", F.lit("figures referenced"))
+    message = F.concat(F.col("name"), F.lit(": "), F.col("file"), F.lit(" not named"))
+    return judged(docs, listed(pairs, message, ["name", "file"]), "figure_flow", "FAIL", F.lit("all files named"))
 
 
 def figure_counts(figures: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -148,14 +148,14 @@ def contents(docs: DataFrame, blocks: DataFrame) -> DataFrame:
     rest = F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.col("use"), F.struct("ord", "block_id", "lines")))), lambda x: x["lines"]))
     entries = after.groupBy(*layout.PAGE, "head_id", "head_ord", "own").agg(rest.alias("rest")).withColumn("entries", F.concat(F.when(F.col("own") != "", F.array("own")).otherwise(F.array().cast("array<string>")), "rest"))
     poor = entries.filter((F.length(F.array_join("entries", " ")) < 60) | (F.size("entries") < 3))
-    message = F.concat(_page(), F.lit(": contents heading has only "), F.size("entries").cast("string"), F.lit(" recognized entries"))
-    return judged(docs, listed(poor, message, ["page_index", "head_ord"]), "table_of_contents", "WARN", F.lit("contents pages include recognized entries"))
+    message = F.concat(_page(), F.lit(": contents with "), F.size("entries").cast("string"), F.lit(" entries"))
+    return judged(docs, listed(poor, message, ["page_index", "head_ord"]), "table_of_contents", "WARN", F.lit("contents have entries"))
 
 
 def searchable_text(recalls: DataFrame) -> DataFrame:
     """recalls: doc_id, recall of the model's words in an export."""
     status = F.when(F.col("recall") >= 0.5, "PASS").when(F.col("recall") >= 0.2, "WARN").otherwise("FAIL")
-    return recalls.select("doc_id", F.lit("searchable_text").alias("check"), status.alias("status"), F.concat(F.lit("token recall="), F.format_number("recall", 3)).alias("detail"))
+    return recalls.select("doc_id", F.lit("searchable_text").alias("check"), status.alias("status"), F.concat(F.lit("share of words found: "), F.format_number("recall", 3)).alias("detail"))
 
 
 def cyrillic(model: DataFrame, exported: DataFrame) -> DataFrame:
@@ -163,17 +163,17 @@ def cyrillic(model: DataFrame, exported: DataFrame) -> DataFrame:
     has = lambda t, n: t.groupBy("doc_id").agg(F.bool_or(X.or_empty(F.col("text")).rlike("[\\u0400-\\u04FF]")).alias(n))
     joined = has(model, "a").join(has(exported, "b"), "doc_id", "left")
     lost = F.col("a") & ~F.coalesce("b", F.lit(False))
-    return joined.select("doc_id", F.lit("fonts_cyrillic").alias("check"), F.when(lost, "FAIL").otherwise("PASS").alias("status"), F.when(lost, "Cyrillic is missing").when(F.col("a"), "Cyrillic text is extractable").otherwise("no Cyrillic").alias("detail"))
+    return joined.select("doc_id", F.lit("fonts_cyrillic").alias("check"), F.when(lost, "FAIL").otherwise("PASS").alias("status"), F.when(lost, "Cyrillic letters lost").when(F.col("a"), "Cyrillic letters found").otherwise("no Cyrillic letters").alias("detail"))
 
 
 def image_fallback(docs: DataFrame, blocks: DataFrame) -> DataFrame:
-    n = blocks.filter("source_label = 'ocr_image_fallback'").groupBy("doc_id").agg(F.concat(F.count("*").cast("string"), F.lit(" text regions stored as source crops")).alias("detail"))
-    return judged(docs, n, "image_fallback", "WARN", F.lit("no text-image fallback"))
+    n = blocks.filter("source_label = 'ocr_image_fallback'").groupBy("doc_id").agg(F.concat(F.count("*").cast("string"), F.lit(" regions kept as images")).alias("detail"))
+    return judged(docs, n, "image_fallback", "WARN", F.lit("no region kept as an image"))
 
 
 def typography(docs: DataFrame, items: DataFrame) -> DataFrame:
-    n = items.groupBy("doc_id").agg(F.concat(F.count("*").cast("string"), F.lit(" fragments need review")).alias("detail"))
-    return judged(docs, n, "typography_review", "WARN", F.lit("no ambiguity markers"))
+    n = items.groupBy("doc_id").agg(F.concat(F.count("*").cast("string"), F.lit(" fragments to look at")).alias("detail"))
+    return judged(docs, n, "typography_review", "WARN", F.lit("nothing to look at"))
 
 
 #: Kinds of review findings that mean text was lost in export; fixed values.
@@ -185,14 +185,14 @@ def reviews(docs: DataFrame, reports: DataFrame) -> DataFrame:
     asked = listed(reports.filter("review_required"), F.concat(F.col("name"), F.lit(": "), F.coalesce("status", F.lit("unknown"))), ["name"])
     lost = reports.select("doc_id", "name", F.posexplode("kinds").alias("at", "kind")).filter(F.col("kind").isin(*LOSSES))
     found = listed(lost, F.concat(F.col("name"), F.lit(": "), F.col("kind")), ["name", "at"])
-    return judged(docs, asked, "document_review", "WARN", F.lit("no pending review flags")).unionByName(judged(docs, found, "export_text_integrity", "FAIL", F.lit("no export loss reported")))
+    return judged(docs, asked, "document_review", "WARN", F.lit("nothing left to review")).unionByName(judged(docs, found, "export_text_integrity", "FAIL", F.lit("no loss found")))
 
 
 def artifacts(docs: DataFrame, files: DataFrame, required=("document.md", "document.html", "document-flow.pdf")) -> DataFrame:
     """files: doc_id, file. The formats that are always written must be there."""
     wanted = docs.select("doc_id", F.explode(F.array(*map(F.lit, required))).alias("file"))
     missing = wanted.join(files.select("doc_id", "file"), ["doc_id", "file"], "left_anti")
-    return judged(docs, listed(missing, F.concat(F.lit("missing "), F.col("file")), ["file"]), "artifacts", "FAIL", F.lit("all artifacts present"))
+    return judged(docs, listed(missing, F.concat(F.lit("no "), F.col("file")), ["file"]), "artifacts", "FAIL", F.lit("all files there"))
 
 
 def page_invariants(blocks: DataFrame) -> DataFrame:

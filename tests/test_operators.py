@@ -117,14 +117,14 @@ def test_text_match(spark):
 
 
 def test_host_corrections(spark):
-    t = spark.createDataFrame([(1, "роlуиs.сотПолюс.Диск file_name.dat"), (2, "example.сотПолюс.Диск"), (3, "роlуиs.com")], "unit_id long, text string")
-    domains = spark.createDataFrame([("polyus.com",)], "domain string")
+    t = spark.createDataFrame([(1, "stоrе.ехample.сотНовый.Список file_name.dat"), (2, "other.сотНовый.Список"), (3, "stоrе.ехample.com")], "unit_id long, text string")
+    domains = spark.createDataFrame([("store.example.com",), ("data.example.net",)], "domain string")
     edits = match.host_corrections(t, domains, ["unit_id"])
     from quire.operators.align import replace_all
 
     by_id = {r.unit_id: (r.before, r.after) for r in edits.collect()}
     assert set(by_id) == {1, 3}
-    assert replace_all("роlуиs.сотПолюс.Диск file_name.dat", dict([by_id[1]]), open_end=True) == "polyus.comПолюс.Диск file_name.dat"
+    assert replace_all("stоrе.ехample.сотНовый.Список file_name.dat", dict([by_id[1]]), open_end=True) == "store.example.comНовый.Список file_name.dat"
 
 
 def test_verified_corrections(spark):
