@@ -41,7 +41,7 @@ LENGTH, SEED, HOT = 50, 20, 50_000
 #: Seeds that occur so often in one slice of rows are counted; how many hot seeds, and how many common strings, are broadcast at most.
 OFTEN, MOST_HOT, MOST_COMMON = 8, 1 << 20, 1 << 16
 #: Bytes of text a task works on at once, (about) bytes of text whose seeds share a bucket, bytes of a shard, bytes merged together.
-PIECE, BUCKET, SHARD, MERGE = 400_000, 3_000_000, 1 << 17, 1 << 20
+PIECE, BUCKET, SHARD, MERGE = 400_000, 3_000_000, 1 << 14, 1 << 17
 #: Ends a neighbourhood; no byte of UTF-8.
 STOP = 0xFF
 _P = np.uint64(0x9E3779B97F4A7C15)
