@@ -197,7 +197,7 @@ FROM (SELECT *, len(regexp_extract_all(noisy, '[aeo]')) AS changed, replace(lowe
         "blocks",
     ),
     "x16_short_values": sql(
-        rf"""SELECT doc_id, block_id, confidence >= 0.55 AND len(regexp_extract_all(w, '\\S+')) BETWEEN 1 AND 3 AND 1 - confidence / 2 >= 0.45 AND {_LOOK.format('w')} = {_LOOK.format('m')} AS confirmed, w <> '' AND {_LOOK.format('w')} = {_LOOK.format('m')} AS same
+        rf"""SELECT doc_id, block_id, confidence >= 0.55 AND len(regexp_extract_all(w, '\S+')) BETWEEN 1 AND 3 AND 1 - confidence / 2 >= 0.45 AND {_LOOK.format('w')} = {_LOOK.format('m')} AS confirmed, w <> '' AND {_LOOK.format('w')} = {_LOOK.format('m')} AS same
 FROM (SELECT *, words[1] AS w, {_MIXED.format('words[1]')} AS m FROM (SELECT *, {_WORDS} AS words FROM blocks) WHERE len(words) >= 2)""",
         "blocks",
     ),
