@@ -208,6 +208,25 @@ def push_down(blocks: DataFrame) -> DataFrame:
     return placed.select(*PAGE, "p.block_id", "p.top")
 
 
+def clear_tops(blocks: DataFrame, gap: float = 1.5) -> DataFrame:
+    """doc_id, page_index, block_id, top: a place, from its own downwards, at which each block's text is clear of those before it.
+
+    Columns wide and tall are what the text takes. Text goes below all that reaches into it, as often as that meets
+    something else; each time at least one block is passed for good. A fold over the blocks of a page.
+    """
+    item = F.struct("y0", "x0", "ord", "block_id", "wide", "tall")
+    pages = blocks.groupBy(*PAGE).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    done = F.array().cast("array<struct<top:double,bottom:double,left:double,right:double,block_id:string>>")
+
+    def step(placed: Column, x: Column) -> Column:
+        beside = F.filter(placed, lambda p: (F.least(x["x0"] + x["wide"], p["right"]) - F.greatest(x["x0"], p["left"]) > 0.5) & (p["bottom"] > x["y0"]))
+        below = lambda t, hit: F.coalesce(F.array_max(F.transform(F.filter(hit, lambda p: (p["top"] < t + x["tall"]) & (p["bottom"] > t)), lambda p: p["bottom"])) + gap, t)
+        top = F.aggregate(beside, x["y0"], lambda t, _: below(t, beside))
+        return F.array_append(placed, F.struct(top.alias("top"), (top + x["tall"]).alias("bottom"), x["x0"].alias("left"), (x["x0"] + x["wide"]).alias("right"), x["block_id"].alias("block_id")))
+
+    return pages.select(*PAGE, F.explode(F.aggregate("items", done, step)).alias("p")).select(*PAGE, "p.block_id", "p.top")
+
+
 def merge_overlapping(boxes: DataFrame, by: list[str], threshold: float) -> DataFrame:
     """Boxes in order of ``n``, each merged into the first kept box that it overlaps enough: one fold a group."""
     box = lambda x: {n: x[n] for n in ("x0", "y0", "x1", "y1")}

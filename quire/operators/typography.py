@@ -97,3 +97,58 @@ def review_items(lines: DataFrame, key: list[str]) -> DataFrame:
     flagged = lines.filter("review_required").select(*key, own.alias("line_id"), F.struct(F.col("parent_line_id").isNotNull().alias("run"), F.col("line_id").alias("at"), F.coalesce("review_reason", F.lit("check the formatting")).alias("reason")).alias("r"))
     reasons = flagged.groupBy(*key, "line_id").agg(F.array_join(F.array_distinct(F.transform(F.sort_array(F.collect_list("r")), lambda x: x["reason"])), "; ").alias("reason"))
     return lines.filter("parent_line_id IS NULL").select(*key, "line_id", "text").join(reasons, [*key, "line_id"])
+
+
+#: Role -> (size in points, bold, italic) of editable exports, where they differ from STYLES; fixed values.
+STEADY = {"table": (11.0, False, False), "table_header": (11.0, True, False), "header": (9.5, True, False), "footer": (8.0, False, False), "page_number": (8.0, False, False)}
+TALL = {"table": 1.05, "table_header": 1.05}
+
+
+def steady(lines: DataFrame) -> DataFrame:
+    """Adds size_pt, bold and italic of editable exports: the role's size, or less where the line's box is too low or too narrow.
+
+    lines: role, text, x0, y0, x1, y1, rotation.
+    """
+    role, known = F.col("role"), style(F.col("role"))
+    pick = lambda i, name: F.coalesce(*[F.when(role == k, F.lit(v[i])) for k, v in STEADY.items()], known[name])
+    turned = F.coalesce(F.col("rotation").isin(90, 270), F.lit(False))
+    across, down = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    width, height = F.when(turned, down).otherwise(across), F.when(turned, across).otherwise(down)
+    factor = F.coalesce(*[F.when(role == k, F.lit(v)) for k, v in TALL.items()], F.lit(1.35))
+    per_point = advance(F.col("text"), F.lit(1.0))
+    fits = F.when(per_point > 0, width / per_point).otherwise(pick(0, "size"))
+    size = F.greatest(F.lit(4.0), F.least(pick(0, "size"), F.greatest(F.lit(5.0), height * factor), fits))
+    return lines.withColumn("size_pt", size).withColumn("bold", pick(1, "bold")).withColumn("italic", pick(2, "italic"))
+
+
+def leaders(text: Column, width: Column, size: Column) -> Column:
+    """A line of contents with points from its title to the page at the right end; other lines as they are."""
+    entry = X.contents_entry(text)
+    room = width - advance(F.concat(entry["title"], F.lit(" "), entry["page"]), size)
+    points = F.floor(room / advance(F.lit("."), size)).cast("int")
+    return F.when(entry.isNotNull() & (points > 0), F.concat(entry["title"], F.lit(" "), F.repeat(F.lit("."), points), entry["page"])).otherwise(text)
+
+
+def family_vote(probes: DataFrame, key: list[str], error: float = 0.1, share: float = 0.66) -> DataFrame:
+    """key, family: the font that two or more probed lines, and most of them, fit well.
+
+    probes: key, line_no, family, error.
+    """
+    good = probes.filter(F.col("family").isNotNull() & (F.col("error") < error))
+    counts = good.groupBy(*key, "family").agg(F.count("*").alias("n"), F.min("line_no").alias("first"))
+    total = F.sum("n").over(Window.partitionBy(*key))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("n"), "first"))
+    ranked = counts.withColumn("total", total).withColumn("rank", rank)
+    return ranked.filter((F.col("rank") == 1) & (F.col("n") >= 2) & (F.col("n") / F.col("total") >= share)).select(*key, "family")
+
+
+def font_margins(candidates: DataFrame, key: list[str]) -> DataFrame:
+    """key, family, variant, error, margin, reason: the best fitting font, by how much it beats the next other one, and any doubt.
+
+    candidates: key, family, variant, error. A margin is null if there is no other font.
+    """
+    fonts = candidates.groupBy(*key, "family", "variant").agg(F.min("error").alias("error"))
+    order = Window.partitionBy(*key).orderBy("error", "family", "variant")
+    ranked = fonts.withColumn("rank", F.row_number().over(order)).withColumn("margin", F.lead("error").over(order) - F.col("error")).filter("rank = 1")
+    doubt = F.when(F.col("margin") < 0.004, "several fonts look alike").when(F.col("error") > 0.08, "no font fits well")
+    return ranked.select(*key, "family", "variant", "error", "margin", doubt.alias("reason"))

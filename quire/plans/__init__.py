@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import geometry, jobs, layout, oracles, quality, tables, text
+from . import exports, geometry, jobs, layout, oracles, quality, tables, text
 
-MODULES = (text, geometry, layout, tables, quality, jobs)
+MODULES = (text, geometry, layout, tables, quality, jobs, exports)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in (*MODULES, oracles) for k, v in m.ORACLES.items()}

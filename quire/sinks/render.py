@@ -72,6 +72,25 @@ def models(blocks: DataFrame, page_width: float, page_height: float) -> DataFram
     return docs.select("doc_id", F.to_json(F.struct(F.lit("1.0").alias("schema_version"), "pages")).alias("json"))
 
 
+def stored(blocks: DataFrame, pages: DataFrame, sources: DataFrame, engine: str, version: str = "1.0") -> DataFrame:
+    """doc_id, json: each document's whole model as JSON text, with all fields that model.stored names; null ones are left out.
+
+    blocks: doc_id, page_index, block_id, type, ord, x0, y0, x1, y1, confidence, text, file; pages: doc_id, page_index, width_pt, height_pt,
+    status, dpi; sources: doc_id, file, sha256, kind.
+    """
+    wide, tall = (F.greatest(F.lit(1), F.round((F.col(b) - F.col(a)) * F.col("dpi") / 72)).cast("int") for a, b in (("x0", "x1"), ("y0", "y1")))
+    figure = F.when(F.col("file").isNotNull(), F.struct("file", F.lit("png").alias("format"), wide.alias("width_px"), tall.alias("height_px")))
+    b = F.struct(F.col("ord").alias("order"), F.col("block_id").alias("id"), "type", F.struct("x0", "y0", "x1", "y1").alias("bbox"), "confidence", "text", figure.alias("figure"))
+    grouped = blocks.join(pages.select(*PAGE, "dpi"), PAGE).groupBy(*PAGE).agg(F.sort_array(F.collect_list(b)).alias("blocks"))
+    size = F.array(*[F.ceil(F.col(c) * F.col("dpi") / 72).cast("int") for c in ("width_pt", "height_pt")])
+    p = F.struct(F.col("page_index").alias("index"), "width_pt", "height_pt", F.lit(0).alias("rotation"), F.col("dpi").alias("raster_dpi"), size.alias("size_px"), "status", F.lit("absent").alias("text_layer"), F.coalesce("blocks", F.array().cast(grouped.schema["blocks"].dataType)).alias("blocks"), F.array().cast("array<string>").alias("warnings"))
+    whole = pages.join(grouped, PAGE, "left").groupBy("doc_id").agg(F.sort_array(F.collect_list(p)).alias("pages"))
+    named = sources.select("doc_id", F.struct("file", "sha256", F.col("kind").alias("type")).alias("source"))
+    nothing = F.array().cast("array<string>")
+    fields = F.struct(F.lit("1.0").alias("schema_version"), "source", F.struct(F.lit(engine).alias("name"), F.lit(version).alias("version"), nothing.alias("models")).alias("engine"), "pages", nothing.alias("warnings"), F.create_map().cast("map<string,double>").alias("timings"))
+    return whole.join(named, "doc_id").select("doc_id", F.to_json(fields).alias("json"))
+
+
 def bundle(**exports: DataFrame) -> DataFrame:
     """doc_id, name, content: rows of a bundle from exports with columns doc_id and one text; file__ext names file.ext."""
     out = None
