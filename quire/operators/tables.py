@@ -172,3 +172,62 @@ def grow_rows(required: DataFrame, heights: DataFrame, key: list[str]) -> DataFr
         return F.transform(h, lambda x, i: F.when((i >= c["row"]) & (i < c["row"] + c["rowspan"]), x + more).otherwise(x))
 
     return a.join(b, key).select(*key, F.posexplode(F.aggregate("cells", F.col("start"), step)).alias("at", "size"))
+
+
+def _counts(tables: DataFrame, columns: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
+    """tables (key, n_rows, n_cols) with how many separators were measured."""
+    n = lambda e, name: e.groupBy(*key).agg(F.count("*").alias(name))
+    return tables.join(n(columns, "n_x"), key).join(n(rows, "n_y"), key)
+
+
+def measured_boxes(cells: DataFrame, tables: DataFrame, columns: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
+    """key, row, col, x0, y0, x1, y1: the boxes that a complete measured grid gives the cells of a table.
+
+    columns and rows: key, at, edge. A table whose grid has another shape, or with a cell beyond it, has none.
+    """
+    whole = _counts(tables, columns, rows, key).filter("n_x = n_cols + 1 AND n_y = n_rows + 1").select(*key)
+    held = cells.join(whole, key).select(*key, "row", "col", (F.col("row") + F.col("rowspan")).alias("row_end"), (F.col("col") + F.col("colspan")).alias("col_end"))
+    side = lambda e, at, name: e.select(*key, F.col("at").alias(at), F.col("edge").alias(name))
+    for e, at, name in ((columns, "col", "x0"), (rows, "row", "y0"), (columns, "col_end", "x1"), (rows, "row_end", "y1")):
+        held = held.join(side(e, at, name), [*key, at], "left")
+    lost = F.max((F.col("x0").isNull() | F.col("y0").isNull() | F.col("x1").isNull() | F.col("y1").isNull()).cast("int")).over(Window.partitionBy(*key))
+    return held.withColumn("_lost", lost).filter("_lost = 0").select(*key, "row", "col", "x0", "y0", "x1", "y1")
+
+
+def reading_boxes(cells: DataFrame, tables: DataFrame, rules: DataFrame, rows: DataFrame, key: list[str], slack: float = 4.0) -> DataFrame:
+    """key, row, col, x0, y0, x1, y1: wider boxes to read cells in, between proven rules.
+
+    tables: key, n_rows, n_cols, x0, x1; rules: key, x of upright rules; rows: key, at, edge of all row separators. Between the middles
+    of neighbouring columns there must be just one rule, and each cell's middle must lie in its rows; else a table has none.
+    """
+    whole = tables.join(rows.groupBy(*key).agg(F.count("*").alias("n_y")), key).filter("n_y = n_rows + 1 AND n_cols >= 2")
+    middle = (F.col("x0") + F.col("x1")) / 2
+    places = cells.filter("colspan = 1").groupBy(*key, "col").agg(F.min(middle).alias("first"), F.max(middle).alias("last"))
+    gaps = places.withColumn("next", F.lead("first").over(Window.partitionBy(*key).orderBy("col"))).withColumn("follows", F.lead("col").over(Window.partitionBy(*key).orderBy("col")) == F.col("col") + 1)
+    between = gaps.filter("follows").join(rules, key).filter((F.col("x") > F.col("last")) & (F.col("x") < F.col("next"))).groupBy(*key, "col").agg(F.count("*").alias("n"), F.min("x").alias("x")).filter("n = 1")
+    inner = between.join(whole.select(*key, "n_cols"), key).filter("col < n_cols - 1").select(*key, (F.col("col") + 1).alias("at"), F.col("x").alias("edge"))
+    ends = whole.select(*key, F.inline(F.array(F.struct(F.lit(0).alias("at"), F.col("x0").cast("double").alias("edge")), F.struct(F.col("n_cols").cast("int").alias("at"), F.col("x1").cast("double").alias("edge")))))
+    edges_ = inner.withColumn("at", F.col("at").cast("int")).unionByName(ends)
+    boxes = measured_boxes(cells, whole.select(*key, "n_rows", "n_cols"), edges_, rows, key)
+    own = boxes.join(cells.select(*key, "row", "col", ((F.col("y0") + F.col("y1")) / 2).alias("middle")), [*key, "row", "col"])
+    out = F.max((~F.col("middle").between(F.col("y0") - slack, F.col("y1") + slack)).cast("int")).over(Window.partitionBy(*key))
+    return own.withColumn("_out", out).filter("_out = 0").select(*key, "row", "col", "x0", "y0", "x1", "y1")
+
+
+def verified_grid(cells: DataFrame, tables: DataFrame, columns: DataFrame, rows: DataFrame, key: list[str], narrowest: float = 12.0, lowest: float = 8.0) -> DataFrame:
+    """key, row, col, text, x0, y0, x1, y1: all slots of a measured grid, with the texts of a table's cells.
+
+    Only for tables without spans, whose columns the grid confirms, which has no fewer rows than the model, none too small, and in
+    which every cell with text lies for the most part in a slot of its own column that no other one claims.
+    """
+    step = lambda e: e.withColumn("next", F.lead("edge").over(Window.partitionBy(*key).orderBy("at"))).filter("next IS NOT NULL")
+    xs, ys = step(columns), step(rows)
+    least = xs.groupBy(*key).agg(F.min(F.col("next") - F.col("edge")).alias("w")).join(ys.groupBy(*key).agg(F.min(F.col("next") - F.col("edge")).alias("h")), key)
+    spans = cells.groupBy(*key).agg(F.max(F.greatest("rowspan", "colspan")).alias("span"), F.count_if(X.strip(X.or_empty(F.col("text"))) != "").alias("filled"))
+    fit = _counts(tables, columns, rows, key).join(least, key).join(spans, key).filter(f"n_cols >= 2 AND n_x = n_cols + 1 AND n_y >= 3 AND n_y - 1 >= n_rows AND span = 1 AND w >= {narrowest} AND h >= {lowest} AND (n_y - 1) * n_cols <= 4096")
+    filled = cells.filter(X.strip(X.or_empty(F.col("text"))) != "").withColumn("cell_id", F.struct("row", "col", "cell_seq"))
+    placed = snap_to_grid(filled, columns, rows, key).filter(F.col("cell_id.col") == F.col("col"))
+    sure = fit.join(placed.groupBy(*key).agg(F.count("*").alias("placed")), key, "left").filter(F.coalesce("placed", F.lit(0)) == F.col("filled")).select(*key)
+    slots = sure.join(xs.select(*key, F.col("at").alias("col"), F.col("edge").alias("x0"), F.col("next").alias("x1")), key).join(ys.select(*key, F.col("at").alias("row"), F.col("edge").alias("y0"), F.col("next").alias("y1")), key)
+    texts = placed.join(filled.select(*key, "cell_id", "text"), [*key, "cell_id"]).select(*key, "row", "col", "text")
+    return slots.join(texts, [*key, "row", "col"], "left").select(*key, "row", "col", F.coalesce("text", F.lit("")).alias("text"), "x0", "y0", "x1", "y1")

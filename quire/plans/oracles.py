@@ -104,7 +104,58 @@ _ADVANCE = {r"[iljtfrI.,;:'|!()\[\]]": 290, "[mwMWШЩЖЮшщжю@%]": 850, " "
 _COUNTED = {p.replace("'", "''"): n for p, n in _ADVANCE.items()}
 _UNITS = " + ".join(f"len(regexp_extract_all(text, '{p}')) * {n}" for p, n in _COUNTED.items()) + " + (length(text) - " + " - ".join(f"len(regexp_extract_all(text, '{p}'))" for p in _COUNTED) + ") * 540"
 
+_SHAPES = """, shapes AS (SELECT table_id, max(row + rowspan) AS n_rows, max(col + colspan) AS n_cols, max(greatest(rowspan, colspan)) AS span FROM cells GROUP BY table_id),
+xs AS (SELECT table_id, "at", edge FROM col_edges WHERE NOT (table_id % 7 = 3 AND "at" = 1)),
+ys AS (SELECT table_id, "at", edge FROM row_edges UNION ALL SELECT table_id, max("at") + 1, max(edge) + 20 FROM row_edges WHERE table_id % 5 = 1 GROUP BY table_id),
+n AS (SELECT * FROM shapes JOIN (SELECT table_id, count(*) AS n_x FROM xs GROUP BY table_id) USING (table_id) JOIN (SELECT table_id, count(*) AS n_y FROM ys GROUP BY table_id) USING (table_id))"""
 ORACLES = {
+    "m07_measured_cells": _more(
+        _SHAPES
+        + """
+SELECT c.table_id, c.row, c.col, round(l.edge, 6) AS x0, round(t.edge, 6) AS y0, round(r.edge, 6) AS x1, round(b.edge, 6) AS y1 FROM cells c JOIN n ON n.table_id = c.table_id AND n_x = n_cols + 1 AND n_y = n_rows + 1
+JOIN xs l ON l.table_id = c.table_id AND l."at" = c.col JOIN xs r ON r.table_id = c.table_id AND r."at" = c.col + c.colspan
+JOIN ys t ON t.table_id = c.table_id AND t."at" = c.row JOIN ys b ON b.table_id = c.table_id AND b."at" = c.row + c.rowspan""",
+        "cells",
+        "col_edges",
+        "row_edges",
+    ),
+    "m07_reading_boxes": _more(
+        """, t AS (SELECT table_id, min(x0) AS x0, max(x1) AS x1, max(row + rowspan) AS n_rows, max(col + colspan) AS n_cols FROM cells GROUP BY table_id),
+ok AS (SELECT t.* FROM t JOIN (SELECT table_id, count(*) AS n_y FROM row_edges GROUP BY table_id) e ON e.table_id = t.table_id AND n_y = n_rows + 1),
+places AS (SELECT table_id, col, min((x0 + x1) / 2) AS first_, max((x0 + x1) / 2) AS last_ FROM cells WHERE colspan = 1 GROUP BY ALL),
+seps AS (
+  SELECT a.table_id, a.col + 1 AS "at", min(x) AS edge FROM places a JOIN places b ON b.table_id = a.table_id AND b.col = a.col + 1
+  JOIN (SELECT table_id, unnest(CASE WHEN table_id % 3 = 0 THEN [160.0, 250.0, 251.0, 340.0] ELSE [160.0, 250.0, 340.0] END)::DOUBLE AS x FROM t) r ON r.table_id = a.table_id AND x > a.last_ AND x < b.first_
+  GROUP BY ALL HAVING count(*) = 1),
+xs AS (SELECT * FROM seps UNION ALL SELECT table_id, 0, x0 FROM ok UNION ALL SELECT table_id, n_cols, x1 FROM ok),
+boxes AS (
+  SELECT c.table_id, c.row, c.col, (c.y0 + c.y1) / 2 AS middle, l.edge AS x0, u.edge AS y0, r.edge AS x1, d.edge AS y1 FROM cells c JOIN ok ON ok.table_id = c.table_id
+  JOIN (SELECT table_id, count(*) AS n_x FROM xs GROUP BY table_id) k ON k.table_id = c.table_id AND n_x = n_cols + 1
+  JOIN xs l ON l.table_id = c.table_id AND l."at" = c.col JOIN xs r ON r.table_id = c.table_id AND r."at" = c.col + c.colspan
+  JOIN row_edges u ON u.table_id = c.table_id AND u."at" = c.row JOIN row_edges d ON d.table_id = c.table_id AND d."at" = c.row + c.rowspan)
+SELECT table_id, row, col, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM boxes QUALIFY bool_and(middle BETWEEN y0 - 4 AND y1 + 4) OVER (PARTITION BY table_id)""",
+        "cells",
+        "row_edges",
+    ),
+    "m07_verified_grids": _more(
+        _SHAPES
+        + r""", sx AS (SELECT table_id, "at" AS col, edge AS x0, lead(edge) OVER (PARTITION BY table_id ORDER BY "at") AS x1 FROM xs QUALIFY x1 IS NOT NULL),
+sy AS (SELECT table_id, "at" AS row, edge AS y0, lead(edge) OVER (PARTITION BY table_id ORDER BY "at") AS y1 FROM ys QUALIFY y1 IS NOT NULL),
+slots AS (SELECT sx.table_id, row, col, x0, y0, x1, y1 FROM sx JOIN sy USING (table_id)),
+filled AS (SELECT * FROM cells WHERE regexp_matches(text, '\S')),
+placed AS (SELECT c.table_id, s.row, s.col, c.col AS own, c.text, count(*) OVER (PARTITION BY c.table_id, s.row, s.col) AS claims FROM filled c JOIN slots s ON s.table_id = c.table_id AND (c.x0 + c.x1) / 2 >= s.x0 AND (c.x0 + c.x1) / 2 < s.x1
+  AND (c.y0 + c.y1) / 2 >= s.y0 AND (c.y0 + c.y1) / 2 < s.y1 AND greatest(0, least(c.x1, s.x1) - greatest(c.x0, s.x0)) * greatest(0, least(c.y1, s.y1) - greatest(c.y0, s.y0)) / greatest(0.01, (c.x1 - c.x0) * (c.y1 - c.y0)) >= 0.8),
+good AS (SELECT * FROM placed WHERE claims = 1 AND own = col),
+sure AS (
+  SELECT n.table_id FROM n JOIN (SELECT table_id, min(x1 - x0) AS w, min(y1 - y0) AS h FROM slots GROUP BY table_id) USING (table_id)
+  LEFT JOIN (SELECT table_id, count(*) AS f FROM filled GROUP BY table_id) USING (table_id) LEFT JOIN (SELECT table_id, count(*) AS g FROM good GROUP BY table_id) USING (table_id)
+  WHERE n_cols >= 2 AND n_x = n_cols + 1 AND n_y >= 3 AND n_y - 1 >= n_rows AND span = 1 AND w >= 12 AND h >= 8 AND (n_y - 1) * n_cols <= 4096 AND coalesce(f, 0) = coalesce(g, 0))
+SELECT s.table_id, s.row, s.col, coalesce(g.text, '') AS text, round(s.x0, 6) AS x0, round(s.y0, 6) AS y0, round(s.x1, 6) AS x1, round(s.y1, 6) AS y1
+FROM slots s JOIN sure USING (table_id) LEFT JOIN good g ON g.table_id = s.table_id AND g.row = s.row AND g.col = s.col""",
+        "cells",
+        "col_edges",
+        "row_edges",
+    ),
     "v01_checks": sql(_CHECKS, *_FOUND),
     "a14_verification": sql(
         f"SELECT doc_id, CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' WHEN bool_or(status = 'WARN') THEN 'WARN' ELSE 'PASS' END AS result, NOT bool_or(status = 'FAIL') AS ok FROM ({_CHECKS}) GROUP BY doc_id", *_FOUND

@@ -86,7 +86,42 @@ def grown(spark, d):
     return T.grow_rows(need, T.sizes(c, KEY, across=False), KEY).withColumn("size", F.round("size", 6))
 
 
+def grids(spark, d):
+    """Cells, tables, and measured separators, of which each seventh table lacks one and each fifth has one more row."""
+    c = cells(spark, d)
+    shapes = T.shape(c, KEY).withColumnsRenamed({"rows": "n_rows", "cols": "n_cols"})
+    columns = T.edges(c, KEY).filter("NOT (table_id % 7 = 3 AND at = 1)")
+    rows = T.edges(c, KEY, across=False)
+    last = rows.groupBy(*KEY).agg(F.max("at").alias("at"), F.max("edge").alias("edge")).filter("table_id % 5 = 1")
+    return c, shapes, columns, rows, last.select(*KEY, (F.col("at") + 1).alias("at"), (F.col("edge") + 20).alias("edge"))
+
+
+def _rounded(boxes):
+    return boxes.select(*[F.round(c, 6).alias(c) if c in ("x0", "y0", "x1", "y1") else F.col(c).cast("int").alias(c) if c in ("row", "col") else F.col(c) for c in boxes.columns])
+
+
+def measured(spark, d):
+    c, shapes, columns, rows, more = grids(spark, d)
+    return _rounded(T.measured_boxes(c, shapes, columns, rows.unionByName(more), KEY))
+
+
+def reading(spark, d):
+    """Rules stand right of the middles of the columns; each third table has two between a pair."""
+    c, shapes, _, rows, _ = grids(spark, d)
+    sides = c.groupBy(*KEY).agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+    x = F.explode(F.array(F.lit(160.0), F.lit(250.0), F.when(F.col("table_id") % 3 == 0, 251.0), F.lit(340.0)))
+    return _rounded(T.reading_boxes(c, shapes.join(sides, KEY), sides.select(*KEY, x.alias("x")).filter("x IS NOT NULL"), rows, KEY))
+
+
+def verified(spark, d):
+    c, shapes, columns, rows, more = grids(spark, d)
+    return _rounded(T.verified_grid(c.withColumn("cell_seq", F.lit(0)), shapes, columns, rows.unionByName(more), KEY))
+
+
 QUERIES = {
+    "m07_measured_cells": measured,
+    "m07_reading_boxes": reading,
+    "m07_verified_grids": verified,
     "a06_column_widths": widths,
     "a06_row_heights": heights,
     "a07_column_edges": edges,
