@@ -32,7 +32,7 @@ class BKTree:
         order = np.argsort(keys)
         self.keys, self.children = keys[order], children[order]
 
-    def search(self, queries: np.ndarray, radius: int, frontier: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def search(self, queries: np.ndarray, radius: int, frontier: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Yields (query index, node index) of all pairs within the radius, in parts of bounded size."""
         if not len(self.prints):
             return

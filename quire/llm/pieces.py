@@ -34,8 +34,8 @@ SEED, SHARPNESS = 17, 1.0
 MARK = 0x2581
 #: Stands for a literal U+2581, beyond Unicode so that no piece holds it.
 LITERAL = 0x110000
-#: Characters segmented together. Longer parts share more words, but their arrays leave the processor's caches.
-PART = 400_000
+#: Characters and rows segmented together. Longer parts share more words, but take more memory.
+PART, ROWS = 150_000, 300
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SLOT = np.uint64(44)
@@ -317,8 +317,8 @@ def encode_documents(docs: DataFrame, path: str = MODEL, key: str = "doc_id", se
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                rows = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(at, ROWS)
                 texts = rows.column(1).to_pylist()
                 ids = encode(vocabulary, texts, rows.column(0).to_pylist(), seed)
                 back = decode(vocabulary, ids)
