@@ -13,7 +13,10 @@ from ..operators import layout as L
 from ..operators.align import split_lines
 from ..quality import checks as C
 from ..quality import exports as E
-from ..sinks import render
+from ..sinks import docx, pdf, render
+from ..sources import docx as docx_source
+from ..sources import pdf as pdf_source
+from ..sources.scratch import kept
 from . import layout as PL
 from . import quality as Q
 from . import tables as PT
@@ -128,7 +131,58 @@ def fallback_checks(spark, d):
     return C.report(C.image_fallback(Q.docs(spark, d), b), C.typography(Q.docs(spark, d), items))
 
 
+def valid_models(spark, d):
+    """Stored models of all documents, as they come from a recognition."""
+    o, p = PL.ordered(spark, d), Q.pages(spark, d).withColumn("dpi", F.lit(150))
+    sources = o.select("doc_id").distinct().select("doc_id", F.concat("doc_id", F.lit(".pdf")).alias("file"), F.sha2(F.col("doc_id").cast("string"), 256).alias("sha256"), F.lit("pdf").alias("kind"))
+    return render.stored(o, p, sources, "lines")
+
+
+def written_pdfs(spark, d, write=pdf.positional_pdf):
+    """Checks of the documents' PDFs, as they are read back."""
+    read = kept(pdf_source.pdf_pages(write(valid_models(spark, d)).select("doc_id", F.col("pdf").alias("content"))), "pdf-pages")
+    files = read.groupBy("doc_id").agg(F.max("error").alias("error"))
+    words = PL.blocks(spark, d).groupBy("doc_id").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+    found = read.filter("page_index >= 0").select("doc_id", "page_index", "text", "hidden")
+    return E.pdf_checks(files.select("doc_id"), files, found, Q.pages(spark, d).select("doc_id", "page_index"), words, files.limit(0).select("doc_id"))
+
+
+def flowing_pdfs(spark, d):
+    """Texts of the flowing PDFs, read back: a line for each written one."""
+    read = pdf_source.pdf_pages(pdf.flow_pdf(valid_models(spark, d)).select("doc_id", F.col("pdf").alias("content")))
+    lines = read.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_index", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return lines.select("doc_id", F.md5(F.regexp_replace("text", r"\s+", "")).alias("md5"))
+
+
+def text_layers(spark, d):
+    """States of the text layers of pages written to PDFs and read back."""
+    read = pdf_source.pdf_pages(pdf.positional_pdf(valid_models(spark, d)).select("doc_id", F.col("pdf").alias("content")))
+    return read.select("doc_id", "page_index", X.text_layer(F.col("text")).alias("status"))
+
+
+def written_docx(spark, d):
+    """The structure of the documents' DOCX files, as it is read back."""
+    files = kept(docx.docx(valid_models(spark, d)).select("doc_id", F.col("docx").alias("content")), "docx-files")
+    read = lambda what, schema: docx_source.read(files, what, schema)
+    pages = Q.pages(spark, d).select("doc_id", "page_index", "width_pt", "height_pt")
+    docs = pages.select("doc_id").distinct()
+    wanted = docs.select("doc_id", F.lit(0).alias("n"))
+    return E.docx_checks(docs, pages, read(docx_source.canvases, docx_source.CANVASES).drop("error"), read(docx_source.objects, docx_source.OBJECTS), read(docx_source.tables, docx_source.TABLES), wanted).select("doc_id", "status", "detail")
+
+
+def reference_styles(spark, d):
+    """Prevailing styles of the runs of DOCX files."""
+    files = docx.docx(valid_models(spark, d)).select("doc_id", F.col("docx").alias("content"))
+    found = docx_source.read(files, docx_source.runs, docx_source.RUNS)
+    return typography.standard(found).select("role", "family", "bold", "italic")
+
+
 QUERIES = {
+    "k04_flowing_pdfs": flowing_pdfs,
+    "k05_positional_pdfs": written_pdfs,
+    "k07_docx_files": written_docx,
+    "s05_text_layers": text_layers,
+    "s11_reference_styles": reference_styles,
     "p02_block_kinds": kinds,
     "p02_index_texts": index_texts,
     "x27_split_readings": split_readings,
@@ -160,6 +214,16 @@ _TURNED = "i % 4 IN (1, 3)"
 _ENTRY = r"^(\d+(?:\.\d+)*\.\s+.+?)\s+(\d{1,4})$"
 _WORD = r"regexp_extract_all(replace(lower({}), 'ё', 'е'), '[\p{{L}}\p{{N}}_]+')"
 ORACLES = {
+    "k04_flowing_pdfs": sql(
+        r"""SELECT doc_id, md5(regexp_replace(string_agg(CASE WHEN type = 'figure' THEN file ELSE coalesce(text, '') END, '' ORDER BY page_index, ord), '\s+', '', 'g')) AS md5 FROM ordered GROUP BY doc_id""", *PL._ALL
+    ),
+    "k05_positional_pdfs": sql(
+        """SELECT doc_id, c AS "check", 'PASS' AS status, CASE c WHEN 'searchable_pdf' THEN 'pages read: ' || n WHEN 'visible_pdf_text' THEN 'all text is painted' WHEN 'searchable_pages' THEN n || ' of ' || n ELSE 'words found of a thousand: 1000' END AS detail
+FROM (SELECT doc_id, count(DISTINCT page_index) AS n, unnest(['searchable_pdf', 'visible_pdf_text', 'searchable_pages', 'searchable_text']) AS c FROM all_blocks GROUP BY doc_id)""",
+        "blocks",
+        "all_blocks",
+    ),
+    "k07_docx_files": sql("SELECT doc_id, 'PASS' AS status, 'pages, objects and tables are in place' AS detail FROM (SELECT DISTINCT doc_id FROM all_blocks)", "blocks", "all_blocks"),
     "p02_block_kinds": sql(
         f"""SELECT doc_id, page_index, block_id, CASE name WHEN 'text' THEN 'text' WHEN 'Title' THEN 'heading' WHEN 'section_header' THEN 'heading' WHEN 'list_item' THEN 'list_item' WHEN 'caption' THEN 'caption' WHEN 'page_footer' THEN 'footer'
   WHEN 'chart' THEN 'figure' WHEN 'picture' THEN 'figure' WHEN 'table' THEN 'table' WHEN 'document_index' THEN 'text' ELSE CASE WHEN {_STRIP.format("coalesce(text, '')")} <> '' THEN 'text' END END AS kind,
