@@ -8,11 +8,14 @@ from pixels needs models that are no part of this package.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from threading import Event, Thread
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Accumulator
+from pyspark.sql import DataFrame, SparkSession
 
 LINES = "doc_id long, page_index int, line_no int, text string, confidence double, x0 double, y0 double, x1 double, y1 double, attempts int, error string"
 
@@ -50,7 +53,32 @@ def analyze_page(engine: Engine, page: dict, attempts: int = 3, shrink: float =
     return [], attempts, None
 
 
-def recognize(pages: DataFrame, make: Callable[[], Engine], attempts: int = 3) -> DataFrame:
+@contextmanager
+def progress(spark: SparkSession, total: int, report: Callable[[int, int], None], seconds: float = 1.0) -> Iterator[Accumulator]:
+    """A counter for ``recognize``; while it is open, report(done, total) is called from time to time, and once at the end.
+
+    Tasks that are run again count again, so what is reported is held at total.
+    """
+    done, over = spark.sparkContext.accumulator(0), Event()
+
+    def watch() -> None:
+        last = -1
+        while not over.wait(seconds):
+            if (now := min(done.value, total)) != last:
+                last = now
+                report(now, total)
+
+    thread = Thread(target=watch, daemon=True)
+    thread.start()
+    try:
+        yield done
+    finally:
+        over.set()
+        thread.join()
+        report(min(done.value, total), total)
+
+
+def recognize(pages: DataFrame, make: Callable[[], Engine], attempts: int = 3, counter: Accumulator | None = None) -> DataFrame:
     """Rows of LINES for pages (doc_id, page_index, image, width_pt, height_pt, dpi); a failed page is one row with its error."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,6 +91,8 @@ def recognize(pages: DataFrame, make: Callable[[], Engine], attempts: int = 3) -
                 rows += [(*at, i, text, conf, *box, n, None) for i, (text, conf, box) in enumerate(lines)]
                 if error:
                     rows.append((*at, -1, None, None, None, None, None, None, n, error))
+                if counter is not None:
+                    counter.add(1)
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in LINES.split(", ")])
 
     return pages.mapInPandas(run, LINES)
