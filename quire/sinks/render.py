@@ -51,10 +51,19 @@ def _css(name: str, column: Column) -> Column:
     return F.concat(F.lit(f"{name}:"), F.format_string("%.3f", column), F.lit("pt"))
 
 
-def html(blocks: DataFrame, page_width: float, page_height: float) -> DataFrame:
-    """doc_id, html: every block at its place, text escaped, figures by their files."""
+def html(blocks: DataFrame, page_width: float, page_height: float, images: DataFrame | None = None) -> DataFrame:
+    """doc_id, html: every block at its place, text escaped, figures by their files.
+
+    Tables appear if they carry their markup (column markup, from tables.to_html). images: doc_id, file, content; figures that
+    are there are put into the page, so the file needs no other.
+    """
+    markup = F.col("markup") if "markup" in blocks.columns else F.lit(None).cast("string")
+    source = escape_html(F.col("file"))
+    if images is not None:
+        blocks = blocks.join(images.select("doc_id", "file", F.col("content").alias("_image")), ["doc_id", "file"], "left")
+        source = F.when(F.col("_image").isNotNull(), F.concat(F.lit("data:image/"), F.when(F.lower("file").endswith(".png"), "png").otherwise("jpeg"), F.lit(";base64,"), F.base64("_image"))).otherwise(source)
     style = F.concat_ws(";", F.lit("position:absolute"), _css("left", F.col("x0")), _css("top", F.col("y0")), _css("width", F.col("x1") - F.col("x0")), _css("height", F.col("y1") - F.col("y0")))
-    inner = F.when(F.col("type") == "figure", F.concat(F.lit('<img src="'), escape_html(F.col("file")), F.lit('" alt="">'))).otherwise(F.replace(escape_html(X.or_empty(F.col("text"))), F.lit("\n"), F.lit("<br>")))
+    inner = F.when(F.col("type") == "figure", F.concat(F.lit('<img src="'), source, F.lit('" alt="">'))).when((F.col("type") == "table") & markup.isNotNull(), markup).otherwise(F.replace(escape_html(X.or_empty(F.col("text"))), F.lit("\n"), F.lit("<br>")))
     div = F.concat(F.lit('<div id="'), escape_html(F.col("block_id")), F.lit('" class="'), F.col("type"), F.lit('" style="'), style, F.lit('">'), inner, F.lit("</div>"))
     pages = _ordered(blocks.withColumn("html", div), PAGE, ["ord", "block_id"], "html", "\n")
     size = f"position:relative;width:{page_width:.3f}pt;height:{page_height:.3f}pt"
