@@ -83,3 +83,62 @@ def test_long_texts_of_secrets_take_linear_time():
     began = time.process_time()
     base, found = secrets.scan(text)
     assert len(text) > 1_000_000 and len(base) == 15000 and len(found) >= 15000 and time.process_time() - began < 4
+
+
+def test_op2_columns_scores_and_held_out_quality(spark, tmp_path):
+    from quire.llm import classifier
+
+    rng = np.random.default_rng(24)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), int(rng.integers(2, 9))))
+    # Labels follow the share of one kind of words, with noise, so that no single word decides.
+    rows, labels = [], []
+    for i in range(1500):
+        bad = rng.random()
+        text = " ".join(word() + "z" * (rng.random() < bad / 2) for _ in range(80))
+        rows.append((i, text, "en", "s", len(text), 0, "x"))
+        labels.append((i, int(bad + 0.1 * rng.normal() < 0.5), 0))
+    rows += [(2000, None, "en", "s", None, 0, "x"), (2001, "", "en", "s", 0, 0, "x"), (2001, "", "en", "s", 0, 0, "x"), (None, "z" * 300000, "en", "s", 1, 0, "x")]
+    write(spark, tmp_path, "documents", rows, DOCS)
+    write(spark, tmp_path, "labels", labels, "doc_id long, quality int, toxic int")
+    got = classifier.op2_quality(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and got[0].asDict().keys() >= {"doc_id", "held_out", "score", "predicted"}
+    machine = classifier.fit(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    by_id = {r.doc_id: r for r in got}
+    for doc_id, text, _, _, n_chars, _, _ in rows[::37] + rows[-4:]:
+        at, x = classifier.features(text, n_chars)
+        spread = (machine.factor[at] * x[:, None]).astype(np.float64)
+        raw = machine.bias + float(machine.weight[at].astype(np.float64) @ x) + float(np.triu(spread @ spread.T, 1).sum())
+        r = by_id[doc_id]
+        assert abs(r.score - 1 / (1 + math.exp(-raw))) < 1e-5 and r.predicted == int(r.score >= 0.5)
+        assert r.held_out == (doc_id is not None and __import__("zlib").crc32(str(doc_id).encode()) % 3 == 1)
+    tested = sorted((by_id[i].score, y) for i, y, _ in labels if by_id[i].held_out)
+    ranks = [k for k, (_, y) in enumerate(tested, 1) if y]
+    ones = len(ranks)
+    assert (sum(ranks) - ones * (ones + 1) / 2) / (ones * (len(tested) - ones)) > 0.8
+
+
+def test_op1_op3_op5_op6_op7_op8_op9_columns(spark, tmp_path):
+    from quire.llm import chat, mixing, pieces, rules, simhash, suffix, tokens
+
+    shared = "a passage that two of the documents have in common, long enough to be removed from the second one"
+    rows = [(1, shared + " one", "en", "s", 9, 0, "x"), (2, "two " + shared, "en", None, 9, 0, "x"), (3, None, None, "s", None, 0, "x"), (3, None, None, "s", None, 0, "x"), (4, "word " * 20000, "de", "s", 1, 0, "x")]
+    write(spark, tmp_path, "documents", rows, DOCS)
+    write(spark, tmp_path, "conversations", [(7, 0, "user", "hi"), (7, 1, "assistant", None), (8, 0, "user", "</s>")], "conv_id long, turn long, role string, text string")
+    folder = str(tmp_path)
+    types = lambda df: {f.name: f.dataType.simpleString() for f in df.schema}
+    mixed = mixing.op1_mix(spark, folder)
+    assert types(mixed) == {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"} and mixed.count() == 5
+    judged = rules.op3_rules(spark, folder)
+    assert types(judged) == {"doc_id": "bigint", **dict.fromkeys(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), "bigint"), "base_failed": "boolean", "kept": "boolean"} and judged.count() == 5
+    talks = {r.conv_id: r for r in chat.op5_chat(spark, folder).collect()}
+    assert set(talks) == {-1, 7, 8} and [talks[c].loss_chars for c in (-1, 7, 8)] == [21, 0, 0] and talks[7].n_turns == 2
+    assert talks[-1].loss_sha256 == hashlib.sha256(b"</s>[INST] ok [/INST]").hexdigest()
+    coded = pieces.op6_pieces(spark, folder).collect()
+    assert len(coded) == 5 and all(r.lossless and r.n_tokens == len(r.ids or []) for r in coded)
+    cut = {r.doc_id: r for r in suffix.op7_suffix(spark, folder).collect()}
+    assert (cut[1].n_removed, cut[2].n_removed, cut[2].n_spans, cut[3].n_bytes) == (0, len(shared), 1, 0)
+    assert cut[2].kept_sha256 == hashlib.sha256(b"two ").hexdigest() and cut[2].n_bytes == len(shared) + 4
+    prints = {r.doc_id: r for r in simhash.op8_simhash(spark, folder).collect()}
+    assert prints[3].fingerprint == "0" * 16 and prints[3].component_id == 3 and len(prints) == 4
+    hist = tokens.op9_tokens(spark, folder).collect()
+    assert sum(r.n_docs for r in hist) == 5 and min(r.n_tokens for r in hist) == 0
