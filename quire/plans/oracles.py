@@ -108,7 +108,66 @@ _SHAPES = """, shapes AS (SELECT table_id, max(row + rowspan) AS n_rows, max(col
 xs AS (SELECT table_id, "at", edge FROM col_edges WHERE NOT (table_id % 7 = 3 AND "at" = 1)),
 ys AS (SELECT table_id, "at", edge FROM row_edges UNION ALL SELECT table_id, max("at") + 1, max(edge) + 20 FROM row_edges WHERE table_id % 5 = 1 GROUP BY table_id),
 n AS (SELECT * FROM shapes JOIN (SELECT table_id, count(*) AS n_x FROM xs GROUP BY table_id) USING (table_id) JOIN (SELECT table_id, count(*) AS n_y FROM ys GROUP BY table_id) USING (table_id))"""
+B.SQL["with_echoes"] = """with_echoes AS (
+  SELECT doc_id, page_index, block_id, type, text, ord, x0, y0, x1, y1 FROM ordered
+  UNION ALL
+  SELECT doc_id, page_index, 'e' || block_id, 'text', text || ' ' || next_text, ord + 1000, x0, y0, greatest(x1, nx1), ny1 FROM (
+    SELECT *, lead(text) OVER w AS next_text, lead(y1) OVER w AS ny1, lead(x1) OVER w AS nx1 FROM ordered WINDOW w AS (PARTITION BY doc_id, page_index, page_column ORDER BY y0, x0, block_id))
+  WHERE i % 5 = 1 AND next_text IS NOT NULL AND text IS NOT NULL
+)"""
+#: Letters beyond ASCII as capitals, of which keys have none, so that distances count letters rather than bytes.
+_PLAIN = "translate({}, 'àâäáãçèéêëíìîïñóòôöúùûü', 'ABCDEFGHIJKLMNOPQRSTUVW')"
 ORACLES = {
+    "j06_contained_duplicates": _more(
+        r""", k AS (SELECT *, regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', '', 'g') AS key FROM with_echoes WHERE type <> 'figure' AND coalesce(text, '') <> '')
+SELECT a.doc_id, a.page_index, a.block_id FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.page_index = b.page_index AND a.block_id <> b.block_id AND b.x0 >= a.x0 - 3 AND b.x1 <= a.x1 + 3 AND b.y0 >= a.y0 - 3 AND b.y1 <= a.y1 + 3
+GROUP BY a.doc_id, a.page_index, a.block_id, a.key HAVING count(*) > 1 AND string_agg(b.key, '' ORDER BY b.y0, b.x0, b.ord) = a.key""",
+        *_ALL,
+        "with_echoes",
+    ),
+    "j07_echoes": _more(
+        r""", k AS (SELECT * FROM (SELECT *, array_to_string(regexp_extract_all(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[\p{L}\p{N}_]+'), '') AS key FROM with_echoes WHERE type <> 'figure') WHERE key <> ''),
+p AS (
+  SELECT a.doc_id, a.page_index, a.block_id, a.key, count(*) AS n, max(b.y0) - min(b.y0) <= 1.5 * max(b.y1 - b.y0) AS across,
+    string_agg(b.key, '' ORDER BY b.x0, b.y0, b.ord) AS by_x, string_agg(b.key, '' ORDER BY b.y0, b.x0, b.ord) AS by_y
+  FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.page_index = b.page_index AND a.block_id <> b.block_id AND length(b.key) <= length(a.key)
+    AND greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / least(greatest(0.01, (a.x1 - a.x0) * (a.y1 - a.y0)), greatest(0.01, (b.x1 - b.x0) * (b.y1 - b.y0))) >= 0.55
+  GROUP BY a.doc_id, a.page_index, a.block_id, a.key),
+j AS (SELECT *, CASE WHEN across THEN by_x ELSE by_y END AS joined FROM p WHERE n >= 2)
+SELECT doc_id, page_index, block_id FROM j WHERE length(joined) / length(key) BETWEEN 0.9 AND 1.1 AND 1 - levenshtein("""
+        + _PLAIN.format("key")
+        + ", "
+        + _PLAIN.format("joined")
+        + ") / greatest(length(key), length(joined)) >= 0.94",
+        *_ALL,
+        "with_echoes",
+    ),
+    "f01_admission": "WITH RECURSIVE "
+    + B.SQL["jobs"]
+    + """, e AS (SELECT job_id % 20 AS queue, event_id, job_id, event, row_number() OVER (PARTITION BY job_id % 20 ORDER BY ts, event_id, job_id, event) AS k FROM jobs WHERE event IS NOT NULL),
+fold AS (
+  SELECT queue, 0::BIGINT AS k, []::BIGINT[] AS open_, NULL::BIGINT AS event_id, 0 AS active, NULL::BOOLEAN AS admitted FROM (SELECT DISTINCT queue FROM e)
+  UNION ALL
+  SELECT queue, k, CASE WHEN ok THEN list_append(open_, job_id) WHEN event IN ('completed', 'failed', 'cancelled') THEN list_filter(open_, lambda x: x <> job_id) ELSE open_ END, event_id, len(open_)::INT, CASE WHEN event = 'submitted' THEN ok END
+  FROM (SELECT f.queue, e.k, f.open_, e.event_id, e.job_id, e.event, e.event = 'submitted' AND NOT list_contains(f.open_, e.job_id) AND len(f.open_) < 3 AS ok FROM fold f JOIN e ON e.queue = f.queue AND e.k = f.k + 1))
+SELECT queue, event_id, active, admitted FROM fold WHERE k > 0""",
+    "w08_review_batches": "WITH RECURSIVE "
+    + ",\n".join(B.SQL[n] for n in ("blocks", "all_blocks"))
+    + """, t AS (SELECT doc_id, length(text) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY page_index, block_id) AS k FROM all_blocks WHERE text IS NOT NULL),
+fold AS (
+  SELECT doc_id, k, n AS size, 0 AS batch FROM t WHERE k = 1
+  UNION ALL
+  SELECT t.doc_id, t.k, CASE WHEN f.size > 0 AND f.size + t.n > 400 THEN t.n ELSE f.size + t.n END, f.batch + CASE WHEN f.size > 0 AND f.size + t.n > 400 THEN 1 ELSE 0 END FROM fold f JOIN t ON t.doc_id = f.doc_id AND t.k = f.k + 1)
+SELECT doc_id, count(DISTINCT batch) AS batches, count(DISTINCT batch) FILTER (batch < 20) AS checked FROM fold GROUP BY doc_id""",
+    "s05_text_layers": sql(
+        r"""SELECT doc_id, page_index, CASE WHEN ink = 0 THEN 'absent' WHEN length(regexp_replace(page, '^\s+|\s+$', '', 'g')) < 20 THEN 'garbage'
+  WHEN letters / greatest(ink, 1) < 0.35 OR controls / greatest(length(page), 1) > 0.05 OR marks / greatest(length(page), 1) > 0.01 OR mixed / greatest(words, 1) > 0.25 THEN 'garbage' ELSE 'valid' END AS status
+FROM (SELECT doc_id, page_index, page, len(regexp_extract_all(page, '\S')) AS ink, len(regexp_extract_all(page, '[\x{400}-\x{52F}A-Za-z\x{C0}-\x{24F}]')) AS letters,
+  len(regexp_extract_all(page, '[\x00-\x08\x0B\x0C\x0E-\x1F]')) AS controls, length(page) - length(replace(page, chr(65533), '')) AS marks, len(regexp_extract_all(page, '\S+')) AS words,
+  len(list_filter(regexp_extract_all(page, '\S+'), lambda w: regexp_matches(w, '[\x{400}-\x{52F}]') AND regexp_matches(w, '[A-Za-z\x{C0}-\x{24F}]'))) AS mixed
+  FROM (SELECT doc_id, page_index, string_agg(CASE WHEN type = 'figure' THEN file ELSE text END, chr(10) ORDER BY ord) AS page FROM ordered GROUP BY doc_id, page_index))""",
+        *_ALL,
+    ),
     "m07_measured_cells": _more(
         _SHAPES
         + """
