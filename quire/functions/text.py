@@ -42,24 +42,46 @@ def fold(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
+def spaced(text: Column) -> Column:
+    """Every blank as a space, which costs far less than to match all of them by a pattern."""
+    return F.translate(text, BLANKS, " " * len(BLANKS))
+
+
 def squeeze(text: Column) -> Column:
     """Words between blanks, joined by one space."""
-    return strip(F.regexp_replace(text, f"{BLANK}+", " "))
+    return F.btrim(F.regexp_replace(spaced(text), " +", " "), F.lit(" "))
+
+
+def ink_count(text: Column) -> Column:
+    return F.length(F.translate(text, BLANKS, ""))
+
+
+def run_count(text: Column) -> Column:
+    """Words between blanks."""
+    one = squeeze(text)
+    return F.when(one == "", 0).otherwise(F.length(one) - F.length(F.replace(one, F.lit(" "), F.lit(""))) + 1)
 
 
 def ratio(part: Column, whole: Column) -> Column:
     return part.cast("double") / F.greatest(whole, F.lit(1))
 
 
+def count_chars(text: Column, kind: str) -> Column:
+    """Characters of a class. What is left without them is measured, which is cheaper than to list them."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{kind}+", ""))
+
+
 def script_count(text: Column, scripts: Sequence[str] = ("cyrillic", "latin")) -> Column:
     """Characters of the scripts; none belongs to both."""
     parts = {"cyrillic": CYRILLIC, "latin": LATIN}
-    return sum((F.regexp_count(text, F.lit(parts[s])) for s in scripts), F.lit(0))
+    return sum((count_chars(text, parts[s]) for s in scripts), F.lit(0))
 
 
 def mixed_words(text: Column) -> Column:
-    words = F.regexp_extract_all(text, F.lit(f"{INK}+"), F.lit(0))
-    return F.size(F.filter(words, lambda w: w.rlike(CYRILLIC) & w.rlike(LATIN)))
+    """Words with letters of both scripts; a text with one script is not cut into words."""
+    words = F.split(squeeze(text), " ")
+    both = text.rlike(CYRILLIC) & text.rlike(LATIN)
+    return F.when(both, F.size(F.filter(words, lambda w: w.rlike(CYRILLIC) & w.rlike(LATIN)))).when(text.isNotNull(), 0)
 
 
 def is_mixed_word(text: Column) -> Column:
@@ -69,10 +91,10 @@ def is_mixed_word(text: Column) -> Column:
 def text_layer(text: Column, least: int = 20, script: float = 0.35, control: float = 0.05, replacement: float = 0.01, mixed: float = 0.25, scripts: Sequence[str] = ("cyrillic", "latin")) -> Column:
     """absent, garbage or valid. Null counts as absent."""
     text = or_empty(text)
-    length, ink = F.length(text), F.regexp_count(text, F.lit(INK))
-    controls = F.regexp_count(text, F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F]"))
-    words = F.regexp_count(text, F.lit(f"{INK}+"))
-    bad = (ratio(script_count(text, scripts), ink) < script) | (ratio(controls, length) > control) | (ratio(F.regexp_count(text, F.lit("�")), length) > replacement) | (ratio(mixed_words(text), words) > mixed)
+    length, ink = F.length(text), ink_count(text)
+    controls = count_chars(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
+    words = run_count(text)
+    bad = (ratio(script_count(text, scripts), ink) < script) | (ratio(controls, length) > control) | (ratio(count_chars(text, "�"), length) > replacement) | (ratio(mixed_words(text), words) > mixed)
     return F.when(ink == 0, "absent").when(F.length(strip(text)) < least, "garbage").when(bad, "garbage").otherwise("valid")
 
 
@@ -96,7 +118,7 @@ def word_key(text: Column) -> Column:
 
 
 def ink_key(text: Column) -> Column:
-    return F.regexp_replace(fold(or_empty(text)), f"{BLANK}+", "")
+    return F.translate(fold(or_empty(text)), BLANKS, "")
 
 
 def margin_key(text: Column) -> Column:
@@ -184,7 +206,7 @@ def choose_path(primary: Column, other: Column) -> Column:
 
 
 def confirms_short_value(text: Column, confidence: Column, other: Column, other_confidence: Column) -> Column:
-    short = F.regexp_count(text, F.lit(f"{INK}+")).between(1, 3)
+    short = run_count(text).between(1, 3)
     return F.coalesce((confidence >= 0.55) & short & (other_confidence >= 0.45) & (short_value_look(text) == short_value_look(strip(other))), F.lit(False))
 
 

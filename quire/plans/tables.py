@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..model import bridge as B
 from ..model.bridge import sql
 from ..operators import tables as T
+from ..sources.scratch import kept
 
 KEY = ["table_id"]
 
@@ -90,8 +91,9 @@ def grids(spark, d):
     """Cells, tables, and measured separators, of which each seventh table lacks one and each fifth has one more row."""
     c = cells(spark, d)
     shapes = T.shape(c, KEY).withColumnsRenamed({"rows": "n_rows", "cols": "n_cols"})
-    columns = T.edges(c, KEY).filter("NOT (table_id % 7 = 3 AND at = 1)")
-    rows = T.edges(c, KEY, across=False)
+    # Separators are read several times below.
+    columns = kept(T.edges(c, KEY).filter("NOT (table_id % 7 = 3 AND at = 1)"), "columns")
+    rows = kept(T.edges(c, KEY, across=False), "rows")
     last = rows.groupBy(*KEY).agg(F.max("at").alias("at"), F.max("edge").alias("edge")).filter("table_id % 5 = 1")
     return c, shapes, columns, rows, last.select(*KEY, (F.col("at") + 1).alias("at"), (F.col("edge") + 20).alias("edge"))
 

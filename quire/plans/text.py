@@ -19,7 +19,9 @@ def lines(spark, d):
 
 
 def text_layer(spark, d):
-    return lines(spark, d).select(*KEY, X.text_layer(F.col("noisy")).alias("status"))
+    # A generator makes the text once for all that is counted in it.
+    once = lines(spark, d).select(*KEY, F.explode(F.array("noisy")).alias("noisy"))
+    return once.select(*KEY, X.text_layer(F.col("noisy")).alias("status"))
 
 
 def scripts(spark, d):
