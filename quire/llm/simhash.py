@@ -301,7 +301,8 @@ def near_groups(described: DataFrame, rows: DataFrame, size: int = NEAR_SHINGLE,
     met = met.join(shared, "band").join(texts.select("key", "print", "bins"), "key")
     found = met.select("band", "key", "print", "bins").repartition("band").sortWithinPartitions("band", "key").mapInArrow(link, "a long, b long")
     loose = stash(components(found).join(least, F.col("node") == F.col("key")).join(texts.select("key", "print"), "key").select("key", "print", F.col("root").alias("group"), "least"), "loose")
-    members = rows.join(loose, (F.col("own_key") == F.col("key")) & F.col("own_id").eqNullSafe(F.col("least"))).select("group", "key", "print", F.col("own_text").alias("text"))
+    # What is joined with the texts grows with the corpus: never broadcast, so plans are alike at every size.
+    members = rows.join(loose.hint("merge"), (F.col("own_key") == F.col("key")) & F.col("own_id").eqNullSafe(F.col("least"))).select("group", "key", "print", F.col("own_text").alias("text"))
     roots = components(verified(members, size, similarity, radius))
     rooted = least.join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     rooted = stash(rooted, "rooted")
@@ -324,7 +325,7 @@ def near_dedup(docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = SI
         kept = keep(stash(kept, "kept"))
         repeated = described.groupBy("doc_id", "key").count().filter("count > 1").limit(1).count()
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("own_id"), key_of(docs["text"].cast("string")).alias("own_key"))
-    held = rows.join(kept, (F.col("own_key") == F.col("kept_key")) & F.col("own_id").eqNullSafe(F.col("kept_id")))
+    held = rows.join(kept.hint("merge"), (F.col("own_key") == F.col("kept_key")) & F.col("own_id").eqNullSafe(F.col("kept_id")))
     # Only if a table repeats rows do copies with the id of the one that stays remain.
     if repeated:
         held = held.dropDuplicates(["own_id", "own_key"])
