@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exports, geometry, jobs, layout, oracles, quality, service, tables, text
+from . import exports, geometry, jobs, layout, oracles, quality, readings, service, tables, text
 
-MODULES = (text, geometry, layout, tables, quality, jobs, exports, service)
+MODULES = (text, geometry, layout, tables, quality, jobs, exports, service, readings)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in (*MODULES, oracles) for k, v in m.ORACLES.items()}

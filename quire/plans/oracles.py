@@ -216,6 +216,13 @@ FROM slots s JOIN sure USING (table_id) LEFT JOIN good g ON g.table_id = s.table
         "row_edges",
     ),
     "v01_checks": sql(_CHECKS, *_FOUND),
+    "k09_reports": sql(
+        """SELECT doc_id, 'verification.json' AS name, md5('{"ok":' || CASE WHEN bool_or(status = 'FAIL') THEN 'false' ELSE 'true' END || ',"result":"' || CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' WHEN bool_or(status = 'WARN') THEN 'WARN' ELSE 'PASS' END
+  || '","checks":[' || string_agg('{"check":"' || "check" || '","status":"' || status || '","detail":' || to_json(detail)::VARCHAR || '}', ',' ORDER BY "check") || ']}') AS md5 FROM ("""
+        + _CHECKS
+        + ") GROUP BY doc_id",
+        *_FOUND,
+    ),
     "a14_verification": sql(
         f"SELECT doc_id, CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' WHEN bool_or(status = 'WARN') THEN 'WARN' ELSE 'PASS' END AS result, NOT bool_or(status = 'FAIL') AS ok FROM ({_CHECKS}) GROUP BY doc_id", *_FOUND
     ),
