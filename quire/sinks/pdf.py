@@ -71,6 +71,7 @@ class Canvas:
 
     def __init__(self, page_width: float, page_height: float):
         self.size, self.parts, self.letters = (page_width, page_height), [], set()
+        self.image = None
 
     def text(self, x: float, y: float, line: str, size: float, bold: bool = False) -> None:
         """A line whose upper edge is at y."""
@@ -88,6 +89,18 @@ class Canvas:
             self.text(box["x0"], box["y0"] + i * size * LEADING, line, size, bold)
 
 
+def image_document(images: list, dpi: int = 300) -> bytes:
+    """Frames (arrays of gray or red, green and blue) as pages of their own size, without loss."""
+    pages = []
+    for image in images:
+        height, width_ = image.shape[:2]
+        page = Canvas(width_ * 72 / dpi, height * 72 / dpi)
+        page.image = image
+        page.parts.append(f"q {page.size[0]:.2f} 0 0 {page.size[1]:.2f} 0 0 cm /I Do Q")
+        pages.append(page)
+    return document(pages)
+
+
 _MAP = b"""/CIDInit /ProcSet findresource begin 12 dict begin begincmap /CMapName /Unicode def /CMapType 2 def
 1 begincodespacerange <0000> <ffff> endcodespacerange
 %s
@@ -122,8 +135,13 @@ def document(pages: list[Canvas]) -> bytes:
         fonts.append(add(f"<< /Type /Font /Subtype /Type0 /BaseFont /{name} /Encoding /Identity-H /DescendantFonts [{inner} 0 R] /ToUnicode {mapped} 0 R >>".encode()))
     kids = []
     for page in pages:
-        content = add(stream("\n".join(["0.5 w", *page.parts]).encode("ascii")))
-        kids.append(add(f"<< /Type /Page /Parent {tree} 0 R /MediaBox [0 0 {page.size[0]:.2f} {page.size[1]:.2f}] /Resources << /Font << /F1 {fonts[0]} 0 R /F2 {fonts[1]} 0 R >> >> /Contents {content} 0 R >>".encode()))
+        content, picture = add(stream("\n".join(["0.5 w", *page.parts]).encode("ascii"))), ""
+        if page.image is not None:
+            high, wide = page.image.shape[:2]
+            space = "DeviceRGB" if page.image.ndim == 3 else "DeviceGray"
+            head = f"/Type /XObject /Subtype /Image /Width {wide} /Height {high} /ColorSpace /{space} /BitsPerComponent 8 ".encode()
+            picture = f"/XObject << /I {add(stream(page.image.tobytes()).replace(b'<< ', b'<< ' + head, 1))} 0 R >> "
+        kids.append(add(f"<< /Type /Page /Parent {tree} 0 R /MediaBox [0 0 {page.size[0]:.2f} {page.size[1]:.2f}] /Resources << {picture}/Font << /F1 {fonts[0]} 0 R /F2 {fonts[1]} 0 R >> >> /Contents {content} 0 R >>".encode()))
     objects[root - 1] = f"<< /Type /Catalog /Pages {tree} 0 R >>".encode()
     objects[tree - 1] = f"<< /Type /Pages /Kids [{' '.join(f'{k} 0 R' for k in kids)}] /Count {len(kids)} >>".encode()
     out, places = bytearray(b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"), []

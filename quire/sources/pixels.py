@@ -321,6 +321,60 @@ def split_wide(image: np.ndarray, widest: int, dark: int = 170) -> list[tuple[in
     return [*out, (at, width)]
 
 
+def word_spans(image: np.ndarray, dark: int = 170, gap: float = 0.22) -> list[tuple[int, int]]:
+    """Column ranges of the words of a line: gaps up to a share of its height, four pixels at least, are within words."""
+    mask = gray(image) < dark
+    mask[:, mask.sum(0) > image.shape[0] * 0.9] = False
+    rows = np.flatnonzero(mask.sum(1) > 2)
+    columns = np.flatnonzero(mask.sum(0) > 1)
+    if not len(rows) or not len(columns):
+        return []
+    most = max(4.0, (rows[-1] - rows[0] + 1) * gap)
+    return [(int(p[0]), int(p[-1]) + 1) for p in np.split(columns, np.flatnonzero(np.diff(columns) > most) + 1)]
+
+
+def strokes(image: np.ndarray, dark: int = 170) -> list[tuple[int, int]]:
+    """Column ranges of the slanted strokes between the parts of a path: tall, narrow, straight, and leaning."""
+    mask = gray(image) < dark
+    found = []
+    for (x0, y0, x1, y1), _ in components(mask):
+        high, wide = y1 - y0, x1 - x0
+        if high < 16 or wide < 5 or wide > high * 0.7:
+            continue
+        ys, xs = np.nonzero(mask[y0:y1, x0:x1])
+        lean, start = np.polyfit(ys, xs, 1)
+        if 0.1 < lean < 0.65 and float(np.sqrt(np.mean((xs - lean * ys - start) ** 2))) < 1.8:
+            found.append((x0, x1))
+    return sorted(found)
+
+
+def path_parts(image: np.ndarray) -> list[tuple[int, int] | None]:
+    """Column ranges between the strokes of a path, null where there is hardly any ink; empty without two strokes."""
+    cuts = strokes(image)
+    if len(cuts) < 2:
+        return []
+    mask, width = gray(image) < 170, image.shape[1]
+    ends = list(zip([0] + [b for _, b in cuts], [a for a, _ in cuts] + [width]))
+    return [(a, b) if b - a > 8 and mask[:, a:b].sum() > 20 else None for a, b in ends]
+
+
+class FailureLog:
+    """What went wrong while reading, within bounds: so many events, and so many bytes of pictures."""
+
+    def __init__(self, events: int = 100, size: int = 64 << 20):
+        self.left, self.room, self.events = events, size, []
+
+    def add(self, kind: str, picture: bytes = b"", **about: object) -> bool:
+        """Whether the event was kept; a picture for which there is no room is left out."""
+        if self.left <= 0:
+            return False
+        self.left -= 1
+        kept = len(picture) <= self.room
+        self.room -= len(picture) if kept else 0
+        self.events.append({"kind": kind, **about, "picture": picture if kept else b""})
+        return True
+
+
 def padded(image: np.ndarray, least: int) -> np.ndarray:
     """A thin crop with white around it, so that a reader takes it."""
     more = [max(0, least - n) for n in image.shape[:2]]

@@ -148,3 +148,29 @@ def test_pages_in_tasks(spark):
     pages = spark.createDataFrame(rows, "page long, image binary")
     out = P.over_pages(pages, lambda p: [(p["page"], n, x) for n, x in enumerate(P.grid(P.read_image(p["image"]))[0])], "page long, at int, x double")
     assert {(r.page, r.x) for r in out.collect() if r["at"] == 1} == {(i, 30.5 + i) for i in range(5)}
+
+
+def test_words_strokes_and_failures():
+    line = white(20, 200)
+    for x0, x1 in ((10, 40), (43, 60), (80, 120), (150, 190)):
+        line[5:15, x0:x1] = 0
+    assert P.word_spans(line) == [(10, 60), (80, 120), (150, 190)] and P.word_spans(white(10, 10)) == []
+    path = white(30, 200)
+    for at in (60, 130):
+        for y in range(24):
+            path[3 + y, at + y // 3 : at + y // 3 + 2] = 0
+    path[5:25, 10:50], path[5:25, 150:190] = 0, 0
+    assert P.strokes(path) == [(60, 69), (130, 139)] and P.path_parts(path) == [(0, 60), None, (139, 200)]
+    assert P.path_parts(line) == []
+    log = P.FailureLog(events=2, size=5)
+    assert log.add("a", b"1234", page=1) and log.add("b", b"1234") and not log.add("c")
+    assert [(e["kind"], e["picture"]) for e in log.events] == [("a", b"1234"), ("b", b"")]
+
+
+def test_frames_as_pages():
+    from quire.sinks import pdf
+    from quire.sources.pdf import read_pdf
+
+    frames = [white(144, 72), np.zeros((10, 20, 3), np.uint8)]
+    data = pdf.image_document(frames, 72)
+    assert [(p.width, p.height, p.text) for p in read_pdf(data)] == [(72.0, 144.0, ""), (20.0, 10.0, "")] and data.count(b"/Subtype /Image") == 2

@@ -81,3 +81,17 @@ def test_images_in_pages(spark):
     images = spark.createDataFrame([(1, "images/f.png", b"abc")], "doc_id long, file string, content binary")
     html = render.html(b, 595.0, 842.0, images).first().html
     assert '<img src="data:image/png;base64,YWJj"' in html and '<img src="images/g.jpg"' in html
+
+
+def test_assembled_pages(spark):
+    from quire.operators import page
+
+    rows, lines = [], []
+    for p in range(4):
+        rows += [block("h", (50, 20, 300, 32), f"Report of May, page {p}", ord=0, page=p), block("a", (50, 100, 300, 112), "first line", ord=1, page=p), block("b", (50, 200, 150, 212), "left part", ord=2, page=p), block("c", (160, 200, 300, 212), "right part", ord=3, page=p), block("e", (50, 200, 300, 212), "left part right part", ord=4, page=p)]
+        lines += [(1, p, 1, "a lost line", 0.9, 50.0, 150.0, 300.0, 162.0), (1, p, 2, "first line of them", 0.96, 50.0, 100.0, 300.0, 112.0)]
+    read = spark.createDataFrame(lines, "doc_id long, page_index int, line_no int, text string, confidence double, x0 double, y0 double, x1 double, y1 double")
+    got = {}
+    for r in page.assembled(frame(spark, *rows), read, 842.0, 595.0).orderBy("page_index", "ord").collect():
+        got.setdefault(r.page_index, []).append((r.ord, r.block_id, r.text))
+    assert got == {p: [(0, "a", "first line of them"), (1, "line-1", "a lost line"), (2, "b", "left part"), (3, "c", "right part")] for p in range(4)}
