@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
+# Confidences and similarities by which a reading is taken.
+UNCERTAIN, LONGEST, BOTH, LETTERS, SURE, SOMEWHAT, NEAR = 0.85, 500, 0.65, 12, 0.92, 0.6, 0.9
+
+
 def _plain(text: Column) -> Column:
     return X.squeeze(X.fold(text))
 
@@ -19,13 +23,13 @@ def uncertain_line(text: Column, confidence: Column, second: Column, second_scor
     it is near, or if it is read so again from a cleaner picture (third).
     """
     other = X.strip(X.or_empty(second))
-    asked = (confidence < 0.85) & (F.length(text) <= 500) & (other != "") & (X.numbers(text) == X.numbers(other))
+    asked = (confidence < UNCERTAIN) & (F.length(text) <= LONGEST) & (other != "") & (X.numbers(text) == X.numbers(other))
     letters = X.count_chars(text, r"\p{L}")
-    agreed = (confidence >= 0.65) & (second_score >= 0.65) & (_plain(text) == _plain(other)) & (X.run_count(text) > 3) & (letters >= 12)
-    near = (confidence >= 0.6) & (X.similarity(_plain(text), _plain(other)) >= 0.9)
-    again = F.coalesce((X.strip(third) == other) & (third_score >= 0.92), F.lit(False))
+    agreed = (confidence >= BOTH) & (second_score >= BOTH) & (_plain(text) == _plain(other)) & (X.run_count(text) > 3) & (letters >= LETTERS)
+    near = (confidence >= SOMEWHAT) & (X.similarity(_plain(text), _plain(other)) >= NEAR)
+    again = F.coalesce((X.strip(third) == other) & (third_score >= SURE), F.lit(False))
     pair = lambda t, c: F.struct(t.alias("text"), c.cast("double").alias("confidence"))
-    sure = F.coalesce(second_score >= 0.92, F.lit(False))
+    sure = F.coalesce(second_score >= SURE, F.lit(False))
     return F.when(asked & agreed, pair(text, confidence)).when(asked & sure & near, pair(other, second_score)).when(asked & sure & again, pair(other, F.least(second_score, third_score)))
 
 

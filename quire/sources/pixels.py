@@ -21,6 +21,25 @@ from .engines import bands, read_pgm
 _MAGIC = b"\x89PNG\r\n\x1a\n"
 Box = tuple[int, int, int, int]
 
+# Gray levels below which there is ink, and sizes by which shapes are told apart, in pixels unless said otherwise.
+INK, RULE_INK, FIELD_INK, PALE_INK = 170, 180, 150, 210
+#: Least lengths of rules as a part of the width and height, and in pixels; shares of the table that a separator crosses.
+GRID_PARTS, GRID_LEAST, GRID_SHARES = (4, 8), 20, (0.5, 0.35)
+#: Part of the side of a separator that must be inked beside each cell.
+COMPLETE = 0.7
+#: Heights of a line: least, most, and most as a share of its cell; columns with ink; gap to what belongs to it.
+LINE_LOWEST, LINE_HIGHEST, LINE_SHARE, LINE_COLUMNS, LINE_GAP = 5, 100, 0.1, 8, 0.18
+#: Rules in cells: part of a side, and least length; spread of a colour, share of a filled cell, spread of a gray, widths in points.
+CELL_PART, CELL_LEAST, COLORED, FILLED, NEUTRAL, RULE_WIDTHS = 3, 30, 50, 0.3, 25, (0.1, 3.0)
+#: Dashes: times as wide as tall, widths in points, height in points, where they stand in the strip, gap to the text.
+DASH_SHAPE, DASH_WIDTHS, DASH_HEIGHT, DASH_PLACE, DASH_GAP = 2, (2, 7), 2, (0.25, 0.8), 2
+#: Blank fields: least width and share of the page's, most height and share of the page's, times as wide as tall, most of the width.
+FIELD_LEAST, FIELD_SHARE, FIELD_HIGHEST, FIELD_HIGH_SHARE, FIELD_SHAPE, FIELD_MOST = 25, 0.018, 3, 0.0015, 15, 0.9
+#: Letters on a page that may be turned: least and most size, least ink, shapes.
+LETTER_SIZES, LETTER_INK, LETTER_SHAPES = (5, 60), 20, (0.2, 5)
+#: Strokes of paths: least height and width, most width by height, leans, most distance from a line.
+STROKE_HEIGHT, STROKE_WIDTH, STROKE_SHAPE, STROKE_LEANS, STROKE_OFF = 16, 5, 0.7, (0.1, 0.65), 1.8
+
 
 def read_png(data: bytes) -> np.ndarray:
     """An 8-bit PNG without interlacing; transparency is laid over white, a palette resolved."""
@@ -119,15 +138,15 @@ def centers(counts: np.ndarray, threshold: float, gap: int = 4) -> list[float]:
     return [float(g.mean()) for g in np.split(at, np.flatnonzero(np.diff(at) > gap) + 1)] if len(at) else []
 
 
-def grid(image: np.ndarray, dark: int = 180) -> tuple[list[float], list[float]]:
+def grid(image: np.ndarray, dark: int = RULE_INK) -> tuple[list[float], list[float]]:
     """Where the columns and rows of a ruled table are parted, in pixels."""
     mask = gray(image) < dark
     height, width = mask.shape
-    horizontal, vertical = rules(mask, max(20, width // 4), max(20, height // 8))
-    return centers(vertical.sum(0), height * 0.35), centers(horizontal.sum(1), width * 0.5)
+    horizontal, vertical = rules(mask, max(GRID_LEAST, width // GRID_PARTS[0]), max(GRID_LEAST, height // GRID_PARTS[1]))
+    return centers(vertical.sum(0), height * GRID_SHARES[1]), centers(horizontal.sum(1), width * GRID_SHARES[0])
 
 
-def complete(image: np.ndarray, xs: list[float], ys: list[float], share: float = 0.7, dark: int = 180) -> bool:
+def complete(image: np.ndarray, xs: list[float], ys: list[float], share: float = COMPLETE, dark: int = RULE_INK) -> bool:
     """Whether every separator runs along every cell beside it, so that no cells are merged."""
     mask = gray(image) < dark
     wide = lambda a, b: slice(max(0, int(a)), int(b))
@@ -136,16 +155,16 @@ def complete(image: np.ndarray, xs: list[float], ys: list[float], share: float =
     return all(len(s) and s.mean() >= share for part in (upright, level) for s in part)
 
 
-def cell_lines(image: np.ndarray, dark: int = 170) -> list[tuple[Box, int]]:
+def cell_lines(image: np.ndarray, dark: int = INK) -> list[tuple[Box, int]]:
     """Boxes of the lines of text in the crop of a cell, and their ink; rules at its rim don't count."""
     ink = gray(image) < dark
     height, width = ink.shape
-    horizontal, vertical = rules(ink, max(30, width // 3), max(30, height // 3))
+    horizontal, vertical = rules(ink, max(CELL_LEAST, width // CELL_PART), max(CELL_LEAST, height // CELL_PART))
     ink = ink & ~horizontal & ~vertical
     found = []
     for top, bottom in _joined(bands(ink, int(max(2, width * 0.002)) + 1, 3)):
         columns = np.flatnonzero(ink[top:bottom].sum(0) >= 2)
-        if 5 <= bottom - top <= max(100, height * 0.1) and len(columns) >= 8:
+        if LINE_LOWEST <= bottom - top <= max(LINE_HIGHEST, height * LINE_SHARE) and len(columns) >= LINE_COLUMNS:
             found.append(((int(columns[0]), top, int(columns[-1]) + 1, bottom), int(ink[top:bottom].sum())))
     return found
 
@@ -155,7 +174,7 @@ def _joined(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for top, bottom in parts:
         tallest = max([bottom - top] + ([out[-1][1] - out[-1][0]] if out else []))
-        if out and top - out[-1][1] + 1 <= max(3, round(tallest * 0.18)):
+        if out and top - out[-1][1] + 1 <= max(3, round(tallest * LINE_GAP)):
             out[-1] = (out[-1][0], bottom)
         else:
             out.append((top, bottom))
@@ -166,7 +185,7 @@ def _hex(rgb: np.ndarray) -> str:
     return "#" + bytes(rgb.astype(np.uint8).tolist()).hex()
 
 
-def fill_color(image: np.ndarray, least: int = 50, share: float = 0.3) -> str | None:
+def fill_color(image: np.ndarray, least: int = COLORED, share: float = FILLED) -> str | None:
     """The colour that fills a cell, as #rrggbb; coloured letters alone are too few."""
     colored = image.max(2).astype(int) - image.min(2) > least
     return _hex(np.median(image[colored], 0)) if colored.mean() > share else None
@@ -175,15 +194,15 @@ def fill_color(image: np.ndarray, least: int = 50, share: float = 0.3) -> str |
 def rule_style(image: np.ndarray, per_point: float) -> tuple[str, float] | None:
     """Colour and width in points of a table's rules."""
     spread = image.max(2).astype(int) - image.min(2)
-    mask = (gray(image) < 210) & (spread < 25)
+    mask = (gray(image) < PALE_INK) & (spread < NEUTRAL)
     height, width = mask.shape
-    horizontal, vertical = rules(mask, max(30, width // 3), max(30, height // 3))
+    horizontal, vertical = rules(mask, max(CELL_LEAST, width // CELL_PART), max(CELL_LEAST, height // CELL_PART))
     both = horizontal | vertical
     if both.sum() < max(height, width):
         return None
     # A rule is as thick as the shorter of the runs through its pixels.
     thick = np.minimum(_run_lengths(both), _run_lengths(both.T).T)[both]
-    return _hex(np.median(image[both], 0)), round(float(min(3.0, max(0.1, np.median(thick) / per_point))), 3)
+    return _hex(np.median(image[both], 0)), round(float(min(RULE_WIDTHS[1], max(RULE_WIDTHS[0], np.median(thick) / per_point))), 3)
 
 
 def _run_lengths(mask: np.ndarray) -> np.ndarray:
@@ -227,7 +246,7 @@ def components(mask: np.ndarray) -> list[tuple[Box, int]]:
     return [((a, b, c, d), n) for a, b, c, d, n in found.values()]
 
 
-def has_dash(image: np.ndarray, per_point: float, dark: int = 150) -> bool:
+def has_dash(image: np.ndarray, per_point: float, dark: int = FIELD_INK) -> bool:
     """Whether the left end of a list item, some twenty points wide, begins with a dash and goes on with text."""
     mask = gray(image) < dark
     shapes = sorted(box for box, n in components(mask) if n > 2)
@@ -235,22 +254,22 @@ def has_dash(image: np.ndarray, per_point: float, dark: int = 150) -> bool:
         return False
     (x0, y0, x1, y1), following = shapes[0], shapes[1]
     wide, tall = x1 - x0, y1 - y0
-    flat = wide >= 2 * tall and 2 * per_point <= wide <= 7 * per_point and tall <= 2 * per_point
-    return flat and 0.25 * mask.shape[0] <= y0 <= 0.8 * mask.shape[0] and following[0] - x1 >= 2
+    flat = wide >= DASH_SHAPE * tall and DASH_WIDTHS[0] * per_point <= wide <= DASH_WIDTHS[1] * per_point and tall <= DASH_HEIGHT * per_point
+    return flat and DASH_PLACE[0] <= y0 / mask.shape[0] <= DASH_PLACE[1] and following[0] - x1 >= DASH_GAP
 
 
-def blank_fields(image: np.ndarray, taken: list[Box], in_cell: bool = False, dark: int = 150) -> list[Box]:
+def blank_fields(image: np.ndarray, taken: list[Box], in_cell: bool = False, dark: int = FIELD_INK) -> list[Box]:
     """Thin rules on which a form is filled in; what lies in the boxes taken (tables, figures) is left out."""
     mask = gray(image) < dark
     height, width = mask.shape
     for x0, y0, x1, y1 in taken:
         mask[max(0, y0 - 3) : y1 + 3, max(0, x0 - 3) : x1 + 3] = False
-    least = max(25, round(width * 0.018))
+    least = max(FIELD_LEAST, round(width * FIELD_SHARE))
     found = []
     for (x0, y0, x1, y1), _ in components(runs(mask, least)):
         wide, tall = x1 - x0, y1 - y0
-        thin = wide >= least and tall <= max(3, round(height * 0.0015)) and wide / tall >= 15
-        border = wide >= 0.9 * width or x0 <= 1 or x1 >= width - 1 or in_cell and (y0 < 3 or y1 > height - 3)
+        thin = wide >= least and tall <= max(FIELD_HIGHEST, round(height * FIELD_HIGH_SHARE)) and wide / tall >= FIELD_SHAPE
+        border = wide >= FIELD_MOST * width or x0 <= 1 or x1 >= width - 1 or in_cell and (y0 < 3 or y1 > height - 3)
         if thin and not border:
             found.append((x0, y0, x1, y1))
     return found
@@ -264,7 +283,7 @@ def masked(image: np.ndarray, boxes: list[Box]) -> np.ndarray:
     return out
 
 
-def without_border(image: np.ndarray, dark: int = 180) -> np.ndarray:
+def without_border(image: np.ndarray, dark: int = RULE_INK) -> np.ndarray:
     """The crop of a cell without the long rules at its rim; small crops stay as they are."""
     mask = gray(image) < dark
     height, width = mask.shape
@@ -278,11 +297,13 @@ def without_border(image: np.ndarray, dark: int = 180) -> np.ndarray:
     return out
 
 
-def may_be_turned(image: np.ndarray, dark: int = 170, glyphs: int = 80, lead: float = 1.25) -> bool:
+def may_be_turned(image: np.ndarray, dark: int = INK, glyphs: int = 80, lead: float = 1.25) -> bool:
     """Whether the ink of a page with enough letters is banded by columns rather than by rows."""
     mask = gray(image) < dark
-    letters = [b for b, n in components(mask) if n >= 20 and 5 <= b[2] - b[0] <= 60 and 5 <= b[3] - b[1] <= 60 and 0.2 <= (b[2] - b[0]) / (b[3] - b[1]) <= 5]
-    if len(letters) < glyphs:
+    sides = np.array([(b[2] - b[0], b[3] - b[1]) for b, n in components(mask) if n >= LETTER_INK]).reshape(-1, 2)
+    sized = ((sides >= LETTER_SIZES[0]) & (sides <= LETTER_SIZES[1])).all(1)
+    shape = sides[sized, 0] / sides[sized, 1]
+    if ((shape >= LETTER_SHAPES[0]) & (shape <= LETTER_SHAPES[1])).sum() < glyphs:
         return False
     height, width = mask.shape
     horizontal, vertical = rules(mask, max(50, width // 8), max(50, height // 8))
@@ -307,7 +328,7 @@ def oriented(image: np.ndarray, read: Callable[[np.ndarray], float]) -> tuple[np
     return (image if not degrees else np.rot90(image, 4 - degrees // 90)), degrees
 
 
-def split_wide(image: np.ndarray, widest: int, dark: int = 170) -> list[tuple[int, int]]:
+def split_wide(image: np.ndarray, widest: int, dark: int = INK) -> list[tuple[int, int]]:
     """Column ranges of a line that is wider than a reader takes, parted at the emptiest place near each limit."""
     width = image.shape[1]
     ink = (gray(image) < dark).sum(0)
@@ -321,7 +342,7 @@ def split_wide(image: np.ndarray, widest: int, dark: int = 170) -> list[tuple[in
     return [*out, (at, width)]
 
 
-def word_spans(image: np.ndarray, dark: int = 170, gap: float = 0.22) -> list[tuple[int, int]]:
+def word_spans(image: np.ndarray, dark: int = INK, gap: float = 0.22) -> list[tuple[int, int]]:
     """Column ranges of the words of a line: gaps up to a share of its height, four pixels at least, are within words."""
     mask = gray(image) < dark
     mask[:, mask.sum(0) > image.shape[0] * 0.9] = False
@@ -333,17 +354,17 @@ def word_spans(image: np.ndarray, dark: int = 170, gap: float = 0.22) -> list[tu
     return [(int(p[0]), int(p[-1]) + 1) for p in np.split(columns, np.flatnonzero(np.diff(columns) > most) + 1)]
 
 
-def strokes(image: np.ndarray, dark: int = 170) -> list[tuple[int, int]]:
+def strokes(image: np.ndarray, dark: int = INK) -> list[tuple[int, int]]:
     """Column ranges of the slanted strokes between the parts of a path: tall, narrow, straight, and leaning."""
     mask = gray(image) < dark
     found = []
     for (x0, y0, x1, y1), _ in components(mask):
         high, wide = y1 - y0, x1 - x0
-        if high < 16 or wide < 5 or wide > high * 0.7:
+        if high < STROKE_HEIGHT or wide < STROKE_WIDTH or wide > high * STROKE_SHAPE:
             continue
         ys, xs = np.nonzero(mask[y0:y1, x0:x1])
         lean, start = np.polyfit(ys, xs, 1)
-        if 0.1 < lean < 0.65 and float(np.sqrt(np.mean((xs - lean * ys - start) ** 2))) < 1.8:
+        if STROKE_LEANS[0] < lean < STROKE_LEANS[1] and float(np.sqrt(np.mean((xs - lean * ys - start) ** 2))) < STROKE_OFF:
             found.append((x0, x1))
     return sorted(found)
 
@@ -353,7 +374,7 @@ def path_parts(image: np.ndarray) -> list[tuple[int, int] | None]:
     cuts = strokes(image)
     if len(cuts) < 2:
         return []
-    mask, width = gray(image) < 170, image.shape[1]
+    mask, width = gray(image) < INK, image.shape[1]
     ends = list(zip([0] + [b for _, b in cuts], [a for a, _ in cuts] + [width]))
     return [(a, b) if b - a > 8 and mask[:, a:b].sum() > 20 else None for a, b in ends]
 
