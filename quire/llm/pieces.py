@@ -35,10 +35,10 @@ MARK = 0x2581
 #: Stands for a literal U+2581, beyond Unicode so that no piece holds it.
 LITERAL = 0x110000
 #: Characters and rows segmented together. Longer parts share more words, but take more memory.
-PART, ROWS = 150_000, 300
+PART, ROWS = 100_000, 200
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_SLOT = np.uint64(44)
+_SLOT = np.uint64(46)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -128,12 +128,12 @@ def _hash(codes: np.ndarray) -> np.uint64:
 
 
 def _tables(hashes: np.ndarray, ids: np.ndarray) -> list:
-    """Tables of 2**20 slots; what meets a taken slot goes to the next table."""
+    """Tables of 2**18 slots; what meets a taken slot goes to the next table."""
     out, rng = [], np.random.default_rng(1)
     while len(hashes):
         factor = rng.integers(1 << 62, 1 << 63, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         at, first = np.unique((hashes * factor) >> _SLOT, return_index=True)
-        keys, found = np.zeros(1 << 20, np.uint64), np.full(1 << 20, -1, np.int32)
+        keys, found = np.zeros(1 << 18, np.uint64), np.full(1 << 18, -1, np.int32)
         keys[at], found[at] = hashes[first], ids[first]
         out.append((factor, keys, found))
         rest = np.ones(len(hashes), bool)
