@@ -392,3 +392,11 @@ def test_rules_of_very_long_texts_and_ties(spark):
     got = sorted(rules.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect(), key=lambda r: r.doc_id)
     assert [(r.n_words, r.n_repeat_words, r.word_chars) for r in got] == [(200000, 200000, len(long) - 199999)] * 2 + [(1, 0, 3_000_000), (0, 0, 0)]
     assert all(r.base_failed and not r.kept for r in got)
+
+
+def test_simhash_of_rows_without_ids(spark):
+    rows = [(None, "some words that are alike here", "en", "s", 0)] * 2 + [(9, "some words that are alike here", "en", "s", 0), (None, "quite another text of words", "en", "s", 0), (None, None, "en", "s", 0), (4, "", "en", "s", 0)]
+    got = sorted((str(r.doc_id), r.fingerprint == "0" * 16, str(r.component_id)) for r in simhash.component_report(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == sorted([("None", False, "9")] * 2 + [("9", False, "9"), ("None", False, "None"), ("None", True, "4"), ("4", True, "4")])
+    kept = simhash.near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("4", ""), ("9", rows[2][1]), ("None", rows[3][1])]
