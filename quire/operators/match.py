@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,23 +33,44 @@ def text_match(expected: DataFrame, found: DataFrame, key: list[str], show: int
     return grouped.select(*key, X.ratio(F.col("m"), F.col("g")).alias("precision"), X.ratio(F.col("m"), F.col("w")).alias("recall"), words("missing").alias("missing"), words("extra").alias("extra"))
 
 
-def match_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, least: float = 0.5) -> DataFrame:
+#: Words that a pair must share among the rarest before it is counted, if so many must be shared at all; parts in which words are numbered.
+OVERLAP, PARTS = 8, 1024
+
+
+def match_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, least: float = 0.5, step: Callable[[DataFrame, str], DataFrame] = lambda rows, name: rows) -> DataFrame:
     """left_id, right_id, matched, left_words, right_words of pairs in which right has at least ``least`` of left's words, with their counts.
 
-    Of W words, a text that lacks no more than W - ceil(least W) has one of any W - ceil(least W) + 1. The rarest of right's words
-    are taken, so pairs are made by words that few texts have, and only these pairs are counted.
+    Of W words, a text that must have M lacks no more than W - M, so of any W - M + t words it has t (all M, if these are fewer). The rarest
+    of right's words are taken, so pairs are made by words that few texts have; only pairs that share ``OVERLAP`` of these are counted
+    in the rest. Right's texts are dealt once, by their id, so what a text shares with left is summed where it is; of their words, only
+    those that left has are shuffled, as numbers.
+
+    left's words are read several times and are expected to be few beside right's; ``step`` may write them, see sources.scratch.
     """
-    a, b = word_counts(left, [left_id]).withColumnRenamed("n", "a"), word_counts(right, [right_id]).withColumnRenamed("n", "b")
-    totals = lambda x, k, n: x.groupBy(k).agg(F.sum(n).alias(f"{k}_words"))
-    rare = b.groupBy("word").agg(F.count("*").alias("texts"))
-    ranked = a.join(rare, "word", "left").join(totals(a, left_id, "a"), left_id)
-    before = F.sum("a").over(Window.partitionBy(left_id).orderBy(F.coalesce("texts", F.lit(0)), "word").rowsBetween(Window.unboundedPreceding, -1))
-    needed = F.col(f"{left_id}_words") - F.ceil(F.col(f"{left_id}_words") * least) + 1
-    probes = ranked.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < needed).select(left_id, "word")
-    pairs = probes.join(b.select(right_id, "word"), "word").select(left_id, right_id).distinct()
-    counted = pairs.join(a, left_id).join(b, [right_id, "word"]).groupBy(left_id, right_id).agg(F.sum(F.least("a", "b")).alias("matched"))
-    out = counted.join(totals(a, left_id, "a"), left_id).filter(F.col("matched") >= F.ceil(F.col(f"{left_id}_words") * least))
-    return out.join(totals(b, right_id, "b"), right_id)
+    left, right = left.filter(F.col(left_id).isNotNull()), right.filter(F.col(right_id).isNotNull()).select(right_id, "text")
+    a = word_counts(left, [left_id]).withColumnRenamed("n", "a")
+    part = Window.partitionBy("_part").orderBy("word")
+    known = a.select("word").distinct().withColumn("_part", F.pmod(F.xxhash64("word"), F.lit(PARTS)))
+    known = step(known.select("word", ((F.row_number().over(part) - 1) * PARTS + F.col("_part")).alias("_word")), "words")
+    found = lambda texts, words: texts.select(right_id, F.explode(words).alias("word")).join(known, "word").drop("word")
+    rare = found(right, F.array_distinct(X.words(F.col("text")))).groupBy("_word").agg(F.count("*").alias("texts"))
+    of = Window.partitionBy(left_id)
+    before = F.sum("a").over(of.orderBy(F.coalesce("texts", F.lit(0)), "_word").rowsBetween(Window.unboundedPreceding, -1))
+    ranked = a.join(known, "word").join(rare, "_word", "left").withColumn("w", F.sum("a").over(of)).withColumn("before", F.coalesce(before, F.lit(0)))
+    ranked = ranked.withColumn("must", F.ceil(F.col("w") * least))
+    ranked = step(ranked.select(left_id, "_word", "a", "w", "must", (F.col("before") < F.col("w") - F.col("must") + OVERLAP).alias("probe")), "ranked")
+    dealt = right.repartition(right_id)
+    b = found(dealt, X.words(F.col("text"))).groupBy(right_id, "_word").agg(F.count("*").alias("b"))
+    probes = ranked.filter("probe").select(left_id, "_word", "a", "w", "must")
+    pairs = b.join(probes, "_word").groupBy(left_id, right_id).agg(F.sum(F.least("a", "b")).alias("first"), F.max("w").alias("w"), F.max("must").alias("must"))
+    pairs = pairs.filter(F.col("first") >= F.least(F.lit(OVERLAP), "must"))
+    rest = ranked.filter("NOT probe").select(left_id, "_word", "a")
+    counted = pairs.join(rest, left_id, "left").join(b, [right_id, "_word"], "left").groupBy(left_id, right_id)
+    # What only one of the two has is null here, and adds nothing.
+    more = F.coalesce(F.sum(F.when(F.col("b").isNotNull(), F.least("a", "b"))), F.lit(0))
+    out = counted.agg((F.max("first") + more).alias("matched"), F.max("w").alias(f"{left_id}_words"), F.max("must").alias("must")).filter("matched >= must").drop("must")
+    sizes = dealt.select(right_id, F.size(X.words(F.col("text"))).alias("_size")).groupBy(right_id).agg(F.sum("_size").alias(f"{right_id}_words"))
+    return out.join(sizes, right_id)
 
 
 def multiset_difference(wanted: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
