@@ -4,6 +4,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quire.sources import pixels as P
@@ -174,3 +175,23 @@ def test_frames_as_pages():
     frames = [white(144, 72), np.zeros((10, 20, 3), np.uint8)]
     data = pdf.image_document(frames, 72)
     assert [(p.width, p.height, p.text) for p in read_pdf(data)] == [(72.0, 144.0, ""), (20.0, 10.0, "")] and data.count(b"/Subtype /Image") == 2
+
+
+def test_sums_of_runs_equal_their_masks():
+    rng = np.random.default_rng(9)
+    for shape, share in (((0, 5), 0.5), ((1, 1), 1.0), ((7, 40), 0.9), ((30, 3), 0.6), ((20, 50), 0.97), ((4, 6), 1.0)):
+        mask = rng.random(shape) < share
+        for least in (1, 3, 20):
+            assert P.run_sums(mask, least).tolist() == P.runs(mask, least).sum(1).tolist()
+            assert P.run_sums(mask.T, least).tolist() == P.runs(mask.T, least).sum(1).tolist()
+
+
+def test_pages_go_out_together_and_an_image_is_read_once():
+    schema = pa.schema([("page", pa.int64()), ("size", pa.int64())])
+    images, read = [P.write_png(table(xs=(5, 30 + i, 120))) for i in range(3)], []
+    size = P.remembered(lambda data: read.append(data) or (len(data),), most=3)
+    pages = [pa.RecordBatch.from_pydict({"page": list(range(s, s + 500)), "image": [images[i % 3] for i in range(s, s + 500)]}) for s in (0, 500, 1000)]
+    out = list(P.page_batches(iter(pages), lambda p: [(p["page"], *size(p["image"]))], schema, most_rows=1000))
+    assert [b.num_rows for b in out] == [1000, 500] and sorted(read) == sorted(images)
+    assert [r for b in out for r in b.to_pylist()] == [{"page": i, "size": len(images[i % 3])} for i in range(1500)]
+    assert [b.num_rows for b in P.page_batches(iter(pages[:1]), lambda p: [(p["page"], 1)] if p["page"] < 2 else [], schema, most_bytes=0)] == [1, 1]
