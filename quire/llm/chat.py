@@ -6,9 +6,10 @@ character, so a control string in the output is always a mark, and removing the
 
 ``format_conversations`` writes each conversation once. ``prefix_examples`` explodes it into one row for every
 assistant turn: all turns before it are context, and only its text is trainable. An example is a prefix of the written
-conversation, so a row names its context by length, the trainable part by where it begins and ends, and has a digest of
-all turns of the context, which is carried along from turn to turn; ``with_text`` writes it out in full, which for a
-conversation of n turns takes space in n squared, and is left to whoever needs the files.
+conversation, cut from it as a text of its own, with its mask: where the trainable part begins and ends. A row also has a digest of all turns
+of the context, which is carried along from turn to turn. ``read_back`` takes the loss text from the examples' texts under
+their masks. These texts take, for a conversation of n turns, time in n squared; one is in memory at a time, and only what the
+mask leaves is kept, so the query takes no such space. ``with_text`` returns them, which does.
 
 Defined results: turns are ordered by turn, then role, then text, nulls first; a null text or role is empty; repeated
 rows are turns of their own; a null conv_id is one conversation; a conversation without assistant turns has no
@@ -64,46 +65,47 @@ def _digest(number: Column, role: Column, written: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("\n", number.cast("string"), role, written)), 1, 15), 16, 10).cast("long")
 
 
-def placed_turns(formatted: DataFrame) -> DataFrame:
-    """One row a turn: number, role, written, where its text begins and ends in formatted, and what is known of all turns before.
+def prefix_examples(formatted: DataFrame, with_text: bool = False, outer: bool = False) -> DataFrame:
+    """Every column but the written ones, and target, reply, context_chars, context_digest, loss_start, loss_end: a row for every assistant turn.
+
+    target is the number of turns in the context, reply the trainable part as written. with_text adds text, the
+    whole example: the context, and the turn of which the characters from loss_start to loss_end are trainable. outer adds a row of nulls
+    for each conversation without examples.
 
-    conv_id has one row in formatted; its other columns are kept, but for the written ones.
+    conv_id has one row in formatted, in which a conversation's turns are placed in one pass; each example is then cut from the written
+    conversation on its own, so the texts of a conversation's examples are never in memory together.
     """
     parsed = formatted if "turns" in formatted.columns else parse(formatted)
     rest = [c for c in parsed.columns if c not in ("turns", "formatted")]
-    rows = parsed.select(*rest, F.posexplode("turns").alias("number", "turn")).select(*rest, "number", "turn.role", "turn.written", "turn.length")
-    before = Window.partitionBy("conv_id").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    context = F.coalesce(F.sum("length").over(before), F.lit(0).cast("long"))
-    rows = rows.withColumn("context_chars", context).withColumn("context_digest", F.coalesce(F.bit_xor(_digest(F.col("number"), F.col("role"), F.col("written"))).over(before), F.lit(0).cast("long")))
-    end = F.col("context_chars") + F.col("length") - len(END)
-    return rows.select(*rest, "number", "role", "written", "context_chars", "context_digest", (end - F.length("written")).alias("loss_start"), end.alias("loss_end"))
+    none = F.lit(0).cast("long")
+    start = F.struct(none.alias("chars"), none.alias("digest"), F.lit(0).alias("number"), F.array().cast("array<struct<target:int,context_chars:bigint,context_digest:bigint,loss_start:bigint,loss_end:bigint,first:bigint,size:bigint>>").alias("examples"), none.alias("bytes"))
 
+    def step(a: Column, t: Column) -> Column:
+        end, size = a["chars"] + t["length"] - len(END), F.octet_length(t["written"]).cast("long")
+        past = a["bytes"] + F.octet_length(escape(t["role"])) + size + len(START) + len(ROLE) + len(END)
+        example = F.struct(a["number"].alias("target"), a["chars"].alias("context_chars"), a["digest"].alias("context_digest"), (end - F.length(t["written"])).alias("loss_start"), end.alias("loss_end"), (past - len(END) - size).alias("first"), size.alias("size"))
+        examples = F.when(t["role"] == TRAINED, F.array_append(a["examples"], example)).otherwise(a["examples"])
+        return F.struct((a["chars"] + t["length"]).alias("chars"), a["digest"].bitwiseXOR(_digest(a["number"], t["role"], t["written"])).alias("digest"), (a["number"] + 1).alias("number"), examples.alias("examples"), past.alias("bytes"))
 
-def prefix_examples(formatted: DataFrame, with_text: bool = False) -> DataFrame:
-    """Every column but the written ones, and target, reply, context_chars, context_digest, loss_start, loss_end: a row for every assistant turn.
-
-    target is the number of turns in the context, reply the trainable part as written. with_text adds text, the
-    whole example: the context, and the turn of which the characters from loss_start to loss_end are trainable.
-    """
-    rows = placed_turns(formatted).filter(F.col("role") == TRAINED).withColumnsRenamed({"number": "target", "written": "reply"}).drop("role")
-    if not with_text:
-        return rows
-    written = formatted.select(F.col("conv_id").alias("written_id"), "formatted")
-    joined = rows.join(written, F.col("conv_id").eqNullSafe(F.col("written_id")))
-    return joined.withColumn("text", F.substr("formatted", F.lit(1), (F.col("loss_end") + len(END)).cast("int"))).drop("written_id", "formatted")
+    # Bytes are cut where they stand; characters would be counted from the beginning of the conversation.
+    rows = parsed.select(*rest, "formatted", (F.explode_outer if outer else F.explode)(F.aggregate("turns", start, step, lambda a: a["examples"])).alias("example")).select(*rest, "formatted", "example.*")
+    cut = lambda x, first, size: F.substr(x, (first + 1).cast("int"), size.cast("int"))
+    rows = rows.withColumn("text", cut(F.col("formatted").cast("binary"), F.lit(0), F.col("first") + F.col("size") + len(END)))
+    rows = rows.withColumn("reply", cut(F.col("text"), F.col("first"), F.col("size")).cast("string")).withColumn("text", F.col("text").cast("string")).drop("formatted", "first", "size")
+    return rows if with_text else rows.drop("text")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """One row a conversation; the loss text comes from the examples, in order, escapes removed.
+    """One row a conversation; the loss text is what the masks of the examples' texts leave, in order, escapes removed.
 
     examples_sha256 is a digest of target, context_chars, loss_start, loss_end and context_digest of all examples.
     """
     parsed = parse(formatted)
     plain = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), unescape(t["written"]), F.lit("\n"))), "")
-    base = parsed.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(plain, 256).alias("turns_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "turns")
-    line = F.concat(F.concat_ws(":", *[F.col(c).cast("string") for c in ("number", "context_chars", "loss_start", "loss_end", "context_digest")]), F.lit("\n"))
-    examples = F.sort_array(F.collect_list(F.when(F.col("role") == TRAINED, F.struct("number", line.alias("line"), F.col("written").alias("reply")))))
-    grouped = placed_turns(base).groupBy("conv_id").agg(*[F.first(c).alias(c) for c in ("n_turns", "turns_sha256", "formatted_chars")], examples.alias("examples"))
+    base = parsed.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(plain, 256).alias("turns_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "turns", "formatted")
+    line = F.concat(F.concat_ws(":", *[F.col(c).cast("string") for c in ("target", "context_chars", "loss_start", "loss_end", "context_digest")]), F.lit("\n"))
+    examples = F.sort_array(F.collect_list(F.when(F.col("target").isNotNull(), F.struct("target", line.alias("line"), "reply"))))
+    grouped = prefix_examples(base, with_text=True, outer=True).groupBy("conv_id").agg(*[F.first(c).alias(c) for c in ("n_turns", "turns_sha256", "formatted_chars")], examples.alias("examples"))
     joined = lambda c: F.array_join(F.transform("examples", lambda x: x[c]), "")
     grouped = grouped.withColumn("loss", unescape(joined("reply")))
     return grouped.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", F.size("examples").cast("long").alias("n_examples"), F.sha2(joined("line"), 256).alias("examples_sha256"))

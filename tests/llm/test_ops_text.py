@@ -400,3 +400,18 @@ def test_simhash_of_rows_without_ids(spark):
     assert got == sorted([("None", False, "9")] * 2 + [("9", False, "9"), ("None", False, "None"), ("None", True, "4"), ("4", True, "4")])
     kept = simhash.near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((str(r.doc_id), r.text) for r in kept) == [("4", ""), ("9", rows[2][1]), ("None", rows[3][1])]
+
+
+def test_chat_query_reads_the_loss_from_its_examples(spark, monkeypatch):
+    formatted = chat.format_conversations(spark.createDataFrame(CONVERSATIONS, "conv_id long, turn long, role string, text string"))
+    want = {r.conv_id: r.loss_chars for r in chat.read_back(formatted).collect()}
+    made = chat.prefix_examples
+
+    def marked(rows, with_text=False, **more):
+        assert with_text
+        # The texts under the masks become other ones: what is read back follows them.
+        return made(rows, with_text, **more).withColumn("reply", F.concat(F.expr("substr(text, int(loss_start + 1), int(loss_end - loss_start))"), F.lit("+")))
+
+    monkeypatch.setattr(chat, "prefix_examples", marked)
+    for r in chat.read_back(formatted).collect():
+        assert r.loss_chars == want[r.conv_id] + r.n_examples
