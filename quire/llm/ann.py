@@ -2,7 +2,9 @@
 
 Every vector is projected on each of ``PROJECTIONS`` random lines, and each line keeps its projections as a sorted array. A query
 opens a window around its own projection on every line; a vector collides with it once for each line on which it
-lies in the window. Windows grow by virtual rehashing, radius by radius, and only what enters them is counted. A vector
+lies in the window. Windows grow by virtual rehashing, radius by radius, and only what enters them is counted. The first radius is the one
+at which half of ``TRIED`` vectors of the shard end their own searches; where the first windows hold more than half of all entries, what lies outside is
+counted instead, which gives the same collisions. A vector
 that collides on at least the threshold of lines is verified with its true inner product. A query ends when its
 neighbours are so near that the windows, ``CERTAIN`` times as wide, would have shown nearer ones, or when at
 least ``VERIFY`` vectors, a share ``SHARE`` of the shard, are verified, or all are. The first rule ends queries with true
@@ -39,6 +41,8 @@ from .common import stash
 NEIGHBOURS, EVERY = 20, 20
 PROJECTIONS, THRESHOLD, START, GROWTH = 40, 0.85, 0.25, 1.25
 SHARE, VERIFY, CERTAIN = 0.2, 200, 1.9
+#: Vectors of a shard whose searches say where others begin, and the least vectors for each of them.
+TRIED, TRIED_OF = 16, 64
 #: Vectors of a shard; queries that pass through one building of its index; queries searched together.
 SHARD, BLOCK, TOGETHER = 16384, 1 << 17, 1024
 
@@ -68,36 +72,56 @@ class Shard:
         spots = self.scaled @ self.lines[:, :-1].T + lift[:, None] * self.lines[:, -1]
         self.order = np.ascontiguousarray(np.argsort(spots, axis=0, kind="stable").T)
         self.spots = np.ascontiguousarray(np.take_along_axis(spots, self.order.T, 0).T)
+        self.begin = 0
+        if len(ids) >= TRIED * TRIED_OF:
+            tried = np.arange(TRIED) * len(ids) // TRIED
+            self.begin = sorted(level for *_, level in self._search(vectors[tried], ids[tried], NEIGHBOURS))[TRIED // 2]
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int = NEIGHBOURS) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         """For each query, ids and scores of the k nearest found, nearest first, and how many window entries were counted.
 
         The row with the id in ``own`` is left out.
         """
+        for found, scores, entries, _ in self._search(queries, own, k):
+            yield found, scores, entries
+
+    def _search(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+        """The same, and the step of the radius at which the query ends."""
         n = len(self.ids)
         units = _unit(queries)
         centres = units @ self.lines[:, :-1].T
         need, enough = math.ceil(THRESHOLD * PROJECTIONS), min(n, max(VERIFY, math.ceil(SHARE * n)))
         lines = range(PROJECTIONS)
-        bounds: list[tuple[list, list]] = []  # by radius: where windows start and end, for each query and line
+        bounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by radius: where windows start and end, for each query and line
         reaches, last = [START], float(np.abs(self.spots).max() + np.abs(centres).max()) + 1
+        while len(reaches) <= self.begin:
+            reaches.append(reaches[-1] * GROWTH if reaches[-1] < last else math.inf)
         for q in range(len(queries)):
-            counts, level, before, entries = np.zeros(n, np.uint8), 0, None, 0
+            level, before, entries = self.begin, None, 0
             seen, near = np.empty(0, np.int64), np.empty(0)
             while True:
-                if level == len(bounds):
+                if level not in bounds:
                     ends = [np.stack([np.searchsorted(s, c + side, how) for s, c in zip(self.spots, centres.T)], 1) for side, how in ((-reaches[level], "left"), (reaches[level], "right"))]
-                    bounds.append((ends[0], ends[1]))
-                    reaches.append(reaches[level] * GROWTH if reaches[level] < last else math.inf)
+                    bounds[level] = ends[0], ends[1]
+                    if level + 1 == len(reaches):
+                        reaches.append(reaches[level] * GROWTH if reaches[level] < last else math.inf)
                 lo, hi = bounds[level][0][q].tolist(), bounds[level][1][q].tolist()
-                # A line has each vector once, so one step adds at most one to a count.
-                for i in lines:
-                    if before is None:
+                entries = sum(hi) - sum(lo)
+                # A line has each vector once, so one step adds or takes at most one of a count.
+                if before is None and 2 * entries > n * PROJECTIONS:
+                    counts = np.full(n, PROJECTIONS, np.uint8)
+                    for i in lines:
+                        counts[self.order[i][: lo[i]]] -= 1
+                        counts[self.order[i][hi[i] :]] -= 1
+                elif before is None:
+                    counts = np.zeros(n, np.uint8)
+                    for i in lines:
                         counts[self.order[i][lo[i] : hi[i]]] += 1
-                    else:
+                else:
+                    for i in lines:
                         counts[self.order[i][lo[i] : before[0][i]]] += 1
                         counts[self.order[i][before[1][i] : hi[i]]] += 1
-                before, entries = (lo, hi), sum(hi) - sum(lo)
+                before = lo, hi
                 fresh = np.flatnonzero(counts >= need)
                 if len(fresh) > len(seen):
                     fresh = np.setdiff1d(fresh, seen, assume_unique=True)
@@ -112,7 +136,7 @@ class Shard:
             with np.errstate(over="ignore", invalid="ignore"):
                 scores = (self.vectors[at] * queries[q]).sum(1)
             best = np.lexsort((self.ids[at], -scores))[:k]
-            yield self.ids[at[best]], scores[best], entries
+            yield self.ids[at[best]], scores[best], entries, level
 
 
 def usable(table: DataFrame) -> DataFrame:
