@@ -1,8 +1,11 @@
-"""What operators take as tables grow: where searches begin."""
+"""What operators take as tables grow: where searches begin, jobs of connected components."""
+
+import random
 
 import numpy as np
+import pytest
 
-from quire.llm import ann
+from quire.llm import ann, graph
 
 
 def test_searches_that_begin_later_find_no_less():
@@ -20,3 +23,26 @@ def test_searches_that_begin_later_find_no_less():
         if lb >= begin:
             assert a.tolist() == b.tolist()
     assert sum(lb >= begin for *_, lb in early) >= 10
+
+
+@pytest.mark.parametrize("few", [graph.FEW, 0])
+def test_components_equal_a_walk_and_few_edges_take_few_jobs(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
+    rng = random.Random(32)
+    edges = [(i + 1, i) for i in range(300)] + [(1000 + rng.randrange(200), 1000 + rng.randrange(200)) for _ in range(90)] + [(-5, 2000), (7, 7)]
+    up = {}
+    root = lambda x: x if up.get(x, x) == x else root(up[x])
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((root(a), root(b)))
+            up.setdefault(a, a)
+            up[b] = a
+            up.setdefault(b, a)
+    jobs = lambda: spark.sparkContext._jsc.sc().statusStore().jobsList(None).size()
+    table = spark.createDataFrame(edges, "a long, b long")
+    before = jobs()
+    found = graph.components(table)
+    used = jobs() - before
+    assert sorted((r.node, r.root) for r in found.collect()) == sorted((x, root(x)) for x in up)
+    assert graph.components(table.limit(0)).collect() == []
+    assert not few or used <= 8
