@@ -3,9 +3,9 @@
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller doc_id. Which strings of
 that length are equal is read from the merged order of the suffixes of many texts. The suffixes of each shard, some ``SHARD``
 bytes of text, are sorted once; the byte before each is the shard's transform. The suffixes of all shards together are
-never sorted: their interleave starts with one shard after the other, and each round deals it out stably by the bytes that the
-transforms give, which turns the order by h bytes into that by h + 1. Neighbours between which a round first makes a
-border have exactly h bytes in common, which is recorded. After ``LENGTH`` rounds the neighbours without a border share at least
+never sorted: their interleave starts with one shard after the other, and each round deals it out stably by the two bytes that the
+transforms give, which turns the order by h bytes into that by h + 2. Neighbours between which a round first makes a
+border have h or h + 1 bytes in common, which is recorded. After the rounds of ``LENGTH`` bytes the neighbours without a border share at least
 so many bytes, so the runs of these are the repeated intervals, and the smallest doc_id of a run decides for the rest.
 
 A transform of the whole corpus fits no task, so only what can share a string meets, and all that can does. Every string of
@@ -303,10 +303,11 @@ class Shard:
         self.longer[np.argsort(self.transform, kind="stable")] = np.arange(len(text), dtype=np.int32)
 
 
-def interleave(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
+def interleave(shards: list[Shard], exact: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(at, common): the suffixes of all shards, numbered shard by shard in order, merged; bytes in common with the one before.
 
-    Common prefixes are counted up to ``LENGTH``; suffixes that share so many bytes stand together in any order.
+    Common prefixes are counted up to ``LENGTH``, and if they need not be ``exact``, by twos; suffixes that share so many bytes stand together in any
+    order. A round takes two bytes of the transforms: that before a suffix, and that before the suffix one byte longer.
     """
     begin = np.cumsum([0] + [len(x.order) for x in shards])
     total = int(begin[-1])
@@ -314,18 +315,28 @@ def interleave(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
     number = np.uint16 if total <= 1 << 16 else np.int32
     transform = np.concatenate([x.transform for x in shards])
     longer = np.concatenate([x.longer + np.int32(b) for x, b in zip(shards, begin)]).astype(number)
-    at, block, common = np.arange(total, dtype=number), np.zeros(total, number), np.full(total, LENGTH, np.uint8)
-    common[0] = 0
-    for h in range(LENGTH):
-        symbol = transform.take(at)
+    two, twice = transform.take(longer).astype(np.uint16) << 8 | transform, longer.take(longer)
+    at, block, rounds = np.arange(total, dtype=number), np.zeros(total, number), np.zeros(total, np.uint8)
+    for _ in range(LENGTH // 2):
+        symbol = two.take(at)
         stable = np.argsort(symbol, kind="stable")
         symbol, of = symbol.take(stable), block.take(stable)
         border = symbol[1:] != symbol[:-1]
         border |= of[1:] != of[:-1]
-        # Borders never go: a round adds those between suffixes that part after h bytes.
-        common[1:][border & (common[1:] == LENGTH)] = h
+        # Borders never go, so the rounds without one say how many bytes neighbours share.
+        rounds[1:] += ~border
         np.cumsum(border, out=block[1:], dtype=number)
-        at = longer.take(at.take(stable))
+        at = twice.take(at.take(stable))
+    common = 2 * rounds
+    if exact:
+        shorter = np.empty(total, np.int64)
+        shorter[longer] = np.arange(total)
+        x, y = at[:-1].astype(np.int64), at[1:].astype(np.int64)
+        for h in range(0, LENGTH, 2):
+            # Neighbours of which only the first of two bytes is equal share one byte more; a suffix begins with the byte before the next.
+            x, y = shorter[x], shorter[y]
+            common[1:][(common[1:] == h) & (transform[x] == transform[y])] += 1
+            x, y = shorter[x], shorter[y]
     return at, common
 
 
@@ -344,7 +355,7 @@ def least_documents(data: np.ndarray, begin: np.ndarray, count: np.ndarray, doc:
     cuts = np.r_[0, ends[np.flatnonzero(np.diff(ends // SHARD))], ends[-1]]
     cuts = np.unique(cuts)
     shards = [Shard(text[s:e]) for s, e in zip(cuts[:-1], cuts[1:])]
-    at, common = interleave(shards)
+    at, common = interleave(shards, exact=False)
     place = np.concatenate([x.order + s for x, s in zip(shards, cuts)])[at]
     first = np.flatnonzero(common < LENGTH)
     starts = inside < np.repeat(count, size)
@@ -468,15 +479,15 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed_mask(n: int, gone: np.ndarray) -> np.ndarray:
     """Bytes covered by strings at gone[:, 0] + i for each bit i of gone[:, 1]."""
-    change = np.zeros(n + 1, np.int32)
-    for i in range(LENGTH - SEED + 1):
-        at = gone[(gone[:, 1] >> i) & 1 == 1, 0] + i
-        change[at] += 1
-    starts = np.flatnonzero(change[:n])
-    cover = np.zeros(n + 1, np.int32)
-    cover[starts] += 1
-    np.subtract.at(cover, np.minimum(starts + LENGTH, n), 1)
-    return np.cumsum(cover[:n]) > 0
+    starts, bits = np.zeros(n + 1, bool), np.arange(LENGTH - SEED + 1)
+    for at in range(0, len(gone), 1 << 14):
+        some = gone[at : at + (1 << 14)]
+        row, bit = np.nonzero((some[:, 1:] >> bits) & 1)
+        starts[some[row, 0] + bit] = True
+    # A byte is covered if a string starts at it or at one of the 49 before.
+    so_far = np.cumsum(starts[:n], dtype=np.int64)
+    so_far[LENGTH:] -= so_far[:-LENGTH].copy()
+    return so_far > 0
 
 
 def hot_seeds(named: DataFrame, hot: int = HOT) -> np.ndarray:

@@ -130,3 +130,26 @@ def test_long_runs_and_common_strings(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_covered_bytes_of_one_and_many_runs():
+    rng = np.random.default_rng(41)
+    for n in (50, 51, 120, 3000):
+        starts = np.flatnonzero(rng.random(n - 49) < 0.02)
+        runs = {}
+        for at in starts.tolist():
+            begin = at - at % 31
+            runs[begin] = runs.get(begin, 0) | 1 << (at - begin)
+        want = np.zeros(n, bool)
+        for at in starts.tolist():
+            want[at : at + 50] = True
+        assert (suffix.removed_mask(n, np.array(sorted(runs.items()), np.int64).reshape(-1, 2)) == want).all()
+
+
+def test_rounds_of_two_bytes_give_the_same_order():
+    rng = np.random.default_rng(42)
+    texts = [np.r_[rng.integers(97, 99, n), 255].astype(np.uint8) for n in (200, 90, 151)]
+    shards = [suffix.Shard(t) for t in texts]
+    at, common = suffix.interleave(shards)
+    some, even = suffix.interleave(shards, exact=False)
+    assert (at == some).all() and (common // 2 * 2 == even).all() and (common % 2).any()
