@@ -78,20 +78,20 @@ def prefix_examples(formatted: DataFrame, with_text: bool = False, outer: bool =
     parsed = formatted if "turns" in formatted.columns else parse(formatted)
     rest = [c for c in parsed.columns if c not in ("turns", "formatted")]
     none = F.lit(0).cast("long")
-    start = F.struct(none.alias("chars"), none.alias("digest"), F.lit(0).alias("number"), F.array().cast("array<struct<target:int,context_chars:bigint,context_digest:bigint,loss_start:bigint,loss_end:bigint,first:bigint,size:bigint>>").alias("examples"), none.alias("bytes"))
+    start = F.struct(none.alias("chars"), none.alias("digest"), F.lit(0).alias("number"), F.array().cast("array<struct<target:int,context_chars:bigint,context_digest:bigint,loss_start:bigint,loss_end:bigint,_first:bigint,_size:bigint>>").alias("examples"), none.alias("bytes"))
 
     def step(a: Column, t: Column) -> Column:
         end, size = a["chars"] + t["length"] - len(END), F.octet_length(t["written"]).cast("long")
         past = a["bytes"] + F.octet_length(escape(t["role"])) + size + len(START) + len(ROLE) + len(END)
-        example = F.struct(a["number"].alias("target"), a["chars"].alias("context_chars"), a["digest"].alias("context_digest"), (end - F.length(t["written"])).alias("loss_start"), end.alias("loss_end"), (past - len(END) - size).alias("first"), size.alias("size"))
+        example = F.struct(a["number"].alias("target"), a["chars"].alias("context_chars"), a["digest"].alias("context_digest"), (end - F.length(t["written"])).alias("loss_start"), end.alias("loss_end"), (past - len(END) - size).alias("_first"), size.alias("_size"))
         examples = F.when(t["role"] == TRAINED, F.array_append(a["examples"], example)).otherwise(a["examples"])
         return F.struct((a["chars"] + t["length"]).alias("chars"), a["digest"].bitwiseXOR(_digest(a["number"], t["role"], t["written"])).alias("digest"), (a["number"] + 1).alias("number"), examples.alias("examples"), past.alias("bytes"))
 
     # Bytes are cut where they stand; characters would be counted from the beginning of the conversation.
     rows = parsed.select(*rest, "formatted", (F.explode_outer if outer else F.explode)(F.aggregate("turns", start, step, lambda a: a["examples"])).alias("example")).select(*rest, "formatted", "example.*")
     cut = lambda x, first, size: F.substr(x, (first + 1).cast("int"), size.cast("int"))
-    rows = rows.withColumn("text", cut(F.col("formatted").cast("binary"), F.lit(0), F.col("first") + F.col("size") + len(END)))
-    rows = rows.withColumn("reply", cut(F.col("text"), F.col("first"), F.col("size")).cast("string")).withColumn("text", F.col("text").cast("string")).drop("formatted", "first", "size")
+    rows = rows.withColumn("text", cut(F.col("formatted").cast("binary"), F.lit(0), F.col("_first") + F.col("_size") + len(END)))
+    rows = rows.withColumn("reply", cut(F.col("text"), F.col("_first"), F.col("_size")).cast("string")).withColumn("text", F.col("text").cast("string")).drop("formatted", "_first", "_size")
     return rows if with_text else rows.drop("text")
 
 
