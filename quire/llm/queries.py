@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, classifier, mixing, pieces, rules, secrets, simhash, suffix, tokens
+from . import ann, bytepairs, chat, classifier, mixing, negatives, pieces, rules, secrets, simhash, spelling, suffix, tokens
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_tokens": tokens.op9_tokens,
     "op10_secrets": secrets.op10_secrets,
+    "op11_negatives": negatives.op11_negatives,
+    "op12_bytepairs": bytepairs.op12_bytepairs,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLES = {
     "op1_mix": mixing.OP1_SQL,
     "op3_rules": rules.OP3_SQL,
     "op5_chat": chat.OP5_SQL,
+    "op11_negatives": negatives.OP11_SQL,
+    "op13_spelling": spelling.OP13_SQL,
 }
