@@ -1,4 +1,4 @@
-"""Images as arrays: PNG and PGM, rules and grids, bands, marks of lists, blank fields, masks, orientation, crops.
+"""Images as arrays: PNG and PGM, rules and grids, fills, masks, orientation, crops.
 
 Everything here works on one page or crop, in memory; over many it runs in the tasks of ``over_pages``. An image is
 an array of gray values, or of red, green and blue.
@@ -7,40 +7,30 @@ an array of gray values, or of red, green and blue.
 from __future__ import annotations
 
 import base64
-import hashlib
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .engines import bands, read_pgm
+from .engines import read_pgm
 
 _MAGIC = b"\x89PNG\r\n\x1a\n"
 Box = tuple[int, int, int, int]
 
 # Gray levels below which there is ink, and sizes by which shapes are told apart, in pixels unless said otherwise.
-INK, RULE_INK, FIELD_INK, PALE_INK = 170, 180, 150, 210
+INK, RULE_INK = 170, 180
 #: Least lengths of rules as a part of the width and height, and in pixels; shares of the table that a separator crosses.
 GRID_PARTS, GRID_LEAST, GRID_SHARES = (4, 8), 20, (0.5, 0.35)
-#: Part of the side of a separator that must be inked beside each cell.
-COMPLETE = 0.7
-#: Heights of a line: least, most, and most as a share of its cell; columns with ink; gap to what belongs to it.
-LINE_LOWEST, LINE_HIGHEST, LINE_SHARE, LINE_COLUMNS, LINE_GAP = 5, 100, 0.1, 8, 0.18
-#: Rules in cells: part of a side, and least length; spread of a colour, share of a filled cell, spread of a gray, widths in points.
-CELL_PART, CELL_LEAST, COLORED, FILLED, NEUTRAL, RULE_WIDTHS = 3, 30, 50, 0.3, 25, (0.1, 3.0)
-#: Dashes: times as wide as tall, widths in points, height in points, where they stand in the strip, gap to the text.
-DASH_SHAPE, DASH_WIDTHS, DASH_HEIGHT, DASH_PLACE, DASH_GAP = 2, (2, 7), 2, (0.25, 0.8), 2
-#: Blank fields: least width and share of the page's, most height and share of the page's, times as wide as tall, most of the width.
-FIELD_LEAST, FIELD_SHARE, FIELD_HIGHEST, FIELD_HIGH_SHARE, FIELD_SHAPE, FIELD_MOST = 25, 0.018, 3, 0.0015, 15, 0.9
-#: Letters on a page that may be turned: least and most size, least ink, shapes.
-LETTER_SIZES, LETTER_INK, LETTER_SHAPES = (5, 60), 20, (0.2, 5)
-#: Strokes of paths: least height and width, most width by height, leans, most distance from a line.
-STROKE_HEIGHT, STROKE_WIDTH, STROKE_SHAPE, STROKE_LEANS, STROKE_OFF = 16, 5, 0.7, (0.1, 0.65), 1.8
+#: Longest break of a separator, as a share of the narrowest cell beside the separators that cross it.
+BREAK = 0.5
+#: Spread of a colour, share of a filled cell.
+COLORED, FILLED = 50, 0.3
+#: How much larger the share of blank columns must be than that of blank rows before a page may be turned.
+TURNED = 0.1
 
 
 def read_png(data: bytes) -> np.ndarray:
@@ -73,6 +63,8 @@ def read_png(data: bytes) -> np.ndarray:
 
 
 def _unfiltered(kinds: np.ndarray, rows: np.ndarray, step: int) -> np.ndarray:
+    if not kinds.any():
+        return rows
     above = np.zeros(rows.shape[1], np.int64)
     for kind, row in zip(kinds.tolist(), rows):
         if kind == 2:
@@ -163,39 +155,27 @@ def grid(image: np.ndarray, dark: int = RULE_INK) -> tuple[list[float], list[flo
     return centers(upright, height * GRID_SHARES[1]), centers(level, width * GRID_SHARES[0])
 
 
-def complete(image: np.ndarray, xs: list[float], ys: list[float], share: float = COMPLETE, dark: int = RULE_INK) -> bool:
-    """Whether every separator runs along every cell beside it, so that no cells are merged."""
+def unbroken(image: np.ndarray, xs: list[float], ys: list[float], dark: int = RULE_INK) -> bool:
+    """Whether no separator of a grid has a break as long as half of the narrowest cell it passes, so that no cells are merged."""
     mask = gray(image) < dark
-    wide = lambda a, b: slice(max(0, int(a)), int(b))
-    upright = (mask[wide(a + 3, b - 2), wide(x - 3, x + 4)].any(1) for x in xs for a, b in zip(ys, ys[1:]))
-    level = (mask[wide(y - 4, y + 5), wide(a + 3, b - 2)].any(0) for y in ys for a, b in zip(xs, xs[1:]))
-    return all(len(s) and s.mean() >= share for part in (upright, level) for s in part)
-
-
-def cell_lines(image: np.ndarray, dark: int = INK) -> list[tuple[Box, int]]:
-    """Boxes of the lines of text in the crop of a cell, and their ink; rules at its rim don't count."""
-    ink = gray(image) < dark
-    height, width = ink.shape
-    horizontal, vertical = rules(ink, max(CELL_LEAST, width // CELL_PART), max(CELL_LEAST, height // CELL_PART))
-    ink = ink & ~horizontal & ~vertical
-    found = []
-    for top, bottom in _joined(bands(ink, int(max(2, width * 0.002)) + 1, 3)):
-        columns = np.flatnonzero(ink[top:bottom].sum(0) >= 2)
-        if LINE_LOWEST <= bottom - top <= max(LINE_HIGHEST, height * LINE_SHARE) and len(columns) >= LINE_COLUMNS:
-            found.append(((int(columns[0]), top, int(columns[-1]) + 1, bottom), int(ink[top:bottom].sum())))
-    return found
-
-
-def _joined(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Bands with those that belong to them: accents and dots are nearer than a sixth of a line or so."""
-    out: list[tuple[int, int]] = []
-    for top, bottom in parts:
-        tallest = max([bottom - top] + ([out[-1][1] - out[-1][0]] if out else []))
-        if out and top - out[-1][1] + 1 <= max(3, round(tallest * LINE_GAP)):
-            out[-1] = (out[-1][0], bottom)
-        else:
-            out.append((top, bottom))
-    return out
+
+    def longest_break(lines: np.ndarray, at: float, across: list[float]) -> float:
+        strip = lines[max(0, int(at) - 3) : int(at) + 4, int(across[0]) : int(across[-1]) + 1].any(0)
+        inked = np.flatnonzero(strip)
+        return float(np.diff(np.r_[-1, inked, len(strip)]).max()) - 1
+
+    sides = ((mask.T, xs, ys), (mask, ys, xs))
+    return all(longest_break(lines, at, across) < BREAK * float(np.diff(across).min()) for lines, places, across in sides if len(across) > 1 for at in places)
+
+
+def may_be_turned(image: np.ndarray, dark: int = INK) -> bool:
+    """Whether blank lines run down the inked part of a page rather than across it; a gate before anything is read."""
+    mask = gray(image) < dark
+    rows, columns = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
+    if not len(rows):
+        return False
+    blank = lambda at: 1 - len(at) / (at[-1] - at[0] + 1)
+    return bool(blank(columns) > blank(rows) + TURNED)
 
 
 def _hex(rgb: np.ndarray) -> str:
@@ -208,30 +188,6 @@ def fill_color(image: np.ndarray, least: int = COLORED, share: float = FILLED) -
     return _hex(np.median(image[colored], 0)) if colored.mean() > share else None
 
 
-def rule_style(image: np.ndarray, per_point: float) -> tuple[str, float] | None:
-    """Colour and width in points of a table's rules."""
-    spread = image.max(2).astype(int) - image.min(2)
-    mask = (gray(image) < PALE_INK) & (spread < NEUTRAL)
-    height, width = mask.shape
-    horizontal, vertical = rules(mask, max(CELL_LEAST, width // CELL_PART), max(CELL_LEAST, height // CELL_PART))
-    both = horizontal | vertical
-    if both.sum() < max(height, width):
-        return None
-    # A rule is as thick as the shorter of the runs through its pixels.
-    thick = np.minimum(_run_lengths(both), _run_lengths(both.T).T)[both]
-    return _hex(np.median(image[both], 0)), round(float(min(RULE_WIDTHS[1], max(RULE_WIDTHS[0], np.median(thick) / per_point))), 3)
-
-
-def _run_lengths(mask: np.ndarray) -> np.ndarray:
-    edges = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    row, start = np.nonzero(edges == 1)
-    end = np.nonzero(edges == -1)[1]
-    out = np.zeros(mask.shape, np.int32)
-    for r, s, e in zip(row, start, end):
-        out[r, s:e] = e - s
-    return out
-
-
 def components(mask: np.ndarray) -> list[tuple[Box, int]]:
     """Boxes and pixels of the connected parts of a mask, diagonals too, by their first pixel."""
     edges = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
@@ -263,35 +219,6 @@ def components(mask: np.ndarray) -> list[tuple[Box, int]]:
     return [((a, b, c, d), n) for a, b, c, d, n in found.values()]
 
 
-def has_dash(image: np.ndarray, per_point: float, dark: int = FIELD_INK) -> bool:
-    """Whether the left end of a list item, some twenty points wide, begins with a dash and goes on with text."""
-    mask = gray(image) < dark
-    shapes = sorted(box for box, n in components(mask) if n > 2)
-    if len(shapes) < 2:
-        return False
-    (x0, y0, x1, y1), following = shapes[0], shapes[1]
-    wide, tall = x1 - x0, y1 - y0
-    flat = wide >= DASH_SHAPE * tall and DASH_WIDTHS[0] * per_point <= wide <= DASH_WIDTHS[1] * per_point and tall <= DASH_HEIGHT * per_point
-    return flat and DASH_PLACE[0] <= y0 / mask.shape[0] <= DASH_PLACE[1] and following[0] - x1 >= DASH_GAP
-
-
-def blank_fields(image: np.ndarray, taken: list[Box], in_cell: bool = False, dark: int = FIELD_INK) -> list[Box]:
-    """Thin rules on which a form is filled in; what lies in the boxes taken (tables, figures) is left out."""
-    mask = gray(image) < dark
-    height, width = mask.shape
-    for x0, y0, x1, y1 in taken:
-        mask[max(0, y0 - 3) : y1 + 3, max(0, x0 - 3) : x1 + 3] = False
-    least = max(FIELD_LEAST, round(width * FIELD_SHARE))
-    found = []
-    for (x0, y0, x1, y1), _ in components(runs(mask, least)):
-        wide, tall = x1 - x0, y1 - y0
-        thin = wide >= least and tall <= max(FIELD_HIGHEST, round(height * FIELD_HIGH_SHARE)) and wide / tall >= FIELD_SHAPE
-        border = wide >= FIELD_MOST * width or x0 <= 1 or x1 >= width - 1 or in_cell and (y0 < 3 or y1 > height - 3)
-        if thin and not border:
-            found.append((x0, y0, x1, y1))
-    return found
-
-
 def masked(image: np.ndarray, boxes: list[Box]) -> np.ndarray:
     """The image with white in place of the boxes."""
     out = image.copy()
@@ -300,35 +227,6 @@ def masked(image: np.ndarray, boxes: list[Box]) -> np.ndarray:
     return out
 
 
-def without_border(image: np.ndarray, dark: int = RULE_INK) -> np.ndarray:
-    """The crop of a cell without the long rules at its rim; small crops stay as they are."""
-    mask = gray(image) < dark
-    height, width = mask.shape
-    if min(height, width) < 16:
-        return image
-    horizontal, vertical = rules(mask, max(20, width // 3), max(20, height // 3))
-    rim_y, rim_x = min(8, height // 5), min(8, width // 5)
-    horizontal[rim_y:-rim_y], vertical[:, rim_x:-rim_x] = False, False
-    out = image.copy()
-    out[(horizontal | vertical) & mask] = 255
-    return out
-
-
-def may_be_turned(image: np.ndarray, dark: int = INK, glyphs: int = 80, lead: float = 1.25) -> bool:
-    """Whether the ink of a page with enough letters is banded by columns rather than by rows."""
-    mask = gray(image) < dark
-    sides = np.array([(b[2] - b[0], b[3] - b[1]) for b, n in components(mask) if n >= LETTER_INK]).reshape(-1, 2)
-    sized = ((sides >= LETTER_SIZES[0]) & (sides <= LETTER_SIZES[1])).all(1)
-    shape = sides[sized, 0] / sides[sized, 1]
-    if ((shape >= LETTER_SHAPES[0]) & (shape <= LETTER_SHAPES[1])).sum() < glyphs:
-        return False
-    height, width = mask.shape
-    horizontal, vertical = rules(mask, max(50, width // 8), max(50, height // 8))
-    text = mask & ~horizontal & ~vertical
-    signal = [float(c.std() / max(1, c.mean())) for c in (text.sum(1), text.sum(0))]
-    return signal[0] > 0 and signal[1] > signal[0] * lead
-
-
 def turn(upright: float, left: float, right: float, least: float = 40, gain: float = 1.7, lead: float = 1.35) -> int:
     """Clockwise degrees by which a page is to be turned, from the sure characters read as it is and turned by 90 either way."""
     best, other = max(left, right), min(left, right)
@@ -345,57 +243,6 @@ def oriented(image: np.ndarray, read: Callable[[np.ndarray], float]) -> tuple[np
     return (image if not degrees else np.rot90(image, 4 - degrees // 90)), degrees
 
 
-def split_wide(image: np.ndarray, widest: int, dark: int = INK) -> list[tuple[int, int]]:
-    """Column ranges of a line that is wider than a reader takes, parted at the emptiest place near each limit."""
-    width = image.shape[1]
-    ink = (gray(image) < dark).sum(0)
-    out, at = [], 0
-    while width - at > widest:
-        first = at + widest // 2
-        part = ink[first : at + widest]
-        cut = first + int(len(part) - 1 - np.argmin(part[::-1]))
-        out.append((at, cut))
-        at = cut
-    return [*out, (at, width)]
-
-
-def word_spans(image: np.ndarray, dark: int = INK, gap: float = 0.22) -> list[tuple[int, int]]:
-    """Column ranges of the words of a line: gaps up to a share of its height, four pixels at least, are within words."""
-    mask = gray(image) < dark
-    mask[:, mask.sum(0) > image.shape[0] * 0.9] = False
-    rows = np.flatnonzero(mask.sum(1) > 2)
-    columns = np.flatnonzero(mask.sum(0) > 1)
-    if not len(rows) or not len(columns):
-        return []
-    most = max(4.0, (rows[-1] - rows[0] + 1) * gap)
-    return [(int(p[0]), int(p[-1]) + 1) for p in np.split(columns, np.flatnonzero(np.diff(columns) > most) + 1)]
-
-
-def strokes(image: np.ndarray, dark: int = INK) -> list[tuple[int, int]]:
-    """Column ranges of the slanted strokes between the parts of a path: tall, narrow, straight, and leaning."""
-    mask = gray(image) < dark
-    found = []
-    for (x0, y0, x1, y1), _ in components(mask):
-        high, wide = y1 - y0, x1 - x0
-        if high < STROKE_HEIGHT or wide < STROKE_WIDTH or wide > high * STROKE_SHAPE:
-            continue
-        ys, xs = np.nonzero(mask[y0:y1, x0:x1])
-        lean, start = np.polyfit(ys, xs, 1)
-        if STROKE_LEANS[0] < lean < STROKE_LEANS[1] and float(np.sqrt(np.mean((xs - lean * ys - start) ** 2))) < STROKE_OFF:
-            found.append((x0, x1))
-    return sorted(found)
-
-
-def path_parts(image: np.ndarray) -> list[tuple[int, int] | None]:
-    """Column ranges between the strokes of a path, null where there is hardly any ink; empty without two strokes."""
-    cuts = strokes(image)
-    if len(cuts) < 2:
-        return []
-    mask, width = gray(image) < INK, image.shape[1]
-    ends = list(zip([0] + [b for _, b in cuts], [a for a, _ in cuts] + [width]))
-    return [(a, b) if b - a > 8 and mask[:, a:b].sum() > 20 else None for a, b in ends]
-
-
 class FailureLog:
     """What went wrong while reading, within bounds: so many events, and so many bytes of pictures."""
 
@@ -439,22 +286,6 @@ def crop(image: np.ndarray, box: Box, page: int, number: int) -> tuple[str, byte
     return f"p{page:03d}_fig{number:02d}.png", write_png(part)
 
 
-def remembered(run: Callable[[bytes], tuple], most: int = 4096) -> Callable[[bytes], tuple]:
-    """run for the bytes of images, which reads an image that comes again only once: up to ``most`` results are kept, by the image's SHA-256."""
-    known: dict[bytes, tuple] = {}
-
-    @wraps(run)
-    def read(data: bytes) -> tuple:
-        key = hashlib.sha256(data).digest()
-        if key not in known:
-            if len(known) >= most:
-                known.clear()
-            known[key] = run(data)
-        return known[key]
-
-    return read
-
-
 def page_batches(batches: Iterator[pa.RecordBatch], run: Callable[[dict], list[tuple]], kinds: pa.Schema, most_rows: int = 1000, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Rows that ``run`` makes of each page, so many together, or fewer if their texts and images are large."""
     made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)
