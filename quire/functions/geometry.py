@@ -46,6 +46,11 @@ def contains(outer: Column, inner: Column, slack: float = 0.0) -> Column:
     return (inner["x0"] >= outer["x0"] - slack) & (inner["x1"] <= outer["x1"] + slack) & (inner["y0"] >= outer["y0"] - slack) & (inner["y1"] <= outer["y1"] + slack)
 
 
+def grow(b: Column, by: float) -> Column:
+    """The box and what lies up to ``by`` around it."""
+    return box(b["x0"] - by, b["y0"] - by, b["x1"] + by, b["y1"] + by)
+
+
 def within_page(b: Column, page_width: Column, page_height: Column) -> Column:
     return contains(box(F.lit(0), F.lit(0), page_width, page_height), b) & (b["x0"] <= b["x1"]) & (b["y0"] <= b["y1"])
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
+from . import sweep
+from .tiles import GRID, grids, meet, with_grid
 
 PAGE = ["doc_id", "page_index"]
 
@@ -38,9 +40,12 @@ def attach_captions(blocks: DataFrame, most: float = 48.0) -> DataFrame:
 
     Of several captions of a figure the last on the page stays.
     """
-    figures = blocks.filter("type = 'figure'").select(*PAGE, F.col("block_id").alias("figure_id"), F.col("ord").alias("figure_ord"), G.of().alias("f"))
-    captions = blocks.filter("type = 'caption'").select(*PAGE, F.col("block_id").alias("caption_id"), F.col("ord").alias("caption_ord"), G.of().alias("c"))
-    pairs = captions.join(figures, PAGE).filter(F.abs(F.col("c.x0") - F.col("f.x0")) <= F.greatest(G.width(F.col("c")), G.width(F.col("f"))))
+    both = with_grid(blocks.filter("type IN ('figure', 'caption')"), PAGE)
+    figures = both.filter("type = 'figure'").select(*PAGE, GRID, F.col("block_id").alias("figure_id"), F.col("ord").alias("figure_ord"), G.of().alias("f"))
+    captions = both.filter("type = 'caption'").select(*PAGE, GRID, F.col("block_id").alias("caption_id"), F.col("ord").alias("caption_ord"), G.of().alias("c"))
+    # Left edges at most a width apart: both boxes reach as far to the left as to the right.
+    near = lambda b, up: G.box(b["x0"] - F.abs(G.width(b)), F.least(b["y0"], b["y1"]) - up, F.greatest(b["x0"], b["x1"]), F.greatest(b["y0"], b["y1"]) + up)
+    pairs = meet(captions, figures, PAGE, near(F.col("c"), most), near(F.col("f"), 0.0)).filter(F.abs(F.col("c.x0") - F.col("f.x0")) <= F.greatest(G.width(F.col("c")), G.width(F.col("f"))))
     gap = F.when(F.col("c.y1") <= F.col("f.y0"), F.col("f.y0") - F.col("c.y1")).otherwise(F.col("c.y0") - F.col("f.y1"))
     near = pairs.withColumn("gap", gap).filter(F.col("gap").between(0, most))
     best = near.groupBy(*PAGE, "caption_id", "caption_ord").agg(F.min(F.struct("gap", "figure_ord", "figure_id")).alias("best"))
@@ -52,14 +57,15 @@ def figure_leaks(blocks: DataFrame, slack: float = 2.0, pictograms: bool = False
 
     A single cross-shaped glyph in a small figure may belong to the figure: such pairs are the pictograms.
     """
-    text, figures = blocks.filter("type NOT IN ('figure', 'caption', 'table')").filter(X.strip(X.or_empty(F.col("text"))) != ""), blocks.filter("type = 'figure'")
+    both = with_grid(blocks, PAGE)
+    text, figures = both.filter("type NOT IN ('figure', 'caption', 'table')").filter(X.strip(X.or_empty(F.col("text"))) != ""), both.filter("type = 'figure'")
     label = F.coalesce(F.col("source_label"), F.lit("")) if "source_label" in blocks.columns else F.lit("")
-    left = text.select(*PAGE, "block_id", "text", G.of().alias("a"))
-    right = figures.select(*PAGE, F.col("block_id").alias("figure_id"), F.col("ord").alias("figure_ord"), label.alias("label"), G.of().alias("b"))
+    left = text.select(*PAGE, GRID, "block_id", "text", G.of().alias("a"))
+    right = figures.select(*PAGE, GRID, F.col("block_id").alias("figure_id"), F.col("ord").alias("figure_ord"), label.alias("label"), G.of().alias("b"))
     a, b = F.col("a"), F.col("b")
     small = lambda x, most: (x > 0) & (x <= most)
     ambiguous = X.strip(F.col("text")).isin("X", "x", "Х", "х", "×", "+") & small(G.width(a), 12) & small(G.height(a), 12) & small(G.width(b), 24) & small(G.height(b), 36) & ~F.col("label").isin("ocr_image_fallback", "graphic_field")
-    inside = left.join(right, PAGE).filter(G.contains(b, a, slack)).filter(ambiguous == F.lit(pictograms))
+    inside = meet(left, right, PAGE, a, G.grow(b, slack)).filter(G.contains(b, a, slack)).filter(ambiguous == F.lit(pictograms))
     return inside.groupBy(*PAGE, "block_id").agg(F.min_by("figure_id", F.struct("figure_ord", "figure_id")).alias("figure_id"))
 
 
@@ -70,10 +76,10 @@ def dangling_captions(links: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def echoes(blocks: DataFrame, overlap: float = 0.55, least: float = 0.94) -> DataFrame:
     """doc_id, page_index, block_id of blocks that repeat, as a whole, two or more blocks that they overlap."""
-    keyed = blocks.filter("type <> 'figure'").select(*PAGE, "block_id", "ord", X.word_key(F.col("text")).alias("key"), G.of().alias("box")).filter("key <> ''")
-    parts = keyed.select(*PAGE, F.col("block_id").alias("part_id"), F.col("ord").alias("part_ord"), F.col("key").alias("part_key"), F.col("box").alias("part"))
+    keyed = with_grid(blocks.filter("type <> 'figure'"), PAGE).select(*PAGE, GRID, "block_id", "ord", X.word_key(F.col("text")).alias("key"), G.of().alias("box")).filter("key <> ''")
+    parts = keyed.select(*PAGE, GRID, F.col("block_id").alias("part_id"), F.col("ord").alias("part_ord"), F.col("key").alias("part_key"), F.col("box").alias("part"))
     box, part = F.col("box"), F.col("part")
-    pairs = keyed.join(parts, PAGE).filter((F.col("block_id") != F.col("part_id")) & (F.length("part_key") <= F.length("key")) & (G.intersection(box, part) / F.least(G.area(box), G.area(part)) >= overlap))
+    pairs = meet(keyed, parts, PAGE, box, part).filter((F.col("block_id") != F.col("part_id")) & (F.length("part_key") <= F.length("key")) & (G.intersection(box, part) / F.least(G.area(box), G.area(part)) >= overlap))
     item = F.struct(F.col("part.y0").alias("y0"), F.col("part.x0").alias("x0"), F.col("part_ord").alias("ord"), F.col("part_key").alias("key"))
     grouped = pairs.groupBy(*PAGE, "block_id", "key").agg(F.sort_array(F.collect_list(item)).alias("parts"), (F.max("part.y0") - F.min("part.y0")).alias("drop"), F.max(G.height(part)).alias("tallest"))
     across = F.sort_array(F.transform("parts", lambda p: F.struct(p["x0"].alias("x0"), p["y0"].alias("y0"), p["ord"].alias("ord"), p["key"].alias("key"))))
@@ -89,9 +95,9 @@ def contained_duplicates(blocks: DataFrame, slack: float = 3.0) -> DataFrame:
     A join finds what each block contains. What is gone no longer counts as a part of a shorter block, so the few blocks
     that contain others are folded from the longest on.
     """
-    keyed = blocks.filter("type <> 'figure' AND coalesce(text, '') <> ''").select(*PAGE, "block_id", "ord", X.ink_key(F.col("text")).alias("key"), G.of().alias("box"))
-    inner = keyed.select(*PAGE, F.col("block_id").alias("part_id"), F.struct(F.col("box.y0").alias("y0"), F.col("box.x0").alias("x0"), "ord", F.col("block_id").alias("id"), "key").alias("part"), F.col("box").alias("part_box"))
-    held = keyed.join(inner, PAGE).filter((F.col("block_id") != F.col("part_id")) & G.contains(F.col("box"), F.col("part_box"), slack))
+    keyed = with_grid(blocks.filter("type <> 'figure' AND coalesce(text, '') <> ''"), PAGE).select(*PAGE, GRID, "block_id", "ord", X.ink_key(F.col("text")).alias("key"), G.of().alias("box"))
+    inner = keyed.select(*PAGE, GRID, F.col("block_id").alias("part_id"), F.struct(F.col("box.y0").alias("y0"), F.col("box.x0").alias("x0"), "ord", F.col("block_id").alias("id"), "key").alias("part"), F.col("box").alias("part_box"))
+    held = meet(keyed, inner, PAGE, G.grow(F.col("box"), slack), F.col("part_box")).filter((F.col("block_id") != F.col("part_id")) & G.contains(F.col("box"), F.col("part_box"), slack))
     whole = held.groupBy(*PAGE, "block_id", "ord", "key").agg(F.sort_array(F.collect_list("part")).alias("parts")).filter(F.size("parts") > 1)
     pages = whole.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct((-F.length("key")).alias("size"), "ord", "block_id", "key", "parts"))).alias("items"))
 
@@ -141,90 +147,58 @@ def run_groups(rows: DataFrame, by: list[str], value: str, gap: float, into: str
 def recover_lines(blocks: DataFrame, lines: DataFrame, page_height: float, sure: float = 0.75, cover: float = 0.6) -> DataFrame:
     """doc_id, page_index, block_id, type, text, ord: the blocks, and the recognised lines that no block covers.
 
-    Joins and sums tell how much of a line its page's blocks cover, which of its words they lack, which block it follows and
-    which earlier lines it overlaps. A line put in counts as a block for those after it: only that is a fold, over the lines that
+    Joins and sums tell how much of a line its page's blocks cover, which of its words they lack, and which earlier lines it overlaps; a
+    sweep, which block it follows. A line put in counts as a block for those after it: only that is decided line by line, for the lines that
     blocks leave open. A line put in follows what stands lowest above it in its column, before what was put there earlier,
-    so its place is the place of that one, followed by its own number counted downwards.
+    so its place is the place of that one, followed by its own number counted downwards. Both tables are read several times.
     """
-    seen = lines.filter((F.col("confidence") >= sure) & (X.strip(X.or_empty(F.col("text"))) != "")).select(*PAGE, "line_no", "text", G.of().alias("l"))
+    line = [*PAGE, "line_no"]
+    seen = lines.filter((F.col("confidence") >= sure) & (X.strip(X.or_empty(F.col("text"))) != "")).select(*PAGE, F.col("line_no").cast("int").alias("line_no"), "text", G.of().alias("l"))
     order = Window.partitionBy(*PAGE).orderBy("ord", "block_id")
-    placed = blocks.select(*PAGE, "block_id", "type", "text", F.array(F.row_number().over(order)).alias("place"), G.of().alias("b"))
+    placed = blocks.select(*PAGE, "block_id", "type", "text", F.row_number().over(order).alias("place"), G.of().alias("b"))
     l, b = F.col("l"), F.col("b")
     size = F.greatest(F.lit(0.01), (l["x1"] - l["x0"]) * (l["y1"] - l["y0"]))
-    below = lambda upper, lower: (upper["y0"] <= lower["y0"]) & (F.least(upper["x1"], lower["x1"]) > F.greatest(upper["x0"], lower["x0"]))
-    met = seen.join(placed.select(*PAGE, "place", F.col("text").alias("block_text"), "b"), PAGE).withColumn("share", G.intersection(l, b) / size)
-    line = [*PAGE, "line_no"]
-    facts = met.groupBy(*line).agg(F.max("share").alias("most"), F.sum("share").alias("total"), F.count_if(F.col("share") > 0).alias("n"), F.max(F.when(below(b, l), F.struct(b["y0"].alias("y0"), (-F.get("place", F.lit(0))).alias("down")))).alias("above"))
+    grid = grids(seen.select(*PAGE, "l.*").unionByName(placed.select(*PAGE, "b.*")), PAGE)
+    seen = seen.join(grid, PAGE)
+    met = meet(seen, placed.join(grid, PAGE).select(*PAGE, GRID, F.col("text").alias("block_text"), "b"), PAGE, l, b).withColumn("share", G.intersection(l, b) / size).filter("share > 0")
+    facts = met.groupBy(*line).agg(F.max("share").alias("most"), F.sum("share").alias("total"), F.count("*").alias("n"))
     open_ = seen.join(facts, line, "left").filter(F.coalesce("most", F.lit(0.0)) < cover).drop("most")
     counted = lambda t, words, n: t.select(*line, F.explode(X.folded_words(F.col(words))).alias("word")).groupBy(*line, "word").agg(F.count("*").alias(n))
-    lacking = counted(open_, "text", "wanted").join(counted(met.filter("share > 0"), "block_text", "there"), [*line, "word"], "left").withColumn("n", F.col("wanted") - F.coalesce("there", F.lit(0))).filter("n > 0")
+    lacking = counted(open_, "text", "wanted").join(counted(met, "block_text", "there"), [*line, "word"], "left").withColumn("n", F.col("wanted") - F.coalesce("there", F.lit(0))).filter("n > 0")
     lacking = lacking.groupBy(*line).agg(F.collect_list(F.struct("word", "n")).alias("lacking"))
-    earlier = open_.select(*PAGE, F.col("line_no").alias("no"), F.col("text").alias("earlier_text"), F.col("l").alias("b"))
-    over = open_.join(earlier, PAGE).filter(F.col("no") < F.col("line_no")).withColumn("share", G.intersection(l, b) / size).filter(F.col("share") > 0)
-    over = over.groupBy(*line).agg(F.collect_list(F.struct("no", "share", X.folded_words(F.col("earlier_text")).alias("words"))).alias("over"))
-    items = open_.join(lacking, line, "left").join(over, line, "left")
-    nothing = lambda c, kind: F.coalesce(c, F.array().cast(kind))
-    item = F.struct("line_no", "l", F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("n", F.lit(0)).alias("n"), "above", nothing(F.col("lacking"), "array<struct<word:string,n:bigint>>").alias("lacking"), nothing(F.col("over"), "array<struct<no:int,share:double,words:array<string>>>").alias("over"))
-    pages = items.withColumn("line_no", F.col("line_no").cast("int")).groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("line_no", item.alias("x")))).alias("items"))
-    start = F.array().cast("array<struct<no:int,l:struct<x0:double,y0:double,x1:double,y1:double>,place:array<int>>>")
-
-    def step(put: Column, each: Column) -> Column:
-        x = each["x"]
-        near = F.filter(x["over"], lambda o: F.exists(put, lambda p: p["no"] == o["no"]))
-        alone = F.exists(near, lambda o: o["share"] >= cover)
-        total = F.aggregate(near, x["total"], lambda t, o: t + o["share"])
-        found = lambda word: F.aggregate(near, F.lit(0), lambda n, o: n + F.size(F.filter(o["words"], lambda w: w == word)))
-        together = (x["n"] + F.size(near) > 1) & (total >= cover) & ~F.exists(x["lacking"], lambda w: w["n"] > found(w["word"]))
-        candidates = F.transform(F.filter(put, lambda p: below(p["l"], x["l"])), lambda p: F.struct(p["l"]["y0"].alias("y0"), p["place"].alias("place")))
-        candidates = F.concat(F.when(x["above"].isNotNull(), F.array(F.struct(x["above"]["y0"].alias("y0"), F.array((-x["above"]["down"]).cast("int")).alias("place")))).otherwise(F.array().cast("array<struct<y0:double,place:array<int>>>")), candidates)
-        lowest = F.array_max(F.transform(candidates, lambda c: c["y0"]))
-        place = F.coalesce(F.array_min(F.transform(F.filter(candidates, lambda c: c["y0"] == lowest), lambda c: c["place"])), F.array(F.lit(0)))
-        new = F.struct(each["line_no"].alias("no"), x["l"].alias("l"), F.concat(place, F.array(-each["line_no"])).alias("place"))
-        return F.when(alone | together, put).otherwise(F.array_append(put, new))
-
-    put = pages.select(*PAGE, F.explode(F.aggregate("items", start, step)).alias("p")).select(*PAGE, F.col("p.no").alias("line_no"), F.col("p.place").alias("place"))
+    earlier = open_.select(*PAGE, GRID, F.col("line_no").alias("no"), F.col("text").alias("earlier_text"), F.col("l").alias("b"))
+    over = meet(open_, earlier, PAGE, l, b).filter(F.col("no") < F.col("line_no")).withColumn("share", G.intersection(l, b) / size).filter(F.col("share") > 0)
+    over = over.groupBy(*line).agg(F.sort_array(F.collect_list(F.struct("no", "share", X.folded_words(F.col("earlier_text")).alias("words")))).alias("over"))
+    # Blocks before lines of the same top, and of blocks with one top the first of the page last, as it is the one that counts.
+    events = placed.select(*PAGE, "b.x0", "b.x1", "b.y0", F.lit(None).cast("int").alias("line_no"), "place").unionByName(open_.select(*PAGE, "l.x0", "l.x1", "l.y0", "line_no", F.lit(None).cast("int").alias("place")))
+    followed = sweep.over_groups(events, PAGE, ["y0", F.asc_nulls_first("line_no"), F.desc("place")], sweep.above, "line_no int, above_y0 double, above_place int")
+    items = open_.join(lacking, line, "left").join(over, line, "left").join(followed, line, "left").select(*line, "l.*", "total", "n", "lacking", "over", "above_y0", "above_place")
+    put = sweep.over_groups(items, PAGE, ["line_no"], sweep.putting(cover), "line_no int, place array<int>")
     kind = F.when(l["y1"] < page_height * 0.07, "header").when(l["y0"] > page_height * 0.94, "footer").otherwise("text")
     new = put.join(seen, line).select(*PAGE, F.concat(F.lit("line-"), F.col("line_no").cast("string")).alias("block_id"), kind.alias("type"), "text", "place")
-    both = placed.select(*PAGE, "block_id", "type", "text", "place").unionByName(new)
+    both = placed.select(*PAGE, "block_id", "type", "text", F.array("place").alias("place")).unionByName(new)
     return both.select(*PAGE, "block_id", "type", "text", (F.row_number().over(Window.partitionBy(*PAGE).orderBy("place")) - 1).alias("ord"))
 
 
 def push_down(blocks: DataFrame) -> DataFrame:
     """doc_id, page_index, block_id, top: blocks moved below those before them that they would overlap, from the top down.
 
-    Each block's place depends on all placed before it: a fold over the blocks of a page. Column ``needed`` is the height
+    Each block's place depends on all placed before it: a sweep over the blocks of a page. Column ``needed`` is the height
     the text takes. Figures up to 3 points high are rules of forms and stay, without pushing others.
     """
-    item = F.struct("y0", "x0", "ord", "block_id", "x1", "needed", (~((F.col("type") == "figure") & (F.col("y1") - F.col("y0") <= 3))).alias("solid"))
-    pages = blocks.groupBy(*PAGE).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    done = F.array().cast("array<struct<block_id:string,left:double,right:double,top:double,bottom:double,solid:boolean>>")
-
-    def step(placed: Column, x: Column) -> Column:
-        top = F.aggregate(placed, x["y0"], lambda t, p: F.when(p["solid"] & (F.least(x["x1"], p["right"]) - F.greatest(x["x0"], p["left"]) > 2) & (t < p["bottom"] + 1) & (t + x["needed"] > p["top"]), p["bottom"] + 1).otherwise(t))
-        top = F.when(x["solid"], top).otherwise(x["y0"])
-        return F.array_append(placed, F.struct(x["block_id"].alias("block_id"), x["x0"].alias("left"), x["x1"].alias("right"), top.alias("top"), (top + x["needed"]).alias("bottom"), x["solid"].alias("solid")))
-
-    placed = pages.select(*PAGE, F.explode(F.aggregate("items", done, step)).alias("p"))
-    return placed.select(*PAGE, "p.block_id", "p.top")
+    solid = ~((F.col("type") == "figure") & (F.col("y1") - F.col("y0") <= 3))
+    items = blocks.select(*PAGE, "block_id", "x0", "y0", "x1", "ord", F.col("needed").cast("double").alias("needed"), solid.alias("solid"))
+    return sweep.over_groups(items, PAGE, ["y0", "x0", "ord", "block_id"], sweep.pushing, "block_id string, top double")
 
 
 def clear_tops(blocks: DataFrame, gap: float = 1.5) -> DataFrame:
     """doc_id, page_index, block_id, top: a place, from its own downwards, at which each block's text is clear of those before it.
 
     Columns wide and tall are what the text takes. Text goes below all that reaches into it, as often as that meets
-    something else; each time at least one block is passed for good. A fold over the blocks of a page.
+    something else; each time at least one block is passed for good. A sweep over the blocks of a page.
     """
-    item = F.struct("y0", "x0", "ord", "block_id", "wide", "tall")
-    pages = blocks.groupBy(*PAGE).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    done = F.array().cast("array<struct<top:double,bottom:double,left:double,right:double,block_id:string>>")
-
-    def step(placed: Column, x: Column) -> Column:
-        beside = F.filter(placed, lambda p: (F.least(x["x0"] + x["wide"], p["right"]) - F.greatest(x["x0"], p["left"]) > 0.5) & (p["bottom"] > x["y0"]))
-        below = lambda t, hit: F.coalesce(F.array_max(F.transform(F.filter(hit, lambda p: (p["top"] < t + x["tall"]) & (p["bottom"] > t)), lambda p: p["bottom"])) + gap, t)
-        top = F.aggregate(beside, x["y0"], lambda t, _: below(t, beside))
-        return F.array_append(placed, F.struct(top.alias("top"), (top + x["tall"]).alias("bottom"), x["x0"].alias("left"), (x["x0"] + x["wide"]).alias("right"), x["block_id"].alias("block_id")))
-
-    return pages.select(*PAGE, F.explode(F.aggregate("items", done, step)).alias("p")).select(*PAGE, "p.block_id", "p.top")
+    items = blocks.select(*PAGE, "block_id", "x0", "y0", "ord", F.col("wide").cast("double").alias("wide"), F.col("tall").cast("double").alias("tall"))
+    return sweep.over_groups(items, PAGE, ["y0", "x0", "ord", "block_id"], sweep.clearing(gap), "block_id string, top double")
 
 
 def merge_overlapping(boxes: DataFrame, by: list[str], threshold: float) -> DataFrame:

@@ -9,6 +9,7 @@ from ..model import bridge as B
 from ..model.bridge import sql
 from ..operators import layout as L
 from ..operators import match, typography
+from ..sources.scratch import kept
 
 PAGE = L.PAGE
 KEY = [*PAGE, "block_id"]
@@ -80,7 +81,7 @@ def ocr_lines(spark, d):
 
 
 def recovered(spark, d):
-    return L.recover_lines(ordered(spark, d), ocr_lines(spark, d), B.PAGE_HEIGHT)
+    return L.recover_lines(kept(ordered(spark, d), "ordered"), kept(ocr_lines(spark, d), "lines"), B.PAGE_HEIGHT)
 
 
 def refined(spark, d):
