@@ -6,6 +6,8 @@ the next, that part alone is a fold over the rows that are still open; the rest
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,18 +114,16 @@ def contained_duplicates(blocks: DataFrame, slack: float = 3.0) -> DataFrame:
 def repeated_margins(blocks: DataFrame, page_height: float, page_width: float, least: float = 0.85, share: float = 0.1) -> DataFrame:
     """doc_id, page_index, block_id, new_type: text at the margins that recurs, nearly alike, on enough pages of its document.
 
-    A text joins the first group in its region that it resembles. Groups are formed in page order, in a fold over the different
-    texts of a document and region; equal ones, the usual case, are one from the start.
+    A text joins the first group in its region that it resembles. Groups are formed in page order, in a sweep over the different
+    texts of a document and region that holds the first text of each group; equal texts, the usual case, are one from the start.
     """
     width, height = F.lit(page_width), F.lit(page_height)
     marked = blocks.withColumn("region", G.margin_region(G.of(), width, height)).filter(F.col("type").isin("text", "other") & F.length("text").between(5, 300) & F.col("region").isNotNull())
     keyed = marked.select("doc_id", "page_index", "block_id", "ord", "region", X.margin_key(F.col("text")).alias("key")).filter(F.length("key") >= 5)
     region = ["doc_id", "region"]
     different = keyed.groupBy(*region, "key").agg(F.min(F.struct("page_index", "ord", "block_id")).alias("first"))
-    lists = different.groupBy(*region).agg(F.sort_array(F.collect_list(F.struct("first", "key"))).alias("items"))
-    first = lambda heads, key: F.get(F.filter(heads, lambda y: X.similarity(y, key) >= least), F.lit(0))
-    heads = F.aggregate("items", F.array().cast("array<string>"), lambda g, x: F.when(first(g, x["key"]).isNotNull(), g).otherwise(F.array_append(g, x["key"])))
-    grouped = lists.withColumn("heads", heads).select(*region, "heads", F.explode("items.key").alias("key")).select(*region, "key", first(F.col("heads"), F.col("key")).alias("head"))
+    ordered = different.select(*region, "key", "first.page_index", "first.ord", "first.block_id")
+    grouped = sweep.over_groups(ordered, region, ["page_index", "ord", "block_id", "key"], sweep.heading(least), "key string, head string")
     assigned = keyed.join(grouped, [*region, "key"])
     support = assigned.groupBy(*region, "head").agg(F.countDistinct("page_index").alias("support"))
     pages = blocks.groupBy("doc_id").agg(F.countDistinct("page_index").alias("pages"))
@@ -144,13 +144,14 @@ def run_groups(rows: DataFrame, by: list[str], value: str, gap: float, into: str
     return rows.withColumn("_opens", opens).withColumn(into, (F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int")).drop("_opens")
 
 
-def recover_lines(blocks: DataFrame, lines: DataFrame, page_height: float, sure: float = 0.75, cover: float = 0.6) -> DataFrame:
+def recover_lines(blocks: DataFrame, lines: DataFrame, page_height: float, sure: float = 0.75, cover: float = 0.6, step: Callable[[DataFrame, str], DataFrame] = lambda rows, name: rows) -> DataFrame:
     """doc_id, page_index, block_id, type, text, ord: the blocks, and the recognised lines that no block covers.
 
     Joins and sums tell how much of a line its page's blocks cover, which of its words they lack, and which earlier lines it overlaps; a
     sweep, which block it follows. A line put in counts as a block for those after it: only that is decided line by line, for the lines that
     blocks leave open. A line put in follows what stands lowest above it in its column, before what was put there earlier,
-    so its place is the place of that one, followed by its own number counted downwards. Both tables are read several times.
+    so its place is the place of that one, followed by its own number counted downwards. Both tables are read several times, and so are
+    the lines left open: ``step`` may write these, see sources.scratch.
     """
     line = [*PAGE, "line_no"]
     seen = lines.filter((F.col("confidence") >= sure) & (X.strip(X.or_empty(F.col("text"))) != "")).select(*PAGE, F.col("line_no").cast("int").alias("line_no"), "text", G.of().alias("l"))
@@ -162,9 +163,9 @@ def recover_lines(blocks: DataFrame, lines: DataFrame, page_height: float, sure:
     seen = seen.join(grid, PAGE)
     met = meet(seen, placed.join(grid, PAGE).select(*PAGE, GRID, F.col("text").alias("block_text"), "b"), PAGE, l, b).withColumn("share", G.intersection(l, b) / size).filter("share > 0")
     facts = met.groupBy(*line).agg(F.max("share").alias("most"), F.sum("share").alias("total"), F.count("*").alias("n"))
-    open_ = seen.join(facts, line, "left").filter(F.coalesce("most", F.lit(0.0)) < cover).drop("most")
+    open_ = step(seen.join(facts, line, "left").filter(F.coalesce("most", F.lit(0.0)) < cover).drop("most"), "open")
     counted = lambda t, words, n: t.select(*line, F.explode(X.folded_words(F.col(words))).alias("word")).groupBy(*line, "word").agg(F.count("*").alias(n))
-    lacking = counted(open_, "text", "wanted").join(counted(met, "block_text", "there"), [*line, "word"], "left").withColumn("n", F.col("wanted") - F.coalesce("there", F.lit(0))).filter("n > 0")
+    lacking = counted(open_, "text", "wanted").join(counted(met.join(open_.select(*line), line, "left_semi"), "block_text", "there"), [*line, "word"], "left").withColumn("n", F.col("wanted") - F.coalesce("there", F.lit(0))).filter("n > 0")
     lacking = lacking.groupBy(*line).agg(F.collect_list(F.struct("word", "n")).alias("lacking"))
     earlier = open_.select(*PAGE, GRID, F.col("line_no").alias("no"), F.col("text").alias("earlier_text"), F.col("l").alias("b"))
     over = meet(open_, earlier, PAGE, l, b).filter(F.col("no") < F.col("line_no")).withColumn("share", G.intersection(l, b) / size).filter(F.col("share") > 0)

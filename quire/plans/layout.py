@@ -81,7 +81,7 @@ def ocr_lines(spark, d):
 
 
 def recovered(spark, d):
-    return L.recover_lines(kept(ordered(spark, d), "ordered"), kept(ocr_lines(spark, d), "lines"), B.PAGE_HEIGHT)
+    return L.recover_lines(kept(ordered(spark, d), "ordered"), kept(ocr_lines(spark, d), "lines"), B.PAGE_HEIGHT, step=kept)
 
 
 def refined(spark, d):

@@ -147,3 +147,45 @@ def test_recovered_lines_equal_one_by_one(spark):
     for r in sorted(found.collect(), key=lambda r: (r.page_index, r.ord)):
         got.setdefault(r.page_index, []).append(r.text)
     assert got == want
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def test_edits_and_first_alike():
+    rng = np.random.default_rng(5)
+    texts = ["", "a", "ж" * 70] + ["".join(rng.choice(list("abж"), int(rng.integers(1, 80)))) for _ in range(60)]
+    for a in texts:
+        for b in texts[::3]:
+            assert sweep.edits(a, b) == distance(a, b)
+    near = [t[:k] + "b" * int(rng.integers(0, 4)) + t[k + int(rng.integers(0, 4)) :] for t in texts for k in (0, len(t) // 2)]
+    heads, step = [], sweep.heading(0.85)()
+    for t in texts + near:
+        want = next((h for h in heads if 1 - distance(t, h) / max(len(t), len(h), 1) >= 0.85), None)
+        if want is None:
+            heads.append(want := t)
+        assert step({"key": t}) == (t, want)
+    assert 20 < len(heads) < len(texts + near) - 60
+
+
+def test_very_many_margins_of_a_document(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(400)]
+    heads = [" ".join(rng.choice(words, 8)) for _ in range(1500)]
+    rows = []
+    for i in range(100_000):
+        t = heads[i % 1500]
+        k = int(rng.integers(0, len(t)))
+        # Three letters are written in, so nearly all are different.
+        rows.append((1, i, f"h{i}", "text", t[:k] + "".join(chr(97 + int(c)) for c in rng.integers(10, 26, 3)) + t[k:], 0, 72.0, 40.0, 300.0, 52.0, 0.9))
+    blocks = spark.createDataFrame(rows, BLOCK)
+    assert len({r[4] for r in rows}) > 99_000
+    began = time.perf_counter()
+    found = L.repeated_margins(blocks, 842.0, 595.0, share=0.0005)
+    assert found.count() == len(rows) and time.perf_counter() - began < 150
