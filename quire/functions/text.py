@@ -246,17 +246,12 @@ def valid_correction(before: Column, after: Column) -> Column:
 
 
 def chunks(text: Column, limit: int) -> Column:
-    """Greedy packing of words with the blanks after them; a word over the limit stands alone."""
-    tokens = F.regexp_extract_all(text, F.lit(f"{INK}+{BLANK}*"), F.lit(0))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    """Greedy packing of words with the blanks after them; a word over the limit stands alone.
 
-    def step(a: Column, w: Column) -> Column:
-        closed = F.when(a["open"] == "", a["done"]).otherwise(F.array_append(a["done"], a["open"]))
-        over, full = F.length(w) > limit, F.length(a["open"]) + F.length(w) > limit
-        done = F.when(over, F.array_append(closed, w)).when(full, closed).otherwise(a["done"])
-        return F.struct(done.alias("done"), F.when(over, "").when(full, w).otherwise(F.concat(a["open"], w)).alias("open"))
-
-    return F.aggregate(tokens, start, step, lambda a: F.when(a["open"] == "", a["done"]).otherwise(F.array_append(a["done"], a["open"])))
+    A chunk goes from a word on as far as it may and a word begins or the text ends; where there is no such place, it is that word.
+    """
+    packed = f"{INK}(?s:.{{0,{limit - 1}}})(?:(?<={BLANK})(?={INK})|\\z)"
+    return F.regexp_extract_all(text, F.lit(f"{packed}|{INK}+{BLANK}*"), F.lit(0))
 
 
 def contents_entry(text: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .align import replaced
+from .sweep import over_groups
 
 
 def word_counts(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
@@ -16,21 +17,41 @@ def word_counts(texts: DataFrame, key: list[str], text: str = "text") -> DataFra
     return texts.select(*key, F.explode(X.words(F.col(text))).alias("word")).groupBy(*key, "word").agg(F.count("*").alias("n"))
 
 
-def text_match(expected: DataFrame, found: DataFrame, key: list[str], show: int = 50) -> DataFrame:
-    """key, precision, recall, missing, extra for pairs of texts with the same key; up to ``show`` words each.
+def _both_counts(expected: DataFrame, found: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """key, word, w, g, w_at, g_at: counts of a word in the two texts, and where each has it first; a text without words has the null word."""
+    at = F.struct(*order, "pos")
+    side = lambda t, n: t.select(*key, *order, F.posexplode_outer(X.words(F.col("text"))).alias("pos", "word")).select(*key, "word", *[(F.lit(1) if i == n else F.lit(0)).alias(c) for i, c in enumerate("wg")], *[(at if i == n else F.lit(None)).alias(f"{c}_at") for i, c in enumerate("wg")])
+    return side(expected, 0).unionByName(side(found, 1)).groupBy(*key, "word").agg(F.sum("w").alias("w"), F.sum("g").alias("g"), F.min("w_at").alias("w_at"), F.min("g_at").alias("g_at"))
 
-    expected and found: key, text. Words are compared with their counts; missing and extra are in alphabetical order. Both sides are
-    counted in one grouping, so each word is shuffled once.
+
+def _shares(counted: DataFrame, key: list[str]) -> DataFrame:
+    n = lambda c: F.sum(F.when(F.col("word").isNotNull(), c).otherwise(0))
+    sums = counted.groupBy(*key).agg(n(F.col("w")).alias("w"), n(F.col("g")).alias("g"), n(F.least("w", "g")).alias("m"))
+    return sums.select(*key, X.ratio(F.col("m"), F.col("g")).alias("precision"), X.ratio(F.col("m"), F.col("w")).alias("recall"))
+
+
+def match_shares(expected: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
+    """key, precision, recall: the shares of the words of found that are expected, and of those expected that are found, with their counts."""
+    return _shares(_both_counts(expected, found, key, []), key)
+
+
+def text_match(expected: DataFrame, found: DataFrame, key: list[str], show: int = 50, order: list[str] | None = None, step: Callable[[DataFrame, str], DataFrame] = lambda rows, name: rows) -> DataFrame:
+    """key, precision, recall, missing, extra for pairs of texts with the same key; the first ``show`` words each.
+
+    expected and found: key, text, and columns ``order`` if a text is in several rows. Words are compared with their counts; missing and extra are
+    in the order in which their texts have them first, and repeated as often as they are missing. Both sides are counted in one grouping, so each word is
+    shuffled once; of the words that differ, no more than ``show`` a key and task go on. The counts are read twice: ``step`` may write them, see sources.scratch.
     """
-    side = lambda t, n: t.select(*key, F.explode_outer(X.words(F.col("text"))).alias("word"), F.lit(int(n == 0)).alias("w"), F.lit(int(n == 1)).alias("g"))
-    counted = side(expected, 0).unionByName(side(found, 1)).groupBy(*key, "word").agg(F.sum("w").alias("w"), F.sum("g").alias("g"))
-    # A text without words has the null word, which counts nowhere.
-    n = lambda c: F.when(F.col("word").isNotNull(), c).otherwise(0)
-    more = lambda x, y: F.slice(F.sort_array(F.collect_list(F.when(F.col("word").isNotNull() & (F.col(x) > F.col(y)), F.struct("word", (F.col(x) - F.col(y)).alias("n"))))), 1, show)
-    grouped = counted.groupBy(*key).agg(F.sum(n(F.col("w"))).alias("w"), F.sum(n(F.col("g"))).alias("g"), F.sum(n(F.least("w", "g"))).alias("m"), more("w", "g").alias("missing"), more("g", "w").alias("extra"))
+    counted = step(_both_counts(expected, found, key, order or []), "counts")
+    more = lambda x, y, lost: F.struct(F.lit(lost).alias("lost"), (F.col(x) - F.col(y)).alias("n"), F.col(f"{x}_at").alias("at"))
+    differ = counted.filter("word IS NOT NULL AND w <> g").select(*key, "word", F.when(F.col("w") > F.col("g"), more("w", "g", True)).otherwise(more("g", "w", False)).alias("d"))
+    first = Window.partitionBy(*key, "lost").orderBy("at", "word")
+    ranked = differ.select(*key, "word", "d.*").withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= show)
+    listed = lambda lost: F.sort_array(F.collect_list(F.when(F.col("lost") == lost, F.struct("rank", "word", "n"))))
+    lists = ranked.groupBy(*key).agg(listed(True).alias("missing"), listed(False).alias("extra"))
     # Each word is there at least once, so the first words are enough.
-    words = lambda c: F.slice(F.flatten(F.transform(c, lambda w: F.array_repeat(w["word"], F.least(w["n"], F.lit(show)).cast("int")))), 1, show)
-    return grouped.select(*key, X.ratio(F.col("m"), F.col("g")).alias("precision"), X.ratio(F.col("m"), F.col("w")).alias("recall"), words("missing").alias("missing"), words("extra").alias("extra"))
+    words = lambda c: F.coalesce(F.slice(F.flatten(F.transform(c, lambda w: F.array_repeat(w["word"], F.least(w["n"], F.lit(show)).cast("int")))), 1, show), F.array().cast("array<string>"))
+    return _shares(counted, key).join(lists, key, "left").select(*key, "precision", "recall", words("missing").alias("missing"), words("extra").alias("extra"))
 
 
 #: Words that a pair must share among the rarest before it is counted, if so many must be shared at all; parts in which words are numbered.
@@ -92,18 +113,27 @@ def units(blocks: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def pack(texts: DataFrame, by: list[str], order: list[str], limit: int) -> DataFrame:
-    """Adds batch: consecutive texts go into a batch until the next would pass ``limit`` characters: one fold a group."""
-    items = texts.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order, F.length("text").alias("_n")))).alias("items"))
-    start = F.struct(F.array().cast("array<int>").alias("ids"), F.lit(0).alias("id"), F.lit(0).alias("size"))
-
-    def step(a: Column, x: Column) -> Column:
-        full = (a["size"] > 0) & (a["size"] + x["_n"] > limit)
-        batch = F.when(full, a["id"] + 1).otherwise(a["id"])
-        return F.struct(F.array_append(a["ids"], batch).alias("ids"), batch.alias("id"), F.when(full, x["_n"]).otherwise(a["size"] + x["_n"]).alias("size"))
-
-    ids = F.aggregate("items", start, step, lambda a: a["ids"])
-    numbered = items.select(*by, F.explode(F.arrays_zip(F.col("items"), ids.alias("batch"))).alias("z")).select(*by, *[F.col(f"z.items.{c}").alias(c) for c in order], F.col("z.batch").alias("batch"))
-    return texts.join(numbered, [*by, *order])
+    """Adds batch: consecutive texts go into a batch until the next would pass ``limit`` characters.
+
+    A sweep over each group in order, which holds the number and size of the open batch only.
+    """
+    sized = texts.select(*by, *order, F.length("text").alias("_n"))
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sized.select(*order).schema.fields)
+    return texts.join(over_groups(sized, by, order, lambda: _packing(order, limit), f"{columns}, batch int"), [*by, *order])
+
+
+def _packing(order: list[str], limit: int) -> Callable[[dict], tuple]:
+    batch = size = 0
+
+    def step(x: dict) -> tuple:
+        nonlocal batch, size
+        n = x["_n"] or 0
+        if size > 0 and size + n > limit:
+            batch, size = batch + 1, 0
+        size += n
+        return (*(x[c] for c in order), batch)
+
+    return step
 
 
 def host_corrections(texts: DataFrame, domains: DataFrame, key: list[str]) -> DataFrame:

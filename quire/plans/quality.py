@@ -92,8 +92,9 @@ def invariants(spark, d):
 
 def text_match(spark, d):
     """Each document's lines against its lines with the defects of recognition."""
-    b = PL.blocks(spark, d).filter("text IS NOT NULL")
-    m = match.text_match(b.select("doc_id", "text"), b.select("doc_id", F.col("noisy").alias("text")), ["doc_id"])
+    b = PL.ordered(spark, d).filter("text IS NOT NULL")
+    place = ["page_index", "ord"]
+    m = match.text_match(b.select("doc_id", *place, "text"), b.select("doc_id", *place, F.col("noisy").alias("text")), ["doc_id"], order=place, step=kept)
     return m.select("doc_id", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"), F.array_join("missing", " ").alias("missing"), F.array_join("extra", " ").alias("extra"))
 
 
@@ -133,7 +134,7 @@ def corrections(spark, d):
 
 def searchable(spark, d):
     b = PL.blocks(spark, d).filter("text IS NOT NULL")
-    m = match.text_match(b.select("doc_id", "text"), b.select("doc_id", F.col("noisy").alias("text")), ["doc_id"])
+    m = match.match_shares(b.select("doc_id", "text"), b.select("doc_id", F.col("noisy").alias("text")), ["doc_id"])
     return C.searchable_text(m.select("doc_id", F.round("recall", 9).alias("recall"))).select("doc_id", "status")
 
 
@@ -168,11 +169,14 @@ _ALL = ("blocks", "all_blocks", "ordered")
 _WORDS = r"regexp_extract_all(replace(lower(%s), 'ё', 'е'), '[\p{L}\p{N}_]+')"
 _COUNT = f"(SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest({_WORDS}) AS word FROM all_blocks WHERE text IS NOT NULL) GROUP BY ALL)"
 B.SQL["counts"] = f"counts AS (SELECT doc_id, word, coalesce(x.n, 0) AS a, coalesce(y.n, 0) AS b FROM {_COUNT % 'text'} x FULL JOIN {_COUNT % 'noisy'} y USING (doc_id, word))"
-_LIST = "coalesce(array_to_string(list_slice(flatten(list(list_transform(range({x} - {y}), lambda k: word) ORDER BY word) FILTER ({x} > {y})), 1, 50), ' '), '')"
+#: Words of a document with their counts, and where it has them first.
+_PLACED = f"(SELECT doc_id, word, count(*) AS n, min(spot) AS spot FROM (SELECT doc_id, unnest({_WORDS % 'TEXT'}) AS word, {{'p': page_index, 'o': ord, 'w': unnest(range(len({_WORDS % 'TEXT'})))}} AS spot FROM ordered WHERE text IS NOT NULL) GROUP BY ALL)"
+B.SQL["placed_counts"] = f"placed_counts AS (SELECT doc_id, word, coalesce(x.n, 0) AS a, coalesce(y.n, 0) AS b, x.spot AS a_spot, y.spot AS b_spot FROM {_PLACED.replace('TEXT', 'text')} x FULL JOIN {_PLACED.replace('TEXT', 'noisy')} y USING (doc_id, word))"
+_LIST = "coalesce(array_to_string(list_slice(flatten(list(list_transform(range({x} - {y}), lambda k: word) ORDER BY {x}_spot) FILTER ({x} > {y})), 1, 50), ' '), '')"
 _MATCH = "sum(least(a, b)) / greatest(1, sum({}))"
 ORACLES = {
     "a01_text_match": sql(
-        f"SELECT doc_id, round({_MATCH.format('b')}, 9) AS precision, round({_MATCH.format('a')}, 9) AS recall, {_LIST.format(x='a', y='b')} AS missing, {_LIST.format(x='b', y='a')} AS extra FROM counts GROUP BY doc_id", "blocks", "all_blocks", "counts"
+        f"SELECT doc_id, round({_MATCH.format('b')}, 9) AS precision, round({_MATCH.format('a')}, 9) AS recall, {_LIST.format(x='a', y='b')} AS missing, {_LIST.format(x='b', y='a')} AS extra FROM placed_counts GROUP BY doc_id", *_ALL, "placed_counts"
     ),
     "a01_benchmark_match": rf"""WITH a AS (SELECT item_id, word, count(*) AS n FROM (SELECT item_id, unnest({_WORDS % 'text'}) AS word FROM benchmark) GROUP BY ALL),
 b AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest({_WORDS % 'text'}) AS word FROM documents) GROUP BY ALL)

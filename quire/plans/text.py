@@ -8,7 +8,8 @@ from ..functions import text as X
 from ..model import bridge as B
 from ..model.bridge import sql
 from ..operators import match
-from ..operators.align import divided, keeps_words, merged, replaced
+from ..operators.align import divided, keeps_words, merged, replace_everywhere, replaced
+from ..sources.scratch import kept
 
 KEY = ["doc_id", "block_id"]
 ASCII = r"^[\x20-\x7E]*$"
@@ -114,6 +115,19 @@ def replacements(spark, d):
     return t.select(*KEY, replaced(F.col("text"), F.array(w(1), w(2)), F.array(w(2), F.lit("MARK"))).alias("text"))
 
 
+def dictionary(documents):
+    """A dictionary that grows with the corpus: a third of all longer words, each to be written backwards."""
+    found = documents.select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]{6,}"), F.lit(0))).alias("before")).distinct()
+    return found.filter(F.crc32(F.col("before").cast("binary")) % 3 == 0).select("before", F.reverse("before").alias("after"))
+
+
+def dictionary_replacements(spark, d):
+    """Every line with all edits of the dictionary made at once."""
+    edits = kept(dictionary(B.table(spark, d, "documents")), "edits")
+    t = lines(spark, d).filter("text IS NOT NULL").select(*KEY, "text")
+    return replace_everywhere(t, edits).select(*KEY, F.md5("text").alias("md5"))
+
+
 def hosts(spark, d):
     """Hosts written with Cyrillic letters, put into lines."""
     names = spark.createDataFrame([("store.example.com",), ("example.org",), ("data.example.net",)], "domain string")
@@ -161,6 +175,7 @@ QUERIES = {
     "x19_valid_corrections": corrections,
     "x20_host_corrections": hosts,
     "x21_replacements": replacements,
+    "x21_dictionary_replacements": dictionary_replacements,
     "x22_chunks": chunks,
     "x26_line_division": divide_lines,
     "x28_contents_lines": contents_lines,
@@ -199,6 +214,22 @@ FROM (SELECT doc_id, block_id, noisy, len(regexp_extract_all(noisy, '\S')) AS in
         "blocks",
     ),
     "x10_similarity": f"SELECT c_custkey, round({_SIM}, 9) AS similarity FROM (SELECT c_custkey, c_name || ' ' || c_mktsegment AS a, c_mktsegment || ' ' || reverse(c_name) AS b FROM customer)",
+    "x22_chunks": r"""WITH RECURSIVE tokens AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\s]+\s*') AS t FROM documents
+), sized AS (
+  SELECT doc_id, t, list_transform(t, lambda x: length(x)) AS sizes FROM tokens WHERE len(t) > 0
+), parts AS (
+  SELECT doc_id, unnest(t) AS word, unnest(sizes) AS size, unnest(range(1, len(t) + 1)) AS k FROM sized
+), sums AS (
+  SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM parts
+), nexts AS (
+  -- The first word that doesn't fit after this one: an as-of match on the sums.
+  SELECT a.doc_id, a.k, greatest(a.k + 1, coalesce(b.k + 1, 1)) AS after FROM sums a ASOF LEFT JOIN sums b ON a.doc_id = b.doc_id AND a.upto - a.size + 800 >= b.upto
+), chunks AS (
+  SELECT doc_id, 0 AS n, 1 AS first, after FROM nexts WHERE k = 1
+  UNION ALL SELECT c.doc_id, c.n + 1, c.after, x.after FROM chunks c JOIN nexts x ON x.doc_id = c.doc_id AND x.k = c.after
+)
+SELECT c.doc_id, n::INT AS n, sum(size)::INT AS chars, md5(string_agg(word, '' ORDER BY k)) AS md5 FROM chunks c JOIN parts p ON p.doc_id = c.doc_id AND p.k >= c.first AND p.k < c.after GROUP BY c.doc_id, n""",
     "x28_contents_lines": sql(
         r"""SELECT doc_id, block_id, regexp_extract(t, '^(\d+(?:\.\d+)*\.\s+.+?)\s+(\d{1,4})$', 1) AS title, regexp_extract(t, '^(\d+(?:\.\d+)*\.\s+.+?)\s+(\d{1,4})$', 2) AS page
 FROM (SELECT *, CASE WHEN i % 3 = 0 THEN i || '. ' || left(noisy, 20) || '   ' || (doc_id % 2000) ELSE noisy END AS t FROM blocks) WHERE regexp_matches(t, '^(\d+(?:\.\d+)*\.\s+.+?)\s+(\d{1,4})$')""",
