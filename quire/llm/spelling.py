@@ -6,10 +6,11 @@ segments; the words scanned in it are those with a beginning or an end that may
 word's halves have two lengths. What the automaton finds counts where it lies at the start or end, and where lengths differ by
 one at most; then the two words are compared. A pair that shares both segments counts by its first.
 
-Where more than ``HOT`` words begin or end with a segment, they aren't compared within one task. They meet by the rest of the word
-instead: rests that differ by one edit are equal once a character at one place is gone from one or both. So each word gives its rest, and its rest without each of
+Words with a common segment aren't all compared with each other, but by the rest of the word:
+rests that differ by one edit are equal once a character at one place is gone from one or both. So each word gives its rest, and its rest without each of
 its characters, and words are compared where these are equal. Of one segment and one such string there are at most so many words as there are letters
-and places, however large the vocabulary. A pair is taken only at the string that its own edit gives.
+and places, however large the vocabulary. A pair is taken only at the string that its own edit gives. Where more than ``HOT`` words begin or end
+with a segment, these strings are dealt to tasks of their own.
 
 A word's form is its near word of largest count if that is at least ``TIMES`` its own. Counts rise along forms, so chains
 end, after ``ROUNDS`` doublings of their steps at the latest.
@@ -33,7 +34,7 @@ from .common import keep, scope, stash
 
 LETTERS, CODE_POINTS, OCCURRENCES, TIMES, EVERY = r"A-Za-zÀ-ÿ", 7, 2, 10, 31
 #: Segments of a shard, about; words that have a segment, above which they meet by their rests; doublings that pass every chain of counts of 64 bits.
-SHARD, HOT, ROUNDS = 1 << 16, 1000, 5
+SHARD, HOT, ROUNDS = 1 << 14, 1000, 5
 _FOUND = "word string, n_near long, best struct<less: long, form: string>"
 
 
@@ -74,6 +75,30 @@ def _batch(found: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([x[0] for x in found.values()], pa.int64()), best], ["word", "n_near", "best"])
 
 
+def _left(rest: str) -> set[str]:
+    """The rest of a word, and the rest without each of its characters."""
+    return {rest, *(rest[:i] + rest[i + 1 :] for i in range(len(rest)))}
+
+
+class Segment:
+    """The words that have a segment, by what is left of their rests."""
+
+    def __init__(self) -> None:
+        self.words: list[tuple[str, int, str]] = []
+        self.by_left: dict[str, list[tuple[str, int, str]]] = {}
+
+    def near(self, rest: str) -> Iterator[tuple[str, int]]:
+        """Words, with their counts, whose rests differ from this one by one edit."""
+        if not self.by_left:
+            for x in self.words:
+                for left in _left(x[2]):
+                    self.by_left.setdefault(left, []).append(x)
+        for left in _left(rest):
+            for word, n, other in self.by_left.get(left, ()):
+                if edit(rest, other) == left:
+                    yield word, n
+
+
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """shard, probe, first, segment, word, n, in order -> ``_FOUND``: for each scanned word, its near words whose segments are in the shard."""
     import ahocorasick
@@ -82,25 +107,26 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for shard, probe, first, segment, word, n in zip(*(batch.column(i).to_pylist() for i in range(6))):
             if shard != last:
-                last, automaton, held = shard, None, defaultdict(list)
+                last, automaton, held = shard, None, defaultdict(lambda: (Segment(), Segment()))
             if not probe:
-                held[segment, first, len(word)].append((word, n))
+                half = len(word) // 2
+                held[segment][not first].words.append((word, n, word[half:] if first else word[:half]))
                 continue
             if not held:
                 continue
             if automaton is None:
                 automaton = ahocorasick.Automaton()
-                for x, _, _ in held:
-                    automaton.add_word(x, x)
+                for x, of in held.items():
+                    automaton.add_word(x, (len(x), *of))
                 automaton.make_automaton()
-            for end, x in automaton.iter(word):
-                starts, ends = end + 1 == len(x), end + 1 == len(word)
-                for length in range(len(word) - 1, len(word) + 2) if starts or ends else ():
-                    for other, m in held.get((x, True, length), ()) if starts else ():
-                        if edit(word, other) is not None:
-                            _add(found, word, other, m)
-                    for other, m in held.get((x, False, length), ()) if ends else ():
-                        if not word.startswith(other[: length // 2]) and edit(word, other) is not None:
+            # Rests whose lengths differ by more than one have nothing in common here, so lengths of words agree as well.
+            for end, (size, begins, ends) in automaton.iter(word):
+                if end + 1 == size and begins.words:
+                    for other, m in begins.near(word[size:]):
+                        _add(found, word, other, m)
+                if end + 1 == len(word) and ends.words:
+                    for other, m in ends.near(word[:-size]):
+                        if not word.startswith(other[: len(other) // 2]):
                             _add(found, word, other, m)
         if found:
             yield _batch(found)
