@@ -38,8 +38,8 @@ EVERY, POSITIVES, NEGATIVES, SCALE = 100, 5, 10, 256
 BAND = (30, 90)
 #: Rows that the axes are fitted on, about; numbers (rows times dimension) of a shard and of a block; rows and anchors multiplied at once.
 SAMPLE, SHARD, BLOCK, TOGETHER = 4096, 1 << 20, 1 << 22, 1024
-#: Shares of the components after which bounds are taken.
-CUTS = (0.25, 0.5, 0.75, 1.0)
+#: Shares of the components after which bounds are taken; share of pairs below which those left are no longer multiplied as a matrix.
+CUTS, SPARSE = (0.25, 0.5, 0.75, 1.0), 0.05
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 _KEYS = ("dim", "family", "shard", "block", "kind")
 _AXES, _ANCHOR, _ROW = 0, 1, 2
@@ -91,17 +91,25 @@ class Block:
         with np.errstate(over="ignore", invalid="ignore"):
             for start in range(0, len(self.ids), TOGETHER):
                 some = slice(start, start + TOGETHER)
-                cut = own.cuts[0]
-                product = own.parts[some, :cut] @ rows.parts[:, :cut].T
-                room = np.outer(own.rests[0][some], rows.rests[0]) + own.slack * np.outer(own.lengths[some], rows.lengths)
-                # Written so that bounds that are no numbers drop nothing.
-                keep = ~(product + room < self.floor[some].min(1)[:, None]) & ~(product - room > self.ceiling[some].max(1)[:, None])
-                keep &= ((self.labels[some, None] == labels) == self.same) & (self.ids[some, None] != ids)
+                low, high = self.floor[some].min(1)[:, None], self.ceiling[some].max(1)[:, None]
+                product, keep, done = 0.0, None, 0
+                for i, cut in enumerate(own.cuts):
+                    last = own.cuts[i - 1] if i else 0
+                    product = product + own.parts[some, last:cut] @ rows.parts[:, last:cut].T
+                    room = np.outer(own.rests[i][some], rows.rests[i]) + own.slack * np.outer(own.lengths[some], rows.lengths)
+                    # Written so that bounds that are no numbers drop nothing.
+                    keep = ~(product + room < low) & ~(product - room > high)
+                    if not i:
+                        wanted = ((self.labels[some, None] == labels) == self.same) & (self.ids[some, None] != ids)
+                    keep &= wanted
+                    done = i
+                    if np.count_nonzero(keep) < SPARSE * keep.size:
+                        break
                 a, r = np.nonzero(keep)
                 product, a = product[a, r], a + start
-                for i, cut in enumerate(own.cuts):
-                    if i:
-                        last = own.cuts[i - 1]
+                for i in range(done, len(own.cuts)):
+                    if i > done:
+                        last, cut = own.cuts[i - 1], own.cuts[i]
                         product = product + (own.parts[a, last:cut] * rows.parts[r, last:cut]).sum(1)
                     room = own.rests[i][a] * rows.rests[i][r] + own.slack * own.lengths[a] * rows.lengths[r]
                     open_ = (~((product + room)[:, None] < self.floor[a]) & ~((product - room)[:, None] > self.ceiling[a])).any(1)
