@@ -9,6 +9,7 @@ from ..model.bridge import sql
 from ..operators import jobs as J
 from ..operators import layout as L
 from ..sinks import render
+from ..sources.scratch import kept
 from . import layout as PL
 
 
@@ -29,6 +30,27 @@ def streamed(spark, d):
     return S.run_to_end(S.job_states(B.job_events(stream)), spark)
 
 
+def lives(spark, d):
+    """States from a stream whose operator has a timer for each job that ended: kind state, and kind expired at the end of its time."""
+    from ..streaming import jobs as S
+    from ..streaming import lifecycle
+
+    raw = spark.read.parquet(f"{d}/events.parquet")
+    stream = S.event_stream(spark, d, "events.parquet", raw.schema)
+    rows = lifecycle.run(lifecycle.job_lives(B.job_events(stream), 3600), spark)
+    return rows.select("job_id", "kind", "status", "changes", "n_events", "finished_at")
+
+
+def admitted_stream(spark, d):
+    """Admission as a stateful operator, over a stream of the events."""
+    from ..streaming import jobs as S
+    from ..streaming import lifecycle
+
+    raw = spark.read.parquet(f"{d}/events.parquet")
+    stream = B.job_events(S.event_stream(spark, d, "events.parquet", raw.schema)).withColumn("queue", F.col("job_id") % 20)
+    return lifecycle.run(lifecycle.admissions(stream, 3), spark).drop("batch")
+
+
 def expired(spark, d):
     s = J.states(events(spark, d))
     now = B.table(spark, d, "events").agg(F.max("ts").cast("timestamp"))
@@ -132,8 +154,23 @@ def escaped_pages(spark, d):
     return B.table(spark, d, "pages").select("page_id", F.md5(escape_html(F.col("html"))).alias("md5"))
 
 
+def saved_bundles(spark, d):
+    """Bundles written as archives into a folder, and read again."""
+    from ..sinks import archives
+    from ..sources.scratch import folder
+
+    o = kept(PL.ordered(spark, d), "ordered")
+    rows = render.bundle(document__md=render.markdown(o, L.attach_captions(o)), document__html=render.html(o, B.PAGE_WIDTH, B.PAGE_HEIGHT))
+    path = folder(spark, "bundles")
+    archives.save(rows, path)
+    return archives.load(spark, path).select("doc_id", "name", F.md5("content").alias("md5"))
+
+
 QUERIES = {
     "f01_admission": admitted,
+    "f01_admission_stream": admitted_stream,
+    "f03_job_lives": lives,
+    "k10_saved_bundles": saved_bundles,
     "f02_job_states": states,
     "f02_job_stream": streamed,
     "f02_quality_gate": gate,
@@ -171,6 +208,8 @@ _ALT = "coalesce(c.text, '')"
 ORACLES = {
     "f02_job_states": _FOLD + f"SELECT job_id, s AS status, changes, finished_at, k::INT AS n_events FROM ({_LAST})",
     "f02_job_stream": _FOLD + f"SELECT job_id, s AS status, changes, finished_at, k::INT AS n_events FROM ({_LAST})",
+    "f03_job_lives": _FOLD + f"""SELECT job_id, unnest(CASE WHEN finished_at IS NOT NULL AND epoch_us((SELECT max(ts) FROM events)) - epoch_us(finished_at) > 3600000000 THEN ['state', 'expired'] ELSE ['state'] END) AS kind,
+  s AS status, changes, k::INT AS n_events, finished_at FROM ({_LAST})""",
     "f03_expired_jobs": _FOLD + f"SELECT job_id, s AS status FROM ({_LAST}) WHERE finished_at IS NOT NULL AND s <> 'running' AND epoch_us((SELECT max(ts) FROM events)) - epoch_us(finished_at) > 3600000000",
     "s10_restored_jobs": _FOLD + f"SELECT CASE WHEN s IN ('queued', 'running') THEN 'failed' ELSE s END AS status, CASE WHEN s IN ('queued', 'running') THEN 'interrupted by a restart' ELSE '' END AS error, count(*) AS n FROM ({_LAST}) GROUP BY ALL",
     "f04_progress": "SELECT l_orderkey, l_linenumber, CASE WHEN q > 45 THEN 100 ELSE least(90, floor(least(q, 40) * 90 / 40)) END::INT AS progress, least(60, greatest(5, floor(q * 10 / 4)))::INT AS janitor FROM (SELECT *, floor(l_quantity)::INT AS q FROM lineitem)",

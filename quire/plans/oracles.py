@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..model import bridge as B
 from ..model.bridge import sql
-from . import layout, quality  # noqa: F401  quality names the pages
+from . import jobs, layout, quality  # noqa: F401  quality names the pages
 
 _ALL = layout._ALL
 
@@ -381,3 +381,5 @@ WHERE n = 1""",
         *_ALL,
     ),
 }
+ORACLES["k10_saved_bundles"] = f"SELECT doc_id, 'document.md' AS name, md5 FROM ({jobs.ORACLES['k02_markdown']}) UNION ALL SELECT doc_id, 'document.html', md5 FROM ({ORACLES['k03_html']})"
+ORACLES["f01_admission_stream"] = ORACLES["f01_admission"]
