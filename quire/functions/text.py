@@ -1,4 +1,4 @@
-"""Text functions as Spark columns; no Python runs per row.
+"""Text functions as Spark columns; only ``composed`` leaves the built-in ones.
 
 Words are runs of letters, digits and underscores of any script; white space is that of Unicode with the four
 separators U+001C to U+001F. ``fold`` is full case folding for the letters that occur: lower case, and ss for sharp s.
@@ -6,10 +6,14 @@ separators U+001C to U+001F. ``fold`` is full case folding for the letters that
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
+from pyspark.sql.types import StringType
 
 BLANK = r"[\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 INK = "[^" + BLANK[1:]
@@ -211,9 +215,15 @@ def confirms_short_value(text: Column, confidence: Column, other: Column, other_
     return F.coalesce((confidence >= 0.55) & short & (other_confidence >= 0.45) & (short_value_look(text) == short_value_look(strip(other))), F.lit(False))
 
 
+@arrow_udf(StringType())
+def composed(text: pa.Array) -> pa.Array:
+    """The text with letters and their accents as one character where there is one; no built-in function has normal forms."""
+    return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in text.to_pylist()], pa.string())
+
+
 def same_visible_line(a: Column, b: Column) -> Column:
-    """Same look; composed and decomposed accents are told apart, as SQL has no normal forms."""
-    return (strip(a) != "") & (short_value_look(a) == short_value_look(b))
+    """Same look, whether accents are written as part of their letters or after them."""
+    return (strip(a) != "") & (short_value_look(composed(a)) == short_value_look(composed(b)))
 
 
 def takes_latin_reading(first: Column, second: Column, confidence: Column) -> Column:

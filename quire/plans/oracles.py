@@ -318,6 +318,15 @@ FROM (SELECT *, len(regexp_extract_all(noisy, '[aeo]')) AS changed, replace(lowe
 FROM (SELECT *, words[1] AS w, {_MIXED.format('words[1]')} AS m FROM (SELECT *, {_WORDS} AS words FROM blocks) WHERE len(words) >= 2)""",
         "blocks",
     ),
+    "x17_visible_lines": sql(
+        rf"""SELECT doc_id, block_id, regexp_matches(text, '\S') AND {_LOOK.format('nfc_normalize(text)')} = {_LOOK.format('nfc_normalize(other)')} AS same
+FROM (SELECT *, CASE i % 3 WHEN 0 THEN {_MIXED.format('apart')} WHEN 1 THEN apart || chr(769) ELSE apart END AS other FROM (SELECT *, """
+        + "replace(" * 7
+        + "text"
+        + "".join(f", '{x}', '{y}' || chr({z}))" for x, y, z in (("ä", "a", 776), ("ö", "o", 776), ("ü", "u", 776), ("é", "e", 769), ("è", "e", 768), ("ñ", "n", 771), ("й", "и", 774)))
+        + " AS apart FROM blocks WHERE text IS NOT NULL))",
+        "blocks",
+    ),
     "x18_latin_readings": sql(
         rf"""SELECT doc_id, block_id, regexp_matches(m, '[A-Za-z]') AND regexp_matches(m, '{_CYR}') AND confidence >= 0.98 AND regexp_matches(w, '^[A-Za-z0-9_./\\-]+[.,;:!?]?$') AND len(regexp_extract_all(w, '[A-Za-z]')) >= 4 AS taken
 FROM (SELECT *, string_split(text, ' ')[1] AS w, {_MIXED.format("string_split(text, ' ')[1]")} AS m FROM blocks WHERE type <> 'figure')""",

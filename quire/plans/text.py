@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -75,6 +77,16 @@ def short_values(spark, d):
     return t.select(*KEY, ok.alias("confirmed"), X.same_visible_line(word(1), F.translate(word(1), *B.MIXED)).alias("same"))
 
 
+def visible_lines(spark, d):
+    """Lines against themselves with accents written after their letters, and with letters of the other script."""
+    t = lines(spark, d).filter("text IS NOT NULL")
+    apart = F.col("text")
+    for letter in "äöüéèñй":
+        apart = F.replace(apart, F.lit(letter), F.lit(unicodedata.normalize("NFD", letter)))
+    other = F.when(F.col("i") % 3 == 0, F.translate(apart, *B.MIXED)).when(F.col("i") % 3 == 1, F.concat(apart, F.lit("\u0301"))).otherwise(apart)
+    return t.select(*KEY, X.same_visible_line(F.col("text"), other).alias("same"))
+
+
 def latin_readings(spark, d):
     word = F.element_at(F.split("text", " "), 1)
     return lines(spark, d).filter("type <> 'figure'").select(*KEY, X.takes_latin_reading(F.translate(word, *B.MIXED), word, F.col("confidence")).alias("taken"))
@@ -171,6 +183,7 @@ QUERIES = {
     "x13_keeps_words": reread_words,
     "x15_path_choice": paths,
     "x16_short_values": short_values,
+    "x17_visible_lines": visible_lines,
     "x18_latin_readings": latin_readings,
     "x19_valid_corrections": corrections,
     "x20_host_corrections": hosts,

@@ -135,3 +135,8 @@ def test_bounded_dpi_is_the_largest_that_fits(spark):
     for r in got:
         fits = [s for s in range(1, r.d + 1) if math.ceil(r.w * s / 72) * math.ceil(r.h * s / 72) <= 40_000_000 and max(math.ceil(r.w * s / 72), math.ceil(r.h * s / 72)) <= 12_000]
         assert r.x == (max(fits) if fits else None)
+
+
+@pytest.mark.parametrize("a, b, same", [("caf\u00e9", "cafe\u0301", True), ("\u0439од", "и\u0306од", True), ("\u212b", "\u00c5", True), ("cafe\u0301", "cafe", False), ("Рот", "Pot", True), (" ", " ", False), ("e\u0301 e", "\u00e9e", False)])
+def test_accents_written_apart_look_the_same(spark, a, b, same):
+    assert value(spark, X.same_visible_line(F.col("a"), F.col("b")), a=a, b=b) is same
