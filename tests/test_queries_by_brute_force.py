@@ -23,6 +23,8 @@ def folder(spark, tmp_path_factory):
     items = [(o, n, 37 * o + n, 1, float(rng.randint(1, 50)), 100.5 + o, rng.choice("NRA"), "O") for o in range(1, 60) for n in range(1, o % 5 + 2)]
     schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string"
     spark.createDataFrame(items, schema).coalesce(1).write.parquet(f"{path}/lineitem.parquet")
+    vectors = [(i, [rng.uniform(-0.4, 0.4) for _ in range(8)], i % 10) for i in range(400)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{path}/embeddings.parquet")
     return str(path)
 
 
@@ -126,3 +128,54 @@ def test_j02_recovered_lines(spark, folder):
         want = brute_recovered([(*b[:4], plain(b[4]), b[5]) for b in own], [(n, plain(t), *box) for n, t, *box in lines.get(page, [])])
         assert [plain(t) for t in got[page]] == want, page
     assert sum(map(len, got.values())) > sum(map(len, blocks.values()))
+
+
+def test_g04_merged_boxes(spark, folder):
+    from quire.plans import geometry
+
+    pages = {}
+    for r in sorted(rows(geometry.boxes(spark, folder)), key=lambda r: r["vec_id"]):
+        kept = pages.setdefault(r["vec_id"] // 10, [])
+        box = [r[f"a_{n}"] for n in ("x0", "y0", "x1", "y1")]
+
+        def share(other):
+            inner = max(0.0, min(box[2], other[2]) - max(box[0], other[0])) * max(0.0, min(box[3], other[3]) - max(box[1], other[1]))  # noqa: B023
+            area = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+            whole = area(box) + area(other) - inner  # noqa: B023
+            return inner / whole if whole else 0.0
+
+        at = next((i for i, other in enumerate(kept) if share(other) >= 0.3), None)
+        if at is None:
+            kept.append(box)
+        else:
+            kept[at] = [min(kept[at][0], box[0]), min(kept[at][1], box[1]), max(kept[at][2], box[2]), max(kept[at][3], box[3])]
+    want = {(page, n, *box) for page, kept in pages.items() for n, box in enumerate(kept)}
+    got = {(r.page, r.n, r.x0, r.y0, r.x1, r.y1) for r in plans.QUERIES["g04_merged_boxes"](spark, folder).collect()}
+    assert got == want and len(got) < 400
+
+
+def test_a09_grown_rows(spark, folder):
+    from quire.plans import tables as PB
+
+    heights = {}
+    for r in rows(PB.T.sizes(PB.cells(spark, folder), PB.KEY, across=False)):
+        heights.setdefault(r["table_id"], {})[r["at"]] = r["size"]
+    for r in sorted(rows(PB.cells(spark, folder)), key=lambda r: (r["table_id"], r["row"], r["col"])):
+        own, span = heights[r["table_id"]], range(r["row"], r["row"] + r["rowspan"])
+        more = max(0.0, len(r["text"]) * 4.0 - sum(own.get(i, 0.0) for i in span)) / r["rowspan"]
+        for i in span:
+            if i in own:
+                own[i] += more
+    want = {(t, at, round(size, 6)) for t, own in heights.items() for at, size in own.items()}
+    assert {(r.table_id, r["at"], r.size) for r in plans.QUERIES["a09_grown_rows"](spark, folder).collect()} == want and want
+
+
+def test_x20_host_corrections(spark, folder):
+    # Of the four hosts that the query writes into lines, the first two are near one known domain, the third is one and more text, the last is none.
+    hosts = [("stоrе.example.com", "stоrе.example.com", "store.example.com"), ("ехample.оrg", "ехample.оrg", "example.org"), ("stоrе.ехamplе.соmСписок", "stоrе.ехamplе.соm", "store.example.com"), None]
+    want = set()
+    for r in rows(PT.lines(spark, folder)):
+        found = hosts[r["i"] % 4]
+        if found:
+            want.add((r["doc_id"], r["block_id"], found[1], found[2]))
+    assert {tuple(r) for r in plans.QUERIES["x20_host_corrections"](spark, folder).collect()} == want and want
