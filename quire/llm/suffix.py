@@ -38,8 +38,10 @@ from pyspark.sql import functions as F
 from .common import keep, scope, stash
 
 LENGTH, SEED, HOT = 50, 20, 50_000
-#: Seeds that occur so often in one slice of rows are counted; how many hot seeds, and how many common strings, are broadcast at most.
-OFTEN, MOST_HOT, MOST_COMMON = 8, 1 << 20, 1 << 16
+#: Seeds that occur so often in a task are counted; how many hot seeds, and how many common strings, are broadcast at most.
+OFTEN, MOST_HOT, MOST_COMMON = 4, 1 << 20, 1 << 16
+#: Seeds that a task sorts together, and how many it goes on counting; buckets of a partition.
+SORTED, COUNTED, TOGETHER = 1 << 20, 1 << 18, 4
 #: Bytes of text a task works on at once, (about) bytes of text whose seeds share a bucket, bytes of a shard, bytes merged together.
 PIECE, BUCKET, SHARD, MERGE = 400_000, 3_000_000, 1 << 14, 56_000
 #: Ends a neighbourhood; no byte of UTF-8.
@@ -174,12 +176,44 @@ def _join(parts: list[bytes], kind) -> np.ndarray:
     return np.frombuffer(b"".join(parts), kind)
 
 
+class Often:
+    """Counts of the commonest keys that pass: what is more than a ``COUNTED``-th of all keys is never lost, and counts are too low by no more.
+
+    Where there are too many keys, all counts are lowered by that of the first key that doesn't fit, which takes as many away from each of those that stay.
+    """
+
+    def __init__(self) -> None:
+        self.key, self.n = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, key: np.ndarray) -> None:
+        self.held.append(key)
+        self.size += len(key)
+        if self.size >= SORTED:
+            self.settle()
+
+    def settle(self) -> None:
+        key, n = np.unique(np.concatenate([np.empty(0, np.uint64), *self.held]), return_counts=True)
+        self.held, self.size = [], 0
+        if len(self.key):
+            key, at = np.unique(np.concatenate([self.key, key]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([self.n, n]), len(key)).astype(np.int64)
+        if len(key) > COUNTED:
+            n = n - np.partition(n, len(n) - COUNTED - 1)[len(n) - COUNTED - 1]
+            key, n = key[n > 0], n[n > 0]
+        self.key, self.n = key, n
+
+
 def _often_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Seeds that occur often in a slice of rows, and how often."""
+    """Seeds that occur often in the rows of a task, and how often."""
+    often = Often()
     for batch in _slices(batches):
-        keys = [Seeds(data, bounds).key for data, bounds, _, _ in _pieces(_texts(batch.column(1)))]
-        key, n = np.unique(np.concatenate(keys or [np.empty(0, np.uint64)]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(key[n >= OFTEN].view(np.int64)), pa.array(n[n >= OFTEN].astype(np.int64))], ["seed", "n"])
+        for data, bounds, _, _ in _pieces(_texts(batch.column(1))):
+            often.add(Seeds(data, bounds).key)
+    often.settle()
+    many = often.n >= OFTEN
+    yield pa.RecordBatch.from_arrays([pa.array(often.key[many].view(np.int64)), pa.array(often.n[many])], ["seed", "n"])
 
 
 def _is_in(key: np.ndarray, some: np.ndarray) -> np.ndarray:
@@ -491,7 +525,7 @@ def removed_mask(n: int, gone: np.ndarray) -> np.ndarray:
 
 
 def hot_seeds(named: DataFrame, hot: int = HOT) -> np.ndarray:
-    """The commonest seeds with more than ``hot`` occurrences in slices where they are frequent, at most ``MOST_HOT``, sorted."""
+    """The commonest seeds with more than ``hot`` occurrences in tasks where they are frequent, at most ``MOST_HOT``, sorted."""
     counted = named.mapInArrow(_often_rows, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).filter(F.col("n") > hot)
     found = counted.orderBy(F.desc("n"), "seed").limit(MOST_HOT).select("seed").toArrow()["seed"].to_numpy()
     return np.sort(found.view(np.uint64))
@@ -508,6 +542,8 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, buckets: int | None = None)
         digests = stash(digests, "digests")
         if buckets is None:
             buckets = max(32, (digests.agg(F.sum("size").alias("n")).first()["n"] or 0) // BUCKET)
+        # Buckets are of a bounded size, so partitions are too, however large the input.
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // TOGETHER)
         least = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
         copies = digests.join(least, "digest").filter("doc_id > least").groupBy(F.col("doc_id").alias("copy_id")).agg(F.collect_set("print").alias("copies"))
         copies = keep(stash(copies, "copies"))
@@ -515,13 +551,13 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, buckets: int | None = None)
         common = hot_seeds(named, hot)
         shared_hot = spark.sparkContext.broadcast(common)
         seeds = named.mapInArrow(_seed_rows(buckets, shared_hot), "bucket long, keys binary, docs binary")
-        shared = stash(seeds.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_rows, "shared_id long, seeds binary"), "shared")
+        shared = stash(seeds.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_rows, "shared_id long, seeds binary"), "shared")
         wanted = shared.groupBy("shared_id").agg(F.collect_list("seeds").alias("wanted"))
         # One join takes the texts, by doc_id: what belongs to a document is put together before.
         wanted = wanted.join(copies, F.col("shared_id") == F.col("copy_id"), "left").select("shared_id", "wanted", "copies")
         joined = named.join(wanted, F.col("doc_id") == F.col("shared_id")).select("doc_id", "text", "wanted", "copies")
         rows = joined.mapInArrow(_context_rows(buckets), "bucket long, " + ", ".join(f"`{c}` binary" for c, _ in _CONTEXT))
-        gone = stash(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_removed_rows(), _GONE), "gone")
+        gone = stash(rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_removed_rows(), _GONE), "gone")
         if len(common):
             own = copies.select("copy_id", F.explode("copies").alias("copy_print"))
             first = named.join(own, (F.col("doc_id") == F.col("copy_id")) & ((F.crc32("text") - (1 << 31)).cast("int") == F.col("copy_print")), "left_anti")

@@ -153,3 +153,32 @@ def test_rounds_of_two_bytes_give_the_same_order():
     at, common = suffix.interleave(shards)
     some, even = suffix.interleave(shards, exact=False)
     assert (at == some).all() and (common // 2 * 2 == even).all() and (common % 2).any()
+
+
+def test_thinly_spread_seeds_are_hot(spark):
+    # A passage in each three-hundredth row, among rows that have nothing in common.
+    rng = np.random.default_rng(31)
+    draw = lambda n: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, n))
+    passage = draw(120)
+    rows = [(i, draw(40) + (passage if i % 300 == 7 else draw(60)) + draw(40)) for i in range(12000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    found = suffix.hot_seeds(docs, 30)
+    own = np.unique(suffix.Seeds(*list(suffix._pieces([passage.encode()]))[0][:2]).key)
+    assert len(found) and set(found.tolist()) <= set(own.tolist())
+    want = {r.doc_id: (r.n_removed, r.kept) for r in suffix.remove_repeats(docs).collect()}
+    got = {r.doc_id: (r.n_removed, r.kept) for r in suffix.remove_repeats(docs, 30).collect()}
+    assert got == want and sum(n >= 100 for n, _ in got.values()) == 39
+
+
+def test_counts_of_common_keys_survive_lowering(monkeypatch):
+    monkeypatch.setattr(suffix, "SORTED", 500)
+    monkeypatch.setattr(suffix, "COUNTED", 50)
+    rng = np.random.default_rng(32)
+    keys = np.concatenate([rng.integers(1000, 1 << 60, 20000), np.repeat(np.arange(5), 2000)]).astype(np.uint64)
+    rng.shuffle(keys)
+    often = suffix.Often()
+    for part in np.array_split(keys, 100):
+        often.add(part)
+    often.settle()
+    counts = dict(zip(often.key.tolist(), often.n.tolist()))
+    assert len(counts) <= 50 and all(2000 - len(keys) / 50 <= counts[k] <= 2000 for k in range(5))
