@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
+from ..sources.scratch import kept
 from . import sweep
 from .tiles import GRID, grids, meet, with_grid
 
@@ -144,14 +145,14 @@ def run_groups(rows: DataFrame, by: list[str], value: str, gap: float, into: str
     return rows.withColumn("_opens", opens).withColumn(into, (F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int")).drop("_opens")
 
 
-def recover_lines(blocks: DataFrame, lines: DataFrame, page_height: float, sure: float = 0.75, cover: float = 0.6, step: Callable[[DataFrame, str], DataFrame] = lambda rows, name: rows) -> DataFrame:
+def recover_lines(blocks: DataFrame, lines: DataFrame, page_height: float, sure: float = 0.75, cover: float = 0.6, step: Callable[[DataFrame, str], DataFrame] = kept) -> DataFrame:
     """doc_id, page_index, block_id, type, text, ord: the blocks, and the recognised lines that no block covers.
 
     Joins and sums tell how much of a line its page's blocks cover, which of its words they lack, and which earlier lines it overlaps; a
     sweep, which block it follows. A line put in counts as a block for those after it: only that is decided line by line, for the lines that
     blocks leave open. A line put in follows what stands lowest above it in its column, before what was put there earlier,
     so its place is the place of that one, followed by its own number counted downwards. Both tables are read several times, and so are
-    the lines left open: ``step`` may write these, see sources.scratch.
+    the lines left open: ``step`` writes these, see sources.scratch.
     """
     line = [*PAGE, "line_no"]
     seen = lines.filter((F.col("confidence") >= sure) & (X.strip(X.or_empty(F.col("text"))) != "")).select(*PAGE, F.col("line_no").cast("int").alias("line_no"), "text", G.of().alias("l"))
