@@ -53,7 +53,8 @@ def read_png(data: bytes) -> np.ndarray:
     if depth != 8 or interlaced or not channels:
         raise ValueError("only 8-bit PNG images without interlacing are read")
     rows = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(height, 1 + width * channels)
-    out = _unfiltered(rows[:, 0], rows[:, 1:].astype(np.int64), channels).reshape(height, width, channels).astype(np.uint8)
+    plain = rows[:, 1:] if not rows[:, 0].any() else _unfiltered(rows[:, 0], rows[:, 1:].astype(np.int64), channels).astype(np.uint8)
+    out = plain.reshape(height, width, channels)
     if kind == 3:
         return palette[out[:, :, 0]]
     if kind in (4, 6):
@@ -63,8 +64,6 @@ def read_png(data: bytes) -> np.ndarray:
 
 
 def _unfiltered(kinds: np.ndarray, rows: np.ndarray, step: int) -> np.ndarray:
-    if not kinds.any():
-        return rows
     above = np.zeros(rows.shape[1], np.int64)
     for kind, row in zip(kinds.tolist(), rows):
         if kind == 2:
@@ -86,13 +85,13 @@ def _unfiltered(kinds: np.ndarray, rows: np.ndarray, step: int) -> np.ndarray:
     return rows
 
 
-def write_png(image: np.ndarray) -> bytes:
+def write_png(image: np.ndarray, level: int = -1) -> bytes:
     def part(name: bytes, body: bytes) -> bytes:
         return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
 
     height, width = image.shape[:2]
     rows = np.ascontiguousarray(image, np.uint8).reshape(height, -1)
-    packed = zlib.compress(np.concatenate([np.zeros((height, 1), np.uint8), rows], 1).tobytes())
+    packed = zlib.compress(np.concatenate([np.zeros((height, 1), np.uint8), rows], 1).tobytes(), level)
     head = struct.pack(">IIBBBBB", width, height, 8, 2 if image.ndim == 3 else 0, 0, 0, 0)
     return _MAGIC + part(b"IHDR", head) + part(b"IDAT", packed) + part(b"IEND", b"")
 
