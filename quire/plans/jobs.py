@@ -159,7 +159,7 @@ def saved_bundles(spark, d):
     from ..sinks import archives
     from ..sources.scratch import folder
 
-    o = kept(PL.ordered(spark, d), "ordered")
+    o = kept(PL.ordered(spark, d).drop("noisy"), "ordered")
     rows = render.bundle(document__md=render.markdown(o, L.attach_captions(o)), document__html=render.html(o, B.PAGE_WIDTH, B.PAGE_HEIGHT))
     path = folder(spark, "bundles")
     archives.save(rows, path)
