@@ -161,12 +161,14 @@ def recover_lines(blocks: DataFrame, lines: DataFrame, page_height: float, sure:
     l, b = F.col("l"), F.col("b")
     size = F.greatest(F.lit(0.01), (l["x1"] - l["x0"]) * (l["y1"] - l["y0"]))
     grid = grids(seen.select(*PAGE, "l.*").unionByName(placed.select(*PAGE, "b.*")), PAGE)
-    seen = seen.join(grid, PAGE)
-    met = meet(seen, placed.join(grid, PAGE).select(*PAGE, GRID, F.col("text").alias("block_text"), "b"), PAGE, l, b).withColumn("share", G.intersection(l, b) / size).filter("share > 0")
+    # Texts are fetched for the lines that stay open; pairs are of boxes.
+    near = seen.select(*line, "l").join(grid, PAGE)
+    met = meet(near, placed.select(*PAGE, "place", "b").join(grid, PAGE), PAGE, l, b).withColumn("share", G.intersection(l, b) / size).filter("share > 0").select(*line, "place", "share")
     facts = met.groupBy(*line).agg(F.max("share").alias("most"), F.sum("share").alias("total"), F.count("*").alias("n"))
-    open_ = step(seen.join(facts, line, "left").filter(F.coalesce("most", F.lit(0.0)) < cover).drop("most"), "open")
+    left = step(near.join(facts, line, "left").filter(F.coalesce("most", F.lit(0.0)) < cover).drop("most", "l"), "left")
+    open_ = step(seen.join(left, line), "open")
     counted = lambda t, words, n: t.select(*line, F.explode(X.folded_words(F.col(words))).alias("word")).groupBy(*line, "word").agg(F.count("*").alias(n))
-    lacking = counted(open_, "text", "wanted").join(counted(met.join(open_.select(*line), line, "left_semi"), "block_text", "there"), [*line, "word"], "left").withColumn("n", F.col("wanted") - F.coalesce("there", F.lit(0))).filter("n > 0")
+    lacking = counted(open_, "text", "wanted").join(counted(met.join(open_.select(*line), line, "left_semi").join(placed.select(*PAGE, "place", F.col("text").alias("block_text")), [*PAGE, "place"]), "block_text", "there"), [*line, "word"], "left").withColumn("n", F.col("wanted") - F.coalesce("there", F.lit(0))).filter("n > 0")
     lacking = lacking.groupBy(*line).agg(F.collect_list(F.struct("word", "n")).alias("lacking"))
     earlier = open_.select(*PAGE, GRID, F.col("line_no").alias("no"), F.col("text").alias("earlier_text"), F.col("l").alias("b"))
     over = meet(open_, earlier, PAGE, l, b).filter(F.col("no") < F.col("line_no")).withColumn("share", G.intersection(l, b) / size).filter(F.col("share") > 0)

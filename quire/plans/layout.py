@@ -81,7 +81,8 @@ def ocr_lines(spark, d):
 
 
 def recovered(spark, d):
-    return L.recover_lines(kept(ordered(spark, d), "ordered"), kept(ocr_lines(spark, d), "lines"), B.PAGE_HEIGHT, step=kept)
+    placed = ordered(spark, d).select(*KEY, "type", "text", "ord", "x0", "y0", "x1", "y1")
+    return L.recover_lines(kept(placed, "ordered"), kept(ocr_lines(spark, d), "lines"), B.PAGE_HEIGHT, step=kept)
 
 
 def refined(spark, d):
