@@ -24,10 +24,10 @@ def _both_counts(expected: DataFrame, found: DataFrame, key: list[str], order: l
     return side(expected, 0).unionByName(side(found, 1)).groupBy(*key, "word").agg(F.sum("w").alias("w"), F.sum("g").alias("g"), F.min("w_at").alias("w_at"), F.min("g_at").alias("g_at"))
 
 
-def _shares(counted: DataFrame, key: list[str]) -> DataFrame:
+def _shares(counted: DataFrame, key: list[str], *more: Column) -> DataFrame:
     n = lambda c: F.sum(F.when(F.col("word").isNotNull(), c).otherwise(0))
-    sums = counted.groupBy(*key).agg(n(F.col("w")).alias("w"), n(F.col("g")).alias("g"), n(F.least("w", "g")).alias("m"))
-    return sums.select(*key, X.ratio(F.col("m"), F.col("g")).alias("precision"), X.ratio(F.col("m"), F.col("w")).alias("recall"))
+    sums = counted.groupBy(*key).agg(n(F.col("w")).alias("w"), n(F.col("g")).alias("g"), n(F.least("w", "g")).alias("m"), *more)
+    return sums.select(*(c for c in sums.columns if c not in "wgm"), X.ratio(F.col("m"), F.col("g")).alias("precision"), X.ratio(F.col("m"), F.col("w")).alias("recall"))
 
 
 def match_shares(expected: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
@@ -40,18 +40,30 @@ def text_match(expected: DataFrame, found: DataFrame, key: list[str], show: int
 
     expected and found: key, text, and columns ``order`` if a text is in several rows. Words are compared with their counts; missing and extra are
     in the order in which their texts have them first, and repeated as often as they are missing. Both sides are counted in one grouping, so each word is
-    shuffled once; of the words that differ, no more than ``show`` a key and task go on. The counts are read twice: ``step`` may write them, see sources.scratch.
+    shuffled once at most, and not at all where the texts are dealt by the key. The counts are read once; ``step`` may write them, see sources.scratch.
     """
-    counted = step(_both_counts(expected, found, key, order or []), "counts")
+    return _matched(step(_both_counts(expected, found, key, order or []), "counts"), key, show)
+
+
+def column_match(texts: DataFrame, key: list[str], expected: str, found: str, show: int = 50, order: list[str] | None = None) -> DataFrame:
+    """``text_match`` of two columns of the same rows: where these are dealt by the key, nothing is shuffled."""
+    words = lambda c, n: F.transform(X.words(F.col(c)), lambda w, i: F.struct(w.alias("word"), *[F.lit(int(k == n)).cast("int").alias(x) for k, x in enumerate("wg")], i.alias("pos")))
+    rows = texts.select(*key, *(order or []), F.explode_outer(F.concat(words(expected, 0), words(found, 1))).alias("_x"))
+    at = F.struct(*(order or []), F.col("_x.pos").alias("pos"))
+    rows = rows.select(*key, F.col("_x.word").alias("word"), *[F.col(f"_x.{c}").alias(c) for c in "wg"], *[F.when(F.col(f"_x.{c}") == 1, at).alias(f"{c}_at") for c in "wg"])
+    return _matched(rows.groupBy(*key, "word").agg(F.sum("w").alias("w"), F.sum("g").alias("g"), F.min("w_at").alias("w_at"), F.min("g_at").alias("g_at")), key, show)
+
+
+def _matched(counted: DataFrame, key: list[str], show: int) -> DataFrame:
     more = lambda x, y, lost: F.struct(F.lit(lost).alias("lost"), (F.col(x) - F.col(y)).alias("n"), F.col(f"{x}_at").alias("at"))
-    differ = counted.filter("word IS NOT NULL AND w <> g").select(*key, "word", F.when(F.col("w") > F.col("g"), more("w", "g", True)).otherwise(more("g", "w", False)).alias("d"))
+    d = F.when(F.col("w") > F.col("g"), more("w", "g", True)).when(F.col("w") < F.col("g"), more("g", "w", False))
     first = Window.partitionBy(*key, "lost").orderBy("at", "word")
-    ranked = differ.select(*key, "word", "d.*").withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= show)
-    listed = lambda lost: F.sort_array(F.collect_list(F.when(F.col("lost") == lost, F.struct("rank", "word", "n"))))
-    lists = ranked.groupBy(*key).agg(listed(True).alias("missing"), listed(False).alias("extra"))
+    ranked = counted.withColumn("d", F.when(F.col("word").isNotNull(), d)).select(*key, "word", "w", "g", "d.*").withColumn("rank", F.row_number().over(first))
+    shown = F.col("lost").isNotNull() & (F.col("rank") <= show)
+    listed = lambda lost: F.sort_array(F.collect_list(F.when(shown & (F.col("lost") == lost), F.struct("rank", "word", "n"))))
     # Each word is there at least once, so the first words are enough.
     words = lambda c: F.coalesce(F.slice(F.flatten(F.transform(c, lambda w: F.array_repeat(w["word"], F.least(w["n"], F.lit(show)).cast("int")))), 1, show), F.array().cast("array<string>"))
-    return _shares(counted, key).join(lists, key, "left").select(*key, "precision", "recall", words("missing").alias("missing"), words("extra").alias("extra"))
+    return _shares(ranked, key, listed(True).alias("missing"), listed(False).alias("extra")).select(*key, "precision", "recall", words("missing").alias("missing"), words("extra").alias("extra"))
 
 
 #: Words that a pair must share among the rarest before it is counted, if so many must be shared at all; parts in which words are numbered.

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
-from quire.operators import align
+from quire import plans
+from quire.model import bridge
+from quire.operators import align, refine
 
 
 def test_few_words_are_divided_without_arrays(monkeypatch):
@@ -27,3 +31,35 @@ def test_texts_of_hundreds_of_words_are_aligned_at_once(monkeypatch):
     a, b = [f"a{i}" for i in range(300)], [f"a{i}" if i % 3 else f"b{i}" for i in range(310)]
     kinds = [kind for kind, _, _ in align.steps(a, b)]
     assert (kinds.count("keep"), kinds.count("change"), kinds.count("add"), kinds.count("drop")) == (200, 100, 10, 0)
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def _dealt(df) -> list[str]:
+    """What the shuffles of a plan deal rows by."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan)
+
+
+@pytest.mark.parametrize("name", ["a01_text_match", "p09_lost_in_export"])
+def test_texts_are_shuffled_once_and_words_never(spark, name):
+    found = _dealt(plans.QUERIES[name](spark, SMALL))
+    assert len(found) == 1 and found[0].startswith("doc_id")
+
+
+def test_headers_in_place_are_those_of_the_union(spark):
+    b = bridge.blocks(bridge.table(spark, SMALL, "documents").limit(40))
+    columns = b.columns
+    one, other = bridge.with_headers(b), bridge.with_headers_in_place(b)
+    assert one.columns == other.columns
+    assert sorted(map(str, one.select(columns).collect())) == sorted(map(str, other.select(columns).collect()))
+
+
+def test_words_lost_are_the_same_from_one_table(spark):
+    rows = spark.createDataFrame([(1, 0, "a", "to be or be", "to", "to or x be"), (1, 0, "b", "be it", "it", None), (1, 1, "a", "x", "x", ""), (None, 0, "a", "y", "", ""), (2, 0, None, "z z", "z z", "z")], "doc_id int, page_index int, region string, text string, region_text string, page_text string")
+    page = rows.filter("page_text IS NOT NULL").selectExpr("doc_id", "page_index", "page_text AS text")
+    general = refine.lost_words(rows, page, rows.selectExpr("doc_id", "page_index", "region", "region_text AS text"))
+    expected = [(1, 0, "a", ["be"]), (1, 0, "b", ["be"]), (1, 1, "a", None), (2, 0, None, ["z"])]
+    for out in (general, refine.lost_words_of_rows(rows)):
+        assert sorted(map(tuple, out.collect()), key=str) == sorted((x for x in expected if x[3]), key=str)
