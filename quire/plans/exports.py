@@ -78,10 +78,13 @@ def bands(spark, d):
 
 
 def cell_sizes(spark, d):
-    c = PT.cells(spark, d)
-    lines = c.select("table_id", "row", "col", (F.col("y0") + F.col("col")).alias("y0"), "x0", (8.0 + F.col("row") % 5).alias("font_size_pt"), F.col("y1").alias("cell_y1"))
-    more = lines.withColumn("y0", F.col("y0") + 7).withColumn("font_size_pt", F.when(F.col("row") % 3 > 0, F.col("font_size_pt") + 1))
-    return typography.uniform_size(lines.unionByName(more), ["table_id", "row", "col"])
+    """Two lines a cell, both made where the cell is."""
+    c = B.cells(B.dealt_items(spark, d))
+    y0, size = F.col("y0") + F.col("col"), 8.0 + F.col("row") % 5
+    line = lambda top, points: F.struct(top.alias("y0"), points.alias("font_size_pt"))
+    both = F.inline(F.array(line(y0, size), line(y0 + 7, F.when(F.col("row") % 3 > 0, size + 1))))
+    lines = c.select("table_id", "row", "col", "x0", F.col("y1").alias("cell_y1"), "y0").select("table_id", "row", "col", "x0", "cell_y1", both)
+    return typography.uniform_size(lines, ["table_id", "row", "col"])
 
 
 def pdf_checks(spark, d):

@@ -63,3 +63,12 @@ def test_words_lost_are_the_same_from_one_table(spark):
     expected = [(1, 0, "a", ["be"]), (1, 0, "b", ["be"]), (1, 1, "a", None), (2, 0, None, ["z"])]
     for out in (general, refine.lost_words_of_rows(rows)):
         assert sorted(map(tuple, out.collect()), key=str) == sorted((x for x in expected if x[3]), key=str)
+
+
+def test_lines_of_cells_are_dealt_by_order_to_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(bridge, "ITEMS", 512)
+    sizes = plans.QUERIES["a12_cell_sizes"](spark, SMALL)
+    items = bridge.table(spark, SMALL, "lineitem").count()
+    plan = sizes._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Exchange hashpartitioning\([^)]*, (\d+)\)", plan) == [str(max(4, -(-items // 512)))]
+    assert "Union" not in plan
