@@ -21,23 +21,31 @@ def style(role: Column) -> Column:
     return F.struct(pick(0, "double").alias("size"), pick(1, "boolean").alias("bold"), pick(2, "boolean").alias("italic"))
 
 
+def _units(text: Column) -> Column:
+    """Width of a text in thousandths of its size: the sum of those of its characters."""
+    known = {k: F.regexp_count(text, F.lit(p)) for k, (p, _) in ADVANCE.items()}
+    return sum((n * ADVANCE[k][1] for k, n in known.items()), F.lit(0)) + (F.length(text) - sum(known.values(), F.lit(0))) * OTHER_ADVANCE
+
+
 def advance(text: Column, size: Column) -> Column:
     """Width of a text in points."""
-    known = {k: F.regexp_count(text, F.lit(p)) for k, (p, _) in ADVANCE.items()}
-    units = sum((n * ADVANCE[k][1] for k, n in known.items()), F.lit(0)) + (F.length(text) - sum(known.values(), F.lit(0))) * OTHER_ADVANCE
-    return units * size / 1000
+    return _units(text) * size / 1000
 
 
 def wrapped(text: Column, width: Column, size: Column) -> Column:
     """Lines of the text, words packed greedily; a word wider than the line has one of its own."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def step(a: Column, w: Column) -> Column:
-        longer = F.when(a["open"] == "", w).otherwise(F.concat(a["open"], F.lit(" "), w))
-        full = (a["open"] != "") & (advance(longer, size) > width)
-        return F.struct(F.when(full, F.array_append(a["done"], a["open"])).otherwise(a["done"]).alias("done"), F.when(full, w).otherwise(longer).alias("open"))
-
-    line = lambda t: F.aggregate(F.split(t, " "), start, step, lambda a: F.array_append(a["done"], a["open"]))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("units"))
+
+    def step(a: Column, x: Column) -> Column:
+        # Each word is measured once; an open line's width is the sum of what it holds.
+        w, units = x["w"], x["units"]
+        fresh = a["open"] == ""
+        longer, longer_units = F.when(fresh, w).otherwise(F.concat(a["open"], F.lit(" "), w)), F.when(fresh, units).otherwise(a["units"] + ADVANCE["space"][1] + units)
+        full = ~fresh & (longer_units * size / 1000 > width)
+        return F.struct(F.when(full, F.array_append(a["done"], a["open"])).otherwise(a["done"]).alias("done"), F.when(full, w).otherwise(longer).alias("open"), F.when(full, units).otherwise(longer_units).alias("units"))
+
+    words = lambda t: F.transform(F.split(t, " "), lambda w: F.struct(w.alias("w"), _units(w).alias("units")))
+    line = lambda t: F.aggregate(words(t), start, step, lambda a: F.array_append(a["done"], a["open"]))
     return F.flatten(F.transform(F.split(text, "\n"), line))
 
 
