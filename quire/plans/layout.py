@@ -31,6 +31,11 @@ def dealt(spark, d):
 
 
 def ordered(spark, d):
+    return L.reading_order(blocks(spark, d))
+
+
+def dealt_in_order(spark, d):
+    """``ordered``, dealt by document. Not for plans that put several such tables together: see ``bridge.with_headers_in_place``."""
     return L.reading_order(dealt(spark, d))
 
 
@@ -105,7 +110,7 @@ def refined(spark, d):
 def pushed(spark, d):
     size = F.lit(11.0)
     needed = F.greatest(F.col("y1") - F.col("y0"), F.when(F.col("type") != "figure", typography.text_height(F.col("text"), F.col("x1") - F.col("x0"), size)).otherwise(0.0))
-    return L.push_down(ordered(spark, d).withColumn("needed", needed)).withColumn("top", F.round("top", 4))
+    return L.push_down(dealt_in_order(spark, d).withColumn("needed", needed)).withColumn("top", F.round("top", 4))
 
 
 def units(spark, d):
