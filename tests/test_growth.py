@@ -8,7 +8,7 @@ import pytest
 
 from quire import plans
 from quire.model import bridge
-from quire.operators import align, refine
+from quire.operators import align, refine, tables
 
 
 def test_few_words_are_divided_without_arrays(monkeypatch):
@@ -72,3 +72,36 @@ def test_lines_of_cells_are_dealt_by_order_to_tasks_of_bounded_size(spark, monke
     plan = sizes._jdf.queryExecution().executedPlan().toString()
     assert re.findall(r"Exchange hashpartitioning\([^)]*, (\d+)\)", plan) == [str(max(4, -(-items // 512)))]
     assert "Union" not in plan
+
+
+@pytest.mark.parametrize("name", ["m07_measured_cells", "m07_reading_boxes", "m07_verified_grids"])
+def test_grids_are_measured_where_the_items_of_an_order_are(spark, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        grid = plans.QUERIES[name](spark, SMALL)
+        plan = grid._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # Only items are dealt, and nothing that was written is read.
+    assert {x.split("#")[0] for x in _dealt(grid)} == {"l_orderkey"}
+    assert "Union" not in plan and "checkpoint" not in plan and set(re.findall(r"(\w+)\.parquet", plan)) == {"lineitem"}
+
+
+def test_edges_are_medians_of_repeated_sides_and_gaps_are_even(spark):
+    # Sides at 1: 10, 10, 12 and 20; none at 2.
+    rows = [(1, 0, 1, 0.0, 10.0), (1, 0, 1, 0.0, 10.0), (1, 0, 1, 0.0, 12.0), (1, 1, 2, 20.0, 40.0), (1, 3, 1, 30.0, 40.0), (2, 1, 1, 5.0, 5.0)]
+    cells = spark.createDataFrame(rows, "table_id long, col int, colspan int, x0 double, x1 double")
+    found = tables.edges(cells, ["table_id"]).orderBy("table_id", "at").collect()
+    assert [(r.table_id, r.at, r.edge) for r in found] == [(1, 0, 0.0), (1, 1, 11.0), (1, 2, 20.0), (1, 3, 35.0), (1, 4, 40.0)]
+
+
+def test_a_row_beyond_the_model_moves_texts_to_the_slots_they_lie_in(spark):
+    cells = spark.createDataFrame([(1, r, c, 1, 1, 0, t, 50.0 * c, 20.0 * r + 20, 50.0 * c + 50, 20.0 * r + 40) for r, c, t in ((0, 0, "a"), (0, 1, " "), (1, 1, "d"))], "table_id long, row int, col int, rowspan int, colspan int, cell_seq int, text string, x0 double, y0 double, x1 double, y1 double")
+    edges = lambda n, step: spark.createDataFrame([(1, i, step * i) for i in range(n)], "table_id long, at int, edge double")
+    shape = tables.shape(cells, ["table_id"]).withColumnsRenamed({"rows": "n_rows", "cols": "n_cols"})
+    grid = lambda c: sorted((r.row, r.col, r.text, r.x0, r.y1) for r in tables.verified_grid(c, shape, edges(3, 50.0), edges(4, 20.0), ["table_id"]).collect())
+    assert grid(cells) == [(0, 0, "", 0.0, 20.0), (0, 1, "", 50.0, 20.0), (1, 0, "a", 0.0, 40.0), (1, 1, "", 50.0, 40.0), (2, 0, "", 0.0, 60.0), (2, 1, "d", 50.0, 60.0)]
+    assert [x[2] for x in grid(cells.withColumn("text", cells.text.substr(1, 0)))] == [""] * 6
+    # A second text in a slot leaves the table out.
+    assert grid(cells.union(cells.filter("row = 1").selectExpr("table_id", "row", "col", "rowspan", "colspan", "1", "'e'", "x0", "y0", "x1", "y1"))) == []
