@@ -9,6 +9,7 @@ import pytest
 from quire import plans
 from quire.model import bridge
 from quire.operators import align, refine, tables
+from quire.sinks import docx, pdf
 
 
 def test_few_words_are_divided_without_arrays(monkeypatch):
@@ -105,3 +106,21 @@ def test_a_row_beyond_the_model_moves_texts_to_the_slots_they_lie_in(spark):
     assert [x[2] for x in grid(cells.withColumn("text", cells.text.substr(1, 0)))] == [""] * 6
     # A second text in a slot leaves the table out.
     assert grid(cells.union(cells.filter("row = 1").selectExpr("table_id", "row", "col", "rowspan", "colspan", "1", "'e'", "x0", "y0", "x1", "y1"))) == []
+
+
+def test_words_are_measured_once_for_all_sizes(monkeypatch):
+    monkeypatch.setattr(pdf, "width", lambda *a: pytest.fail("measured again"))
+    assert pdf.fitted("aaa aaa aaa", 40.0, 30.0, 11.0) == (["aaa aaa", "aaa"], 11.0)
+    assert pdf.fitted("a" * 30, 10.0, 10.0, 11.0) == (["a" * 30], pdf.LEAST)
+
+
+def test_files_are_written_a_few_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    models = spark.createDataFrame([], "doc_id long, json string")
+    monkeypatch.setattr(type(models), "mapInArrow", lambda self, run, schema: run)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(150)), "json": ['{"pages": []}', None, ""] * 50})
+    for write in (pdf.positional_pdf, pdf.flow_pdf, docx.docx):
+        made = list(write(models)([batch]))
+        assert [b.num_rows for b in made] == [64, 64, 22]
+        assert [x.as_py() is None for b in made for x in b.column(1)] == [False, True, True] * 50
