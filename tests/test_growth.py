@@ -124,3 +124,15 @@ def test_files_are_written_a_few_at_a_time(spark, monkeypatch):
         made = list(write(models)([batch]))
         assert [b.num_rows for b in made] == [64, 64, 22]
         assert [x.as_py() is None for b in made for x in b.column(1)] == [False, True, True] * 50
+
+
+def test_a_dictionary_is_held_by_no_task_and_not_by_the_driver(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *a: pytest.fail("sent to all tasks"))
+    rng = random.Random(5)
+    draw = lambda n: "".join(rng.choice("ab-./ \\é_") for _ in range(rng.randint(1, n)))
+    edits = {draw(4): draw(3) for _ in range(120)}
+    texts = [(i, draw(40)) for i in range(400)] + [(400, None), (401, "")]
+    found = align.replace_everywhere(spark.createDataFrame(texts, "i int, text string"), spark.createDataFrame(list(edits.items()), "before string, after string"))
+    assert dict(map(tuple, found.collect())) == {i: t and align.replace_all(t, edits) for i, t in texts}
