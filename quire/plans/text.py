@@ -93,8 +93,9 @@ def latin_readings(spark, d):
 
 
 def corrections(spark, d):
-    word = F.element_at(X.words(F.col("text")), 1)
-    t = lines(spark, d).filter(F.size(X.words(F.col("text"))) >= 1)
+    # A generator makes the first word once for all that is asked of it; the words after it aren't looked for.
+    t = lines(spark, d).select(*KEY, F.explode(F.array(X.first_word(F.col("text")))).alias("word")).filter("word <> ''")
+    word = F.col("word")
     return t.select(*KEY, F.coalesce(X.valid_correction(word, F.concat(F.substring(word, 1, 3), F.lit("x"), F.substring(word, 5, 60))), F.lit(False)).alias("valid"))
 
 

@@ -6,7 +6,10 @@ import re
 
 import pytest
 
+from pyspark.sql import functions
+
 from quire import plans
+from quire.functions import text as X
 from quire.model import bridge
 from quire.operators import align, refine, tables
 from quire.sinks import docx, pdf
@@ -136,3 +139,10 @@ def test_a_dictionary_is_held_by_no_task_and_not_by_the_driver(spark, monkeypatc
     texts = [(i, draw(40)) for i in range(400)] + [(400, None), (401, "")]
     found = align.replace_everywhere(spark.createDataFrame(texts, "i int, text string"), spark.createDataFrame(list(edits.items()), "before string, after string"))
     assert dict(map(tuple, found.collect())) == {i: t and align.replace_all(t, edits) for i, t in texts}
+
+
+def test_the_first_word_is_found_once_and_without_the_others(spark):
+    rows = spark.createDataFrame([("Ёж und Igel",), ("  -- x_1, y",), ("...",), (None,), ("",)], "t string")
+    assert [tuple(r) for r in rows.select(X.first_word(rows.t), functions.coalesce(functions.get(X.words(rows.t), functions.lit(0)), functions.lit(""))).collect()] == [("еж",) * 2, ("x_1",) * 2, ("",) * 2, ("",) * 2, ("",) * 2]
+    plan = plans.QUERIES["x19_valid_corrections"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and plan.count("regexp_extract(") == 1
