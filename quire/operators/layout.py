@@ -15,7 +15,7 @@ from ..functions import geometry as G
 from ..functions import text as X
 from ..sources.scratch import kept
 from . import sweep
-from .tiles import GRID, grids, meet, with_grid
+from .tiles import GRID, grids, meet, met, met_in_place, with_grid
 
 PAGE = ["doc_id", "page_index"]
 
@@ -77,31 +77,36 @@ def dangling_captions(links: DataFrame, blocks: DataFrame) -> DataFrame:
     return links.join(blocks.select(*PAGE, F.col("block_id").alias("caption_id")), [*PAGE, "caption_id"], "left_anti")
 
 
-def echoes(blocks: DataFrame, overlap: float = 0.55, least: float = 0.94) -> DataFrame:
-    """doc_id, page_index, block_id of blocks that repeat, as a whole, two or more blocks that they overlap."""
-    keyed = with_grid(blocks.filter("type <> 'figure'"), PAGE).select(*PAGE, GRID, "block_id", "ord", X.word_key(F.col("text")).alias("key"), G.of().alias("box")).filter("key <> ''")
-    parts = keyed.select(*PAGE, GRID, F.col("block_id").alias("part_id"), F.col("ord").alias("part_ord"), F.col("key").alias("part_key"), F.col("box").alias("part"))
-    box, part = F.col("box"), F.col("part")
-    pairs = meet(keyed, parts, PAGE, box, part).filter((F.col("block_id") != F.col("part_id")) & (F.length("part_key") <= F.length("key")) & (G.intersection(box, part) / F.least(G.area(box), G.area(part)) >= overlap))
-    item = F.struct(F.col("part.y0").alias("y0"), F.col("part.x0").alias("x0"), F.col("part_ord").alias("ord"), F.col("part_key").alias("key"))
-    grouped = pairs.groupBy(*PAGE, "block_id", "key").agg(F.sort_array(F.collect_list(item)).alias("parts"), (F.max("part.y0") - F.min("part.y0")).alias("drop"), F.max(G.height(part)).alias("tallest"))
+def echoes(blocks: DataFrame, overlap: float = 0.55, least: float = 0.94, dealt: bool = False) -> DataFrame:
+    """doc_id, page_index, block_id of blocks that repeat, as a whole, two or more blocks that they overlap.
+
+    ``dealt``: blocks are dealt by document, and stay so.
+    """
+    keyed = blocks.filter("type <> 'figure'").select(*PAGE, "block_id", "ord", X.word_key(F.col("text")).alias("key"), G.of().alias("box")).filter("key <> ''")
+    box = F.col("box")
+    item = F.struct(box["y0"].alias("y0"), box["x0"].alias("x0"), "ord", "key", box.alias("part"), F.col("block_id").alias("part_id"))
+    asked = lambda p: (F.col("block_id") != p["part_id"]) & (F.length(p["key"]) <= F.length("key")) & (G.intersection(box, p["part"]) / F.least(G.area(box), G.area(p["part"])) >= overlap)
+    grouped = (met_in_place if dealt else met)(keyed, PAGE, ["block_id"], box, box, item, asked, "parts").filter("size(parts) >= 2").withColumn("parts", F.sort_array("parts"))
+    side = lambda of: F.transform("parts", of)
+    grouped = grouped.withColumn("drop", F.array_max(side(lambda p: p["y0"])) - F.array_min(side(lambda p: p["y0"]))).withColumn("tallest", F.array_max(side(lambda p: G.height(p["part"]))))
     across = F.sort_array(F.transform("parts", lambda p: F.struct(p["x0"].alias("x0"), p["y0"].alias("y0"), p["ord"].alias("ord"), p["key"].alias("key"))))
     keys = lambda x: F.array_join(F.transform(x, lambda p: p["key"]), "")
     joined = F.when(F.col("drop") <= 1.5 * F.col("tallest"), keys(across)).otherwise(keys(F.col("parts")))
-    found = grouped.withColumn("joined", joined).filter((F.size("parts") >= 2) & (F.length("joined") / F.length("key")).between(0.9, 1.1))
-    return found.filter(X.similarity(F.col("key"), F.col("joined")) >= least).select(*PAGE, "block_id")
+    found = grouped.withColumn("joined", joined).filter((F.length("joined") / F.length("key")).between(0.9, 1.1))
+    return found.filter(X.similar(F.col("key"), F.col("joined"), least)).select(*PAGE, "block_id")
 
 
-def contained_duplicates(blocks: DataFrame, slack: float = 3.0) -> DataFrame:
+def contained_duplicates(blocks: DataFrame, slack: float = 3.0, dealt: bool = False) -> DataFrame:
     """doc_id, page_index, block_id of blocks whose text is that of the two or more blocks they contain.
 
     A join finds what each block contains. What is gone no longer counts as a part of a shorter block, so the few blocks
-    that contain others are folded from the longest on.
+    that contain others are folded from the longest on. ``dealt``: blocks are dealt by document, and stay so.
     """
-    keyed = with_grid(blocks.filter("type <> 'figure' AND coalesce(text, '') <> ''"), PAGE).select(*PAGE, GRID, "block_id", "ord", X.ink_key(F.col("text")).alias("key"), G.of().alias("box"))
-    inner = keyed.select(*PAGE, GRID, F.col("block_id").alias("part_id"), F.struct(F.col("box.y0").alias("y0"), F.col("box.x0").alias("x0"), "ord", F.col("block_id").alias("id"), "key").alias("part"), F.col("box").alias("part_box"))
-    held = meet(keyed, inner, PAGE, G.grow(F.col("box"), slack), F.col("part_box")).filter((F.col("block_id") != F.col("part_id")) & G.contains(F.col("box"), F.col("part_box"), slack))
-    whole = held.groupBy(*PAGE, "block_id", "ord", "key").agg(F.sort_array(F.collect_list("part")).alias("parts")).filter(F.size("parts") > 1)
+    keyed = blocks.filter("type <> 'figure' AND coalesce(text, '') <> ''").select(*PAGE, "block_id", "ord", X.ink_key(F.col("text")).alias("key"), G.of().alias("box"))
+    box = F.col("box")
+    part = F.struct(box["y0"].alias("y0"), box["x0"].alias("x0"), "ord", F.col("block_id").alias("id"), "key", box.alias("box"))
+    asked = lambda p: (F.col("block_id") != p["id"]) & G.contains(box, p["box"], slack)
+    whole = (met_in_place if dealt else met)(keyed, PAGE, ["block_id"], G.grow(box, slack), box, part, asked, "parts").filter("size(parts) > 1").withColumn("parts", F.sort_array("parts"))
     pages = whole.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct((-F.length("key")).alias("size"), "ord", "block_id", "key", "parts"))).alias("items"))
 
     def step(gone: Column, x: Column) -> Column:

@@ -55,22 +55,29 @@ def leaks(spark, d):
 
 def with_echoes(spark, d):
     """Each fifth pair of neighbouring lines is also there as one block over both."""
-    o = ordered(spark, d)
+    o = dealt_in_order(spark, d)
     from pyspark.sql import Window
 
     after = Window.partitionBy("doc_id", "page_index", "page_column").orderBy("y0", "x0", "block_id")
     nxt = o.withColumn("next_text", F.lead("text").over(after)).withColumn("ny1", F.lead("y1").over(after)).withColumn("nx1", F.lead("x1").over(after))
-    made = nxt.filter("i % 5 = 1 AND next_text IS NOT NULL AND text IS NOT NULL")
-    echo = made.select(*[{"block_id": F.concat(F.lit("e"), "block_id"), "type": F.lit("text"), "text": F.concat_ws(" ", "text", "next_text"), "y1": F.col("ny1"), "x1": F.greatest("x1", "nx1"), "ord": F.col("ord") + 1000}.get(c, F.col(c)).alias(c) for c in o.columns])
-    return o.unionByName(echo)
+    echo = {"block_id": F.concat(F.lit("e"), "block_id"), "type": F.lit("text"), "text": F.concat_ws(" ", "text", "next_text"), "y1": F.col("ny1"), "x1": F.greatest("x1", "nx1"), "ord": F.col("ord") + 1000}
+    return _both(nxt, {c: echo.get(c, F.col(c)) for c in o.columns}, F.expr("i % 5 = 1 AND next_text IS NOT NULL AND text IS NOT NULL"), o)
+
+
+def _both(rows, other, asked, like):
+    """The columns of ``like`` of each row, and, where ``asked``, those of ``other`` as a row beside it: no union, so rows stay where they are dealt."""
+    kinds = {f.name: f.dataType for f in like.schema.fields}
+    row = lambda of: F.struct(*[of[c].cast(kinds[c]).alias(c) for c in kinds])
+    spread = rows.select("doc_id", F.explode(F.array_compact(F.array(row({c: F.col(c) for c in kinds}), F.when(asked, row(other))))).alias("b"))
+    return spread.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"b.{c}").alias(c) for c in kinds])
 
 
 def echoes(spark, d):
-    return L.echoes(with_echoes(spark, d))
+    return L.echoes(with_echoes(spark, d), dealt=True)
 
 
 def duplicates(spark, d):
-    return L.contained_duplicates(with_echoes(spark, d))
+    return L.contained_duplicates(with_echoes(spark, d), dealt=True)
 
 
 def margins(spark, d):
