@@ -146,3 +146,24 @@ def test_the_first_word_is_found_once_and_without_the_others(spark):
     assert [tuple(r) for r in rows.select(X.first_word(rows.t), functions.coalesce(functions.get(X.words(rows.t), functions.lit(0)), functions.lit(""))).collect()] == [("еж",) * 2, ("x_1",) * 2, ("",) * 2, ("",) * 2, ("",) * 2]
     plan = plans.QUERIES["x19_valid_corrections"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan and plan.count("regexp_extract(") == 1
+
+
+@pytest.mark.parametrize("name", ["j04_refined_blocks", "j06_contained_duplicates", "j07_echoes"])
+def test_boxes_of_a_page_meet_where_their_document_is(spark, name):
+    found = _dealt(plans.QUERIES[name](spark, SMALL))
+    assert len(found) == 1 and found[0].startswith("doc_id")
+
+
+def test_similar_is_what_the_similarity_says(spark):
+    words = ["", "a", "abcdefghij", "abcdefghix", "abcdefghxx", "abcdefgxxx", "xbcdefghijk", "äbcdefghij", "abcdefghij" * 5, "abcdefghij" * 4 + "abcdefgxxx"]
+    pairs = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
+    a, b = functions.col("a"), functions.col("b")
+    for least in (0.5, 0.7, 0.8, 0.9, 0.94):
+        assert pairs.filter(X.similar(a, b, least) != (X.similarity(a, b) >= least)).count() == 0
+
+
+def test_tables_are_drawn_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(bridge, "ITEMS", 512)
+    grids = plans.QUERIES["m07_ink_grids"](spark, SMALL)
+    # Adaptive plans join small partitions unless their number is asked for.
+    assert grids.rdd.getNumPartitions() == max(4, -(-bridge.table(spark, SMALL, "lineitem").count() // 512))
