@@ -167,3 +167,16 @@ def test_tables_are_drawn_in_many_tasks(spark, monkeypatch):
     grids = plans.QUERIES["m07_ink_grids"](spark, SMALL)
     # Adaptive plans join small partitions unless their number is asked for.
     assert grids.rdd.getNumPartitions() == max(4, -(-bridge.table(spark, SMALL, "lineitem").count() // 512))
+
+
+def test_whole_separators_are_not_searched_for_breaks(monkeypatch):
+    import numpy as np
+
+    from quire.sources import pixels
+
+    image = np.full((100, 200), 255, np.uint8)
+    image[10:12, 10:192] = image[80:82, 10:192] = image[10:82, 10:12] = image[10:82, 190:192] = 0
+    columns, rows = pixels.grid(image)
+    assert (columns, rows) == ([10.5, 190.5], [10.5, 80.5])
+    monkeypatch.setattr(pixels.np, "diff", lambda *a, **k: pytest.fail("searched"))
+    assert pixels.unbroken(image, columns, rows)
