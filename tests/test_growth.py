@@ -180,3 +180,19 @@ def test_whole_separators_are_not_searched_for_breaks(monkeypatch):
     assert (columns, rows) == ([10.5, 190.5], [10.5, 80.5])
     monkeypatch.setattr(pixels.np, "diff", lambda *a, **k: pytest.fail("searched"))
     assert pixels.unbroken(image, columns, rows)
+
+
+def test_cells_are_reconciled_where_their_table_is(spark):
+    found = _dealt(plans.QUERIES["j03_reconciled_cells"](spark, SMALL))
+    assert found and all(x.startswith("l_orderkey") for x in found)
+
+
+def test_texts_that_go_on_are_reread_as_before(spark):
+    rows = [(1, 0, c, 1, 1, t, 10.0 + 100 * c, 0.0, 90.0 + 100 * c, 20.0) for c, t in enumerate(("12 kg", "12", "", "ab cd", "12 kg"))]
+    cells = spark.createDataFrame(rows, "table_id int, row int, col int, rowspan int, colspan int, text string, x0 double, y0 double, x1 double, y1 double")
+    read = [(1, c, t, 0.9, 12.0 + 100 * c, 2.0, 80.0 + 100 * c, 18.0) for c, t in enumerate(("12 kg a", "12", "new", "ab ce", "12kg x"))]
+    lines = spark.createDataFrame(read, "table_id int, line_no int, text string, confidence double, x0 double, y0 double, x1 double, y1 double")
+    got = {r.col: (r.text, r.reread) for r in tables.reconcile(cells, lines, ["table_id"]).collect()}
+    # The first goes on, the fourth changes a word, the last is too unlike.
+    assert [got[c] for c in range(4)] == [("12 kg a", True), ("12", True), ("new", True), ("ab ce", True)]
+    assert got[4] == ("12 kg", False)
