@@ -196,3 +196,13 @@ def test_texts_that_go_on_are_reread_as_before(spark):
     # The first goes on, the fourth changes a word, the last is too unlike.
     assert [got[c] for c in range(4)] == [("12 kg a", True), ("12", True), ("new", True), ("ab ce", True)]
     assert got[4] == ("12 kg", False)
+
+
+def test_pages_are_assembled_from_blocks_written_once(spark, monkeypatch):
+    from quire.plans import service
+
+    seen = []
+    monkeypatch.setattr(service, "kept", lambda rows, name: seen.append((name, rows.columns)) or rows)
+    monkeypatch.setattr(service.page, "assembled", lambda blocks, lines, *a, **k: blocks)
+    plans.QUERIES["m02_assembled_pages"](spark, SMALL)
+    assert [name for name, _ in seen] == ["blocks"] and "noisy" not in seen[0][1]
