@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ BODY = (11.0, False, False)
 #: Advance of characters in thousandths of the size, by class: an even stand-in for metrics of installed fonts.
 ADVANCE = {"narrow": ("[iljtfrI.,;:'|!()\\[\\]]", 290), "wide": ("[mwMWШЩЖЮшщжю@%]", 850), "space": (" ", 278)}
 OTHER_ADVANCE = 540
+#: The characters of each class.
+LETTERS = {k: re.sub(r"\\(.)", r"\1", p[1:-1] if p[0] == "[" else p) for k, (p, _) in ADVANCE.items()}
 
 
 def style(role: Column) -> Column:
@@ -23,8 +27,10 @@ def style(role: Column) -> Column:
 
 def _units(text: Column) -> Column:
     """Width of a text in thousandths of its size: the sum of those of its characters."""
-    known = {k: F.regexp_count(text, F.lit(p)) for k, (p, _) in ADVANCE.items()}
-    return sum((n * ADVANCE[k][1] for k, n in known.items()), F.lit(0)) + (F.length(text) - sum(known.values(), F.lit(0))) * OTHER_ADVANCE
+    # Every character of a class becomes the first of it, which is then counted by what is left without it: far cheaper than to list matches of patterns.
+    classes = F.translate(text, "".join(LETTERS.values()), "".join(x[0] * len(x) for x in LETTERS.values()))
+    count = lambda t, x: F.length(t) - F.length(F.replace(t, F.lit(x[0]), F.lit("")))
+    return X.bound(classes, lambda t: sum((count(t, x) * (ADVANCE[k][1] - OTHER_ADVANCE) for k, x in LETTERS.items()), F.length(t) * OTHER_ADVANCE))
 
 
 def advance(text: Column, size: Column) -> Column:
@@ -72,14 +78,14 @@ def fit(lines: DataFrame, profile: DataFrame, slack: float = 2.0) -> DataFrame:
 
     lines: role, text, x0, x1. Roles without a standard take that of text; a line that fits at none takes the smallest and is marked.
     """
-    own = profile.select(F.col("role").alias("p_role"), "sizes")
-    body = own.filter("p_role = 'text'").select(F.col("p_role").alias("b_role"), F.col("sizes").alias("body_sizes"))
-    joined = lines.join(own, F.col("role") == F.col("p_role"), "left").withColumn("_else", F.when(F.col("p_role").isNull(), "text"))
-    joined = joined.join(body, F.col("_else") == F.col("b_role"), "left")
-    sizes = F.coalesce("sizes", "body_sizes")
-    fitting = F.filter(sizes, lambda s: advance(F.col("text"), s) <= F.col("x1") - F.col("x0") + slack)
-    out = joined.withColumn("size_pt", F.coalesce(F.array_max(fitting), F.array_min(sizes))).withColumn("overflow", F.size(fitting) == 0)
-    return out.drop("p_role", "sizes", "body_sizes", "b_role", "_else")
+    # A row a role: it goes to the lines. Lines that go to the roles would all be the work of as many tasks as there are roles.
+    standard = profile.agg(F.sort_array(F.collect_list(F.struct("role", "sizes"))).alias("_standard"))
+    of = lambda role: F.get(F.filter("_standard", lambda p: p["role"] == role), F.lit(0))["sizes"]
+    joined = lines.crossJoin(F.broadcast(standard)).withColumn("_sizes", F.coalesce(of(F.col("role")), of(F.lit("text"))))
+    width = F.col("x1") - F.col("x0") + slack
+    fitting = X.bound(_units(F.col("text")), lambda units: F.filter("_sizes", lambda s: units * s / 1000 <= width))
+    out = joined.withColumn("_fitting", fitting).withColumn("size_pt", F.coalesce(F.array_max("_fitting"), F.array_min("_sizes"))).withColumn("overflow", F.size("_fitting") == 0)
+    return out.drop("_standard", "_sizes", "_fitting")
 
 
 def uniform_size(lines: DataFrame, key: list[str], most: float = 11.0) -> DataFrame:
