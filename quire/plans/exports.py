@@ -165,12 +165,12 @@ def text_layers(spark, d):
 
 def written_docx(spark, d):
     """The structure of the documents' DOCX files, as it is read back."""
-    files = kept(docx.docx(valid_models(spark, d)).select("doc_id", F.col("docx").alias("content")), "docx-files")
-    read = lambda what, schema: docx_source.read(files, what, schema)
+    # Files are read where they are written; only what was found in them is kept.
+    found = kept(docx_source.structure(docx.docx(valid_models(spark, d)).select("doc_id", F.col("docx").alias("content"))), "docx-structure")
     pages = Q.pages(spark, d).select("doc_id", "page_index", "width_pt", "height_pt")
     docs = pages.select("doc_id").distinct()
     wanted = docs.select("doc_id", F.lit(0).alias("n"))
-    return E.docx_checks(docs, pages, read(docx_source.canvases, docx_source.CANVASES).drop("error"), read(docx_source.objects, docx_source.OBJECTS), read(docx_source.tables, docx_source.TABLES), wanted).select("doc_id", "status", "detail")
+    return E.docx_checks(docs, pages, found.select("doc_id", "n", "sections", "body_tables"), found.select("doc_id", F.inline("objects")), found.select("doc_id", F.inline("tables")), wanted).select("doc_id", "status", "detail")
 
 
 def reference_styles(spark, d):
