@@ -36,7 +36,7 @@ def pdf_checks(docs: DataFrame, files: DataFrame, pages: DataFrame, model_pages:
     counted = facts.select(*_row("searchable_pages", F.when(same, "PASS").otherwise("FAIL"), F.concat(number("n").cast("string"), F.lit(" of "), number("wanted").cast("string"))))
     text = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_index", X.or_empty(F.col("text")).alias("text")))), lambda x: x["text"]), "\n").alias("text"))
     matched = match.match_shares(model_words.select("doc_id", "text"), text, ["doc_id"])
-    has_words = model_words.groupBy("doc_id").agg((F.max(F.size(X.words(F.col("text")))) > 0).alias("has_words"))
+    has_words = model_words.groupBy("doc_id").agg(F.coalesce(F.bool_or(X.first_word(F.col("text")) != ""), F.lit(False)).alias("has_words"))
     held = facts.join(matched, "doc_id", "left").join(has_words, "doc_id", "left")
     recall = F.when(F.coalesce("has_words", F.lit(False)), F.coalesce("recall", F.lit(0.0))).otherwise(1.0)
     empty, kept = F.coalesce("any", F.lit(0)) == 0, F.coalesce("fallback", F.lit(False))
